@@ -315,7 +315,7 @@ _EIGEN_E = ", ".join(f"{e} AS e{i}" for i, e in enumerate(M.eigenvalues(), 1))
 @query(f"""{_ASSIGNED}, sums AS (SELECT fid, count(*) AS nc, max({M.l2()}) AS rad, avg({M.metric('abn', **PARAMS)}) AS abn, avg({M.metric('dfp', **PARAMS)}) AS dfp, {_BMOMENTS} FROM links GROUP BY fid),
 shaped AS (SELECT *, {_EIGEN_E} FROM sums), f AS (SELECT c.id AS fid, c.na AS ana, c.nb AS anb, c.nc AS anc FROM cloud c JOIN assigned s ON c.id = s.id AND s.id = s.fid)
 SELECT f.fid, coalesce(nc, 0) AS nc, {r6('coalesce(rad, 0.0)')} AS rad, {r6('coalesce(abn, 0.0)')} AS abn, {r6('coalesce(dfp, 0.0)')} AS dfp, {r6(f'coalesce({stats.ASPECT}, 1.0)')} AS asp,
-cast(coalesce({stats.DIMENSION}, 0) as integer) AS dim, {r6(f"degrees({M.slope('a')})")} AS slo FROM f LEFT JOIN shaped ON shaped.fid = f.fid""")
+cast(CASE WHEN nc IS NULL THEN 0 ELSE {stats.DIMENSION} END as integer) AS dim, {r6(f"degrees({M.slope('a')})")} AS slo FROM f LEFT JOIN shaped ON shaped.fid = f.fid""")
 def cluster_stats(spark, sf_dir):
     return rounded(stats.cluster_stats(*_assigned(spark, sf_dir), **PARAMS), "rad", "abn", "dfp", "asp", "slo")
 
