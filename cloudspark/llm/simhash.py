@@ -10,8 +10,10 @@ within the radius. ``e`` grows with the number of fingerprints, so shards stay s
 shard's tree is built in the task that searches it: to broadcast all trees would send every fingerprint to the driver.
 A shard returns a spanning forest of its links, not all pairs.
 
-Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in some 10 bits; such a radius is searched with
-``keys``: shards of texts that share a least shingle hash.
+``similar_groups`` links texts by the Jaccard similarity of their five-word shingles. Texts of similarity 0.8 differ in
+some 10 bits, so it searches a wide radius in shards of texts that share a least shingle hash, and then holds each link
+against the similarity itself, taken from the texts' least SKETCH shingle hashes: exact for texts of up to so many
+shingles together, with a standard error below 0.026 beyond. Only texts that share a shard have their sketches moved.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts share a
 fingerprint; a null id is never the smallest id of a component unless all are null; other columns are not read.
@@ -34,8 +36,10 @@ from cloudspark.llm.components import components
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: For texts of which 0.8 of the five-word shingles agree.
-WIDE = {"shingle": 5, "radius": 12, "keys": 6}
+#: Similarity of near copies by five-word shingles; bits that such texts may differ in; least hashes that make shards.
+SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, KEYS = 0.8, 5, 18, 6
+#: Shingle hashes of a text that its similarity is taken from.
+SKETCH = 256
 #: Number of equal blocks asked for, by the number of distinct fingerprints up to which it serves.
 EQUAL_BLOCKS = ((1, 1 << 24), (2, 1 << 33), (3, 1 << 62))
 
@@ -74,17 +78,45 @@ def least_hashes(hashes: np.ndarray, keys: int) -> list[int]:
     return [int((hashes * m).min().view(np.int64)) for m in odd] if len(hashes) else [0] * keys
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keys: int = 0) -> DataFrame:
-    """doc_id, its fingerprint as a signed long (``fp``) and ``keys`` least hashes (``least``)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and its fingerprint as a signed long (``fp``)."""
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
-            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            least = pa.array([least_hashes(h, keys) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), least], names=["doc_id", "fp", "least"])
+            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long, least array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, keys: int = KEYS) -> DataFrame:
+    """doc_id, ``key`` (hash of the set of shingles), ``fp``, ``keys`` least hashes (``least``) and ``sketch``: the
+    upper halves of the SKETCH least hashes, in order."""
+
+    def run(batches):
+        for batch in batches:
+            each = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
+            sets = [np.unique(h) for h in each]
+            key = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            fps = np.array([majority(h) for h in each], np.uint64).view(np.int64)
+            least = pa.array([least_hashes(h, keys) for h in sets], pa.list_(pa.int64()))
+            sketch = pa.array([(h[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(fps), least, sketch], names=["doc_id", "key", "fp", "least", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, key long, fp long, least array<long>, sketch binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sketches show a Jaccard similarity of ``similarity`` or more."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if len(a) == SKETCH or len(b) == SKETCH:  # hashes above the end of a full sketch are not known of its text
+        end = min(x[-1] for x in (a, b) if len(x) == SKETCH)
+        a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared)
 
 
 class BKTree:
@@ -156,6 +188,37 @@ def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(low[r], v) for i, v in enumerate(tree.values) if low[r := root(i)] != v]
 
 
+def similar_forest(keys: list[int], values: list[int], own: list[np.ndarray], radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links among texts (key, fingerprint, sketch) within the radius and alike that join all that such links join."""
+    tree, held = BKTree(), []
+    parent = list(range(len(keys)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out, trees = [], 0
+    for i, value in enumerate(values):
+        met: set[int] = set()
+        for node in sorted(tree.near(value, radius), key=lambda n: (tree.values[n] ^ value).bit_count()):
+            for j in held[node]:
+                r = root(j)
+                if r not in met and alike(own[i], own[j], similarity):
+                    met.add(r)
+                    out.append((keys[j], keys[i]))
+            if len(met) == trees:  # a link to every tree of the forest: more would join nothing
+                break
+        at = tree.add(value)
+        if at == len(held):
+            held.append([])
+        held[at].append(i)
+        for r in met:
+            parent[r] = i
+        trees += 1 - len(met)
+    return out
+
+
 def shard_keys(equal: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
     """For each shard family its blocks (shift, mask)."""
     n = radius + equal
@@ -175,70 +238,71 @@ def shards(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*families)).alias("shard")).select("fp", "shard.*")
 
 
-def links(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) of fingerprints within ``radius`` of one shard: enough to connect all that are connected."""
-
-    def run(batches):
-        """A partition is sorted by shard: one shard after the other."""
-        last, values = None, []
+def _by_shard(spread: DataFrame, columns: list[str], search) -> DataFrame:
+    """(a, b) from ``search``, which takes the columns of one shard after the other, as lists."""
 
-        def out(pairs):
-            a, b = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def out(pairs):
+        a, b = np.array([x % (1 << 64) for pair in pairs for x in pair], np.uint64).reshape(-1, 2).view(np.int64).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def run(batches):
+        """A partition is sorted by shard."""
+        last, shard = None, []
         done: list[tuple[int, int]] = []
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64).tolist()
-            for fp, *key in zip(fps, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            cols = [c.to_pylist() for c in batch.columns]
+            for *key, row in zip(*cols[:2], zip(*cols[2:], strict=True), strict=True):
                 if key != last:
-                    if len(values) > 1:
-                        done += forest(values, radius)
-                    last, values = key, []
-                values.append(fp)
+                    if len(shard) > 1:
+                        done += search(*map(list, zip(*shard, strict=True)))
+                    last, shard = key, []
+                shard.append(row)
             if len(done) > 10_000:
                 yield out(done)
                 done = []
-        if len(values) > 1:
-            done += forest(values, radius)
+        if len(shard) > 1:
+            done += search(*map(list, zip(*shard, strict=True)))
         yield out(done)
 
     return (
         spread.repartition("family", "block")
-        .sortWithinPartitions("family", "block", "fp")
-        .select("fp", "family", "block")
+        .sortWithinPartitions("family", "block", columns[0])
+        .select("family", "block", *columns)
         .mapInArrow(run, "a long, b long")
         .distinct()
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, keys: int = 0) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the component) and component_size for each row of ``docs``.
+def links(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of fingerprints within ``radius`` of one shard: enough to connect all that are connected."""
+    return _by_shard(spread, ["fp"], lambda fps: forest([x % (1 << 64) for x in fps], radius))
 
-    Without ``keys`` all links within a small ``radius`` are found. With ``keys``, shards are made of texts that share
-    one of so many least shingle hashes, which texts of similarity s do with probability 1 - (1 - s)**keys; so a wide
-    radius can be searched.
-    """
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle, keys), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-    if keys:
-        spread = rows.select("fp", F.posexplode("least").alias("family", "block")).distinct()
-    else:
-        spread = shards(distinct.select("fp"), radius)
-    found = materialize(links(spread, radius), "near")
-    roots = components(found).withColumnRenamed("node", "fp")
-    linked = distinct.join(roots, "fp")
+
+def similar_links(spread: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of keys of one shard that are within ``radius`` and alike: enough to connect all that are connected."""
+
+    def search(keys, fps, own):
+        return similar_forest(keys, [x % (1 << 64) for x in fps], [np.frombuffer(x, "<u4") for x in own], radius, similarity)
+
+    return _by_shard(spread, ["key", "fp", "sketch"], search)
+
+
+def _grouped(rows: DataFrame, distinct: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """doc_id, fp, component_id and component_size. distinct: (node, low, n), one for each node. found: links of nodes."""
+    roots = components(found).withColumnRenamed("node", node)
+    linked = distinct.join(roots, node)
     whole = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
     several = (
-        linked.select("fp", "root", "n")
+        linked.select(node, "root", "n")
         .join(whole, "root")
-        .select("fp", "component_id", "component_size", "n")
+        .select(node, "component_id", "component_size", "n")
         .unionByName(
             distinct.filter("n > 1")
-            .join(roots, "fp", "left_anti")
-            .select("fp", F.col("low").alias("component_id"), F.col("n").alias("component_size"), "n")
+            .join(roots, node, "left_anti")
+            .select(node, F.col("low").alias("component_id"), F.col("n").alias("component_size"), "n")
         )
     )
-    return lookup(rows, materialize(several, "several"), "fp", "n").select(
+    return lookup(rows, materialize(several, "several"), node, "n").select(
         "doc_id",
         "fp",
         F.when(F.col("component_size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -246,17 +310,42 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     )
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id of the component) and component_size for each row of ``docs``.
+
+    All links within a small ``radius`` are found.
+    """
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    found = materialize(links(shards(distinct.select("fp"), radius), radius), "near")
+    return _grouped(rows, distinct, found, "fp")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, keys: int = KEYS
+) -> DataFrame:
+    """As ``groups``, by the similarity of shingles: texts share a shard with probability 1 - (1 - s)**keys."""
+    rows = materialize(sketches(docs, id_col, text_col, shingle, keys), "sketches")
+    distinct = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    spread = materialize(rows.select("key", F.posexplode("least").alias("family", "block")).distinct(), "shards")
+    several = spread.groupBy("family", "block").count().filter("count > 1").select("family", "block")
+    placed = materialize(spread.join(several, ["family", "block"], "left_semi"), "placed")
+    own = rows.select("key", "fp", "sketch").dropDuplicates(["key"]).join(placed.select("key").distinct(), "key", "left_semi")
+    found = materialize(similar_links(placed.join(materialize(own, "own"), "key"), radius, similarity), "near")
+    return _grouped(rows.select("doc_id", "key", "fp"), distinct, found, "key")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, keys: int = 0) -> DataFrame:
-    """One row of ``docs``, all columns, for each component: that with the smallest id.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs``, all columns, for each component of ``similar_groups``: that with the smallest id.
 
     A row without an id can't be named as a copy and stays. Rows with the same id share their fate.
     """
-    dropped = groups(docs, id_col, text_col, shingle, radius, keys).filter("doc_id <> component_id").select("doc_id").distinct()
+    dropped = similar_groups(docs, id_col, text_col, shingle, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
     dropped = materialize(dropped.toDF("__copy"), "copies")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
     return docs.join(dropped, docs[id_col] == F.col("__copy"), "left_anti")

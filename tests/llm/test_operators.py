@@ -238,3 +238,42 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {r.doc_id for r in rows} <= ids and all(r.n_tokens == len(r.token_ids) for r in rows)
+
+
+def test_near_copies(spark, docs):
+    """Against all pairs of small texts, whose similarity is exact."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(12):
+        one = rng.choices(words, k=rng.choice([8, 60, 200]))
+        texts.append(one)
+        for changes in (1, 1, 2, 5, 12):
+            other = list(one)
+            for _ in range(changes):
+                other[rng.randrange(len(other))] = rng.choice(words)
+            texts.append(other)
+    texts += [[], [], ["one"], ["one"]]
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = list(range(len(texts)))
+    for _ in range(8):
+        want = [min(want[j] for j in range(len(texts)) if near(sets[i], sets[j])) for i in range(len(texts))]
+    table = spark.createDataFrame([(i, " ".join(t).upper(), "kept") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
+    assert got == dict(enumerate(want))
+    kept = simhash.deduplicate(table)
+    assert kept.columns == table.columns
+    assert {r.doc_id for r in kept.collect()} == set(want)
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+    assert simhash.deduplicate(docs).filter("doc_id IS NULL").count() == 1
+
+
+def test_sketches_of_long_texts_estimate_their_similarity():
+    rng = np.random.default_rng(1)
+    for share, want in ((0.95, True), (0.5, False)):
+        pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 40_000, np.uint64)))
+        n = int(len(pool) * 2 * share / (1 + share) / 2)
+        a, b = pool[: len(pool) // 2], np.concatenate([pool[:n], pool[len(pool) - (len(pool) // 2 - n) :]])
+        cut = lambda h: (np.unique(h)[: simhash.SKETCH] >> np.uint64(32)).astype("<u4")
+        assert simhash.alike(cut(a), cut(b)) == want
