@@ -95,13 +95,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     def run(batches):
         for batch in batches:
-            each = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
-            sets = [np.unique(h) for h in each]
-            key = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            fps = np.array([majority(h) for h in each], np.uint64).view(np.int64)
-            least = pa.array([least_hashes(h, keys) for h in sets], pa.list_(pa.int64()))
-            sketch = pa.array([(h[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(fps), least, sketch], names=["doc_id", "key", "fp", "least", "sketch"])
+            key, fps, least, sketch = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), [], []
+            for i, text in enumerate(batch.column(1)):  # hashes of one text at a time
+                hashes = shingle_hashes(text.as_py(), shingle)
+                fps[i] = majority(hashes)
+                hashes = np.unique(hashes)
+                key[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                least.append(least_hashes(hashes, keys))
+                sketch.append((hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+            columns = [pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "key", "fp", "least", "sketch"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, key long, fp long, least array<long>, sketch binary")
 
