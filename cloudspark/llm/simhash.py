@@ -14,6 +14,8 @@ A shard returns a spanning forest of its links, not all pairs.
 some 10 bits, so it searches a wide radius in shards of texts that share a least shingle hash, and then holds each link
 against the similarity itself, taken from the texts' least SKETCH shingle hashes: exact for texts of up to so many
 shingles together, with a standard error below 0.026 beyond. Only texts that share a shard have their sketches moved.
+A shard of more than SPLIT_ROWS texts (they share a frequent passage) is split by size: sets of similarity s differ in
+size by a factor of 1/s at most, so each text goes to two neighbouring bands of that width and no link is lost.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts share a
 fingerprint; a null id is never the smallest id of a component unless all are null; other columns are not read.
@@ -21,6 +23,7 @@ fingerprint; a null id is never the smallest id of a component unless all are nu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,6 +43,8 @@ SEED = 42
 SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, KEYS = 0.8, 5, 18, 6
 #: Shingle hashes of a text that its similarity is taken from.
 SKETCH = 256
+#: Texts of a shard beyond which it is split by size.
+SPLIT_ROWS = 256
 #: Number of equal blocks asked for, by the number of distinct fingerprints up to which it serves.
 EQUAL_BLOCKS = ((1, 1 << 24), (2, 1 << 33), (3, 1 << 62))
 
@@ -90,23 +95,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, keys: int = KEYS) -> DataFrame:
-    """doc_id, ``key`` (hash of the set of shingles), ``fp``, ``keys`` least hashes (``least``) and ``sketch``: the
-    upper halves of the SKETCH least hashes, in order."""
+    """doc_id, ``key`` (hash of the set of shingles), ``fp``, ``keys`` least hashes (``least``), ``size`` (distinct
+    shingles) and ``sketch``: the upper halves of the SKETCH least hashes, in order."""
 
     def run(batches):
         for batch in batches:
             key, fps, least, sketch = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), [], []
+            size = np.empty(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column(1)):  # hashes of one text at a time
                 hashes = shingle_hashes(text.as_py(), shingle)
                 fps[i] = majority(hashes)
                 hashes = np.unique(hashes)
+                size[i] = len(hashes)
                 key[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
                 least.append(least_hashes(hashes, keys))
                 sketch.append((hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            columns = [pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "key", "fp", "least", "sketch"])
+            columns = [pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(size), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "key", "fp", "least", "size", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, key long, fp long, least array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, key long, fp long, least array<long>, size long, sketch binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -204,7 +211,7 @@ def similar_forest(keys: list[int], values: list[int], own: list[np.ndarray], ra
     out, trees = [], 0
     for i, value in enumerate(values):
         met: set[int] = set()
-        for node in sorted(tree.near(value, radius), key=lambda n: (tree.values[n] ^ value).bit_count()):
+        for node in tree.near(value, radius):
             for j in held[node]:
                 r = root(j)
                 if r not in met and alike(own[i], own[j], similarity):
@@ -241,8 +248,21 @@ def shards(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*families)).alias("shard")).select("fp", "shard.*")
 
 
-def _by_shard(spread: DataFrame, columns: list[str], search) -> DataFrame:
+def size_bands(placed: DataFrame, similarity: float = SIMILARITY, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``placed`` with ``band``: rows of shards of more than ``split_rows`` (column ``count``) go to two bands each.
+
+    A band is as wide as the factor that sizes of alike sets can differ by, so that such sets have equal or
+    neighbouring bands and meet in one of the two.
+    """
+    width = -math.log(similarity * (1 - 1e-9))
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(width)).cast("long")
+    bands = F.when(F.col("count") > split_rows, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    return placed.withColumn("band", F.explode(bands)).drop("count")
+
+
+def _by_shard(spread: DataFrame, shard: list[str], columns: list[str], search) -> DataFrame:
     """(a, b) from ``search``, which takes the columns of one shard after the other, as lists."""
+    width = len(shard)
 
     def out(pairs):
         a, b = np.array([x % (1 << 64) for pair in pairs for x in pair], np.uint64).reshape(-1, 2).view(np.int64).T
@@ -250,27 +270,27 @@ def _by_shard(spread: DataFrame, columns: list[str], search) -> DataFrame:
 
     def run(batches):
         """A partition is sorted by shard."""
-        last, shard = None, []
+        last, held = None, []
         done: list[tuple[int, int]] = []
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for *key, row in zip(*cols[:2], zip(*cols[2:], strict=True), strict=True):
+            for *key, row in zip(*cols[:width], zip(*cols[width:], strict=True), strict=True):
                 if key != last:
-                    if len(shard) > 1:
-                        done += search(*map(list, zip(*shard, strict=True)))
-                    last, shard = key, []
-                shard.append(row)
+                    if len(held) > 1:
+                        done += search(*map(list, zip(*held, strict=True)))
+                    last, held = key, []
+                held.append(row)
             if len(done) > 10_000:
                 yield out(done)
                 done = []
-        if len(shard) > 1:
-            done += search(*map(list, zip(*shard, strict=True)))
+        if len(held) > 1:
+            done += search(*map(list, zip(*held, strict=True)))
         yield out(done)
 
     return (
-        spread.repartition("family", "block")
-        .sortWithinPartitions("family", "block", columns[0])
-        .select("family", "block", *columns)
+        spread.repartition(*shard)
+        .sortWithinPartitions(*shard, columns[0])
+        .select(*shard, *columns)
         .mapInArrow(run, "a long, b long")
         .distinct()
     )
@@ -278,7 +298,7 @@ def _by_shard(spread: DataFrame, columns: list[str], search) -> DataFrame:
 
 def links(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) of fingerprints within ``radius`` of one shard: enough to connect all that are connected."""
-    return _by_shard(spread, ["fp"], lambda fps: forest([x % (1 << 64) for x in fps], radius))
+    return _by_shard(spread, ["family", "block"], ["fp"], lambda fps: forest([x % (1 << 64) for x in fps], radius))
 
 
 def similar_links(spread: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -287,7 +307,7 @@ def similar_links(spread: DataFrame, radius: int = WIDE_RADIUS, similarity: floa
     def search(keys, fps, own):
         return similar_forest(keys, [x % (1 << 64) for x in fps], [np.frombuffer(x, "<u4") for x in own], radius, similarity)
 
-    return _by_shard(spread, ["key", "fp", "sketch"], search)
+    return _by_shard(spread, ["family", "block", "band"], ["key", "fp", "sketch"], search)
 
 
 def _grouped(rows: DataFrame, distinct: DataFrame, found: DataFrame, node: str) -> DataFrame:
@@ -325,16 +345,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, keys: int = KEYS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, keys: int = KEYS, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """As ``groups``, by the similarity of shingles: texts share a shard with probability 1 - (1 - s)**keys."""
     rows = materialize(sketches(docs, id_col, text_col, shingle, keys), "sketches")
     distinct = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
     spread = materialize(rows.select("key", F.posexplode("least").alias("family", "block")).distinct(), "shards")
-    several = spread.groupBy("family", "block").count().filter("count > 1").select("family", "block")
-    placed = materialize(spread.join(several, ["family", "block"], "left_semi"), "placed")
-    own = rows.select("key", "fp", "sketch").dropDuplicates(["key"]).join(placed.select("key").distinct(), "key", "left_semi")
-    found = materialize(similar_links(placed.join(materialize(own, "own"), "key"), radius, similarity), "near")
+    several = spread.groupBy("family", "block").count().filter("count > 1")
+    placed = materialize(spread.join(several, ["family", "block"]), "placed")
+    own = rows.select("key", "fp", "size", "sketch").dropDuplicates(["key"]).join(placed.select("key").distinct(), "key", "left_semi")
+    sharded = size_bands(placed.join(materialize(own, "own"), "key"), similarity, split_rows)
+    found = materialize(similar_links(sharded, radius, similarity), "near")
     return _grouped(rows.select("doc_id", "key", "fp"), distinct, found, "key")
 
 

@@ -262,6 +262,8 @@ def test_near_copies(spark, docs):
     table = spark.createDataFrame([(i, " ".join(t).upper(), "kept") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
     assert got == dict(enumerate(want))
+    split = {r.doc_id: r.component_id for r in simhash.similar_groups(table, split_rows=1).collect()}
+    assert split == got
     kept = simhash.deduplicate(table)
     assert kept.columns == table.columns
     assert {r.doc_id for r in kept.collect()} == set(want)
@@ -269,6 +271,18 @@ def test_near_copies(spark, docs):
     assert simhash.deduplicate(docs).filter("doc_id IS NULL").count() == 1
 
 
+def test_sizes_of_alike_sets_share_a_band(spark):
+    """Size bands may only separate sets whose similarity is below 0.8: a size and the largest one it can be alike with."""
+    rows = [(2 * i + side, i, n if side == 0 else n * 5 // 4, 1_000) for i, n in enumerate([1, 2, 4, 5, 16, 40, 99, 1_000, 12_345]) for side in (0, 1)]
+    placed = spark.createDataFrame(rows, "key long, pair long, size long, count long")
+    bands: dict[int, set] = {}
+    for r in simhash.size_bands(placed).collect():
+        bands.setdefault(r.key, set()).add(r.band)
+    assert all(len(b) == 2 for b in bands.values())
+    assert all(bands[2 * i] & bands[2 * i + 1] for i in range(len(rows) // 2))
+    assert {r.band for r in simhash.size_bands(placed, split_rows=5_000).collect()} == {-1}
+
+
 def test_sketches_of_long_texts_estimate_their_similarity():
     rng = np.random.default_rng(1)
     for share, want in ((0.95, True), (0.5, False)):
