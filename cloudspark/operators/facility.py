@@ -24,8 +24,14 @@ class Params:
     mju: float = 0.95
     power: float = 1.0
     scales: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    #: Facilities looked at: of 27 grid cells, of all cells within reach, or of the whole tile ("flat", as the first revision).
     candidate_mode: str = "grid"
     compat: bool = True
+    #: Reach in multiples of lam, and whether its end is left out; older revisions have 3 and True.
+    reach: float = 1.0
+    open_end: bool = False
+    #: What is added beyond lam: a power of the excess, or (older revisions, for abn) the exponent itself.
+    constant_penalty: bool = False
 
 
 def distances(p: Params, a: dict, b: dict) -> np.ndarray:
@@ -46,7 +52,8 @@ def distances(p: Params, a: dict, b: dict) -> np.ndarray:
     with np.errstate(all="ignore"):
         h = _kernel(p.norm, a, b, d, dx, dy, dz)
     base = p.mju * h + (1 - p.mju) * d
-    return np.where(d < TINY, 0.0, np.where(d < p.lam, base, base + p.mju * np.maximum(d - p.lam, 0) ** p.power))
+    beyond = p.power if p.constant_penalty and p.norm == "abn" else np.maximum(d - p.lam, 0) ** p.power
+    return np.where(d < TINY, 0.0, np.where(d < p.lam, base, base + p.mju * beyond))
 
 
 def _kernel(name: str, a: dict, b: dict, d, dx, dy, dz):
@@ -95,8 +102,10 @@ class Fold:
 
     def cell(self, i: int) -> tuple[int, int, int]:
         at = [float(self.points[c][i]) - low for c, low in zip("xyz", self.low, strict=True)]
+        if self.p.candidate_mode == "flat":
+            return 0, 0, 0
         if self.p.candidate_mode == "radius":  # cells at least as wide as the ball
-            return tuple(int(a // self.p.lam) for a in at)
+            return tuple(int(a // (self.p.lam * self.p.reach)) for a in at)
         return tuple(int(0.99 * n * a / s) if s else 0 for a, s, n in zip(at, self.span, self.n, strict=True))
 
     def _row(self, i) -> dict:
@@ -117,7 +126,8 @@ class Fold:
             return []
         at = np.array([f.at for f in found])
         d = np.sqrt(sum((self.points[c][at] - self.points[c][i]) ** 2 for c in "xyz"))
-        return [f for f, x in zip(found, d, strict=True) if x <= self.p.lam]
+        end = self.p.lam * self.p.reach
+        return [f for f, x in zip(found, d, strict=True) if x < end or (x == end and not self.p.open_end)]
 
     def add(self, i: int) -> None:
         """Open a facility, join the nearest one, or open one that takes clients over; whichever costs least."""

@@ -63,3 +63,8 @@ def planes(points: DataFrame, neighbours: DataFrame) -> DataFrame:
 def recomputed_cost(fc: str = "fc", height: str = "height") -> str:
     """Facility cost by local roughness, as SQL."""
     return f"least(power({fc}/({height}+0.0001), 2.0), 10000.0)"
+
+
+def bounded_cost(fc: str = "fc", spread: str = "height") -> str:
+    """The cost rule of older revisions: within a factor of 10 of the given cost."""
+    return f"least(greatest({fc}*{fc}/({spread}+0.0001), {fc}/10), 10*{fc})"
