@@ -3,9 +3,10 @@
 A page is a stream of tags and texts. Repeated groups of tokens are folded into one plus-group, again and again until
 none is left. Streams of one host are aligned one after the other: equal tags stay, differing texts become slots, what
 only some pages have becomes optional. The wrapper so inferred tells template text (the same on all its pages) from
-content. It is inferred from PAGES pages of a host, chosen by hash, and applied to every page.
+content. It is inferred from all distinct pages of a host: in blocks of some BLOCK_PAGES, whose wrappers are merged.
 
-Text is read from the article or main element if there is one, else from the body without the host's template text.
+Text is read from the article or main element if there is one: there the element and class rules alone decide. Any other
+page is matched against its host's wrapper, and text in a place of template text is left out.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element and by
 the words of class, id and role. White space in a block becomes one space; blocks are joined by an empty line.
 
@@ -16,6 +17,7 @@ element that is never closed ends with the page, a left-out one at the next arti
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 from html import unescape
 
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 
 from cloudspark.llm.common import lookup, materialize
 
-#: Pages of a host that its wrapper is inferred from, and the least that make a text a template's.
-PAGES, LEAST_PAGES = 4, 3
+#: Distinct pages of a host that are aligned in one task, and the least that make a text a template's.
+BLOCK_PAGES, LEAST_PAGES = 1_000, 3
 #: Longest group of tokens that folding looks for.
 GROUP = 12
 #: Wrappers up to which all are broadcast.
@@ -79,17 +81,25 @@ def parts(html: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def stream(tokens: list[tuple[str, str, str]]) -> list[str]:
-    """One string for each token; a text is ``#`` and its hash."""
-    out = []
-    for kind, value, marks in tokens:
+def _placed(tokens: list[tuple[str, str, str]]) -> tuple[list[str], list[int]]:
+    """The stream, and for each of its items the number of its token."""
+    out, at = [], []
+    for i, (kind, value, marks) in enumerate(tokens):
         if kind == "open":
             out.append(f"{value}.{marks}" if marks else value)
         elif kind == "close":
             out.append("/" + value)
         elif text := " ".join(unescape(value).split()):
             out.append("#" + xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass")))
-    return out
+        else:
+            continue
+        at.append(i)
+    return out, at
+
+
+def stream(tokens: list[tuple[str, str, str]]) -> list[str]:
+    """One string for each token; a text is ``#`` and its hash."""
+    return _placed(tokens)[0]
 
 
 def _key(item: str) -> str:
@@ -98,9 +108,15 @@ def _key(item: str) -> str:
 
 def fold(items: list[str]) -> list[str]:
     """Groups that repeat side by side become ``+(...)``, from the inside out."""
+    return _folded(items, [0] * len(items))[0]
+
+
+def _folded(items: list[str], at: list[int]) -> tuple[list[str], list[int]]:
+    """The folded items, and of each the place (``at``) of its first one."""
     for _ in range(4):
         keys = [_key(x) for x in items]
         out: list[str] = []
+        places: list[int] = []
         i = 0
         while i < len(items):
             for size in range(1, min(GROUP, (len(items) - i) // 2) + 1):
@@ -109,43 +125,59 @@ def fold(items: list[str]) -> list[str]:
                     while keys[end : end + size] == keys[i : i + size]:
                         end += size
                     out.append(keys[i] if size == 1 else f"+({' '.join(keys[i : i + size])})")
+                    places.append(at[i])
                     i = end
                     break
             else:
                 out.append(items[i])
+                places.append(at[i])
                 i += 1
         if len(out) == len(items):
-            return out
-        items = out
-    return items
+            return out, places
+        items, at = out, places
+    return items, at
+
+
+def _opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    return [("equal", 0, len(a), 0, len(b))] if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
-def align(wrapper: list[tuple[str, bool]], page: list[str]) -> list[tuple[str, bool]]:
-    """The wrapper (item, optional) that also fits ``page``. A slot is ``#`` alone."""
-    a, b = [_key(x) for x, _ in wrapper], [_key(x) for x in page]
+def merge(one: list[tuple[str, bool]], other: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """The wrapper (item, optional) that fits what either of two fits. A slot is ``#`` alone."""
+    a, b = [_key(x) for x, _ in one], [_key(x) for x, _ in other]
     out: list[tuple[str, bool]] = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for op, i, j, k, m in _opcodes(a, b):
         if op == "equal":
-            out += [(x if x == y else _key(x), optional) for (x, optional), y in zip(wrapper[i:j], page[k:m], strict=True)]
+            out += [(x if x == y else _key(x), p or q) for (x, p), (y, q) in zip(one[i:j], other[k:m], strict=True)]
         else:
-            out += [(x, True) for x, _ in wrapper[i:j]]
-            # what the page repeats of what stands before it is one more turn of a group, not a part of its own
+            out += [(x, True) for x, _ in one[i:j]]
+            # what the other repeats of what stands before it is one more turn of a group, not a part of its own
             if not (m - k <= len(out) and [_key(x) for x, _ in out[len(out) - (m - k) :]] == b[k:m]):
-                out += [(x, True) for x in page[k:m]]
+                out += [(x, True) for x, _ in other[k:m]]
     return out
 
 
-def infer(pages: list[list[str]]) -> list[tuple[str, bool]]:
-    """The wrapper of some folded streams."""
-    wrapper = [(x, False) for x in pages[0]]
-    for page in pages[1:]:
-        wrapper = align(wrapper, page)
-    return wrapper
+def infer(found: list[list[tuple[str, bool]]]) -> list[tuple[str, bool]]:
+    """The wrapper of some wrappers; a folded stream is one without optional items."""
+    return functools.reduce(merge, found)
 
 
-def template(wrapper: list[tuple[str, bool]], pages: int) -> set[str]:
-    """Hashes of texts that stand in the same place on all of at least LEAST_PAGES pages."""
-    return {x[1:] for x, optional in wrapper if len(x) > 1 and x[0] == "#" and not optional} if pages >= LEAST_PAGES else set()
+def template(wrapper: list[tuple[str, bool]], tokens: list[tuple[str, str, str]]) -> set[int]:
+    """Numbers of the page's tokens that are texts in the place of the same, not optional text of the wrapper."""
+    items, at = _folded(*_placed(tokens))
+    found = set()
+    for op, i, j, k, m in _opcodes([_key(x) for x, _ in wrapper], [_key(x) for x in items]):
+        if op == "equal":
+            found.update(at[k + n] for n in range(m - k) if not wrapper[i + n][1] and len(items[k + n]) > 1 and items[k + n][0] == "#" and wrapper[i + n][0] == items[k + n])
+    return found
+
+
+def _shown(wrapper: list[tuple[str, bool]]) -> list[str]:
+    return [x + "?" if optional else x for x, optional in wrapper]
+
+
+def _read(shown: list[str]) -> list[tuple[str, bool]]:
+    return [(x[:-1], True) if x[-1:] == "?" else (x, False) for x in shown]
 
 
 def _is_left_out(name: str, marks: str, in_main: bool) -> bool:
@@ -158,10 +190,11 @@ def _is_main(name: str, marks: str) -> bool:
     return (name in ("article", "main") or name not in ("html", "body") and "articlebody" in marks.replace(" ", "")) and MARKS.isdisjoint(marks.split())
 
 
-def extract(html: str | None, fixed: set[str] = frozenset()) -> str:
-    """Main text; fixed: hashes of the host's template texts, which count outside an article or main element."""
+def extract(html: str | None, wrapper: list[tuple[str, bool]] = ()) -> str:
+    """Main text; wrapper: the host's, for pages without an article or main element."""
     tokens = parts(html)
     has_main = any(kind == "open" and _is_main(name, marks) for kind, name, marks in tokens)
+    fixed = template(wrapper, tokens) if wrapper and not has_main else ()
     blocks: list[str] = []
     line: list[str] = []
     main: list[str] = []  # open elements from the main one on
@@ -172,11 +205,10 @@ def extract(html: str | None, fixed: set[str] = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    for kind, name, marks in tokens:
+    for i, (kind, name, marks) in enumerate(tokens):
         if kind == "text":
-            if not out_of and (main or not has_main):
-                if main or not fixed or xxhash.xxh64_hexdigest(" ".join(unescape(name).split()).encode("utf-8", "surrogatepass")) not in fixed:
-                    line.append(name)
+            if not out_of and (main or not has_main) and i not in fixed:
+                line.append(name)
             continue
         if name == "br":
             line.append(" ")
@@ -209,50 +241,46 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, template (hashes), weight (pages of the host), wrapper (items; optional ones end in ``?``)."""
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """host, weight (rows of the host), pages (distinct ones with tokens), wrapper (items; optional ones end in ``?``)."""
 
     def streams(batches):
         for batch in batches:
             rows = [fold(stream(parts(x.as_py()))) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.string()))], names=["host", "h", "stream"])
-
-    hosts = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("h"))
-    chosen = hosts.select("host", "h").withColumn("rank", F.expr("row_number() OVER (PARTITION BY host ORDER BY h)")).filter(f"rank <= {PAGES}").groupBy("host").agg(F.max("h").alias("most"))
-    chosen = materialize(chosen.join(hosts.groupBy("host").agg(F.count(F.lit(1)).alias("weight")), "host"), "hosts")
-    sample = lookup(hosts, chosen, "host", "weight").filter("h <= most").dropDuplicates(["host", "h"]).select("host", "html", "h")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.string()))], names=["host", "h", "shown"])
 
-    def group(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("h").to_pylist(), table.column("stream").to_pylist(), strict=True))
-        inferred = infer([x for _, x in rows])
-        texts = [sorted(template(inferred, len(rows)))]
-        shown = [[x + "?" if optional else x for x, optional in inferred]]
-        kinds = pa.list_(pa.string())
-        return pa.table({"host": table.column("host").slice(0, 1), "template": pa.array(texts, kinds), "wrapper": pa.array(shown, kinds)})
+    def merged(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("h").to_pylist(), table.column("shown").to_pylist(), strict=True))
+        shown = pa.array([_shown(infer([_read(x) for _, x in rows]))], pa.list_(pa.string()))
+        first = table.select(["host", "block"]).slice(0, 1).columns
+        return pa.table([*first, pa.array([sum(table.column("pages").to_pylist())]), shown], ["host", "h", "pages", "shown"])
 
-    found = (
-        sample.mapInArrow(streams, "host string, h long, stream array<string>")
-        .groupBy("host")
-        .applyInArrow(group, "host string, template array<string>, wrapper array<string>")
-    )
-    return materialize(found.join(chosen.select("host", "weight"), "host"), "wrappers")
+    hosts = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"))
+    weights = materialize(hosts.groupBy("host").agg(F.count(F.lit(1)).alias("weight")), "hosts")
+    distinct = hosts.mapInArrow(streams, "host string, h long, shown array<string>").filter("size(shown) > 0").dropDuplicates(["host", "h"])
+    block = F.expr(f"pmod(h, CAST(ceil(weight / {block_pages}) AS BIGINT))").alias("block")
+    kind = "host string, h long, pages long, shown array<string>"
+    parted = lookup(materialize(distinct, "streams"), weights, "host", "weight").select("host", "h", block, F.lit(1).cast("long").alias("pages"), "shown")
+    blocks = parted.groupBy("host", "block").applyInArrow(merged, kind)
+    found = blocks.withColumn("block", F.lit(0).cast("long")).groupBy("host").applyInArrow(merged, kind)
+    return materialize(found.select("host", "pages", F.col("shown").alias("wrapper")).join(weights, "host"), "wrappers")
 
 
 def extract_all(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep_html: bool = True) -> DataFrame:
     """``pages`` with ``__text`` and ``__chars``."""
     found = wrappers(pages, url_col, html_col)
     columns = [x for x in pages.columns if keep_html or x != html_col]
-    found = found.select(F.col("host").alias("__host"), F.col("template").alias("__template"), F.col("weight").alias("__weight"))
+    found = found.filter(f"pages >= {LEAST_PAGES}").select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.col("weight").alias("__weight"))
     rows = lookup(pages.withColumn("__host", host_of(url_col)), found, "__host", "__weight", MAX_BROADCAST)
     schema = T.StructType([*(pages.schema[c] for c in columns), T.StructField("__text", T.StringType()), T.StructField("__chars", T.LongType())])
     n = len(columns)
 
     def run(batches):
         for batch in batches:
-            texts = [extract(x.as_py(), set(y.as_py() or ())) for x, y in zip(batch.column(n), batch.column(n + 1), strict=True)]
+            texts = [extract(x.as_py(), _read(y.as_py() or ())) for x, y in zip(batch.column(n), batch.column(n + 1), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*columns, "__text", "__chars"])
 
-    return rows.select(*columns, F.col(html_col).alias("__html"), "__template").mapInArrow(run, schema)
+    return rows.select(*columns, F.col(html_col).alias("__html"), "__wrapper").mapInArrow(run, schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:
