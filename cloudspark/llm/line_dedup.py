@@ -6,7 +6,8 @@ lines with ``min_sites`` occurrences at least can reach the threshold, so no oth
 
 All copies of a boilerplate line are removed, with two exceptions: lines of fewer than ``min_words`` words say
 too little to be told from chance, and a document of which more than ``max_share`` of the characters would go is
-itself a copy of other documents: it is left as it is for document deduplication.
+itself a copy of other documents: it is left as it is for document deduplication. The SQL fixes both exceptions for the
+query; the pipeline asks for lines of any number of words (``min_words`` of 1), of which those of white space alone do not count.
 
 Defined results: a null text stays null and has no lines; a null site counts as no site; lines are compared without
 leading and trailing blanks; rows with equal texts get equal results; other columns pass through.
@@ -35,6 +36,11 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _counts(min_words: int) -> Column:
+    """Whether the line ``raw`` has ``min_words`` words, divided by blanks; for 1, more than white space."""
+    return F.expr(f"size(split(trim(raw), ' +')) >= {min_words}") & (F.lit(min_words > 1) | F.col("raw").rlike(r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]"))
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -42,7 +48,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (line): hashes of the lines on at least ``min_sites`` distinct sites."""
     lines = docs.select(F.explode(_lines(F.col(text_col))).alias("raw"), F.col(site_col).alias("site")).filter(
-        f"size(split(trim(raw), ' +')) >= {min_words}"
+        _counts(min_words)
     )
     lines = lines.filter("site IS NOT NULL").select(_key(F.col("raw")).alias("line"), F.xxhash64("site").alias("site"))
     often = materialize(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("b")).filter(f"n >= {min_sites} AND (a <> b OR {min_sites} <= 1)").select("line"), "often")
@@ -58,7 +64,7 @@ def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", mi
     bad = boilerplate(docs, text_col, site_col, min_sites, min_words)
     text_key = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b"), F.length(text_col).alias("n"))
     lines = docs.select(text_key.alias("__text"), F.posexplode(_lines(F.col(text_col))).alias("pos", "raw")).filter(
-        f"size(split(trim(raw), ' +')) >= {min_words}"
+        _counts(min_words)
     )
     hits = lines.withColumn("line", _key(F.col("raw"))).join(_bounded(bad), "line", "left_semi")
     marked = (

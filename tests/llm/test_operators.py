@@ -133,6 +133,18 @@ def test_lines(spark):
     assert got[20].text == line and got[21].text is None and got[22].text == ""  # a text that would go whole is left
 
 
+def test_pipeline_removes_short_lines(spark):
+    """Lines of few words, without blanks or divided by tabs stand on many sites like any other; white space does not count."""
+    import corpus_pipeline
+
+    often = ["All rights reserved.", "版権所有無断転載を禁じます", "one\ttwo\tthree", "Les."]
+    body = "{0} a long body of its own {0} with a number {0} and what else a document of some length says {0} to its readers {0}"
+    own = [body.format(i * 7919) for i in range(9)]
+    rows = [(i, "\n".join([often[0], t, " ", "\r", *often[1:]]), f"s{i}", 0) for i, t in enumerate(own)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {i: f"{t}\n \n\r" for i, t in enumerate(own)}
+
+
 def test_hmm(docs):
     import zlib
 
