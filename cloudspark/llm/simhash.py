@@ -11,8 +11,8 @@ shard's tree is built in the task that searches it: to broadcast all trees would
 A shard returns a spanning forest of its links, not all pairs.
 
 ``similar_groups`` links texts by the Jaccard similarity of their five-word shingles. Texts of similarity 0.8 differ in
-some 10 bits, so it searches a wide radius in shards of texts that share a least shingle hash, and then holds each link
-against the similarity itself, taken from the texts' least SKETCH shingle hashes: exact for texts of up to so many
+some 10 bits of a fingerprint of their distinct shingles, so in shards of texts that share a least shingle hash it first
+searches a wide radius, then holds what that has not joined against each other at any distance. A link depends on the similarity itself, taken from the texts' least SKETCH shingle hashes: exact for texts of up to so many
 shingles together, with a standard error below 0.026 beyond. Only texts that share a shard have their sketches moved.
 A shard of more than SPLIT_ROWS texts (they share a frequent passage) is split by size: sets of similarity s differ in
 size by a factor of 1/s at most, so each text goes to two neighbouring bands of that width and no link is lost.
@@ -103,9 +103,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             key, fps, least, sketch = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), [], []
             size = np.empty(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column(1)):  # hashes of one text at a time
-                hashes = shingle_hashes(text.as_py(), shingle)
+                hashes = np.unique(shingle_hashes(text.as_py(), shingle))
                 fps[i] = majority(hashes)
-                hashes = np.unique(hashes)
                 size[i] = len(hashes)
                 key[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
                 least.append(least_hashes(hashes, keys))
@@ -199,7 +198,8 @@ def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def similar_forest(keys: list[int], values: list[int], own: list[np.ndarray], radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links among texts (key, fingerprint, sketch) within the radius and alike that join all that such links join."""
+    """Links among alike texts (key, fingerprint, sketch) that join all that such links join. What is within the radius
+    is tried first, all else after it."""
     tree, held = BKTree(), []
     parent = list(range(len(keys)))
 
@@ -219,6 +219,11 @@ def similar_forest(keys: list[int], values: list[int], own: list[np.ndarray], ra
                     out.append((keys[j], keys[i]))
             if len(met) == trees:  # a link to every tree of the forest: more would join nothing
                 break
+        for j in range(i if len(met) < trees else 0):
+            r = root(j)
+            if r not in met and alike(own[i], own[j], similarity):
+                met.add(r)
+                out.append((keys[j], keys[i]))
         at = tree.add(value)
         if at == len(held):
             held.append([])
@@ -302,7 +307,7 @@ def links(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def similar_links(spread: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of keys of one shard that are within ``radius`` and alike: enough to connect all that are connected."""
+    """(a, b) of alike keys of one shard, tried within ``radius`` first: enough to connect all that are connected."""
 
     def search(keys, fps, own):
         return similar_forest(keys, [x % (1 << 64) for x in fps], [np.frombuffer(x, "<u4") for x in own], radius, similarity)

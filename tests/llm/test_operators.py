@@ -295,6 +295,18 @@ def test_near_copies(spark, docs):
     assert simhash.deduplicate(docs).filter("doc_id IS NULL").count() == 1
 
 
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    """A text and its copy with a line many times over have nearly the same set of shingles."""
+    rng = random.Random(11)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(240)) for _ in range(12)]
+    texts += [t + " now one line that comes often" * 50 for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.similar_groups(table).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 12 for i in range(24)}
+    own = [np.arange(10, dtype="<u4"), np.arange(9, dtype="<u4"), np.arange(50, 60, dtype="<u4")]
+    assert simhash.similar_forest([1, 2, 3], [0, (1 << 64) - 1, 0], own) == [(1, 2)]
+
+
 def test_sizes_of_alike_sets_share_a_band(spark):
     """Size bands may only separate sets whose similarity is below 0.8: a size and the largest one it can be alike with."""
     rows = [(2 * i + side, i, n if side == 0 else n * 5 // 4, 1_000) for i, n in enumerate([1, 2, 4, 5, 16, 40, 99, 1_000, 12_345]) for side in (0, 1)]
