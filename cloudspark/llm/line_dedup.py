@@ -7,7 +7,9 @@ lines with ``min_sites`` occurrences at least can reach the threshold, so no oth
 All copies of a boilerplate line are removed, with two exceptions: lines of fewer than ``min_words`` words say
 too little to be told from chance, and a document of which more than ``max_share`` of the characters would go is
 itself a copy of other documents: it is left as it is for document deduplication. The SQL fixes both exceptions for the
-query; the pipeline asks for lines of any number of words (``min_words`` of 1), of which those of white space alone do not count.
+query; the pipeline asks for lines of any number of words (``min_words`` of 1), of which those of white space alone do not count, and has no share of a document kept: there a line
+is boilerplate only if it also stands in as many groups of near copies (``independent``), so that what many sites have
+because they copied one text stays, and all other documents lose every boilerplate line.
 
 Defined results: a null text stays null and has no lines; a null site counts as no site; lines are compared without
 leading and trailing blanks; rows with equal texts get equal results; other columns pass through.
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudspark.llm import simhash
 from cloudspark.llm.common import BROADCAST_ROWS, lookup, materialize
 
 MIN_SITES = 8
@@ -59,9 +62,25 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return materialize(spread.filter(F.col("sites") > min_sites * (1 + NEAR)).select("line").unionByName(exact.select("line")), "boilerplate")
 
 
-def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with boilerplate lines removed from the text, and ``__removed``: how many lines went."""
+def independent(docs: DataFrame, bad: DataFrame, text_col: str = "text", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The lines of ``bad`` that stand in at least ``min_sites`` texts of which no two are near copies of each other."""
+    texts = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    lines = texts.select("doc_id", F.explode(_lines(F.col("text"))).alias("raw")).filter(_counts(min_words))
+    holders = materialize(lines.select("doc_id", _key(F.col("raw")).alias("line")).join(_bounded(bad), "line", "left_semi").distinct(), "holders")
+    own = materialize(texts.join(holders.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    groups = simhash.similar_groups(own).select("doc_id", "component_id")
+    found = holders.join(groups, "doc_id").groupBy("line").agg(F.count_distinct("component_id").alias("groups"))
+    return materialize(found.filter(f"groups >= {min_sites}").select("line"), "independent")
+
+
+def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
+    """``docs`` with boilerplate lines removed from the text, and ``__removed``: how many lines went.
+
+    max_share: None for boilerplate by groups of near copies and no document left as it is.
+    """
     bad = boilerplate(docs, text_col, site_col, min_sites, min_words)
+    if max_share is None:
+        bad, max_share = independent(docs, bad, text_col, min_sites, min_words), 1.0
     text_key = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b"), F.length(text_col).alias("n"))
     lines = docs.select(text_key.alias("__text"), F.posexplode(_lines(F.col(text_col))).alias("pos", "raw")).filter(
         _counts(min_words)

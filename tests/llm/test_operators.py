@@ -145,6 +145,20 @@ def test_pipeline_removes_short_lines(spark):
     assert {r.doc_id: r.text for r in got} == {i: f"{t}\n \n\r" for i, t in enumerate(own)}
 
 
+def test_pipeline_leaves_no_text_with_boilerplate(spark):
+    """A short text loses a long foot; copies and near copies of one text on many sites keep what they share."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    foot = "this foot is far longer than what stands above it and comes on every site there is"
+    own = [f"own line {i}" for i in range(12)]
+    whole = "\n".join(" ".join(f"v{rng.randrange(5000)}" for _ in range(30)) for _ in range(6))
+    texts = [f"{t}\n{' '.join(f'w{rng.randrange(5000)}' for _ in range(12))}\n{foot}" for t in own] + [whole] * 9 + [f"{whole}\nseen on {i}" for i in range(9)]
+    table = spark.createDataFrame([(i, t, f"s{i % 10}", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table, "").collect()}
+    assert got == {i: t.removesuffix("\n" + foot) for i, t in enumerate(texts)}
+
+
 def test_hmm(docs):
     import zlib
 
