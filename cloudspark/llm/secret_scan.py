@@ -28,12 +28,11 @@ SPAN = "array<struct<start:int,kind:string,end:int,found:string>>"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy in bits of a window of 20 characters, by class; strings of another class are not secrets.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
-#: Candidates that match are no secrets.
-ALLOW = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234567|abcdefg|qwerty"
-    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-"
-)
+THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7, "grouped": 3.6}
+#: Parts that match are no secrets.
+ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234567|abcdefg|qwerty"
+#: Candidates that match as a whole are none.
+WHOLE = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-"
 
 
 def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -79,22 +78,44 @@ def max_entropy(s: Column, window: int = WINDOW) -> Column:
 
 
 def char_class(s: Column) -> Column:
-    """hex, alnum or base64; null for strings without both a digit and a letter, which are words or numbers."""
+    """hex, alnum, base64 or grouped (one letter case, digits and separators); null for strings without both a digit and a letter, which are words or numbers."""
     mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     return (
         F.when(~mixed, F.lit(None).cast("string"))
         .when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(s.rlike("^[A-Za-z0-9]+$"), "alnum")
         .when(s.rlike("[a-z]") & s.rlike("[A-Z]"), "base64")
+        .otherwise("grouped")
     )
 
 
+def _parts(s: Column) -> Column:
+    return F.filter(F.split(s, "[/=_-]+"), lambda x: x != "")
+
+
 def is_random(s: Column) -> Column:
-    kind = char_class(s)
-    least = F.lit(None).cast("double")
-    for k, v in THRESHOLDS.items():
-        least = F.when(kind == k, F.lit(v)).otherwise(least)
-    return F.when(kind.isNull() | s.rlike(ALLOW), F.lit(False)).otherwise(F.round(max_entropy(s), 9) >= least)
+    """A part between separators that is on the allow-list is left out; the rest is judged. A grouped string counts
+    without its separators, if parts that mix digits and letters make up half of it: others are names and dates."""
+    rest = F.array_join(F.filter(_parts(s), lambda x: ~x.rlike(ALLOW) & (F.lower(x) != "your")), "-")
+
+    def mixed(x: Column) -> Column:
+        return x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+
+    def pair(x: Column) -> Column:
+        kind, joined = char_class(x), F.array_join(_parts(x), "")
+        half = F.length(F.array_join(F.filter(_parts(x), mixed), "")) * 2 >= F.length(joined)
+        return F.struct(F.when((kind != "grouped") | half, kind).alias("kind"), F.when(kind == "grouped", joined).otherwise(x).alias("text"))
+
+    def judge(x: Column) -> Column:
+        least = F.lit(None).cast("double")
+        for k, v in THRESHOLDS.items():
+            least = F.when(x["kind"] == k, F.lit(v)).otherwise(least)
+        return F.when(x["kind"].isNull() | (F.length(x["text"]) < WINDOW), F.lit(False)).otherwise(F.round(max_entropy(x["text"]), 9) >= least)
+
+    whole = s.rlike(WHOLE)
+    text = F.when(s.rlike(ALLOW), rest).otherwise(s)  # bound by transform, else each use would compute it anew
+    found = F.transform(F.transform(F.transform(F.array(text), lambda x: x), pair), judge)[0]
+    return F.when(whole, F.lit(False)).otherwise(found)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

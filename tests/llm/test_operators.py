@@ -116,6 +116,13 @@ def test_secrets(docs, spark):
             assert r.n_entropy == 1
 
 
+def test_secrets_of_one_letter_case_with_separators(spark):
+    keys = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "Q7RZ2-LW9XV-4TN8B-M3KP6-JD1HF", "sample/q7Rz2Lw9Xv4Tn8Bm3Kp6Jd1"]
+    rows = [*enumerate(f"see {k} here" for k in keys), (12, "see 2024-01-01-2024-01-02-2024 here"), (14, "see how-to-build-a-quiet-house-in-2024 here"), (15, "see your_example-key-0000-1234567-abcdefg here"), (13, "see 123e4567-e89b-12d3-a456-426614174000 here")]
+    got = {r.doc_id: r.spans for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: f"entropy:4:{4 + len(k)}" for i, k in enumerate(keys)}, **dict.fromkeys((12, 13, 14, 15), "")}
+
+
 def test_window_entropy(spark):
     from pyspark.sql import functions as F
 
