@@ -2,8 +2,8 @@
 
 Base rules are regular expressions; their offsets follow from the gaps that a split by the same expression leaves.
 The method adds candidate strings whose sliding-window Shannon entropy is high for their character class. The window
-moves by one character; of the sum over counts c*log2(c) only the terms of the leaving and the entering character
-change. Strings on the allow-list (placeholders, UUIDs, sequences, single words) and strings that overlap a base
+moves by one character; its counts, and of the sum over counts c*log2(c) the terms, change for the leaving and the
+entering character only. Strings on the allow-list (placeholders, UUIDs, sequences, single words) and strings that overlap a base
 span are suppressed.
 
 Defined results: a null text counts as empty; offsets count code points; a candidate of any length is folded in
@@ -12,6 +12,8 @@ time linear in its length; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,12 @@ RULES = {
 SPAN = "array<struct<start:int,kind:string,end:int,found:string>>"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Counts in a long; each has 64 // LONG bits and goes up to WINDOW.
+LONG = 12
 #: Least entropy in bits of a window of 20 characters, by class; strings of another class are not secrets.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7, "grouped": 3.6}
-#: Parts that match are no secrets.
+#: Parts of up to ALLOWED characters that match are no secrets; in a longer one a match may be chance.
+ALLOWED = 64
 ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234567|abcdefg|qwerty"
 #: Candidates that match as a whole are none.
 WHOLE = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-"
@@ -52,29 +57,45 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0)
     return F.when(F.size(found) > 0, F.aggregate(parts, start, step)["out"]).otherwise(start["out"])
 
 
-def max_entropy(s: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy in bits of ``window`` consecutive characters of ``s``, which has at least as many."""
-
-    def count(part: Column, c: Column) -> Column:
-        return (F.length(part) - F.length(F.replace(part, c, F.lit("")))).cast("double")
-
-    def term(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
-
-    first = F.substring(s, 1, window)
-    whole = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, c: a + F.when(F.length(c) > 0, term(count(first, c))).otherwise(0.0))
+def _term(n: int) -> float:
+    return n * math.log2(n) if n > 0 else 0.0
 
-    def step(acc: Column, i: Column) -> Column:
-        """From the window at i to that at i + 1: what both share lies between the two characters."""
-        shared = F.substring(s, i + 1, F.lit(window - 1))
-        out, into = F.substring(s, i, F.lit(1)), F.substring(s, i + window, F.lit(1))
-        left, entered = count(shared, out), count(shared, into)
-        total = acc["sum"] - term(left + 1) + term(left) - term(entered) + term(entered + 1)
-        return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
 
-    steps = F.when(F.length(s) > window, F.sequence(F.lit(1), F.length(s) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(whole.alias("sum"), whole.alias("least")), step)["least"]
-    return F.log2(F.lit(float(window))) - least / window
+def max_entropy(s: Column, window: int = WINDOW) -> Column:
+    """Largest Shannon entropy in bits of ``window`` consecutive characters of ``s``, which has at least as many and
+    only characters from + to z.
+
+    One fold over the characters as an array, read by place. The counts of a window are numbers of a few bits in a few longs;
+    a step changes those of the character that leaves and of the one that enters, and the sum of c*log2(c) by what these
+    two counts add. So the time is linear in the length.
+    """
+    cell, words = 64 // LONG, -(-(ord("z") - ord("+") + 1) // LONG)
+    add = F.array(*[F.lit(_term(n + 1) - _term(n)) for n in range(window + 1)])
+
+    def of(counts: Column, c: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, F.floor(c / LONG).cast("int")), ((c % LONG) * cell).cast("int")).bitwiseAND((1 << cell) - 1).cast("int")
+
+    def change(v: Column, i: Column, c: Column, sign: int) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), ((c % LONG) * cell).cast("int"))
+        return F.when(F.floor(c / LONG) == i, one * sign).otherwise(F.lit(0).cast("long"))
+
+    def whole(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            into, out = F.get(codes, i), F.get(codes, i - window)
+            counts, leaves = acc["counts"], F.coalesce(out, F.lit(-1))
+            gone = F.when(leaves >= 0, -F.get(add, of(counts, leaves) - 1)).otherwise(F.lit(0.0))
+            come = F.get(add, of(counts, into) - F.when(into == leaves, 1).otherwise(0))
+            total = acc["sum"] + gone + come
+            moved = F.transform(counts, lambda v, j: v + change(v, j, into, 1) + F.when(leaves >= 0, change(v, j, leaves, -1)).otherwise(F.lit(0).cast("long")))
+            least = F.when(i >= window - 1, F.least(acc["least"], total)).otherwise(acc["least"])
+            return F.struct(moved.alias("counts"), total.alias("sum"), least.alias("least"))
+
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("sum"), F.lit(_term(window)).alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["least"])
+
+    codes = F.transform(F.filter(F.split(s, ""), lambda x: x != ""), lambda x: F.ascii(x) - ord("+"))
+    least = F.transform(F.array(codes), whole)[0]  # bound by transform: codes are read at each step
+    return F.lit(math.log2(window)) - least / window
 
 
 def char_class(s: Column) -> Column:
@@ -96,7 +117,7 @@ def _parts(s: Column) -> Column:
 def is_random(s: Column) -> Column:
     """A part between separators that is on the allow-list is left out; the rest is judged. A grouped string counts
     without its separators, if parts that mix digits and letters make up half of it: others are names and dates."""
-    rest = F.array_join(F.filter(_parts(s), lambda x: ~x.rlike(ALLOW) & (F.lower(x) != "your")), "-")
+    rest = F.array_join(F.filter(_parts(s), lambda x: ~(x.rlike(ALLOW) & (F.length(x) <= ALLOWED)) & (F.lower(x) != "your")), "-")
 
     def mixed(x: Column) -> Column:
         return x.rlike("[0-9]") & x.rlike("[A-Za-z]")
