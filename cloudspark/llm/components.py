@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudspark.llm.common import materialize
+from cloudspark.llm.common import discard, lookup, materialize
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -22,17 +22,18 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         # contract: links between roots
         by_a = labels.withColumnsRenamed({"node": "a", "root": "ra"})
         by_b = labels.withColumnsRenamed({"node": "b", "root": "rb"})
-        links = materialize(
-            links.join(by_a, "a").join(by_b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
-            "links",
-        )
-        # hook: each root to its smallest neighbour, then one jump for all nodes
-        hook = links.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "root")
-        hooked = labels.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        hooked = materialize(hooked, "labels")
-        up = hooked.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = materialize(hooked.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
-        moved = labels.join(up.withColumnRenamed("up", "next"), "root", "left_semi")
-        if links.isEmpty() and moved.isEmpty():
-            return labels
+        met = links.join(by_a, "a").join(by_b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        old, links = links, materialize(met, "links")
+        # hook: each root to its smallest neighbour, then one jump for all nodes; a large component shares one root
+        sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        hook = materialize(links.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "root").join(sizes, "root"), "hook")
+        hooked = materialize(lookup(labels, hook, "root", "n").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        discard(old, labels, hook)
+        sizes = hooked.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        up = materialize(hooked.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("up")).join(sizes, "root"), "up")
+        if up.isEmpty() and links.isEmpty():  # no root has a parent of its own
+            discard(up, links)
+            return hooked
+        labels = materialize(lookup(hooked, up, "root", "n").select("node", F.coalesce("up", "root").alias("root")), "labels")
+        discard(hooked, up)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,18 +1,20 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The automaton holds every window of consecutive item words. A document is normalised to its words, scanned once,
-and matches are mapped to word positions and, for ``spans``, to character offsets of the original text.
+The automaton holds every window of consecutive item words, a node for each word. A document is normalised to its words,
+scanned once, and matches are mapped to word positions and, for ``spans``, to character offsets of the original text.
 
-The benchmark is read in blocks of at most MAX_BLOCK_CHARS characters of windows, so that what is broadcast has a
-bound; each block is one scan over all documents. A usual benchmark is one block.
+The benchmark is read in blocks of at most MAX_NODES words of windows, so that what is broadcast and what a worker holds
+have a bound; each block is one scan over all documents. A usual benchmark is one block: 400,000 windows of ten words.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; items that
-share windows are all reported; an empty benchmark leaves every document clean; other columns are not read.
+share windows are all reported; an item without an id makes hits but is not reported; an empty benchmark leaves every
+document clean; ids of any type and other columns, whatever their names, pass through; rows with equal texts get equal
+results.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,65 +24,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudspark.llm.common import materialize
+from cloudspark.llm.common import materialize, resident
 
 WINDOW = 10
-MAX_BLOCK_CHARS = 32 << 20
+#: Nodes of an automaton (words of its windows), some 60 bytes each in a worker; a larger benchmark is read in blocks.
+MAX_NODES = 4 << 20
 #: Name of the column that is added.
 OUT = "__found"
 
 #: Bytes of words: digits, letters in lower case, all of non-ASCII characters; others become a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FOUND = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
         T.StructField("hits", T.BinaryType()),
         T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ]
 )
+_FOUND = pa.struct(
+    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[bytes]:
+def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     if not words:
         return []
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-
-
-def build(windows: dict[bytes, tuple[int, list[str]]]) -> ahocorasick.Automaton:
-    """windows: its number of words and its items. Bytes become characters one to one."""
-    auto = ahocorasick.Automaton()
-    for w, value in windows.items():
-        auto.add_word(f" {w.decode('latin-1')} ", value)
-    if windows:
-        auto.make_automaton()
-    return auto
-
-
-def scan(text: str | None, auto: ahocorasick.Automaton) -> tuple[int, np.ndarray | None, set[str]]:
-    """Number of words, a boolean for each word (None: no hit), the items that occur."""
-    words = words_of(text)
-    if not words or not len(auto):
-        return len(words), None, set()
-    line = f" {b' '.join(words).decode('latin-1')} "
-    ends, sizes, items = [], [], set()
-    for at, (n, own) in auto.iter(line):
-        ends.append(at)
-        sizes.append(n)
-        items.update(own)
-    if not ends:
-        return len(words), None, items
-    # a match ends on the space after its last word; that space's rank is the number of words before it
-    rank = np.searchsorted(np.cumsum([len(w) + 1 for w in words]), ends) + 1
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, rank - np.asarray(sizes), 1)
-    np.add.at(edge, rank, -1)
-    return len(words), np.cumsum(edge[:-1]) > 0, items
+    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+
+
+class Windows:
+    """One Aho-Corasick automaton over windows of words; words that no window has are number 0."""
+
+    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]) -> None:
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, items in windows.items():
+            self.automaton.add_word(tuple(self.number.setdefault(x, len(self.number) + 1) for x in w), (len(w), items))
+        if windows:
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """A boolean for each word (None: no hit), the items that occur."""
+        number = self.number.get
+        line = tuple([number(w, 0) for w in words])
+        if not any(line):
+            return None, set()
+        ends, sizes, items = [], [], set()
+        for at, (n, own) in self.automaton.iter(line):
+            ends.append(at)
+            sizes.append(n)
+            items.update(own)
+        if not ends:
+            return None, items
+        edge = np.zeros(len(words) + 1, np.int64)
+        last = np.asarray(ends) + 1
+        np.add.at(edge, last - np.asarray(sizes), 1)
+        np.add.at(edge, last, -1)
+        return np.cumsum(edge[:-1]) > 0, items
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -107,90 +114,86 @@ def hit_spans(text: str, hits: np.ndarray) -> list[dict]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[dict]:
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, size: int, max_nodes: int = MAX_NODES) -> Iterator[dict]:
     """Windows of the items, in blocks of bounded size; the items stream through the driver one partition at a time."""
-    block: dict[bytes, tuple[int, list[str]]] = {}
-    chars = 0
+    block: dict[tuple[bytes, ...], dict[str, None]] = {}
+    nodes = 0
     for item in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = words_of(item[1])
-        for w in windows_of(words, size):
+        for w in windows_of(words_of(item[1]), size):
             if w not in block:
-                block[w] = (w.count(b" ") + 1, [])
-                chars += len(w)
-            if item[0] is not None and item[0] not in block[w][1]:
-                block[w][1].append(item[0])
-        if chars >= MAX_BLOCK_CHARS:
-            yield block
-            block, chars = {}, 0
+                if nodes + len(w) > max_nodes:
+                    yield {k: list(v) for k, v in block.items()}
+                    block, nodes = {}, 0
+                block[w] = {}
+                nodes += len(w)
+            if item[0] is not None:
+                block[w][item[0]] = None
     if block:
-        yield block
+        yield {k: list(v) for k, v in block.items()}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` with a column ``__found``: n_words, hits (a byte for each word; null if none is hit), items (their ids)."""
+def find(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: list[str] | None = None, max_nodes: int = MAX_NODES, spans: bool = False
+) -> DataFrame:
+    """(doc, found): each row of ``docs`` as a struct (columns ``keep``, by default all), and n_words, n_hit, hits (a byte
+    for each word; null if none is hit), items (ids of those that occur), spans (if asked for)."""
     spark = docs.sparkSession
-    keep = docs.columns
-    blocks = blocks_of(benchmark, item_col, item_text, size)
+    names = docs.columns if keep is None else keep
+    doc = T.StructType([docs.schema[c] for c in names])
+    schema = T.StructType([T.StructField("doc", doc), T.StructField("text", T.StringType()), T.StructField(OUT, FOUND)])
+    out = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs[text_col].alias("text"), F.lit(None).cast(FOUND).alias(OUT))
+    blocks = blocks_of(benchmark, item_col, item_text, size, max_nodes)
     block = next(blocks, {})
-    out = docs.withColumn(OUT, F.lit(None).cast(FOUND))
     while block is not None:
-        shipped = spark.sparkContext.broadcast(block)
-        schema = T.StructType([*docs.schema.fields, T.StructField(OUT, FOUND)])
+        after = next(blocks, None)
+        shipped, name = spark.sparkContext.broadcast(block), f"windows {uuid.uuid4().hex}"
 
-        def run(batches, shipped=shipped, at=keep.index(text_col)):
-            auto = build(shipped.value)
-            kind = pa.struct([("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))])
+        def run(batches, shipped=shipped, name=name, last=after is None):
+            own = resident(name, lambda: Windows(shipped.value))
             for batch in batches:
                 found = []
-                for text, old in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                    n, hits, items = scan(text.as_py(), auto)
-                    if (old := old.as_py()) is not None:
+                for text, old in zip(batch.column(1), batch.column(2), strict=True):
+                    text, old = text.as_py(), old.as_py()
+                    words = words_of(text)
+                    hits, items = own.scan(words)
+                    if old is not None:
                         items |= set(old["items"])
                         if old["hits"] is not None:
                             was = np.frombuffer(old["hits"], bool)
                             hits = was if hits is None else hits | was
-                    found.append({"n_words": n, "hits": None if hits is None else hits.tobytes(), "items": sorted(items)})
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], OUT]
-                )
+                    n = 0 if hits is None else int(hits.sum())
+                    marked = hit_spans(text, hits) if spans and last and n else []
+                    found.append({"n_words": len(words), "n_hit": n, "hits": hits.tobytes() if n else None, "items": sorted(items), "spans": marked})
+                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(found, _FOUND)], names=["doc", "text", OUT])
 
         out = out.mapInArrow(run, schema)
-        block = next(blocks, None)
+        block = after
         if block is not None:
             out = materialize(out, "found")
-    return out
+    return out.select("doc", F.col(OUT).alias("found"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find(docs.select("doc_id", "text"), benchmark)
-    kind = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-
-    def narrow(batches):
-        for batch in batches:
-            rows = []
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = int(np.frombuffer(x["hits"], bool).sum()) if x["hits"] is not None else 0
-                sha = hashlib.sha256(",".join(sorted(x["items"])).encode()).hexdigest()
-                rows.append((key, x["n_words"], n, len(x["items"]), sha, n > 0))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return found.select(F.col("doc_id").cast("long"), OUT).mapInArrow(narrow, kind)
+    found = find(docs, benchmark, keep=["doc_id"])
+    return found.select(
+        "doc.doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: where benchmark passages stand in the original text, in characters."""
-    found = find(docs, benchmark, text_col)
-    mark = F.udf(lambda text, hits: hit_spans(text, np.frombuffer(hits, bool)), SPANS)
-    empty = F.array().cast(SPANS)
-    return found.withColumn(
-        "spans", F.when(F.col(f"{OUT}.hits").isNull(), empty).otherwise(mark(text_col, F.col(f"{OUT}.hits")))
-    ).drop(OUT)
+    """``docs`` with ``spans``: where benchmark passages stand in the original text, in characters. A column of that name
+    is replaced."""
+    rows = find(docs, benchmark, text_col, spans=True)
+    return rows.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c != "spans"], F.col("found.spans").alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without any hit."""
-    return find(docs, benchmark, text_col).filter(f"{OUT}.hits IS NULL").drop(OUT)
+    return find(docs, benchmark, text_col).filter("found.n_hit = 0").select("doc.*")

@@ -6,11 +6,11 @@ of the counts, one share being left for words never seen. So what workers hold i
 frequent words never meet in a shuffle join, and the model is a proper distribution over texts.
 
 Baum-Welch: each pass runs forward and backward over all training texts; expected counts are summed within and across
-partitions. The start is fitted on a bounded sample of START_TEXTS texts; all counts behind the final parameters cover
+partitions. The start is fitted on stretches of a bounded sample of START_TEXTS texts; all counts behind the final parameters cover
 the whole corpus. The scaled forward recursion gives the exact likelihood of a text.
 
 Defined results: a null or empty text is one end token; a null id trains like the id ''; with no training text all
-words are unknown; rows with equal ids are scored one by one; other columns are not read.
+words are unknown; rows with equal ids are scored one by one; ids may be of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudspark.llm.common import materialize
 
@@ -32,7 +33,8 @@ STATES = 8
 HEAD = 30_000
 ENDINGS = 512
 PASSES = 2
-START_TEXTS, START_TOKENS, START_PASSES = 1_000, 20_000, 12
+#: The start is fitted on so many texts, of each a stretch of at most so many tokens, in so many passes.
+START_TEXTS, START_TOKENS, START_PASSES = 1_000, 8_192, 12
 #: Weight in tokens of the unigram distribution in each state's emissions.
 PRIOR = 200.0
 #: Tokens worked on at once, and sequences side by side.
@@ -240,7 +242,7 @@ def symbols_of(docs: DataFrame, text_col: str, head: dict[bytes, tuple[int, int]
 
     return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", text_col).mapInArrow(
         run,
-        "row long, doc_id long, held_out boolean, symbols binary, n_tokens long, head_sum double, rest_sum double, tail array<struct<word:binary,n:int>>",
+        T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string("held_out boolean, symbols binary, n_tokens long, head_sum double, rest_sum double, tail array<struct<word:binary,n:int>>")]),
     )
 
 
@@ -301,9 +303,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> Fitted:
     share /= share.sum()
     rows = materialize(symbols_of(docs, text_col, head, ends, np.log10(weight)), "symbols")
     train = rows.filter("NOT held_out")
-    sample = train.filter(f"n_tokens <= {START_TOKENS}").select("symbols").orderBy(F.xxhash64("symbols"), "symbols").limit(START_TEXTS).collect()
+    # a stretch of a text of any length, where its hash says; all texts count in the passes below
+    stretch = F.expr(f"substring(symbols, cast(1 + 2 * {START_TOKENS} * pmod(xxhash64(symbols, 1), ceil(n_tokens / {START_TOKENS})) as int), 2 * {START_TOKENS})")
+    sample = train.select(F.xxhash64("symbols").alias("h"), stretch.alias("symbols")).orderBy("h", "symbols").limit(START_TEXTS).collect()
     model = first_model([np.frombuffer(x.symbols, "<u2") for x in sample], share)
-    for _ in range(PASSES if sample else 0):
+    for _ in range(PASSES if n else 0):
         model = baum_welch(train, model, share)
     return Fitted(model, rows, counts, n, v)
 
@@ -319,7 +323,7 @@ def score(fitted: Fitted) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(logs)], names=[*batch.schema.names[:6], "log"])
 
     own = ["row", "doc_id", "held_out", "n_tokens", "head_sum", "rest_sum"]
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, head_sum double, rest_sum double, log double"
+    kinds = T.StructType([*(fitted.rows.schema[c] for c in own), T.StructField("log", T.DoubleType())])
     logs = fitted.rows.select(*own, "symbols").mapInArrow(run, kinds)
     tail = (
         fitted.rows.select("row", F.explode("tail").alias("x"))
@@ -349,4 +353,4 @@ def score(fitted: Fitted) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """Scores of all rows of ``documents``, learned from those whose crc32(doc_id as text) mod 7 is not 2."""
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    return score(fit(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")))
+    return score(fit(docs.select("doc_id", held_out.alias("held_out"), "text")))

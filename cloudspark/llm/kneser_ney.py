@@ -1,34 +1,40 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text and language-specific quantiles.
 
-Text is read as characters of 64 classes, so the model of 4-grams has at most 64**4 cells at any size of corpus.
-Counts of trusted text are summed within partitions and joined across them by gram, in shards. As the table of all
-counts has that proven bound, it is broadcast, and perplexities are looked up in it; joining each document's grams to
-the count shards would shuffle every character of the corpus.
+The model reads characters, of any script, in grams of up to ORDER. Counts, continuation counts, contexts and
+interpolation are tables in shards keyed by gram, joined by gram; none of them passes through the driver.
+
+Written with backing off, the logarithm of an interpolated probability is a sum with one term for each gram that ends
+at a character: what the gram adds to the probability of its suffix, and, as the next character's context, its share of
+the discounts. A gram that the trusted text lacks adds nothing. So a text's log probability is the sum over its distinct
+grams of count times weight, a join of the text's grams with the weights: the HOT most frequent grams are broadcast, a
+document's other grams are joined to the sharded table. A bit table of at most COLD_BITS bits keeps most grams that the
+trusted text lacks out of that join; it never loses one that it has.
 
 A document is rejected if its cross entropy lies above a high quantile of trusted documents of its language that the
 model was not trained on, times SLACK. Entropies of short texts are drawn towards the trusted mean.
 
 Defined results: a null or empty text has only its end and is accepted; a language without held-out
 trusted documents has no threshold and keeps all its documents, as does a null language; labels that are null, repeated
-or contradictory make a document trusted only if all of them are (quality 1, not toxic); other columns pass through.
+or contradictory make a document trusted only if all of them are (quality 1, not toxic); rows with equal ids share their
+labels; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import zlib
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudspark.llm.common import BROADCAST_ROWS, materialize
+from cloudspark.llm.common import BROADCAST_ROWS, is_small, lookup, materialize, resident
 
 ORDER = 4
-CLASSES = 64
-CELLS = CLASSES**ORDER
+#: Grams that are broadcast, and bits of the table of all others.
+HOT, COLD_BITS = 1 << 18, 1 << 26
 #: One trusted document in so many sets thresholds instead of training.
 HELD_OUT = 4
 QUANTILE = 0.995
@@ -37,190 +43,303 @@ SLACK = 1.08
 PRIOR_CHARS = 60
 #: Histogram bins for one nat.
 BINS = 1000
-PUNCTUATION = ".,!?;:'\"()-/&%$#*|@+=_<>"
-EDGE, UPPER_VOWEL, UPPER, DIGIT, SPACE, BREAK, OTHER, LETTER = 0, 27, 28, 29, 30, 31, 56, 57
-
-
-def _class_of(code: int) -> int:
-    c = chr(code)
-    plain = unicodedata.normalize("NFD", c)[0]
-    if c in PUNCTUATION:
-        return 32 + PUNCTUATION.index(c)
-    if c in "\n\r":
-        return BREAK
-    if c.isspace():
-        return SPACE
-    if c.isdigit():
-        return DIGIT
-    if c.isupper():
-        return UPPER_VOWEL if plain in "AEIOU" else UPPER
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    if c.isalpha():
-        return 58 + "aeiou".find(plain) if plain in "aeiou" else 63 if code < 0x250 else LETTER
-    return OTHER
-
-
-#: Class of each character below 0x3000; letters above are LETTER.
-TABLE = np.array([_class_of(i) for i in range(0x3000)], np.int32)
-
-
-def grams(text: str | None) -> np.ndarray:
-    """Code of the 4-gram that ends at each character and at the text's end."""
-    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    kinds = np.where(chars < len(TABLE), TABLE[np.minimum(chars, len(TABLE) - 1)], LETTER)
-    padded = np.concatenate([np.zeros(ORDER - 1, np.int32), kinds.astype(np.int32), np.zeros(1, np.int32)])
-    code = np.zeros(len(kinds) + 1, np.int32)
-    for i in range(ORDER):
-        code = code * CLASSES + padded[i : i + len(code)]
-    return code
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount by count: 0, 1, 2, 3 and more."""
-    n = [0.0, *(float((counts == i).sum()) for i in range(1, 5))]
-    if not n[1] or not n[2]:
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [0.0, *(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.9 for i in (1, 2, 3))]
-    return np.clip(d, 0, [0, 0.95, 1.9, 2.9])
-
-
-def interpolate(counts: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Probabilities of an order: counts and lower-order probabilities, contexts by row."""
-    total = counts.sum(1, keepdims=True)
-    cut = d[np.minimum(counts, 3).astype(np.int8)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (np.maximum(counts - cut, 0) + cut.sum(1, keepdims=True) * lower) / total
-    return np.where(total > 0, p, lower)
-
-
-def log_table(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-    """ln P of all 4-grams, and the trusted text's mean entropy. codes: sorted."""
-    cells = codes
-    seen = []
-    for _ in range(ORDER - 1):  # continuation counts: distinct symbols before the shorter gram
-        size = int(CELLS // CLASSES ** (len(seen) + 1))
-        seen.append(np.bincount(cells % size, minlength=size))
-        cells = np.flatnonzero(seen[-1])
-    p = np.full(CLASSES, 1 / CLASSES)
-    for own in reversed(seen):
-        own = own.reshape(-1, CLASSES)
-        lower = np.tile(p.reshape(-1, CLASSES), (len(own) // (p.size // CLASSES), 1))
-        p = interpolate(own, lower, discounts(own)).ravel()
-    d, out = discounts(n), np.empty(CELLS, np.float32)
-    block = CELLS // CLASSES
-    cuts = np.searchsorted(codes, np.arange(CLASSES + 1) * block)
-    lower = p.reshape(-1, CLASSES)
-    for i in range(CLASSES):
-        own = np.zeros(block, np.int64)
-        own[codes[cuts[i] : cuts[i + 1]] - i * block] = n[cuts[i] : cuts[i + 1]]
-        out[i * block : (i + 1) * block] = np.log(interpolate(own.reshape(-1, CLASSES), lower, d)).ravel()
-    mean = -float((out[codes] * n).sum() / n.sum()) if len(n) else float(np.log(CLASSES))
-    return out, mean
-
-
-_tables: dict[int, tuple[np.ndarray, float]] = {}
-
-
-def _table_of(data: bytes) -> tuple[np.ndarray, float]:
-    """A worker's table, built once."""
-    key = zlib.crc32(data)
-    if key not in _tables:
-        _tables.clear()
-        both = np.frombuffer(data, np.int64).reshape(2, -1)
-        _tables[key] = log_table(*both)
-    return _tables[key]
+#: Code points that no text has: what stands before a text, and its end.
+BEFORE, END = 0x110000, 0x110001
+#: Distinct grams that a task counts before it passes partial counts on.
+FLUSH = 1 << 20
+#: Of the 64-bit keys of grams.
+SEED, MULTIPLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+C = [f"c{i}" for i in range(1, ORDER + 1)]  # characters of a gram; one of order k has the last k of them
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
-    return labels.groupBy("doc_id").agg(F.min(good).alias("good")).filter("good AND doc_id IS NOT NULL").select("doc_id")
+
+def symbols(text: str | None) -> np.ndarray:
+    """Code points of a text between ORDER starts and one end."""
+    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.concatenate([np.full(ORDER, BEFORE, "<u4"), chars, np.array([END], "<u4")])
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+def keys(codes: np.ndarray) -> list[np.ndarray]:
+    """Keys of the grams of order 1 to ORDER that end at each symbol from the last start on."""
+    n, out = len(codes) - ORDER + 1, []
+    wide, h = codes.astype(np.uint64), np.full(n, SEED, np.uint64)
+    for k in range(ORDER):
+        h = (h ^ wide[ORDER - 1 - k :][:n]) * MULTIPLIER
+        h ^= h >> np.uint64(29)
+        out.append(h)
+    return out
 
 
-def _is_held_out():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+def key_of(grams: np.ndarray, order: int) -> np.ndarray:
+    """Keys of grams of one order, given as rows of ORDER code points."""
+    h = np.full(len(grams), SEED, np.uint64)
+    for k in range(order):
+        h = (h ^ grams[:, ORDER - 1 - k].astype(np.uint64)) * MULTIPLIER
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def fit(trusted: DataFrame, text_col: str = "text") -> bytes:
-    """Counts of all 4-grams of the trusted texts: sorted codes, then counts, as 64-bit integers."""
+def gram_counts(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(c1..c4, n) of all grams of the highest order."""
 
     def run(batches):
-        acc = np.zeros(CELLS, np.int32)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(acc, grams(text.as_py()), 1)
-        codes = np.flatnonzero(acc)
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(acc[codes].astype(np.int64))], names=["gram", "n"])
+        held: dict[int, list] = {}
 
-    counts = trusted.select(text_col).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas().sort_values("gram")
-    return np.stack([counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)]).tobytes()
+        def out():
+            rows = list(held.values())
+            held.clear()
+            cols = list(zip(*rows, strict=True)) or [[]] * (ORDER + 1)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:-1]), pa.array(cols[-1], pa.int64())], names=[*C, "n"])
 
+        for batch in batches:
+            for text in batch.column(0):
+                codes = symbols(text.as_py())
+                own, first, n = np.unique(keys(codes)[-1][1:], return_index=True, return_counts=True)
+                grams = np.lib.stride_tricks.sliding_window_view(codes[1:], ORDER)[first].tolist()
+                for key, gram, count in zip(own.tolist(), grams, n.tolist(), strict=True):
+                    if key in held:
+                        held[key][-1] += count
+                    else:
+                        held[key] = [*gram, count]
+                if len(held) > FLUSH:
+                    yield out()
+        yield out()
+
+    kinds = ", ".join(f"{c} int" for c in C)
+    return trusted.select(text_col).mapInArrow(run, f"{kinds}, n long").groupBy(*C).agg(F.sum("n").alias("n"))
+
+
+def discounts(n: dict[int, int]) -> list[float]:
+    """Discounts of counts 1, 2 and 3 or more, from how many grams have the counts 1 to 4."""
+    if not n.get(1) or not n.get(2):
+        return [0.5, 0.75, 0.9]
+    y = n[1] / (n[1] + 2 * n[2])
+    most = (0.95, 1.9, 2.9)
+    return [min(max(i - (i + 1) * y * n.get(i + 1, 0) / n[i], 0.05), most[i - 1]) if n.get(i) else 0.9 for i in (1, 2, 3)]
+
+
+@dataclass
+class Model:
+    """Weights (order, c1..c4, w, v, occ): what a gram adds, that with its suffixes, and how often it occurs."""
+
+    weights: DataFrame
+    unseen: float  # ln of the probability of a character that the trusted text lacks
+    mean: float  # entropy of the training text
+
+
+def fit(trusted: DataFrame, text_col: str = "text") -> Model:
+    counts = {ORDER: materialize(gram_counts(trusted, text_col).withColumn("occ", F.col("n")), "grams")}
+    for k in range(ORDER - 1, 0, -1):
+        longer = counts[k + 1]
+        own = longer.groupBy(*C[ORDER - k :]).agg(F.count(F.lit(1)).alias("n"), F.sum("occ").alias("occ"))
+        counts[k] = materialize(own, "grams")
+    few = reduce(DataFrame.unionByName, [t.filter("n <= 4").groupBy("n").count().withColumn("k", F.lit(k)) for k, t in counts.items()]).collect()
+    cut = {k: discounts({r.n: r["count"] for r in few if r.k == k}) for k in counts}
+
+    def discount(k: int) -> Column:
+        a, b, c = map(F.lit, cut[k])
+        return F.when(F.col("n") == 1, a).when(F.col("n") == 2, b).otherwise(c)
+
+    whole = counts[1].agg(F.sum("n").alias("total"), F.sum(discount(1)).alias("cut"), F.count(F.lit(1)).alias("v")).first()
+    if not whole.total:
+        kinds = ", ".join(f"{c} int" for c in C)
+        none = trusted.sparkSession.createDataFrame([], f"k int, {kinds}, w double, v double, occ long")
+        return Model(materialize(none, "weights"), -float(np.log(1 << 21)), float(np.log(1 << 21)))
+    unseen = whole["cut"] / whole["total"] / (whole["v"] + 1)
+    p = counts[1].select(C[-1], "n", "occ", ((F.col("n") - discount(1)) / whole["total"] + unseen).alias("p"))
+    p = p.withColumn("own", F.log("p") - float(np.log(unseen)))
+    weights = []
+    lower = None  # weights of the order below, with suffixes
+    for k in range(1, ORDER + 1):
+        gram = C[ORDER - k :]
+        if k < ORDER:  # the gram as a context of the next order: its share of the discounts
+            context = [F.col(a).alias(b) for a, b in zip(C[ORDER - k - 1 : -1], gram, strict=True)]
+            left = counts[k + 1].groupBy(*context).agg((F.sum(discount(k + 1)) / F.sum("n")).alias("back"), F.sum("occ").alias("as_context"))
+            both = p.join(left, gram, "full")
+            w = F.coalesce("own", F.lit(0.0)) + F.coalesce(F.log("back"), F.lit(0.0))
+            own = both.select(*gram, "p", "back", w.alias("w"), F.coalesce("occ", "as_context").alias("occ"))
+        else:
+            own = p.select(*gram, "p", F.lit(None).cast("double").alias("back"), F.col("own").alias("w"), "occ")
+        if lower is None:
+            own = own.withColumn("v", F.col("w"))
+        else:
+            own = own.join(lower.select(*gram[1:], F.col("v").alias("rest")), gram[1:], "left").withColumn("v", F.col("w") + F.coalesce("rest", F.lit(0.0))).drop("rest")
+        own = materialize(own, "weights")
+        weights.append(own.select(F.lit(k).alias("k"), *[F.col(c) if c in gram else F.lit(None).cast("int").alias(c) for c in C], "w", "v", "occ"))
+        if k < ORDER:
+            wide = C[ORDER - k - 1 :]
+            held = own.filter("back IS NOT NULL").select(*[F.col(a).alias(b) for a, b in zip(gram, wide[:-1], strict=True)], "back")
+            suffix = own.filter("p IS NOT NULL").select(*gram, F.col("p").alias("low"))
+            p = counts[k + 1].join(held, wide[:-1]).join(suffix, gram)
+            sums = counts[k + 1].groupBy(*wide[:-1]).agg(F.sum("n").alias("total"))
+            p = p.join(sums, wide[:-1]).select(*wide, "n", "occ", ((F.col("n") - discount(k + 1)) / F.col("total") + F.col("back") * F.col("low")).alias("p"), "back", "low")
+            p = p.withColumn("own", F.log("p") - F.log("back") - F.log("low")).drop("back", "low")
+        else:
+            mean = own.join(counts[ORDER].select(*C, F.col("n").alias("m")), C).agg(-F.sum(F.col("m") * F.log("p")) / F.sum("m")).first()[0]
+        lower = own
+    table = materialize(reduce(DataFrame.unionByName, weights), "weights")
+    return Model(table, float(np.log(unseen)), mean)
+
+
+def keyed(weights: DataFrame) -> DataFrame:
+    """(key, w, v, occ): grams by their keys."""
 
-def score(docs: DataFrame, model: bytes, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``__chars`` (with the end), ``__ln_p`` and ``__entropy`` (nats a character, drawn to the mean)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    def run(batches):
+        for batch in batches:
+            order = batch.column(0).to_numpy()
+            grams = np.stack([batch.column(i + 1).fill_null(0).to_numpy(zero_copy_only=False) for i in range(ORDER)], 1)
+            key = np.zeros(len(order), np.uint64)
+            for k in range(1, ORDER + 1):
+                key[order == k] = key_of(grams[order == k], k)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[-3:]], names=["key", "w", "v", "occ"])
+
+    return weights.mapInArrow(run, "key long, w double, v double, occ long")
+
+
+class Table:
+    """Values by 64-bit key, found for whole arrays at once; open addressing in a table twice as large as needed."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
+        size = 1 << max(4, int(2 * len(key)).bit_length())
+        self.mask, self.key, self.value, self.full = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size), np.zeros(size, bool)
+        self.reach, todo = 0, np.arange(len(key))
+        while len(todo):
+            at = ((key[todo] + np.uint64(self.reach)) & self.mask).astype(np.int64)
+            free = ~self.full[at]
+            _, one = np.unique(at[free], return_index=True)
+            took = np.flatnonzero(free)[one]
+            self.key[at[took]], self.value[at[took]], self.full[at[took]] = key[todo[took]], value[todo[took]], True
+            todo = np.delete(todo, took)
+            self.reach += 1
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key, 0 without one, and whether there is one."""
+        at = (key & self.mask).astype(np.int64)
+        found = self.full[at] & (self.key[at] == key)
+        out = np.where(found, self.value[at], 0.0)
+        todo = np.flatnonzero(~found & self.full[at])
+        for step in range(1, self.reach):
+            if not len(todo):
+                break
+            at = ((key[todo] + np.uint64(step)) & self.mask).astype(np.int64)
+            hit = self.full[at] & (self.key[at] == key[todo])
+            out[todo[hit]], found[todo[hit]] = self.value[at[hit]], True
+            todo = todo[~hit & self.full[at]]
+        return out, found
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, hot: int = HOT, cold_bits: int = COLD_BITS) -> DataFrame:
+    """(doc, chars, ln_p, entropy): the row as a struct, its symbols (the end included), ln of its probability, and nats a
+    symbol drawn to the mean."""
+    spark = docs.sparkSession
+    table = materialize(keyed(model.weights), "keyed")
+    top = table.orderBy(F.desc("occ"), "key").limit(hot).select("key", "v", "occ").toPandas()
+    least = int(top["occ"].min()) if len(top) == hot else -1
+    last = int(top["key"][top["occ"] == least].max()) if least >= 0 else 0
+    cold = table.filter((F.col("occ") < least) | ((F.col("occ") == least) & (F.col("key") > last))).select("key", "w")
+    cell = F.pmod("key", F.lit(cold_bits))
+    bits = cold.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(key, {cold_bits}) & 63 as int)))").alias("bits")).toPandas()
+    packed = (top["key"].to_numpy(np.int64).tobytes(), top["v"].to_numpy(np.float64).tobytes(), bits["word"].to_numpy(np.int64).tobytes(), bits["bits"].to_numpy(np.int64).tobytes())
+    shipped = spark.sparkContext.broadcast(packed)
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    name, unseen = f"kneser-ney {table._written_to}", model.unseen
+
+    def build():
+        key, value, word, bits = (np.frombuffer(x, t) for x, t in zip(shipped.value, ("<u8", "<f8", "<i8", "<u8"), strict=True))
+        words = np.zeros(cold_bits // 64 if len(word) else 0, np.uint64)
+        words[word] = bits
+        return Table(key, value), words
 
     def run(batches):
-        table, mean = _table_of(shipped.value)
+        table, words = resident(name, build)
         for batch in batches:
-            n, logs = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(at)):
-                codes = grams(text.as_py())
-                n[i], logs[i] = len(codes), table[codes].sum(dtype=np.float64)
-            entropy = (PRIOR_CHARS * mean - logs) / (PRIOR_CHARS + n)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(n), pa.array(logs), pa.array(entropy)],
-                names=[*(batch.schema.names[i] for i in kept), "__chars", "__ln_p", "__entropy"],
-            )
-
-    more = [T.StructField("__chars", T.LongType()), T.StructField("__ln_p", T.DoubleType()), T.StructField("__entropy", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in kept), *more]))
-
-
-def thresholds(scored: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """(lang, __most): the exact QUANTILE of ``__entropy`` by language, from a histogram, times SLACK."""
-    bins = scored.groupBy(F.col(lang_col).alias("__lang"), F.floor(F.col("__entropy") * BINS).alias("bin")).count()
-    up_to = F.expr("sum(count) OVER (PARTITION BY __lang ORDER BY bin)")
-    whole = F.expr("sum(count) OVER (PARTITION BY __lang)")
-    return (
-        bins.withColumns({"up_to": up_to, "whole": whole})
-        .filter(F.col("up_to") >= F.col("whole") * QUANTILE)
-        .groupBy("__lang")
-        .agg(((F.min("bin") + 1) / BINS * SLACK).alias("__most"))
-    )
+            n, logs, rows = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows), []
+            for i, text in enumerate(batch.column(1)):
+                own = keys(symbols(text.as_py()))
+                n[i] = len(own[0]) - 1
+                total, at, unknown = 0.0, slice(None), []
+                for k in reversed(range(ORDER)):  # a gram that is not hot: its own weight is asked for, its suffix looked up
+                    key = own[k][at]
+                    value, found = table.find(key)
+                    total += value.sum()
+                    unknown.append(key[~found])
+                    at = np.flatnonzero(~found) if k == ORDER - 1 else at[~found]
+                    if not len(at):
+                        break
+                logs[i] = total
+                rest = np.concatenate(unknown)
+                if len(words) and len(rest):
+                    at = rest.view(np.int64) % cold_bits
+                    rest = rest[(words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                    one, many = np.unique(rest, return_counts=True)
+                    rows.append([{"key": a, "n": b} for a, b in zip(one.view(np.int64).tolist(), many.tolist(), strict=True)])
+                else:
+                    rows.append([])
+            logs += n * unseen
+            kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(logs), pa.array(rows, kind)], names=["doc", "chars", "ln_p", "cold"])
+
+    doc = T.StructType([docs.schema[c] for c in names])
+    grams = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
+    schema = T.StructType([T.StructField("doc", doc), T.StructField("chars", T.LongType()), T.StructField("ln_p", T.DoubleType()), T.StructField("cold", grams)])
+    local = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    local = materialize(local.withColumn("row", F.monotonically_increasing_id()), "scored")
+    entropy = (F.lit(PRIOR_CHARS * model.mean) - F.col("ln_p")) / (F.col("chars") + PRIOR_CHARS)
+    sure = local.filter("size(cold) = 0").drop("cold", "row")
+    asked = local.filter("size(cold) > 0").select("row", F.explode("cold").alias("x")).select("row", "x.*")
+    needed = asked.groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    found = materialize(needed.join(cold, "key"), "cold")
+    added = lookup(asked, found, "key", "weight").filter("w IS NOT NULL").groupBy("row").agg(F.sum(F.col("n") * F.col("w")).alias("more"))
+    added = materialize(added, "added")
+    open_rows = local.filter("size(cold) > 0").drop("cold")
+    added = F.broadcast(added) if is_small(added) else added
+    rest = open_rows.join(added, "row", "left").withColumn("ln_p", F.col("ln_p") + F.coalesce("more", F.lit(0.0))).drop("row", "more")
+    return sure.unionByName(rest).withColumn("entropy", entropy)
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    return labels.groupBy("doc_id").agg(F.min(good).alias("good")).filter("good AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))
+
 
+def only(rows: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
+    """``ids`` must be materialized."""
+    return rows.join(F.broadcast(ids) if is_small(ids, BROADCAST_ROWS) else ids, key == ids["__id"], "left_semi")
 
-def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text, lang and others) with the columns of ``score``, ``__most`` and ``__accepted``."""
+
+def _is_held_out(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0
+
+
+def thresholds(scored: DataFrame) -> DataFrame:
+    """(of, most): QUANTILE of ``entropy`` by language, exact to a bin of 1 / BINS, times SLACK. scored: lang, entropy."""
+    bins = scored.groupBy(F.col("lang").alias("of"), F.floor(F.col("entropy") * BINS).alias("bin")).count()
+    return bins.groupBy("of").agg(((F.percentile(F.col("bin"), QUANTILE, F.col("count")) + 1) / BINS * SLACK).alias("most"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc, chars, ln_p, entropy, most, accepted): a row of ``docs`` as a struct, and the decision on it."""
     ids = materialize(trusted_ids(labels), "trusted")
-    trusted = only(docs.select("doc_id", "lang", "text"), ids)
-    model = fit(trusted.filter(~_is_held_out()))
-    limits = materialize(thresholds(score(trusted.filter(_is_held_out()), model, keep_text=False)), "limits")
-    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    scored = score(docs, model, keep_text=keep_text)
-    return (
-        scored.join(limits, scored["lang"] == limits["__lang"], "left")
-        .drop("__lang")
-        .withColumn("__accepted", (F.col("__chars") <= 1) | F.coalesce(F.col("__entropy") <= F.col("__most"), F.lit(True)))
-    )
+    own = only(docs, ids, docs[id_col])
+    model = fit(own.filter(~_is_held_out(F.col(id_col))), text_col)
+    scored = score(docs, model, text_col, keep_text)
+    held = only(scored, ids, scored[f"doc.{id_col}"]).filter(_is_held_out(F.col(f"doc.{id_col}")))
+    limits = materialize(thresholds(held.select(F.col(f"doc.{lang_col}").alias("lang"), "entropy")), "limits")
+    limits = F.broadcast(limits) if is_small(limits) else limits
+    accepted = (F.col("chars") <= 1) | F.coalesce(F.col("entropy") <= F.col("most"), F.lit(True))
+    return scored.join(limits, F.col(f"doc.{lang_col}") == F.col("of"), "left").drop("of").withColumn("accepted", accepted)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, lang, n_chars (with the end), perplexity, threshold (perplexity), accepted."""
+    """Per document: doc_id, lang, n_symbols (with the end), perplexity, drawn_perplexity, threshold (the largest drawn
+    perplexity that is accepted), accepted."""
     rows = classify(docs.select("doc_id", "text", "lang"), labels, keep_text=False)
     return rows.select(
-        "doc_id",
-        "lang",
-        F.col("__chars").alias("n_symbols"),
-        F.exp(-F.col("__ln_p") / F.col("__chars")).alias("perplexity"),
-        F.exp("__entropy").alias("drawn_perplexity"),
-        F.exp("__most").alias("threshold"),
-        F.col("__accepted").alias("accepted"),
+        "doc.doc_id",
+        "doc.lang",
+        F.col("chars").alias("n_symbols"),
+        F.exp(-F.col("ln_p") / F.col("chars")).alias("perplexity"),
+        F.exp("entropy").alias("drawn_perplexity"),
+        F.exp("most").alias("threshold"),
+        "accepted",
     )

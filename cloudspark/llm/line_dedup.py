@@ -1,18 +1,18 @@
 """Cross-site line deduplication with DataFrame operations only.
 
-A line is boilerplate if it stands on at least ``min_sites`` distinct sites. A HyperLogLog sketch of sites for each
+A line is boilerplate if it stands on at least ``min_sites`` distinct sites, however short or long it is. Of equal texts
+only the least site counts, so copies of one text on many sites keep their lines. A HyperLogLog sketch of sites for each
 line hash is merged by aggregation; lines whose estimate is near the threshold get an exact distinct count. Only
 lines with ``min_sites`` occurrences at least can reach the threshold, so no other line gets a sketch.
 
-All copies of a boilerplate line are removed, with two exceptions: lines of fewer than ``min_words`` words say
-too little to be told from chance, and a document of which more than ``max_share`` of the characters would go is
-itself a copy of other documents: it is left as it is for document deduplication. The SQL fixes both exceptions for the
-query; the pipeline asks for lines of any number of words (``min_words`` of 1), of which those of white space alone do not count, and has no share of a document kept: there a line
-is boilerplate only if it also stands in as many groups of near copies (``independent``), so that what many sites have
-because they copied one text stays, and all other documents lose every boilerplate line.
+All copies of a boilerplate line are removed, from every document. With ``near_copies`` a line must also stand in as many
+groups of near copies (``independent``), so that what many sites have because they copied one text with changes stays.
+
+A text is read once for its line hashes, which all counts work on, and once to be cut.
 
 Defined results: a null text stays null and has no lines; a null site counts as no site; lines are compared without
-leading and trailing blanks; rows with equal texts get equal results; other columns pass through.
+white space (blanks, tabs, carriage returns, form feeds) at either end, and what is then empty is no boilerplate; rows with
+equal texts get equal results; all columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -21,111 +21,116 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudspark.llm import simhash
-from cloudspark.llm.common import BROADCAST_ROWS, lookup, materialize
+from cloudspark.llm.common import is_small, lookup, materialize
 
 MIN_SITES = 8
-MIN_WORDS = 4
-MAX_SHARE = 0.5
 #: Estimates within this share of the threshold are counted exactly.
 NEAR = 0.25
 LG_K = 12
+#: White space at the ends of a line.
+BLANK = " \t\r\v\f"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+def _text_key(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.length(text).alias("n"))
 
 
-def _counts(min_words: int) -> Column:
-    """Whether the line ``raw`` has ``min_words`` words, divided by blanks; for 1, more than white space."""
-    return F.expr(f"size(split(trim(raw), ' +')) >= {min_words}") & (F.lit(min_words > 1) | F.col("raw").rlike(r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]"))
+def line_hashes(docs: DataFrame, text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """(key, site, hashes): of each row its text's key, its site and a hash of each line, null for an empty one."""
 
+    def of(x: Column) -> Column:
+        return F.when(x != "", F.xxhash64(x))
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    trimmed = F.transform(_lines(docs[text_col]), lambda x: F.btrim(x, F.lit(BLANK)))
+    return docs.select(_text_key(docs[text_col]).alias("key"), docs[site_col].cast("string").alias("site"), F.transform(trimmed, of).alias("hashes"))
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (line): hashes of the lines on at least ``min_sites`` distinct sites."""
-    lines = docs.select(F.explode(_lines(F.col(text_col))).alias("raw"), F.col(site_col).alias("site")).filter(
-        _counts(min_words)
-    )
-    lines = lines.filter("site IS NOT NULL").select(_key(F.col("raw")).alias("line"), F.xxhash64("site").alias("site"))
-    often = materialize(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("b")).filter(f"n >= {min_sites} AND (a <> b OR {min_sites} <= 1)").select("line"), "often")
-    pairs = materialize(lines.join(_bounded(often), "line", "left_semi").groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    spread = materialize(pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")), "spread")
-    near = spread.filter((F.col("sites") >= min_sites * (1 - NEAR)) & (F.col("sites") <= min_sites * (1 + NEAR))).select("line")
-    exact = pairs.join(_bounded(near), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).filter(f"sites >= {min_sites}")
-    return materialize(spread.filter(F.col("sites") > min_sites * (1 + NEAR)).select("line").unionByName(exact.select("line")), "boilerplate")
+def boilerplate(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(line, n): hashes of the lines on at least ``min_sites`` distinct sites, and how often they occur there at least.
+    hashed: from ``line_hashes``, materialized."""
+    sited = hashed.filter("site IS NOT NULL AND hashes IS NOT NULL")
+    copied = sited.groupBy("key").agg(F.min("site").alias("first"), F.max("site").alias("last"), F.count(F.lit(1)).alias("n")).filter("first <> last").drop("last")
+    counted = lookup(sited, materialize(copied, "copied"), "key", "n").filter("first IS NULL OR site = first")
+    lines = counted.select(F.explode("hashes").alias("line"), F.xxhash64("site").alias("site")).filter("line IS NOT NULL")
+    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
+    often = materialize(often.filter(f"n >= {min_sites} AND (a <> b OR {min_sites} <= 1)").select("line", "n"), "often")
+    found = lookup(lines, often, "line", "n").filter("n IS NOT NULL").groupBy("line", "site").agg(F.max("n").alias("n"))
+    pairs = materialize(found, "pairs")
+    spread = materialize(pairs.groupBy("line").agg(F.max("n").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")), "spread")
+    near = F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR))
+    open_lines = materialize(spread.filter(near).select(F.col("line").alias("of")), "near")
+    open_lines = F.broadcast(open_lines) if is_small(open_lines) else open_lines
+    exact = pairs.join(open_lines, F.col("line") == F.col("of"), "left_semi").groupBy("line").agg(F.max("n").alias("n"), F.count_distinct("site").alias("sites"))
+    sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR))
+    return materialize(sure.select("line", "n").unionByName(exact.filter(f"sites >= {min_sites}").select("line", "n")), "boilerplate")
 
 
-def independent(docs: DataFrame, bad: DataFrame, text_col: str = "text", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines of ``bad`` that stand in at least ``min_sites`` texts of which no two are near copies of each other."""
-    texts = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = texts.select("doc_id", F.explode(_lines(F.col("text"))).alias("raw")).filter(_counts(min_words))
-    holders = materialize(lines.select("doc_id", _key(F.col("raw")).alias("line")).join(_bounded(bad), "line", "left_semi").distinct(), "holders")
+def independent(docs: DataFrame, hashed: DataFrame, bad: DataFrame, text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows of ``bad`` whose lines stand in at least ``min_sites`` texts of which no two are near copies of each other."""
+    lines = hashed.filter("hashes IS NOT NULL").select(F.col("key.a").alias("doc_id"), F.explode(F.array_distinct("hashes")).alias("line"))
+    holders = materialize(lookup(lines, bad, "line", "n").filter("n IS NOT NULL").distinct(), "holders")
+    texts = docs.select(F.xxhash64(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
     own = materialize(texts.join(holders.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     groups = simhash.similar_groups(own).select("doc_id", "component_id")
-    found = holders.join(groups, "doc_id").groupBy("line").agg(F.count_distinct("component_id").alias("groups"))
-    return materialize(found.filter(f"groups >= {min_sites}").select("line"), "independent")
-
-
-def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
-    """``docs`` with boilerplate lines removed from the text, and ``__removed``: how many lines went.
-
-    max_share: None for boilerplate by groups of near copies and no document left as it is.
-    """
-    bad = boilerplate(docs, text_col, site_col, min_sites, min_words)
-    if max_share is None:
-        bad, max_share = independent(docs, bad, text_col, min_sites, min_words), 1.0
-    text_key = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b"), F.length(text_col).alias("n"))
-    lines = docs.select(text_key.alias("__text"), F.posexplode(_lines(F.col(text_col))).alias("pos", "raw")).filter(
-        _counts(min_words)
-    )
-    hits = lines.withColumn("line", _key(F.col("raw"))).join(_bounded(bad), "line", "left_semi")
-    marked = (
-        hits.groupBy("__text", "pos")
-        .agg(F.max(F.length("raw") + 1).alias("chars"), F.count(F.lit(1)).alias("n"))
-        .groupBy("__text")
-        .agg(F.collect_list("pos").alias("__at"), F.sum("chars").alias("chars"), F.max("n").alias("__n"))
-        .filter(F.col("chars") <= max_share * (F.col("__text.n") + 1))
-        .drop("chars")
-    )
-    rows = lookup(docs.withColumn("__text", text_key), materialize(marked, "marked"), "__text", "__n")
-    kept = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains("__at", i))
-    return (
-        rows.withColumn("__removed", F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at")).cast("long"))
-        .withColumn(text_col, F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .select(*docs.columns, "__removed")
-    )
+    found = holders.join(groups, "doc_id").groupBy("line").agg(F.count_distinct("component_id").alias("groups"), F.max("n").alias("n"))
+    return materialize(found.filter(f"groups >= {min_sites}").select("line", "n"), "independent")
+
+
+def _without(text: Column, at: Column) -> Column:
+    """The text without its lines at the places ``at`` (from 0, in order): the stretches between them."""
+    bounds = F.concat(F.array(F.lit(-1)), at, F.array(F.size(_lines(text))))
+    whole = F.array(F.struct(_lines(text).alias("lines"), bounds.alias("bounds")))  # bound by transform: read at each step
+
+    def stretches(x: Column) -> Column:
+        def between(i: Column) -> Column:
+            a, b = F.get(x["bounds"], i), F.get(x["bounds"], i + 1)
+            return F.slice(x["lines"], a + 2, b - a - 1)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["bounds"]) - 2), between))
+
+    return F.array_join(F.transform(whole, stretches)[0], "\n")
+
+
+def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, near_copies: bool = False) -> DataFrame:
+    """(doc, text, removed): the row as a struct, its text without boilerplate lines, and how many lines went."""
+    hashed = materialize(line_hashes(docs, text_col, site_col), "lines")
+    bad = boilerplate(hashed, min_sites)
+    if near_copies:
+        bad = independent(docs, hashed, bad, text_col, min_sites)
+    places = hashed.filter("hashes IS NOT NULL").select("key", F.posexplode("hashes").alias("pos", "line"))
+    hits = lookup(places, bad, "line", "n").filter("n IS NOT NULL")
+    marked = hits.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text_col].alias("text"), _text_key(docs[text_col]).alias("key"))
+    cut = F.when(F.col("at").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("at")))
+    removed = F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long")
+    return lookup(rows, materialize(marked, "marked"), "key", "n").select("doc", cut.alias("text"), removed.alias("removed"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text_sha256 (of the text that is left; a null text counts as empty)."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")
-    rows = remove(docs.select("doc_id", "text", "source", n_lines.alias("n_lines")))
-    return rows.select("doc_id", "n_lines", F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    rows = remove(docs.select("doc_id", "source", "text", n_lines.alias("n_lines")))
+    return rows.select("doc.doc_id", "doc.n_lines", F.col("removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, row_number() OVER () AS r, string_split(text, chr(10)) AS ls FROM documents
-), one AS (
-  SELECT r, source, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM lines
+  SELECT doc_id, source, text, row_number() OVER () AS r, string_split(text, chr(10)) AS ls FROM documents
 ), keyed AS (
-  SELECT r, source, raw, pos, trim(raw) AS line FROM one
-  WHERE len(string_split_regex(trim(raw), ' +')) >= {MIN_WORDS}
+  SELECT r, source, text, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT r, source, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM lines)
+), home AS (
+  SELECT text, min(source) AS source FROM documents WHERE source IS NOT NULL GROUP BY text
 ), bad AS (
-  SELECT line FROM keyed GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
+  SELECT line FROM keyed JOIN home USING (text) WHERE line <> '' GROUP BY line HAVING count(DISTINCT home.source) >= {MIN_SITES}
 ), hit AS (
-  SELECT r, list(pos) AS gone, sum(length(raw) + 1) AS chars FROM keyed WHERE line IN (SELECT line FROM bad) GROUP BY r
+  SELECT r, list(pos) AS gone FROM keyed WHERE line IN (SELECT line FROM bad) GROUP BY r
 ), marked AS (
-  SELECT l.r, l.doc_id, l.ls,
-         CASE WHEN h.chars <= {MAX_SHARE} * (length(array_to_string(l.ls, chr(10))) + 1) THEN h.gone ELSE [] END AS gone
-  FROM lines l LEFT JOIN hit h ON l.r = h.r
+  SELECT l.doc_id, l.ls, coalesce(h.gone, []) AS gone FROM lines l LEFT JOIN hit h ON l.r = h.r
 )
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(

@@ -6,8 +6,8 @@ within ``radius`` bits are linked; documents of one component are near copies.
 Search: if two fingerprints differ in at most ``radius`` of 64 bits and the bits are cut into ``radius + e`` blocks,
 at least ``e`` blocks are equal. Each distinct fingerprint goes to one shard for each choice of ``e`` blocks; a shard
 holds a BK-tree, whose children are keyed by their Hamming distance to the parent, and a search follows only edges
-within the radius. ``e`` grows with the number of fingerprints, so shards stay small; every choice is exact. A
-shard's tree is built in the task that searches it: to broadcast all trees would send every fingerprint to the driver.
+within the radius. ``e`` grows with the number of fingerprints, so shards stay small; a shard that is large all the same is
+split by blocks of the bits it leaves free, and once more. Every choice is exact. A shard's tree is built in the task that searches it: to broadcast all trees would send every fingerprint to the driver.
 A shard returns a spanning forest of its links, not all pairs.
 
 ``similar_groups`` links texts by the Jaccard similarity of their five-word shingles. Texts of similarity 0.8 differ in
@@ -18,7 +18,8 @@ A shard of more than SPLIT_ROWS texts (they share a frequent passage) is split b
 size by a factor of 1/s at most, so each text goes to two neighbouring bands of that width and no link is lost.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts share a
-fingerprint; a null id is never the smallest id of a component unless all are null; other columns are not read.
+fingerprint; ids may be of any type that has an order; a null id is never the smallest id of a component unless all are
+null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cloudspark.llm.common import BROADCAST_ROWS, lookup, materialize
+from cloudspark.llm.common import is_small, lookup, materialize
 from cloudspark.llm.components import components
 
 RADIUS = 3
@@ -91,7 +93,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, keys: int = KEYS) -> DataFrame:
@@ -112,7 +115,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             columns = [pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(size), pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "key", "fp", "least", "size", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, key long, fp long, least array<long>, size long, sketch binary")
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.LongType(), T.BinaryType())
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, k) for n, k in zip(("key", "fp", "least", "size", "sketch"), kinds, strict=True)]])
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -242,15 +247,53 @@ def shard_keys(equal: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(blocks, equal)]
 
 
-def shards(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, family, block): each distinct fingerprint in its shard of each family."""
+def _bits(bits: list[int]) -> str:
+    """SQL of some bits of a fingerprint, as text: a number for each stretch."""
+    stretches: list[list[int]] = []
+    for b in bits:
+        if stretches and stretches[-1][1] == b:
+            stretches[-1][1] = b + 1
+        else:
+            stretches.append([b, b + 1])
+    return "concat_ws(':', " + ", ".join(f"shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L" for a, b in stretches) + ")"
+
+
+def split_shards(placed: DataFrame, free: dict[str, list[int]], radius: int = RADIUS, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, dict[str, list[int]]]:
+    """(fp, family, block) with shards of more than ``split_rows`` fingerprints split, and the bits that families leave free.
+
+    Fingerprints of one shard differ in the free bits only. These are cut into ``radius + 1`` blocks, of which two
+    fingerprints within the radius have one in common, so each fingerprint goes to so many smaller shards.
+    """
+    large = placed.groupBy("family", "block").count().filter(F.col("count") > split_rows).select("family", "block", F.lit(True).alias("large"))
+    large = materialize(large, "large")
+    after = {}
+    pieces = F.array().cast("array<struct<family:string,block:string>>")
+    for family, bits in free.items():
+        cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+        parts = [bits[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        names = [f"{family}.{i}" for i in range(radius + 1)]
+        after |= {n: [b for b in bits if b not in part] for n, part in zip(names, parts, strict=True)}
+        own = F.array(*[F.struct(F.lit(n).alias("family"), F.concat_ws("/", "block", F.expr(_bits(part))).alias("block")) for n, part in zip(names, parts, strict=True)])
+        pieces = F.when(F.col("family") == family, own).otherwise(pieces)
+    marked = placed.join(F.broadcast(large) if is_small(large) else large, ["family", "block"], "left")
+    whole = F.array(F.struct("family", "block"))
+    return marked.select("fp", F.explode(F.when(F.col("large"), pieces).otherwise(whole)).alias("shard")).select("fp", "shard.*"), free | after
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(fp, family, block): each distinct fingerprint in its shard of each family, large shards split twice."""
     n = distinct.count()
     equal = next(e for e, most in EQUAL_BLOCKS if n <= most)
-    families = [
-        F.struct(F.lit(i).alias("family"), F.concat_ws(":", *[F.expr(f"shiftrightunsigned(fp, {s}) & {m}L") for s, m in blocks]).alias("block"))
-        for i, blocks in enumerate(shard_keys(equal, radius))
-    ]
-    return distinct.select("fp", F.explode(F.array(*families)).alias("shard")).select("fp", "shard.*")
+    families, free = [], {}
+    for i, blocks in enumerate(shard_keys(equal, radius)):
+        own = [b for shift, mask in blocks for b in range(shift, shift + mask.bit_length())]
+        free[str(i)] = [b for b in range(64) if b not in own]
+        families.append(F.struct(F.lit(str(i)).alias("family"), F.expr(_bits(own)).alias("block")))
+    placed = distinct.select("fp", F.explode(F.array(*families)).alias("shard")).select("fp", "shard.*")
+    for _ in range(2):
+        placed, free = split_shards(placed, free, radius, split_rows)
+        placed = materialize(placed, "placed")
+    return placed
 
 
 def size_bands(placed: DataFrame, similarity: float = SIMILARITY, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -319,10 +362,9 @@ def _grouped(rows: DataFrame, distinct: DataFrame, found: DataFrame, node: str)
     """doc_id, fp, component_id and component_size. distinct: (node, low, n), one for each node. found: links of nodes."""
     roots = components(found).withColumnRenamed("node", node)
     linked = distinct.join(roots, node)
-    whole = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
+    whole = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("nodes"))
     several = (
-        linked.select(node, "root", "n")
-        .join(whole, "root")
+        lookup(linked.select(node, "root", "n"), materialize(whole, "whole"), "root", "nodes")
         .select(node, "component_id", "component_size", "n")
         .unionByName(
             distinct.filter("n > 1")
@@ -376,5 +418,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     dropped = similar_groups(docs, id_col, text_col, shingle, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
     dropped = materialize(dropped.toDF("__copy"), "copies")
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    dropped = F.broadcast(dropped) if is_small(dropped) else dropped
     return docs.join(dropped, docs[id_col] == F.col("__copy"), "left_anti")

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cloudspark.llm import components, decontaminate, exact_dedup, hmm, kneser_ney, line_dedup, pii_crf, secret_scan, simhash, sp_codec, wrappers
 
@@ -38,6 +39,11 @@ def test_exact_dedup(docs):
     top = {t: max((x for x in v if x is not None), default=None) for t, v in by.items()}
     assert got == {(i, top[t], len(by[t]), i == top[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in T}
     assert exact_dedup.deduplicate(docs).count() == len(by)
+    hashed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    for cells, words in ((64, 1 << 20), (1, 4), (64, 4)):  # also so small that most cells are shared
+        rows = exact_dedup.flag_possible_repeats(hashed, cells, 2, words).groupBy("text_sha256").agg(F.min("maybe").alias("maybe"), F.count("*").alias("n")).collect()
+        assert all(r.maybe for r in rows if r.n > 1)
+    assert sum(r.maybe for r in exact_dedup.flag_possible_repeats(hashed).collect()) < docs.count()
     assert exact_dedup.decide(docs.limit(0)).count() == 0
 
 
@@ -56,6 +62,27 @@ def test_simhash(docs):
             part[i] = min(part[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= 3)
     assert part == {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
     assert simhash.digest(docs.limit(0)).count() == 0
+    text_ids = docs.select(F.col("doc_id").cast("string"), "text")
+    assert simhash.digest(text_ids).schema["component_id"].dataType.simpleString() == "string" and simhash.digest(text_ids).count() == docs.count()
+
+
+def test_large_shards_are_split_without_loss(spark):
+    rng = random.Random(9)
+    near = [0]
+    for _ in range(300):  # many fingerprints that share blocks, in chains
+        near.append(rng.choice(near) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    values = sorted({x - (1 << 64) if x >> 63 else x for x in [*near, *(rng.getrandbits(16) << 48 for _ in range(300))]})
+    table = simhash.materialize(spark.createDataFrame([(v,) for v in values], "fp long"), "fps")
+    want = {v: v for v in values}
+    far = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    for _ in range(40):
+        new = {v: min(want[u] for u in values if far(u, v) <= 3) for v in values}
+        if new == want:
+            break
+        want = new
+    for rows in (1 << 20, 8):
+        found = {r.node: r.root for r in components.components(simhash.links(simhash.shards(table, split_rows=rows))).collect()}
+        assert {v: found.get(v, v) for v in values} == want
 
 
 def test_forest_connects_what_brute_force_connects():
@@ -87,16 +114,18 @@ def test_decontamination(spark, docs):
     T = texts_of(docs)
     for r in decontaminate.digest(docs, bench).collect():
         w = words(T[r.doc_id])
-        if len(w) > 1000:
-            continue
         hit, own = set(), set()
         for i, win in wins:
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
-                    own |= {i} - {None}
+            if win[0] in w:
+                for k in range(len(w) - len(win) + 1):
+                    if w[k] == win[0] and tuple(w[k : k + len(win)]) == win:
+                        hit |= set(range(k, k + len(win)))
+                        own |= {i} - {None}
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(own))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+    whole, blocks = ({(r.doc.doc_id, r.found.n_hit, *r.found["items"]) for r in decontaminate.find(docs, bench, max_nodes=n).collect()} for n in (1 << 20, 25))
+    assert whole == blocks
+    assert decontaminate.digest(docs.limit(0), bench).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
     row = decontaminate.spans(docs.filter("doc_id = 3"), bench).first()
     assert [row.text[s.start : s.end] for s in row.spans] == ["One"]
@@ -126,18 +155,55 @@ def test_secrets_of_one_letter_case_with_separators(spark):
 def test_window_entropy(spark):
     from pyspark.sql import functions as F
 
-    for s in ("a" * 25, "q7Rz2Lw9Xv4Tn8Bm3Kp6Jd1", "abcdefghijklmnopqrst", "aab" * 9):
-        got = spark.range(1).select(secret_scan.max_entropy(F.lit(s))).first()[0]
-        want = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
-        assert abs(got - want) < 1e-9
+    rng, signs = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    strings = ["a" * 25, "q7Rz2Lw9Xv4Tn8Bm3Kp6Jd1", "abcdefghijklmnopqrst", "aab" * 9]
+    strings += ["".join(rng.choices(signs[:k], k=n)) for k in (2, 5, 16, 67) for n in (20, 21, 40, 700)]
+    want = [max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)) for s in strings]
+    rows = spark.createDataFrame(list(zip(strings, want, strict=True)), "s string, want double")
+    assert rows.filter(F.abs(secret_scan.max_entropy(F.col("s")) - F.col("want")) > 1e-9).count() == 0
+
+
+def test_long_candidates_take_linear_time(spark):
+    import time
+
+    def run(n):
+        text = "see " + "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", k=n))
+        table = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").coalesce(1)
+        began = time.time()
+        assert {r.spans for r in secret_scan.digest(table).collect()} == {f"entropy:4:{4 + n}", ""}
+        return time.time() - began
+
+    run(20_000)
+    assert run(300_000) < 60 and secret_scan.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def line_copies(rows, sites):
+    """Brute force: hashes of the texts that are left."""
+    home = {}
+    for _, text, site in rows:
+        if text is not None and site is not None:
+            home[text] = min(home.get(text, site), site)
+    strip = lambda x: x.strip(" \t\r\v\f")
+    seen = collections.defaultdict(set)
+    for text, site in home.items():
+        for x in text.split("\n"):
+            seen[strip(x)].add(site)
+    bad = {x for x, own in seen.items() if x and len(own) >= sites}
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if strip(x) not in bad) for i, t, _ in rows}
 
 
 def test_lines(spark):
+    """Lines on fewer sites, as many, and far more; short ones; repeats in a text; copies of one text on many sites."""
     line = "all rights reserved by us"
-    rows = [(i, f"text number {i} is here\n{line}\n{'y' * 60}", f"s{i}") for i in range(9)] + [(20, line, "s1"), (21, None, None), (22, "", "s2")]
-    got = {r.doc_id: r for r in line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[i]["__removed"] == 1 and line not in got[i].text for i in range(9))
-    assert got[20].text == line and got[21].text is None and got[22].text == ""  # a text that would go whole is left
+    rows = [(i, f"text number {i} is here\n{line}\r\nLes.\n \n{'many' if i < 40 else 'few'}\nLes.\nend {i}", f"s{i % 23}") for i in range(60)]
+    rows += [(100 + i, f"own {i}\nexactly eight\n\t", f"s{i}") for i in range(8)] + [(200 + i, f"own again {i}\nonly seven", f"s{i}") for i in range(7)]
+    rows += [(300 + i, "one whole text\non many sites", f"s{i}") for i in range(20)] + [(400, line, "s1"), (401, None, None), (402, "", "s2"), (403, line, None), (404, "x\n" * 20_000 + line, "s3")]
+    rows += [(500 + i, "few\nno site", None) for i in range(20)]
+    table = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], "doc_id long, text string, source string, at string, key string, line string, n string")
+    got = {r.doc.doc_id: r.text for r in line_dedup.remove(table).collect()}
+    assert got == line_copies(rows, 8)
+    assert {r.doc_id: r.text_sha256 for r in line_dedup.digest(table).collect()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in got.items()}
+    assert line_dedup.digest(table.limit(0)).count() == 0
 
 
 def test_pipeline_removes_short_lines(spark):
@@ -205,11 +271,57 @@ def test_baum_welch_raises_the_likelihood():
     assert hmm.log_likelihood(model, texts).sum() > first
 
 
-def test_kneser_ney_is_a_distribution():
-    codes, n = np.unique(np.concatenate([kneser_ney.grams(t) for t in BASE]), return_counts=True)
-    table, _ = kneser_ney.log_table(codes.astype(np.int64), n)
-    p = np.exp(table.reshape(-1, kneser_ney.CLASSES)[:: 997].astype(np.float64))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def kneser_ney_model(texts):
+    """Brute force with plain dictionaries: probability of a symbol after three others."""
+    seen = {4: collections.Counter()}
+    for t in texts:
+        own = ["^"] * 3 + list(t or "") + ["$"]
+        seen[4].update(tuple(own[i : i + 4]) for i in range(len(own) - 3))
+    for k in (3, 2, 1):
+        seen[k] = collections.Counter(g[1:] for g in seen[k + 1])
+    cut = {k: [0, *kneser_ney.discounts(collections.Counter(c.values()))] for k, c in seen.items()}
+    after = {k: collections.defaultdict(dict) for k in seen}
+    for k, c in seen.items():
+        for g, n in c.items():
+            after[k][g[:-1]][g[-1]] = n
+
+    def p(context, x):
+        lower = p(context[1:], x) if context else 1 / (len(seen[1]) + 1)
+        own = after[len(context) + 1].get(context)
+        if not own:
+            return lower
+        d, total, n = cut[len(context) + 1], sum(own.values()), own.get(x, 0)
+        return (n - d[min(n, 3)] + sum(d[min(m, 3)] for m in own.values()) * lower) / total
+
+    return p, {x for (x,) in seen[1]}
+
+
+def test_kneser_ney(spark, docs):
+    """Against plain dictionaries, with all grams broadcast, some of them and nearly none; probabilities sum to one."""
+    trained = [t for t in BASE[:12]] + [None, "ß日本 日本"]
+    p, alphabet = kneser_ney_model(trained)
+    for context in [("^",) * 3, ("^", "^", "a"), ("a", "b", " "), ("z", "z", "z"), ("日", "本", " ")]:
+        assert abs(sum(p(context, x) for x in alphabet) + p(context, "unknown") - 1) < 1e-9
+    model = kneser_ney.fit(spark.createDataFrame([(t,) for t in trained], "text string"))
+    few = docs.filter("doc_id <> 5 OR doc_id IS NULL")
+    want = {}
+    for i, t in texts_of(few).items():
+        own = ["^"] * 3 + list(t) + ["$"]
+        want[i] = sum(math.log(p(tuple(own[k : k + 3]), own[k + 3])) for k in range(len(t) + 1))
+    for hot, bits in ((kneser_ney.HOT, 1 << 16), (300, 1 << 16), (1, 64)):
+        rows = kneser_ney.score(few, model, hot=hot, cold_bits=bits).collect()
+        assert all(abs(r.ln_p - want[r.doc.doc_id]) < 1e-6 * (1 + abs(r.ln_p)) and r.chars == len(r.doc.text or "") + 1 for r in rows)
+        assert len(rows) == few.count() and set(rows[0].doc.asDict()) == set(docs.columns)
+    nothing = kneser_ney.fit(spark.createDataFrame([], "text string"))
+    assert all(r.ln_p < 0 for r in kneser_ney.score(few, nothing).collect())
+
+
+def test_table_of_keys():
+    rng = np.random.default_rng(5)
+    key, value = np.unique(rng.integers(0, 1 << 63, 5_000, np.uint64) & np.uint64(0xFFFF0000000001FF)), rng.random(5_000)
+    table = kneser_ney.Table(key, value[: len(key)])
+    got, found = table.find(np.concatenate([key, key + np.uint64(1 << 20)]))
+    assert found[: len(key)].all() and not found[len(key) :].any() and (got[: len(key)] == value[: len(key)]).all() and not got[len(key) :].any()
 
 
 def test_quality(spark):
@@ -220,6 +332,9 @@ def test_quality(spark):
     got = {r.doc_id: r.accepted for r in kneser_ney.digest(docs, labels).collect()}
     assert got == {r[0]: r[0] != 100 for r in rows}
     assert all(r.accepted for r in kneser_ney.digest(docs, labels.limit(0)).collect())
+    assert kneser_ney.digest(docs.limit(0), labels).count() == 0
+    clash = docs.withColumn("of", docs["lang"]).withColumn("cold", docs["lang"]).withColumn("row", docs["lang"])
+    assert set(kneser_ney.classify(clash, labels).select("doc.*").columns) == set(clash.columns)
 
 
 def test_sentencepiece(docs):
@@ -235,6 +350,56 @@ def test_sentencepiece(docs):
     assert all(sp_codec.parity(data, ["", " ", "a  b ", "<s> x", "\x00\n日本 🙂", "▁", "▁▁a"]))
 
 
+def message(*parts):
+    """A protobuf message of (number, value): bytes, text, float or int."""
+    import struct
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    out = b""
+    for number, value in parts:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            data = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(data)) + data
+    return out
+
+
+def test_unigram_model_with_byte_fallback(spark, tmp_path):
+    """Scores written by hand, no training: ids equal those of the sentencepiece library, and decode to the text."""
+    import sentencepiece
+
+    rng = random.Random(2)
+    pieces = [("<unk>", 0.0, sp_codec.UNKNOWN), ("<s>", 0.0, sp_codec.CONTROL), ("</s>", 0.0, sp_codec.CONTROL)]
+    pieces += [(f"<0x{i:02X}>", 0.0, sp_codec.BYTE) for i in range(256)]
+    own = {x for w in WORDS for i in range(len(w)) for j in range(i + 1, len(w) + 1) for x in (w[i:j], sp_codec.MARK + w[:j])} | {sp_codec.MARK, *"abcdeé"}
+    pieces += [(x, -rng.uniform(1, 14) - len(x), sp_codec.NORMAL) for x in sorted(own)]
+    spec = message((3, sp_codec.UNIGRAM), (35, 1), (40, 0))
+    data = b"".join(message((1, message((1, p), (2, s), (3, k)))) for p, s, k in pieces) + message((2, spec), (3, message((1, "identity"), (3, 1), (4, 0), (5, 1))))
+    other = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["", "a", " a  b", "日本 🙂 x\n", *BASE[:20]]
+    codec = sp_codec.Codec(data)
+    got = [np.frombuffer(x, "<i4").tolist() for x, _ in codec.encode(texts)]
+    assert got == [other.encode(x) for x in texts] and all(ok for _, ok in codec.encode(texts, verify=True))
+    assert [codec.decode(np.array(x, "<i4").tobytes()) for x in got] == texts
+    (tmp_path / "unigram.model").write_bytes(data)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["__code"].parity and r["__code"].round_trip for r in sp_codec.check(table, path=str(tmp_path / "unigram.model")).collect())
+
+
+def test_memory_of_segments_is_bounded(monkeypatch):
+    monkeypatch.setattr(sp_codec, "CACHE_BYTES", 20_000)
+    codec = sp_codec.Codec(sp_codec.read_model())
+    texts = [" ".join(f"w{i * 50 + j}" for j in range(50)) for i in range(40)] + ["z" * 100_000]
+    first = [x for x, _ in codec.encode(texts)]
+    assert [x for t in texts for x, _ in codec.encode([t])] == first
+    assert len(codec.cache) + len(codec.older) < 200 and max(map(len, codec.cache)) <= sp_codec.CACHE_CHARS
+
+
 def test_pii_rules_and_field(spark):
     al = "a1@.+- (9%5"
     for _ in range(2000):
@@ -264,6 +429,54 @@ def test_pages(spark):
     assert folded == ["ul", "+(li # /li)", "/ul"]
 
 
+def test_names_of_classes():
+    """Names count as a whole; those that say what an element is not or has do not; the article's surroundings stay."""
+    cases = {
+        '<article class="post no-comments"><p>body</p></article>': "body",
+        '<div class="content with-sidebar"><p>body</p></div>': "body",
+        '<main><div class="post-share-enabled"><p>body</p></div></main>': "body",
+        '<article><div class="entry-header"><h1>Head</h1></div><p>body</p></article>': "Head\n\nbody",
+        '<article><section class="header"><h1>Head</h1></section><p>body</p></article>': "Head\n\nbody",
+        '<article class="teaser"><p>short</p></article><div><p>the long story</p></div>': "the long story",
+        '<div class="widget"><article><p>body</p></article></div>': "body",
+        '<article><p>body</p><div class="comments-area"><p>much longer than the body is</p></div><div class=share-buttons>s</div></article>': "body",
+    }
+    assert {h: wrappers.extract(h) for h in cases} == cases
+
+
+def test_wrappers_change_what_is_read(spark):
+    """Template text in and beside the article and menus of links go; copies of one page and optional parts stay."""
+    inside = "<body><article><h1>{0}</h1><p>Follow our channel</p><p>{1}</p></article></body>"
+    menu = "<body><div><p><a href=x>Home {0}</a></p><p><a href=y>News {0}</a></p><p><a href=y>More {0}</a></p></div><div>Site</div><div><p>{1}</p><p>{1} again</p></div></body>"
+    rows, want = [], {}
+    for i in range(6):
+        long = f"the story of page {i} " * 8
+        rows += [(i, f"https://in.example/{i}", inside.format(f"Title {i}", long)), (10 + i, f"https://menu.example/{i}", menu.format(i, long)), (20 + i, f"https://copy.example/{i}", inside.format("Same", "text") + "<!-- %d -->" % i)]
+        own = " ".join(long.split())
+        want |= {i: f"Title {i}\n\n{own}", 10 + i: f"{own}\n\n{own} again", 20 + i: "Same\n\nFollow our channel\n\ntext"}
+    rows += [(40, None, inside.format("a", "b")), (41, "/no/host", inside.format("a", "c"))]
+    want |= {40: "a\n\nFollow our channel\n\nb", 41: "a\n\nFollow our channel\n\nc"}
+    table = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "page_id long, url string, html string, host string, wrapper string, weight string")
+    assert {r.page_id: r.text for r in wrappers.digest(table).collect()} == want
+    without = {r[0]: wrappers.extract(r[2]) for r in rows}
+    assert [i for i in want if want[i] != without[i]] == [i for i in want if i < 20]
+    assert wrappers.digest(table.limit(0)).count() == 0
+
+
+def test_alignment_takes_linear_time():
+    import time
+
+    rng = random.Random(6)
+    a = [rng.choice(["p", "#", "/p", f"x{rng.randrange(9_000)}"]) for _ in range(60_000)]
+    b = [x if rng.random() < 0.8 else rng.choice(["p", "#", "y"]) for x in a]
+    began = time.time()
+    pairs = wrappers.matches(a, b)
+    assert time.time() - began < 10 and len(pairs) > 40_000
+    assert all(a[i] == b[k] for i, k in pairs) and all(i < j and k < m for (i, k), (j, m) in zip(pairs, pairs[1:]))
+    same = [str(i % 7) for i in range(30_000)]
+    assert all(x == y for x, y in ((same[i], same[::-1][k]) for i, k in wrappers.matches(same, same[::-1])))
+
+
 def test_wrappers_of_all_pages_by_place(spark):
     """A text counts as a template's only if all pages of the host have it, and only in its place."""
     page = "<body><div>Head</div><h2>{0}</h2><p>{1}</p></body>"
