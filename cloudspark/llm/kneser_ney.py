@@ -40,7 +40,7 @@ HELD_OUT = 4
 QUANTILE = 0.995
 SLACK = 1.08
 #: Characters at the trusted mean that are added to each text.
-PRIOR_CHARS = 60
+PRIOR_CHARS = 100
 #: Histogram bins for one nat.
 BINS = 1000
 #: Code points that no text has: what stands before a text, and its end.
