@@ -42,14 +42,19 @@ def parse(args: list[str]) -> tuple[list[str], dict, set[str]]:
 def load(spark: SparkSession, path: str, settings: dict, non_uniform: bool) -> DataFrame:
     """The cloud with tile_id and pos: the tiles of a list, or median tiles of at most ``ns`` points, ties aside."""
     if path.endswith(".list"):
-        return points.read_tiles(spark, path, fc=settings["fc"], non_uniform=non_uniform).withColumn("pos", F.col("id"))
+        cloud = materialize(points.read_tiles(spark, path, fc=settings["fc"], non_uniform=non_uniform), "cloud")
+        if (repeated := cloud.groupBy("id").count().filter("count > 1").first()) is not None:
+            raise SystemExit(f"id {repeated.id} is not unique over the tiles of {path}")
+        return cloud.withColumn("pos", F.col("id"))
     cloud = materialize(points.read_points(spark, path, fc=settings["fc"], non_uniform=non_uniform), "cloud")
-    tiles = tiling.kd_tiles(cloud, tiling.levels_for(cloud.count(), settings["ns"]))
-    return tiles.withColumns({"tile_id": F.col("tile").cast("string"), "pos": F.col("id")}).drop("tile")
+    levels = tiling.levels_for(cloud.count(), settings["ns"])
+    tiles = tiling.kd_tiles(cloud, levels)
+    return tiling.tile_names(tiles, "tile", levels).withColumn("pos", F.col("id")).drop("tile")
 
 
 def cluster(spark: SparkSession, path: str, out: str, settings: dict, switches: set[str]) -> None:
-    """Writes points, facilities, facility lists and the client map; nothing that exists is overwritten.
+    """Writes points, facilities, facility lists, the client map and, unless FILE is a tile list, the tiles and their list,
+    which a later call can start from; nothing that exists is overwritten.
 
     Planes use neighbours on both sides of a tile's border; clusters never cross it.
     """
@@ -62,6 +67,8 @@ def cluster(spark: SparkSession, path: str, out: str, settings: dict, switches:
     p = facility.Params(norm=settings["norm"], fc=settings["fc"], lam=settings["lambda"], bin=settings["bin"], mju=settings["mju"], power=settings["l"])
     found = materialize(facility.cluster(cloud, p).select("id", "fid"), "assignment")
     own = cloud.select(*sinks.POINT).join(found.filter("id = fid").select("id"), "id")
+    if not path.endswith(".list"):
+        sinks.write_tiles(cloud, out, "tiles")
     sinks.write(sinks.point_lines(cloud), f"{out}/points")
     sinks.write(sinks.facility_lines(own), f"{out}/facilities")
     sinks.write(sinks.id_lines(stats.facility_lists(found)), f"{out}/facility_ids")

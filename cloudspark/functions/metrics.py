@@ -7,6 +7,8 @@ logarithms and arc functions are guarded, so no expression raises an error or gi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 TINY = "1.17549435e-38"
 
 
@@ -117,14 +119,18 @@ KERNELS = {
 }
 DISTANCES = {"l1": l1, "l2": l2, "l22": l22, "ell": ell}
 NAMES = (*DISTANCES, "geo", *KERNELS)
+#: A metric of one's own: SQL from the prefixes of two points, lam, mju and power.
+Metric = Callable[[str, str, float, float, float], str]
 
 
-def metric(name: str, a: str = "a", b: str = "o", lam: float = 0.5, mju: float = 0.95, power: float = 1.0) -> str:
-    """The named distance or pseudometric.
+def metric(name: str | Metric, a: str = "a", b: str = "o", lam: float = 0.5, mju: float = 0.95, power: float = 1.0) -> str:
+    """The named distance or pseudometric, or what a function makes of the prefixes and settings.
 
     A pseudometric mixes its kernel with the distance D by ``mju``; beyond ``lam`` a penalty ``mju * (D - lam)**power``
     is added, at D = lam too.
     """
+    if callable(name):
+        return name(a, b, lam, mju, power)
     if name in DISTANCES:
         return DISTANCES[name](a, b)
     d = l2(a, b)

@@ -6,6 +6,7 @@ The result depends on the order of the points, so each tile is one fold in a gro
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,10 +33,26 @@ class Params:
     open_end: bool = False
     #: What is added beyond lam: a power of the excess, or (older revisions, for abn) the exponent itself.
     constant_penalty: bool = False
+    #: A metric of one's own instead of ``norm``, symmetric: from points a and b, dictionaries of arrays, and these settings.
+    metric: Callable[[dict, dict, Params], np.ndarray] | None = None
+
+
+#: Settings of older revisions; the first one has two folds that differ in how they keep their notes only.
+REVISIONS = {
+    "v0": {"candidate_mode": "flat", "reach": 3.0, "open_end": True, "constant_penalty": True},
+    "v1": {"candidate_mode": "grid", "reach": 3.0, "open_end": True, "constant_penalty": True},
+}
+
+
+def revision(name: str, **settings) -> Params:
+    """Settings of an older revision, with others of one's own."""
+    return Params(**(REVISIONS[name] | settings))
 
 
 def distances(p: Params, a: dict, b: dict) -> np.ndarray:
     """The metric between one point and many (or many and many), as NumPy; the twin of ``functions.metrics``."""
+    if p.metric:
+        return p.metric(a, b, p)
     dx, dy, dz = (a[c] - b[c] for c in "xyz")
     if p.norm == "l1":
         return np.abs(dx) + np.abs(dy) + np.abs(dz)

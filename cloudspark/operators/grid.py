@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,17 +65,43 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["cx", "cy", "cz"]).withColumn("d", F.expr(l2())).filter(F.col("d") <= radius).drop("cx", "cy", "cz")
 
 
-def snake_rank(n: int) -> str:
-    """Rank of a bin when rows of bins are run through in turns from left and right, as SQL over i, j, k."""
-    lr1, rl1 = f"i*{n}+j+1+k*{n * n}", f"(i+1)*{n}-j+k*{n * n}"
-    lr2, rl2 = f"{n}*({n}-i-1)+1+j+k*{n * n}", f"{n}*({n}-i)-j+k*{n * n}"
-    return f"CASE WHEN k%2=0 THEN CASE WHEN i%2=0 THEN {lr1} ELSE {rl1} END ELSE CASE WHEN i%2=0 THEN {rl2} ELSE {lr2} END END"
+def serpentine(layer: Column, row: Column, column: Column, n: int) -> Column:
+    """Rank, from 1, of a cell of ``n`` rows and columns on a path that turns at the end of each row and of each layer.
+
+    Rows are walked backwards on odd layers, columns backwards on every other row walked.
+    """
+    walked = F.when(layer % 2 == 0, row).otherwise(n - 1 - row)
+    step = F.when((layer + row) % 2 == 0, column).otherwise(n - 1 - column)
+    return (layer * n + walked) * n + step + 1
+
+
+def serpentine_bins(points: DataFrame, n: int) -> DataFrame:
+    """``points`` with ``bin``, its rank on the path through ``n`` bins an axis: layers by z, rows by y, columns by x. All
+    points are in bin 1 if an axis has no extent."""
+    box = extents(points).drop("n")
+    flat = reduce(lambda a, b: a | b, [F.col(f"{c}max") == F.col(f"{c}min") for c in AXES])
+
+    def place(c: str) -> Column:
+        part = (F.col(c) - F.col(f"{c}min")) / F.nullif(F.col(f"{c}max") - F.col(f"{c}min"), F.lit(0.0))
+        return F.when(flat, 0).otherwise(F.floor(part * (0.99 * n))).cast("long")
+
+    return points.join(F.broadcast(box)).select(*points.columns, serpentine(place("z"), place("y"), place("x"), n).alias("bin"))
+
+
+def with_index_by_count(points: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
+    """As ``with_index``, by the number of bins of each axis."""
+    e = extents(points).drop("n")
+    cols = []
+    for c, n in zip(AXES, (nx, ny, nz), strict=True):
+        span = F.col(f"{c}max") - F.col(f"{c}min")
+        at = F.when(span == 0, 0).otherwise(F.floor((F.col(c) - F.col(f"{c}min")) / F.nullif(span, F.lit(0.0)) * (0.99 * n))).cast("long")
+        cols.append(at.alias(f"i{c}"))
+    out = points.join(F.broadcast(e)).select(*points.columns, *cols)
+    return out.withColumn("cell", F.col("ix") + F.col("iy") * nx + F.col("iz") * (nx * ny))
 
 
-def snake_bins(points: DataFrame, n: int) -> DataFrame:
-    """``points`` with ``bin``, its rank in the order of ``snake_rank``; all in bin 1 if an axis has no extent."""
+def locate(queries: DataFrame, points: DataFrame, size: float) -> DataFrame:
+    """``queries`` with ix, iy, iz in the grid of ``points``; -1 on an axis along which a query lies outside."""
     e = extents(points).drop("n")
-    flat = "xmax=xmin OR ymax=ymin OR zmax=zmin"
-    at = {k: f"CASE WHEN {flat} THEN 0 ELSE cast(floor(0.99*{n}*({c}-{c}min)/nullif({c}max-{c}min,0)) as bigint) END" for k, c in (("i", "y"), ("j", "x"), ("k", "z"))}
-    placed = points.join(F.broadcast(e)).select(*points.columns, *[F.expr(v).alias(k) for k, v in at.items()])
-    return placed.withColumn("bin", F.expr(snake_rank(n)).cast("long")).drop("i", "j", "k")
+    out = queries.join(F.broadcast(e))
+    return out.select(*queries.columns, *[F.coalesce(F.expr(index(c, size)), F.lit(-1).cast("long")).alias(f"i{c}") for c in AXES])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudspark.functions.metrics import eigen_steps
+from cloudspark.functions.metrics import angle, eigen_steps
 
 COV = {"xx": ("x", "x"), "xy": ("x", "y"), "xz": ("x", "z"), "yy": ("y", "y"), "yz": ("y", "z"), "zz": ("z", "z")}
 
@@ -27,37 +27,73 @@ def with_eigenvalues(cov: DataFrame, out: str = "l") -> DataFrame:
 
 def neighbourhoods(points: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Rows (qid, x, y, z) of each point's neighbours."""
+    if {"x", "y", "z"} <= set(neighbours.columns):
+        return neighbours.select("qid", "x", "y", "z")
     return neighbours.select("qid", F.col("nid").alias("id")).join(points.select("id", "x", "y", "z"), "id").drop("id")
 
 
-PLANE = "qid long, na double, nb double, nc double, nw double, l1 double, l2 double, l3 double, t1 double, t2 double, t3 double"
+PLANE = "qid long, na double, nb double, nc double, nw double, l1 double, l2 double, l3 double, t1 double, t2 double, t3 double, height double"
 
 
-def _fit(batches):
-    """Planes from covariances, a batch of 3 x 3 matrices at once; the normal's last non-zero part is positive."""
-    for pdf in batches:
-        m = pdf[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
-        values, vectors = np.linalg.eigh(m)
-        normal, tangent = vectors[:, :, 0], vectors[:, :, 2]
-        big = np.where(np.abs(normal) > 1e-12, normal, 0)
-        lead = np.where(big[:, 2] != 0, big[:, 2], np.where(big[:, 1] != 0, big[:, 1], big[:, 0]))
-        normal = normal * np.where(lead < 0, -1, 1)[:, None]
-        d = -(normal * pdf[["mx", "my", "mz"]].to_numpy(float)).sum(1)
-        values = np.maximum(values[:, ::-1], 0)
-        yield pd.DataFrame(np.column_stack([normal, d, values, tangent]), columns=["na", "nb", "nc", "nw", "l1", "l2", "l3", "t1", "t2", "t3"]).assign(qid=pdf["qid"].to_numpy())[[c.split()[0] for c in PLANE.split(", ")]]
+def fit_planes(xyz: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Planes of groups of points that lie one after the other: normal, offset, eigenvalues, tangent and height as columns.
+
+    The normal's last non-zero part is positive. The height is the least extent along the three principal axes.
+    """
+    n = np.diff(np.append(starts, len(xyz)))
+    group = np.repeat(np.arange(len(n)), n)
+    mean = np.add.reduceat(xyz, starts) / n[:, None]
+    off = xyz - mean[group]
+    cov = np.add.reduceat(off[:, :, None] * off[:, None, :], starts) / np.maximum(n - 1, 1)[:, None, None]
+    values, axes = np.linalg.eigh(cov)
+    normal, tangent = axes[:, :, 0], axes[:, :, 2]
+    big = np.where(np.abs(normal) > 1e-12, normal, 0)
+    lead = np.where(big[:, 2] != 0, big[:, 2], np.where(big[:, 1] != 0, big[:, 1], big[:, 0]))
+    normal = normal * np.where(lead < 0, -1, 1)[:, None]
+    along = np.einsum("ij,ijk->ik", off, axes[group])
+    height = (np.maximum.reduceat(along, starts) - np.minimum.reduceat(along, starts)).min(1)
+    return np.column_stack([normal, -(normal * mean).sum(1), np.maximum(values[:, ::-1], 0), tangent, height])
 
 
 def planes(points: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """For each point (qid) its plane na, nb, nc, nw, eigenvalues, tangent and ``height``: the least extent along an axis."""
-    near = neighbourhoods(points, neighbours)
-    fitted = covariance(near, "qid").mapInPandas(_fit, PLANE)
-    heights = (
-        near.join(fitted, "qid")
-        .select("qid", F.expr("x*na+y*nb+z*nc").alias("u"), F.expr("x*t1+y*t2+z*t3").alias("v"), F.expr("x*(nb*t3-nc*t2)+y*(nc*t1-na*t3)+z*(na*t2-nb*t1)").alias("w"))
-        .groupBy("qid")
-        .agg(F.least(*[F.max(c) - F.min(c) for c in "uvw"]).alias("height"))
-    )
-    return fitted.join(heights, "qid")
+    """For each point (qid) its plane na, nb, nc, nw, eigenvalues, tangent and ``height``, in one pass over its neighbours,
+    whose number the search has bounded."""
+    names = [c.split()[0] for c in PLANE.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            if not len(lists):
+                continue
+            flat = lists.flatten()
+            xyz = np.column_stack([c.to_numpy(zero_copy_only=False) for c in flat.flatten()])
+            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, fit_planes(xyz, starts).T)], names=names)
+
+    near = neighbourhoods(points, neighbours).groupBy("qid").agg(F.collect_list(F.struct("x", "y", "z")).alias("near"))
+    return near.mapInArrow(run, PLANE)
+
+
+def svd_planes(points: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Planes as older revisions fit them, by singular values of the centred neighbours: qid, na, nb, nc, nw, ``sigma`` (the
+    least singular value) and ``var`` (its share of all three). Fewer than three neighbours have the default plane, the
+    normal along x, with sigma and var 0. The squares of singular values are the scatter's eigenvalues."""
+    counts = neighbours.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    fitted = planes(points, neighbours).join(counts, "qid")
+    size = {i: F.sqrt(F.col(f"l{i}") * (F.col("n") - 1)) for i in (1, 2, 3)}
+    var = size[3] / F.nullif(size[1] + size[2] + size[3], F.lit(0.0))
+    rows = fitted.select("qid", "n", "na", "nb", "nc", "nw", size[3].alias("sigma"), F.coalesce(var, F.lit(0.0)).alias("var"))
+    default = {"na": 1.0, "nb": 0.0, "nc": 0.0, "nw": 0.0, "sigma": 0.0, "var": 0.0}
+    return rows.select("qid", *[F.when(F.col("n") < 3, F.lit(o)).otherwise(F.col(c)).alias(c) for c, o in default.items()])
+
+
+def angle_spread(planes: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(id, spread): the largest distance of a neighbour times the sine of half the angle of normals (older revisions).
+    neighbours: with d2; planes: qid and the normal."""
+    a = planes.select(F.col("qid").alias("id"), *[F.col(f"n{c}").alias(f"an{c}") for c in "abc"])
+    b = planes.select(F.col("qid").alias("nid"), *[F.col(f"n{c}").alias(f"on{c}") for c in "abc"])
+    pairs = neighbours.select(F.col("qid").alias("id"), "nid", "d2").join(a, "id").join(b, "nid")
+    return pairs.groupBy("id").agg(F.max(F.sqrt("d2") * F.sin(F.expr(angle()) / 2)).alias("spread"))
 
 
 def recomputed_cost(fc: str = "fc", height: str = "height") -> str:

@@ -6,7 +6,9 @@ function, one group for each tile.
 
 from __future__ import annotations
 
+import math
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudspark.functions.metrics import curvature
+from cloudspark.operators.knn import knn
 
 FEATURES = ("curv", "tx", "ty", "tz", "nx", "ny", "nz")
 
@@ -32,6 +35,32 @@ def edge_points(points: DataFrame, planes: DataFrame, least: float) -> DataFrame
     return points.join(features(planes), "id").filter(F.col("curv") > least)
 
 
+def _angle_between(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    """Angle of two vectors without direction, between 0 and a right angle, as SQL; 0 if one has no length."""
+    dot = "+".join(f"{x}*{y}" for x, y in zip(a, b, strict=True))
+    size = "*".join(f"sqrt({'+'.join(f'{x}*{x}' for x in v)})" for v in (a, b))
+    return f"(CASE WHEN {size} = 0 THEN 0.0 ELSE acos(least(1.0, abs({dot})/nullif({size}, 0))) END)"
+
+
+def similarity(a: str = "a", b: str = "o") -> dict[str, str]:
+    """``dcurv``, ``abt`` and ``abn``: difference of curvatures, angles of tangents and of normals, as SQL over the features of
+    two points or regions with these prefixes."""
+    vector = lambda p, v: tuple(f"{p}{v}{c}" for c in "xyz")
+    return {"dcurv": f"abs({a}curv-{b}curv)", "abt": _angle_between(vector(a, "t"), vector(b, "t")), "abn": _angle_between(vector(a, "n"), vector(b, "n"))}
+
+
+def same_region(angle: float, distance: float | None = None, a: str = "a", b: str = "o", gap: str = "gap") -> str:
+    """Whether two are of one region: the angle of tangents and, if asked for, the distance ``gap`` are below the limits."""
+    near = f" AND {gap} < {distance}" if distance is not None else ""
+    return f"({similarity(a, b)['abt']} < {angle}{near})"
+
+
+def same_edge(curvature_limit: float, angle: float, a: str = "a", b: str = "o") -> str:
+    """The rule of older revisions: difference of curvatures and angle of normals are below the limits."""
+    s = similarity(a, b)
+    return f"({s['dcurv']} < {curvature_limit} AND {s['abn']} < {angle})"
+
+
 @dataclass
 class Rule:
     k: int = 10
@@ -40,25 +69,26 @@ class Rule:
     min_points: int = 10
     merge_distance: float = 0.1  # largest Hausdorff distance of regions that merge
     stop_at_merge: bool = True  # as the original: the scan ends with the first merge
+    curvature: float = 0.1  # largest difference of curvatures (fixed rule)
+    first_only: bool = False  # fixed rule: the first revision ends with the first region
+    #: Whether features (curvature, tangent, normal) of a region or point and of a point fit; by default the angle of tangents.
+    fits: Callable[[np.ndarray, np.ndarray], bool] | None = None
 
 
-def _angle(a: np.ndarray, b: np.ndarray) -> float:
-    size = float(np.linalg.norm(a[1:4]) * np.linalg.norm(b[1:4]))
-    return float(np.arccos(min(1.0, abs(float(a[1:4] @ b[1:4])) / size))) if size else 0.0
+def _angle(a: np.ndarray, b: np.ndarray, first: int = 1) -> float:
+    u, v = a[first : first + 3], b[first : first + 3]
+    size = math.sqrt(float(u @ u) * float(v @ v))
+    return math.acos(min(1.0, abs(float(u @ v)) / size)) if size else 0.0
 
 
-def _neighbours(xyz: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest of each point, itself included, ties by place; in blocks of bounded size."""
-    out, k = [], min(k, len(xyz))
-    for i in range(0, len(xyz), 256):
-        d = ((xyz[i : i + 256, None] - xyz[None]) ** 2).sum(2)
-        out.append(np.argsort(d, 1, kind="stable")[:, :k])
-    return np.concatenate(out)
+def _like(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
+    return rule.fits(a, b) if rule.fits else _angle(a, b) < rule.angle
 
 
 def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of a the distance to the nearest of b."""
-    return np.sqrt(np.array([((b - x) ** 2).sum(1).min() for x in a]))
+    """For each row of a the distance to the nearest of b, in blocks of bounded size."""
+    step = max(1, (1 << 20) // max(1, len(b)))
+    return np.concatenate([np.sqrt(((a[i : i + step, None] - b[None]) ** 2).sum(2).min(1)) for i in range(0, len(a), step)])
 
 
 class _Region:
@@ -76,9 +106,10 @@ class _Region:
         self.points = self.points + other.points
 
 
-def grow(xyz: np.ndarray, f: np.ndarray, rule: Rule) -> list[list[int]]:
-    """Breadth-first regions of like tangents; a finished region merges with like regions close to it."""
-    near, seen, regions = _neighbours(xyz, rule.k), np.zeros(len(xyz), bool), []
+def grow(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule) -> list[list[int]]:
+    """Breadth-first regions of like tangents; a finished region merges with like regions close to it. near: for each point
+    the places of its neighbours, nearest first."""
+    seen, regions = np.zeros(len(xyz), bool), []
     for i in range(len(xyz)):
         if seen[i]:
             continue
@@ -89,11 +120,11 @@ def grow(xyz: np.ndarray, f: np.ndarray, rule: Rule) -> list[list[int]]:
                 continue
             seen[at] = True
             region.add(at, f[at])
-            queue.extend(j for j in near[at] if not seen[j] and _angle(region.mean, f[j]) < rule.angle)
+            queue.extend(j for j in near[at] if not seen[j] and _like(rule, region.mean, f[j]))
         if len(region.points) <= rule.min_points:
             continue
         own = xyz[region.points]
-        like = [r for r in regions if _angle(region.mean, r.mean) < rule.angle and max(_gap(own, xyz[r.points]).max(), _gap(xyz[r.points], own).max()) < rule.merge_distance]
+        like = [r for r in regions if _like(rule, region.mean, r.mean) and max(_gap(own, xyz[r.points]).max(), _gap(xyz[r.points], own).max()) < rule.merge_distance]
         for r in reversed(like):
             region.take(r)
         regions = [r for r in regions if r not in like] + [region]
@@ -102,14 +133,14 @@ def grow(xyz: np.ndarray, f: np.ndarray, rule: Rule) -> list[list[int]]:
     return [r.points for r in regions]
 
 
-def grow_dynamic(xyz: np.ndarray, f: np.ndarray, rule: Rule) -> list[list[int]]:
+def grow_dynamic(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule) -> list[list[int]]:
     """Regions take near points of like tangents; on contact with another region they go over to it."""
-    near, seen = _neighbours(xyz, rule.k), np.zeros(len(xyz), bool)
+    seen = np.zeros(len(xyz), bool)
     regions: list[_Region] = []
     owner: dict[int, int] = {}
 
     def fits(r: _Region, j: int) -> bool:
-        return bool(r.points) and _angle(r.mean, f[j]) < rule.angle and _gap(xyz[[j]], xyz[r.points])[0] < rule.distance
+        return bool(r.points) and _like(rule, r.mean, f[j]) and _gap(xyz[[j]], xyz[r.points])[0] < rule.distance
 
     for i in range(len(xyz)):
         if seen[i]:
@@ -139,15 +170,51 @@ def grow_dynamic(xyz: np.ndarray, f: np.ndarray, rule: Rule) -> list[list[int]]:
     return [r.points for r in regions]
 
 
-def grow_regions(edges: DataFrame, rule: Rule, dynamic: bool = False) -> DataFrame:
-    """(tile_id, region_id, id, ord) of the regions grown over edge points (tile_id, id, x, y, z and features)."""
-    by = grow_dynamic if dynamic else grow
+def grow_fixed(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule, edge: np.ndarray) -> list[list[int]]:
+    """The rule of older revisions: from each point in turn, edge points that fit the point before them; nothing merges. A seed
+    need not be an edge point."""
+
+    def fits(a: np.ndarray, b: np.ndarray) -> bool:
+        return rule.fits(a, b) if rule.fits else abs(a[0] - b[0]) < rule.curvature and _angle(a, b, 4) < rule.angle
+
+    seen, regions = np.zeros(len(xyz), bool), []
+    for i in range(len(xyz)):
+        if seen[i]:
+            continue
+        seen[i] = True
+        region = [i]
+        for at in region:  # grows while it is read
+            for j in near[at]:
+                if not seen[j] and edge[j] and fits(f[at], f[j]):
+                    seen[j] = True
+                    region.append(j)
+        if len(region) > rule.min_points:
+            regions.append(region)
+            if rule.first_only:
+                break
+    return regions
+
+
+def grow_regions(edges: DataFrame, rule: Rule, how: str = "static") -> DataFrame:
+    """(tile_id, region_id, id, ord) of the regions grown over points (tile_id, id, x, y, z and features) of each tile.
+
+    Neighbours are the k nearest of the same tile, found by the search on the grid. how: ``static``, ``dynamic``, or ``fixed``,
+    which takes all points and a column ``edge`` that says which of them are edge points.
+    """
+    near = knn(edges.select("id", *"xyz", "tile_id"), rule.k, by="tile_id").groupBy("tile_id", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "nid"))).alias("near"))
+    near = near.select("tile_id", F.col("qid").alias("id"), F.transform("near", lambda x: x["nid"]).alias("near"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        found = by(pdf[["x", "y", "z"]].to_numpy(float), pdf[list(FEATURES)].to_numpy(float), rule)
         ids, tile = pdf["id"].to_numpy(), pdf["tile_id"].iloc[0]
+        xyz, f = pdf[["x", "y", "z"]].to_numpy(float), pdf[list(FEATURES)].to_numpy(float)
+        places = [np.searchsorted(ids, x) for x in pdf["near"]]
+        if how == "fixed":
+            found = grow_fixed(xyz, f, places, rule, pdf["edge"].to_numpy(bool))
+        else:
+            found = (grow_dynamic if how == "dynamic" else grow)(xyz, f, places, rule)
         rows = [(tile, r, int(ids[i]), o) for r, region in enumerate(found) for o, i in enumerate(region)]
         return pd.DataFrame(rows, columns=["tile_id", "region_id", "id", "ord"])
 
-    return edges.groupBy("tile_id").applyInPandas(run, "tile_id string, region_id long, id long, ord long")
+    rows = edges.join(near, ["tile_id", "id"])
+    return rows.groupBy("tile_id").applyInPandas(run, "tile_id string, region_id long, id long, ord long")

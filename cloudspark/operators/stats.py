@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cloudspark.functions.metrics import l2, metric, slope
 from cloudspark.operators.grid import radius_join
+from cloudspark.operators.knn import knn
 from cloudspark.operators.planes import COV, with_eigenvalues
+from cloudspark.plans.storage import materialize
 
 GEOMETRY = ("x", "y", "z", "na", "nb", "nc", "nw", "l1", "l2", "l3")
 
@@ -76,14 +78,19 @@ def facility_lists(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("fid").agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.when(F.col("id") != F.col("fid"), F.col("id"))))).alias("clients"))
 
 
-def region_distances(points: DataFrame) -> DataFrame:
-    """(ra, rb, h): for each point of ra the least distance to rb, the largest of these (directed Hausdorff).
+def point_region_distances(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, region, d): for each query (id, x, y, z, region) the least distance to the points of that region."""
+    near = knn(points.select("id", *"xyz", "region"), 1, queries.select("id", *"xyz", "region"), by="region")
+    return near.select(F.col("qid").alias("id"), "region", F.sqrt("d2").alias("d"))
+
 
-    Compares all points of two regions, as the definition does; regions are meant to be small edge sets.
-    """
-    a = points.select(F.col("region").alias("ra"), F.col("id").alias("aid"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    b = points.select(F.col("region").alias("rb"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    nearest = a.join(b, F.col("ra") != F.col("rb")).groupBy("ra", "rb", "aid").agg(F.min(F.expr(l2())).alias("d"))
+def region_distances(points: DataFrame) -> DataFrame:
+    """(ra, rb, h, gap): for each point of ra the least distance to rb; the largest (directed Hausdorff) and the least of
+    these. A search of the nearest point for each point and region, not a comparison of all pairs of points."""
+    regions = points.select(F.col("region").alias("rb")).distinct()
+    asked = points.select("id", *"xyz", F.col("region").alias("ra")).join(F.broadcast(regions), F.col("ra") != F.col("rb"))
+    found = point_region_distances(asked.select("id", *"xyz", F.col("rb").alias("region")), points)
+    nearest = found.join(points.select("id", F.col("region").alias("ra")), "id").withColumnRenamed("region", "rb")
     return nearest.groupBy("ra", "rb").agg(F.max("d").alias("h"), F.min("d").alias("gap"))
 
 
@@ -99,3 +106,36 @@ def export_clusters(points: DataFrame, members: DataFrame, centroids: DataFrame)
     known = centroids.join(xyz.select(F.col("id").alias("cid")), "cid", "left_semi")
     rows = known.select("cid", F.lit(0).cast("long").alias("ord"), F.col("cid").alias("id")).unionByName(members.join(known, "cid", "left_semi").select("cid", "ord", "id"))
     return rows.join(xyz, "id").select("cid", "ord", "id", "x", "y", "z")
+
+
+def scatter_stats(points: DataFrame, assignment: DataFrame) -> DataFrame:
+    """fid, asp, dim of older revisions: eigenvalues of the clients' scatter, not their covariance. The aspect is the second
+    by the first, -1 without clients or extent; the dimension counts shares of 0.01 and more, 0 without extent."""
+    rows = links(points, assignment)
+    moments = [(F.coalesce(F.covar_pop(f"o{a}", f"o{b}"), F.lit(0.0)) * F.count(F.lit(1))).alias(k) for k, (a, b) in COV.items()]
+    shaped = with_eigenvalues(rows.groupBy("fid").agg(*moments), "e")
+    total = F.col("e1") + F.col("e2") + F.col("e3")
+    share = lambda c: F.col(c) / F.nullif(total, F.lit(0.0))
+    dim = F.when(total <= 0, 0).when(share("e1") < 0.01, 0).when(share("e2") < 0.01, 1).when(share("e3") < 0.01, 2).otherwise(3)
+    asp = F.when(F.col("e1") <= 0, -1.0).otherwise(F.col("e2") / F.nullif("e1", F.lit(0.0)))
+    own = assignment.filter("id = fid").select("fid")
+    return own.join(shaped.select("fid", asp.alias("asp"), dim.alias("dim")), "fid", "left").fillna({"asp": -1.0, "dim": 0})
+
+
+def overlap_all(points: DataFrame, assignment: DataFrame) -> DataFrame:
+    """fid, over of the first revision: clients of all other facilities nearer than the cluster's radius, however far the
+    facility is. The largest radius bounds the search."""
+    largest = links(points, assignment).agg(F.max(F.expr(l2()))).first()[0]
+    return overlap(points, assignment, float(largest or 1.0))
+
+
+def sort_by(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """``rows`` (id and others) with ``ord``, their rank by the ``column`` of ``values`` (id and others), largest first, and by
+    id. A range partitioning orders the rows; ranks follow from the partitions' sizes."""
+    joined = rows.join(values.select("id", F.col(column).alias("__by")), "id")
+    ordered = joined.repartitionByRange(F.desc("__by"), "id").sortWithinPartitions(F.desc("__by"), "id")
+    numbered = materialize(ordered.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "ordered")
+    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    before = sizes.withColumn("before", F.expr("sum(n) OVER (ORDER BY __part) - n")).drop("n")
+    out = numbered.join(F.broadcast(before), "__part")
+    return out.select(*rows.columns, (F.col("__row") - F.col("first") + F.col("before") + 1).alias("ord"))

@@ -1,12 +1,14 @@
 """Queries over the driver's tables for each operator, and their SQL for another engine.
 
-The cloud is made of ``embeddings``: point = elements 1 to 3, plane = 4 to 7, eigenvalues = 8 to 10 by size, region = label.
+The SQL is written from the definitions and shares no expression with the operators: metrics by their formulas, neighbours
+by comparing all pairs, eigenvalues by Newton's method, ranks of bins by sorting them. The cloud is made of ``embeddings``: point = elements 1 to 3, plane = 4 to 7, eigenvalues = 8 to 10 by size, region = label.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(*[F.expr(e).alias(n) for n, e in _CLOUD.items()])
 
 
+CLOUD_SQL = CLOUD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def r6(e: str) -> str:
     return f"(round({e}, 6) + 0.0)"
 
@@ -102,6 +107,13 @@ def cloud_parse_widths_ids(spark, sf_dir):
     return source.parse_points(_width_lines(spark, sf_dir), multiplier=2.0, non_uniform=True, with_ids=True)
 
 
+@query("SELECT id AS pos, concat(id, ' x', id % 3, ' 1') AS value FROM cloud WHERE id % 4 = 1")
+def rejected_rows(spark, sf_dir):
+    """Rows of a known width with a token that is no number; those of another width are not rejected but skipped."""
+    text = "CASE id % 4 WHEN 0 THEN concat(id, ' 1 2') WHEN 1 THEN concat(id, ' x', id % 3, ' 1') WHEN 2 THEN 'a b' ELSE '' END"
+    return source.bad_rows(cloud(spark, sf_dir).select(F.col("id").alias("pos"), F.expr(text).alias("value")))
+
+
 def _cluster_text(spark, sf_dir) -> DataFrame:
     """Lines of a cluster file: every tenth point is a head, followed by the nine after it."""
     c = cloud(spark, sf_dir).select("id")
@@ -141,8 +153,9 @@ def bbox(spark, sf_dir):
 
 
 _BOX = ", box AS (SELECT " + ", ".join(f"{k}({c}) AS {c}{k}" for c in "xyz" for k in ("min", "max")) + " FROM cloud)"
-_N = {c: grid.bins(f"{c}min", f"{c}max", BIN) for c in "xyz"}
-_INDEXED = _BOX + ", indexed AS (SELECT id, " + ", ".join(f"{grid.index(c, BIN)} AS i{c}, {_N[c]} AS n{c}" for c in "xyz") + " FROM cloud, box)"
+_COUNTS = ", ".join(f"cast(greatest(1, ceil(({c}max - {c}min) / {BIN})) as bigint) AS n{c}" for c in "xyz")
+_PLACE = ", ".join(f"cast(floor((p.{c} - {c}min) / ({c}max - {c}min) * n{c} * 0.99) as bigint) AS i{c}" for c in "xyz")
+_INDEXED = f"{_BOX}, counts AS (SELECT *, {_COUNTS} FROM box), indexed AS (SELECT p.id, {_PLACE}, nx, ny FROM cloud p, counts)"
 
 
 @query(f"{_INDEXED} SELECT id, ix, iy, iz FROM indexed")
@@ -150,12 +163,12 @@ def grid_index3d(spark, sf_dir):
     return grid.with_index(cloud(spark, sf_dir), BIN).select("id", "ix", "iy", "iz")
 
 
-@query(f"{_INDEXED} SELECT id, ix + iy*nx + iz*nx*ny AS cell FROM indexed")
+@query(f"{_INDEXED} SELECT id, ix + nx * (iy + ny * iz) AS cell FROM indexed")
 def grid_index1d(spark, sf_dir):
     return grid.with_index(cloud(spark, sf_dir), BIN).select("id", "cell")
 
 
-@query(f"{_INDEXED} SELECT ix + iy*nx + iz*nx*ny AS cell, count(*) AS n FROM indexed GROUP BY 1")
+@query(f"{_INDEXED} SELECT ix + nx * (iy + ny * iz) AS cell, count(*) AS n FROM indexed GROUP BY 1")
 def grid_occupancy(spark, sf_dir):
     return grid.with_index(cloud(spark, sf_dir), BIN).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
@@ -167,18 +180,39 @@ def grid_adjacent27(spark, sf_dir):
     return rows.join(grid.spread(counts, ("ix", "iy", "iz")), ["ix", "iy", "iz"]).groupBy("id").agg(F.sum("m").alias("n"))
 
 
-_SNAKE = {k: f"CASE WHEN xmax=xmin OR ymax=ymin OR zmax=zmin THEN 0 ELSE cast(floor(0.99*5*({c}-{c}min)/nullif({c}max-{c}min,0)) as bigint) END" for k, c in (("i", "y"), ("j", "x"), ("k", "z"))}
+_BY_COUNT = {"x": 7, "y": 4, "z": 3}
+_AT = ", ".join(f"cast(floor({0.99 * n} * (p.{c} - {c}min) / ({c}max - {c}min)) as bigint) AS i{c}" for c, n in _BY_COUNT.items())
+
+
+@query(f"{_BOX} SELECT id, ix, iy, iz, ix + 7 * iy + 28 * iz AS cell FROM (SELECT p.id, {_AT} FROM cloud p, box)")
+def grid_by_count(spark, sf_dir):
+    return grid.with_index_by_count(cloud(spark, sf_dir), *_BY_COUNT.values()).select("id", "ix", "iy", "iz", "cell")
+
+
+_MOVED = ", ".join(f"CASE WHEN p.{c} + 0.25 > {c}max THEN -1 ELSE cast(floor((p.{c} + 0.25 - {c}min) / ({c}max - {c}min) * n{c} * 0.99) as bigint) END AS i{c}" for c in "xyz")
+
+
+@query(f"{_BOX}, counts AS (SELECT *, {_COUNTS} FROM box) SELECT p.id, {_MOVED} FROM cloud p, counts")
+def grid_outside(spark, sf_dir):
+    """Points moved by a quarter, of which some leave the grid."""
+    c = cloud(spark, sf_dir)
+    return grid.locate(c.select("id", *[(F.col(a) + 0.25).alias(a) for a in "xyz"]), c, BIN).select("id", "ix", "iy", "iz")
+
+
+_LAYERS = ", ".join(f"cast(floor((p.{c} - {c}min) / ({c}max - {c}min) * 4.95) as bigint) AS {n}" for c, n in (("z", "layer"), ("y", "line"), ("x", "col")))
 
 
-@query(f"{_BOX}, placed AS (SELECT id, {', '.join(f'{e} AS {k}' for k, e in _SNAKE.items())} FROM cloud, box) SELECT id, cast({grid.snake_rank(5)} as bigint) AS bin FROM placed")
+@query(f"""{_BOX}, axis AS (SELECT unnest(range(5)) AS i), walk AS (SELECT a.i AS layer, b.i AS line, c.i AS col,
+  row_number() OVER (ORDER BY a.i, CASE WHEN a.i % 2 = 0 THEN b.i ELSE -b.i END, CASE WHEN (a.i + b.i) % 2 = 0 THEN c.i ELSE -c.i END) AS bin FROM axis a, axis b, axis c)
+SELECT id, bin FROM (SELECT p.id, {_LAYERS} FROM cloud p, box) JOIN walk USING (layer, line, col)""")
 def bin_order(spark, sf_dir):
-    return grid.snake_bins(cloud(spark, sf_dir), 5).select("id", "bin")
+    return grid.serpentine_bins(cloud(spark, sf_dir), 5).select("id", "bin")
 
 
 # joins
 
 _PAIR = ", ".join(f"p.{c} AS a{c}, q.{c} AS o{c}" for c in "xyz")
-_NEAR = f", near AS (SELECT aid, oid, {M.l2()} AS d FROM (SELECT p.id AS aid, q.id AS oid, {_PAIR} FROM cloud p, cloud q))"
+_NEAR = f", near AS (SELECT p.id AS aid, q.id AS oid, sqrt((p.x - q.x)^2 + (p.y - q.y)^2 + (p.z - q.z)^2) AS d FROM cloud p, cloud q)"
 
 
 @query(f"{_NEAR} SELECT aid AS id, count(*) AS n, {r6('sum(d)')} AS d FROM near WHERE d <= {RADIUS} GROUP BY aid")
@@ -194,13 +228,13 @@ _RANKED = f"SELECT qid, nid, {r6('d2')} AS d2, cast(rank as integer) AS rank FRO
 
 @query(f"{_KNN} {_RANKED} WHERE rank <= {K}")
 def knn_topk(spark, sf_dir):
-    return rounded(knn(cloud(spark, sf_dir), K), "d2")
+    return rounded(knn(cloud(spark, sf_dir), K).select("qid", "nid", "d2", "rank"), "d2")
 
 
 @query(f"{_KNN} {_RANKED} WHERE rank <= qid % 7 + 1")
 def knn_per_query_k(spark, sf_dir):
     c = cloud(spark, sf_dir)
-    return rounded(knn(c, "k", c.withColumn("k", F.col("id") % 7 + 1)), "d2")
+    return rounded(knn(c, "k", c.withColumn("k", F.col("id") % 7 + 1)).select("qid", "nid", "d2", "rank"), "d2")
 
 
 @query(f"{_KNN} SELECT qid AS id, min_by(nid, rank) AS nid, {r6('sqrt(min(d2))')} AS d FROM knn WHERE rank <= 2 AND qid <> nid GROUP BY qid")
@@ -211,10 +245,24 @@ def nearest_neighbor(spark, sf_dir):
 
 # planes and shapes
 
-_MOMENTS = "count(*) AS n, " + ", ".join(f"avg({c}) AS m{c}" for c in "xyz") + ", " + ", ".join(f"coalesce(covar_samp({a}, {b}), 0.0) AS {k}" for k, (a, b) in planes.COV.items())
-_EIGEN = ", ".join(f"{e} AS l{i}" for i, e in enumerate(M.eigenvalues(), 1))
-_COV = f", cov AS (SELECT region, {_MOMENTS} FROM cloud GROUP BY region), eig AS (SELECT *, {_EIGEN} FROM cov)"
-_COV_NAMES = ("mx", "my", "mz", *planes.COV)
+_AXES = ("xx", "xy", "xz", "yy", "yz", "zz")
+_MOMENTS = "count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, " + ", ".join(f"coalesce(covar_samp({k[0]}, {k[1]}), 0.0) AS {k}" for k in _AXES)
+
+
+def _eigen(source: str, key: str) -> str:
+    """CTE ``eig``: eigenvalues l1 to l3 of the covariances in ``source``, roots of the characteristic polynomial: Newton's
+    method runs down to the largest root and up to the least."""
+    f, slope = "((({0} - tr) * {0} + c1) * {0} - c0)", "((3 * {0} - 2 * tr) * {0} + c1)"
+    step = lambda x: f"CASE WHEN {slope.format(x)} = 0 THEN {x} ELSE {x} - {f.format(x)} / nullif({slope.format(x)}, 0) END"
+    return f""", poly AS (SELECT {key}, xx + yy + zz AS tr, xx*yy - xy*xy + xx*zz - xz*xz + yy*zz - yz*yz AS c1,
+  xx*yy*zz + 2*xy*yz*xz - xx*yz*yz - yy*xz*xz - zz*xy*xy AS c0 FROM {source}),
+newton AS (SELECT {key}, tr, c1, c0, 0 AS k, tr AS high, 0.0::DOUBLE AS low FROM poly
+  UNION ALL SELECT {key}, tr, c1, c0, k + 1, {step("high")}, {step("low")} FROM newton WHERE k < 60),
+eig AS (SELECT s.*, high AS l1, tr - high - low AS l2, low AS l3 FROM {source} s JOIN newton w ON s.{key} = w.{key} AND w.k = 60)"""
+
+
+_COV = f", cov AS (SELECT region, {_MOMENTS} FROM cloud GROUP BY region)" + _eigen("cov", "region")
+_COV_NAMES = ("mx", "my", "mz", *_AXES)
 
 
 @query(f"{_COV} SELECT region, n, {', '.join(f'{r6(c)} AS {c}' for c in _COV_NAMES)} FROM cov")
@@ -228,48 +276,104 @@ def eigenvalues(spark, sf_dir):
 
 
 _SHAPES = {"linearity": M.linearity(""), "planarity": M.planarity(""), "sphericity": M.sphericity(""), "omnivariance": M.omnivariance(""), "anisotropy": M.anisotropy(""), "curvature": M.curvature(""), "entropy": M.entropy("")}
+_SHAPES_SQL = {
+    "linearity": "1 - l2/l1", "planarity": "(l2 - l3)/l1", "sphericity": "l3/l1", "omnivariance": "cbrt(l1*l2*l3)", "anisotropy": "1 - l3/l1",
+    "curvature": "l3/(l1 + l2 + l3)", "entropy": "-l1*ln(l1) - l2*ln(l2) - l3*ln(l3)",
+}
 
 
-@query(f"{_COV} SELECT region, {', '.join(f'{r6(e)} AS {n}' for n, e in _SHAPES.items())} FROM eig")
+@query(f"{_COV} SELECT region, {', '.join(f'{r6(e)} AS {n}' for n, e in _SHAPES_SQL.items())} FROM eig")
 def shape_features(spark, sf_dir):
     out = planes.with_eigenvalues(planes.covariance(cloud(spark, sf_dir), "region"))
     return rounded(out.select("region", *[F.expr(e).alias(n) for n, e in _SHAPES.items()]), *_SHAPES)
 
 
-_LOCAL = f"{_KNN}, own AS (SELECT qid, {_MOMENTS} FROM knn JOIN cloud ON nid = id WHERE rank <= {K} GROUP BY qid), eig AS (SELECT *, {_EIGEN} FROM own)"
+_LOCAL = f"{_KNN}, own AS (SELECT qid, {_MOMENTS} FROM knn JOIN cloud ON nid = id WHERE rank <= {K} GROUP BY qid)" + _eigen("own", "qid")
 
 
-@query(f"{_LOCAL} SELECT qid AS id, {r6(M.curvature(''))} AS curv FROM eig WHERE {M.curvature('')} > {EDGE}")
+@query(f"{_LOCAL} SELECT qid AS id, {r6('l3/(l1 + l2 + l3)')} AS curv FROM eig WHERE l3/(l1 + l2 + l3) > {EDGE}")
 def curvature_edges(spark, sf_dir):
     c = cloud(spark, sf_dir)
     return rounded(regions.edge_points(c.select("id"), planes.planes(c, knn(c, K)), EDGE).select("id", "curv"), "curv")
 
 
+@query(f"{_LOCAL} SELECT qid AS id, {r6('l3/(l1 + l2 + l3)')} AS curv, row_number() OVER (ORDER BY {r6('l3/(l1 + l2 + l3)')} DESC, qid) AS ord FROM eig WHERE l3/(l1 + l2 + l3) > {EDGE}")
+def curvature_queue(spark, sf_dir):
+    """Edge points by curvature, largest first."""
+    c = cloud(spark, sf_dir)
+    edges = regions.edge_points(c.select("id"), planes.planes(c, knn(c, K)), EDGE).select("id", "curv")
+    edges = materialize(rounded(edges, "curv"), "edges")
+    return stats.sort_by(edges, edges, "curv")
+
+
+@query("SELECT id, region, row_number() OVER (ORDER BY height DESC, id) AS ord FROM cloud")
+def sort_by_column(spark, sf_dir):
+    """One table by a column of another."""
+    c = cloud(spark, sf_dir)
+    return stats.sort_by(c.select("id", "region"), c.select("id", "height"), "height")
+
+
 def _planes(spark, sf_dir) -> DataFrame:
     c = cloud(spark, sf_dir)
     return planes.planes(c, knn(c, K))
 
 
-@query(f"{_LOCAL} SELECT qid AS id, {', '.join(f'{r6(c)} AS {c}' for c in ('l1', 'l2', 'l3'))}, cast(1.0 as double) AS unit, cast(0.0 as double) AS off FROM eig")
+@query(f"{_LOCAL} SELECT qid AS id, {', '.join(f'{r6(c)} AS {c}' for c in ('l1', 'l2', 'l3'))}, cast(1.0 as double) AS unit, cast(0.0 as double) AS off, cast(0.0 as double) AS bent FROM eig")
 def plane_normal(spark, sf_dir):
-    """Signs of normals have no meaning; shown are their length and how far the plane is from the centroid."""
+    """Eigenvalues; of the normal n its length, how far the plane is from the centroid, and the largest part of C n - l3 n, where
+    C is the neighbours' covariance: no other direction than the normal's gives 0."""
     c = cloud(spark, sf_dir)
     near = materialize(knn(c, K), "knn")
-    centre = planes.neighbourhoods(c, near).groupBy("qid").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
-    out = planes.planes(c, near).join(centre, "qid").select(F.col("qid").alias("id"), "l1", "l2", "l3", F.expr("sqrt(na*na+nb*nb+nc*nc)").alias("unit"), F.expr("abs(mx*na+my*nb+mz*nc+nw)").alias("off"))
-    return rounded(out, "l1", "l2", "l3", "unit", "off")
+    rows = planes.planes(c, near).join(planes.covariance(planes.neighbourhoods(c, near), "qid"), "qid")
+    turned = [f"abs({a}*na+{b}*nb+{d}*nc-l3*n{n})" for a, b, d, n in (("xx", "xy", "xz", "a"), ("xy", "yy", "yz", "b"), ("xz", "yz", "zz", "c"))]
+    off = {"unit": "sqrt(na*na+nb*nb+nc*nc)", "off": "abs(mx*na+my*nb+mz*nc+nw)", "bent": f"greatest({', '.join(turned)})"}
+    return rounded(rows.select(F.col("qid").alias("id"), "l1", "l2", "l3", *[F.expr(e).alias(n) for n, e in off.items()]), "l1", "l2", "l3", *off)
 
 
-@query()
+def _axis(value: str, name: str) -> str:
+    """Unit eigenvector of an eigenvalue: the longest cross product of two rows of C - value I."""
+    rows = (f"(xx-{value})", "xy", "xz"), ("xy", f"(yy-{value})", "yz"), ("xz", "yz", f"(zz-{value})")
+    cross = lambda u, v: [f"{u[(i + 1) % 3]}*{v[(i + 2) % 3]} - {u[(i + 2) % 3]}*{v[(i + 1) % 3]}" for i in range(3)]
+    found = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    listed = ", ".join(f"{{'s': ({a})^2 + ({b})^2 + ({c})^2, 'x': {a}, 'y': {b}, 'z': {c}}}" for a, b, c in found)
+    return f"list_max([{listed}]) AS {name}"
+
+
+_AXES_SQL = f""", two AS (SELECT qid, {_axis("l3", "n")}, {_axis("l1", "t")} FROM eig),
+three AS (SELECT qid, n, t, {{'s': n.s * t.s, 'x': n.y*t.z - n.z*t.y, 'y': n.z*t.x - n.x*t.z, 'z': n.x*t.y - n.y*t.x}} AS w FROM two),
+along AS (SELECT knn.qid, {", ".join(f"(x*{a}.x + y*{a}.y + z*{a}.z)/sqrt({a}.s) AS {a}" for a in "ntw")} FROM knn JOIN cloud ON nid = id JOIN three ON three.qid = knn.qid WHERE rank <= {K})"""
+
+
+@query(f"{_LOCAL}{_AXES_SQL} SELECT qid AS id, {r6('least(max(n) - min(n), max(t) - min(t), max(w) - min(w))')} AS height FROM along GROUP BY qid")
 def pca_height(spark, sf_dir):
     return rounded(_planes(spark, sf_dir).select(F.col("qid").alias("id"), "height"), "height")
 
 
-@query(f"SELECT id, {r6(planes.recomputed_cost('(fc*0.01)', 'height'))} AS fc FROM cloud")
+@query(f"{_LOCAL} SELECT qid AS id, {r6('sqrt(9 * l3)')} AS sigma, {r6('sqrt(l3)/(sqrt(l1) + sqrt(l2) + sqrt(l3))')} AS var FROM eig")
+def svd_plane(spark, sf_dir):
+    c = cloud(spark, sf_dir)
+    return rounded(planes.svd_planes(c, materialize(knn(c, K), "knn")).select(F.col("qid").alias("id"), "sigma", "var"), "sigma", "var")
+
+
+_SINE = "sqrt(greatest(0, (1 - abs(p.na*q.na + p.nb*q.nb + p.nc*q.nc) / (sqrt(p.na^2 + p.nb^2 + p.nc^2) * sqrt(q.na^2 + q.nb^2 + q.nc^2))) / 2))"
+
+
+@query(f"{_KNN} SELECT qid AS id, {r6(f'max(sqrt(d2) * {_SINE})')} AS spread FROM knn JOIN cloud p ON p.id = qid JOIN cloud q ON q.id = nid WHERE rank <= {K} GROUP BY qid")
+def angle_spread(spark, sf_dir):
+    c = cloud(spark, sf_dir)
+    return rounded(planes.angle_spread(c.withColumnRenamed("id", "qid"), knn(c, K)), "spread")
+
+
+@query(f"SELECT id, {r6('least((0.01 / (height + 0.0001))^2, 10000)')} AS fc FROM cloud")
 def cost_recompute(spark, sf_dir):
     return rounded(cloud(spark, sf_dir).select("id", F.expr(planes.recomputed_cost("(fc*0.01)", "height")).alias("fc")), "fc")
 
 
+@query(f"SELECT id, {r6('CASE WHEN 0.25 / (height + 0.0001) < 0.05 THEN 0.05 WHEN 0.25 / (height + 0.0001) > 5 THEN 5 ELSE 0.25 / (height + 0.0001) END')} AS fc FROM cloud")
+def cost_bounded(spark, sf_dir):
+    return rounded(cloud(spark, sf_dir).select("id", F.expr(planes.bounded_cost("(fc*0.5)", "height")).alias("fc")), "fc")
+
+
 # metrics: each point and the next by id
 
 
@@ -280,10 +384,54 @@ def _metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOTH = ", ".join(f"p.{c} AS a{c}, q.{c} AS o{c}" for c in stats.GEOMETRY)
+# distance, lengths of both normals, and what the formulas take from them
+_MEASURED = """SELECT *, sqrt((ax - ox)^2 + (ay - oy)^2 + (az - oz)^2) AS dist, sqrt(ana^2 + anb^2 + anc^2) AS alen, sqrt(ona^2 + onb^2 + onc^2) AS olen FROM"""
+_ABN = "acos(least(1, abs(ana*ona + anb*onb + anc*onc) / (alen * olen)))"
+_DFP = "sqrt(((ax*ona + ay*onb + az*onc + onw) / olen)^2 + ((ox*ana + oy*anb + oz*anc + anw) / alen)^2)"
+_LOGS = "ln(acos(anc / alen)) + ln(acos(onc / olen))"
+_KERNELS = {
+    "abn": _ABN,
+    "dis": f"sin({_ABN} / 2) * dist",
+    "ablp": "asin(least(1, abs((ox-ax)*ana + (oy-ay)*anb + (oz-az)*anc) / (dist * alen))) + asin(least(1, abs((ox-ax)*ona + (oy-ay)*onb + (oz-az)*onc) / (dist * olen)))",
+    "dfp": _DFP,
+    "lin": "abs((al1 - al2) / al1 - (ol1 - ol2) / ol1)",
+    "pla": "((al2 - al3) / al1 + (ol2 - ol3) / ol1) / 2",
+    "sph": "abs(al3 / al1 - ol3 / ol1)",
+    "omn": "abs(cbrt(al1 * al2 * al3) - cbrt(ol1 * ol2 * ol3))",
+    "ani": "abs((al1 - al3) / al1 - (ol1 - ol3) / ol1)",
+    "cur": "abs(al3 / (al1 + al2 + al3) - ol3 / (ol1 + ol2 + ol3))",
+    "ent": "abs(al1*ln(al1) + al2*ln(al2) + al3*ln(al3) - ol1*ln(ol1) - ol2*ln(ol2) - ol3*ln(ol3))",
+    "ver": f"abs({_LOGS}) / 2",
+    "hor": f"({_LOGS}) / 2",
+}
+_PLAIN = {
+    "l1": "abs(ax - ox) + abs(ay - oy) + abs(az - oz)",
+    "l2": "dist",
+    "l22": "(ax - ox)^2 + (ay - oy)^2 + (az - oz)^2",
+    "ell": "sqrt((ax - ox)^2 + (ay - oy)^2)",  # the third axis is left out, as by the original
+    "geo": "CASE WHEN dist < 0.1 THEN 0 ELSE dist - 0.1 END",
+}
+
+
+def _hybrid(kernel: str) -> str:
+    """With mju 0.95, lambda 0.1 and power 1."""
+    return f"CASE WHEN dist < 1e-37 THEN 0 ELSE 0.95 * ({kernel}) + 0.05 * dist + CASE WHEN dist >= 0.1 THEN 0.95 * (dist - 0.1) ELSE 0 END END"
+
+
+_METRICS_SQL = _PLAIN | {k: _hybrid(e) for k, e in _KERNELS.items()}
 for _name in M.NAMES:
     _key = f"dist_{_name}" if _name in M.DISTANCES else f"pm_{_name}"
     QUERIES[_key] = partial(_metric, _name)
-    SQL[_key] = f"{CLOUD_SQL}, pairs AS (SELECT p.id AS id, {_BOTH} FROM cloud p JOIN cloud q ON p.id + 1 = q.id) SELECT id, {r6(M.metric(_name, **PARAMS))} AS d FROM pairs"
+    SQL[_key] = f"{CLOUD_SQL}, pairs AS ({_MEASURED} (SELECT p.id AS id, {_BOTH} FROM cloud p JOIN cloud q ON p.id + 1 = q.id)) SELECT id, {r6(f'cast({_METRICS_SQL[_name]} as double)')} AS d FROM pairs"
+
+
+@query(f", pairs AS ({_MEASURED} (SELECT p.id AS id, {_BOTH} FROM cloud p JOIN cloud q ON p.id + 1 = q.id)) SELECT id, {r6('greatest(abs(ax - ox), abs(ay - oy), abs(az - oz)) ^ 2')} AS d FROM pairs")
+def metric_of_ones_own(spark, sf_dir):
+    """The largest difference of an axis, to the power given, as a function in place of a name."""
+    own = lambda a, b, lam, mju, power: f"power(greatest({', '.join(f'abs({a}{c}-{b}{c})' for c in 'xyz')}), {power})"
+    c = cloud(spark, sf_dir)
+    pairs = stats.prefixed(c, "a").join(stats.prefixed(c, "o"), F.col("aid") + 1 == F.col("oid"))
+    return rounded(pairs.select(F.col("aid").alias("id"), F.expr(M.metric(own, power=2.0)).alias("d")), "d")
 
 
 # facilities: every tenth point; clients go to the nearest in reach
@@ -295,7 +443,7 @@ def _assigned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 _ASSIGNED = f"""{_NEAR}, assigned AS (SELECT id, fid, d FROM (SELECT aid AS id, oid AS fid, d, row_number() OVER (PARTITION BY aid ORDER BY d, oid) AS k FROM near
-  WHERE oid % 10 = 0 AND d <= {REACH}) WHERE k = 1), links AS (SELECT fid, s.id AS oid, {_BOTH} FROM assigned s JOIN cloud p ON p.id = fid JOIN cloud q ON q.id = s.id WHERE s.id <> fid)"""
+  WHERE oid % 10 = 0 AND d <= {REACH}) WHERE k = 1), links AS (SELECT fid, s.id AS oid, {_BOTH} FROM assigned s JOIN cloud p ON p.id = fid JOIN cloud q ON q.id = s.id WHERE s.id <> fid), measured AS ({_MEASURED} links)"""
 
 
 @query(f"{_ASSIGNED} SELECT id, fid, {r6('d')} AS d FROM assigned")
@@ -303,31 +451,48 @@ def seeded_assignment(spark, sf_dir):
     return rounded(_assigned(spark, sf_dir)[1], "d")
 
 
-@query(f"{_ASSIGNED} SELECT {r6('(SELECT sum(fc) FROM cloud JOIN assigned USING (id) WHERE id = fid) + (SELECT sum(' + M.metric('dfp', **PARAMS) + ') FROM links)')} AS total_cost")
+@query(f"{_ASSIGNED} SELECT {r6('(SELECT count(*) FROM assigned WHERE id = fid) + (SELECT sum(' + _hybrid(_DFP) + ') FROM measured)')} AS total_cost")
 def total_cost(spark, sf_dir):
     return rounded(stats.total_cost(*_assigned(spark, sf_dir), "dfp", **PARAMS), "total_cost")
 
 
-_BMOMENTS = ", ".join(f"coalesce(covar_samp(o{a}, o{b}), 0.0) AS {k}" for k, (a, b) in planes.COV.items())
-_EIGEN_E = ", ".join(f"{e} AS e{i}" for i, e in enumerate(M.eigenvalues(), 1))
+_CLIENT_COV = ", ".join(f"coalesce(covar_samp(o{k[0]}, o{k[1]}), 0.0) AS {k}" for k in _AXES)
+_SUMS = f", sums AS (SELECT fid, count(*) AS nc, max(dist) AS rad, avg({_hybrid(_ABN)}) AS abn, avg({_hybrid(_DFP)}) AS dfp, {_CLIENT_COV} FROM measured GROUP BY fid)" + _eigen("sums", "fid")
+_SHARES = "CASE WHEN {n} THEN 0 WHEN l1 < 0.01 * (l1 + l2 + l3) THEN 0 WHEN l2 < 0.01 * (l1 + l2 + l3) THEN 1 WHEN l3 < 0.01 * (l1 + l2 + l3) THEN 2 ELSE 3 END"
 
 
-@query(f"""{_ASSIGNED}, sums AS (SELECT fid, count(*) AS nc, max({M.l2()}) AS rad, avg({M.metric('abn', **PARAMS)}) AS abn, avg({M.metric('dfp', **PARAMS)}) AS dfp, {_BMOMENTS} FROM links GROUP BY fid),
-shaped AS (SELECT *, {_EIGEN_E} FROM sums), f AS (SELECT c.id AS fid, c.na AS ana, c.nb AS anb, c.nc AS anc FROM cloud c JOIN assigned s ON c.id = s.id AND s.id = s.fid)
-SELECT f.fid, coalesce(nc, 0) AS nc, {r6('coalesce(rad, 0.0)')} AS rad, {r6('coalesce(abn, 0.0)')} AS abn, {r6('coalesce(dfp, 0.0)')} AS dfp, {r6(f'coalesce({stats.ASPECT}, 1.0)')} AS asp,
-cast(CASE WHEN nc IS NULL THEN 0 ELSE {stats.DIMENSION} END as integer) AS dim, {r6(f"degrees({M.slope('a')})")} AS slo FROM f LEFT JOIN shaped ON shaped.fid = f.fid""")
+@query(f"""{_ASSIGNED}{_SUMS}
+SELECT s.id AS fid, coalesce(nc, 0) AS nc, {r6('coalesce(rad, 0.0)')} AS rad, {r6('coalesce(abn, 0.0)')} AS abn, {r6('coalesce(dfp, 0.0)')} AS dfp,
+  {r6('CASE WHEN coalesce(nc, 0) < 2 THEN 1.0 ELSE l2/l1 END')} AS asp, cast({_SHARES.format(n='coalesce(nc, 0) < 2')} as integer) AS dim,
+  {r6('acos(c.nc_ / sqrt(c.na^2 + c.nb^2 + c.nc_^2)) * 180 / pi()')} AS slo
+FROM assigned s JOIN (SELECT id, na, nb, nc AS nc_ FROM cloud) c ON c.id = s.id LEFT JOIN eig ON eig.fid = s.id WHERE s.id = s.fid""")
 def cluster_stats(spark, sf_dir):
     return rounded(stats.cluster_stats(*_assigned(spark, sf_dir), **PARAMS), "rad", "abn", "dfp", "asp", "slo")
 
 
-@query(f"""{_ASSIGNED}, rad AS (SELECT fid, max({M.l2()}) AS rad FROM links GROUP BY fid)
-SELECT s.id AS fid, (SELECT count(*) FROM near n JOIN assigned c ON c.id = n.aid JOIN rad ON rad.fid = n.oid WHERE n.oid = s.id AND c.id <> c.fid AND c.fid <> s.id AND n.d < rad.rad) AS over
-FROM assigned s WHERE s.id = s.fid""".replace(" AS over", ' AS "over"'))
+@query(f"""{_ASSIGNED}{_SUMS}
+SELECT s.id AS fid, {r6('CASE WHEN nc IS NULL OR nc < 2 THEN -1.0 ELSE l2/l1 END')} AS asp, cast({_SHARES.format(n='coalesce(nc, 0) < 2')} as integer) AS dim
+FROM assigned s LEFT JOIN eig ON eig.fid = s.id WHERE s.id = s.fid""")
+def scatter_stats(spark, sf_dir):
+    return rounded(stats.scatter_stats(*_assigned(spark, sf_dir)), "asp")
+
+
+_OVER = """SELECT s.id AS fid, (SELECT count(*) FROM near n JOIN assigned c ON c.id = n.aid JOIN (SELECT fid, max(dist) AS rad FROM measured GROUP BY fid) r ON r.fid = n.oid
+  WHERE n.oid = s.id AND c.id <> c.fid AND c.fid <> s.id AND n.d < r.rad) AS "over" FROM assigned s WHERE s.id = s.fid"""
+
+
+@query(f"{_ASSIGNED} {_OVER}")
 def overlap_count(spark, sf_dir):
     c, a = _assigned(spark, sf_dir)
     return stats.overlap(c, a.select("id", "fid"), REACH)
 
 
+@query(f"{_ASSIGNED} {_OVER}")
+def overlap_of_all(spark, sf_dir):
+    c, a = _assigned(spark, sf_dir)
+    return stats.overlap_all(c, a.select("id", "fid"))
+
+
 @query(f"{_ASSIGNED} SELECT fid, count(*) AS n, {', '.join(f'{k}({c}) AS {c}{k}' for c in 'xyz' for k in ('min', 'max'))} FROM assigned JOIN cloud USING (id) GROUP BY fid HAVING count(*) > 1")
 def cluster_mbb(spark, sf_dir):
     return stats.bounding_boxes(*_assigned(spark, sf_dir))
@@ -338,6 +503,44 @@ def client_facility_map(spark, sf_dir):
     return sinks.map_lines(_assigned(spark, sf_dir)[1])
 
 
+_P8 = "'  ', printf('%.8f', x), '  ', printf('%.8f', y), '  ', printf('%.8f', z), '  ', '1.00000000', '  ', '0  0  0'"
+
+
+@query(f"SELECT id AS ord, concat(id, {_P8}) AS value FROM cloud")
+def point_text(spark, sf_dir):
+    return sinks.point_lines(cloud(spark, sf_dir))
+
+
+@query(f"{_ASSIGNED} SELECT c.id AS ord, concat(c.id, {_P8}) AS value FROM cloud c JOIN assigned s ON c.id = s.id AND s.id = s.fid")
+def facility_text(spark, sf_dir):
+    c, a = _assigned(spark, sf_dir)
+    return sinks.facility_lines(c.join(a.filter("id = fid").select("id"), "id"))
+
+
+@query(f"""{_ASSIGNED}{_SUMS}, counted AS ({_OVER}) SELECT c.id AS ord, concat(c.id, {_P8}, '  ', coalesce(eig.nc, 0), '  ', printf('%.8f', coalesce(rad, 0.0)), '  ', o."over", '  ',
+  printf('%.6f', round(acos(c.nc / sqrt(c.na^2 + c.nb^2 + c.nc^2)) * 180 / pi(), 6))) AS value FROM cloud c JOIN counted o ON o.fid = c.id LEFT JOIN eig ON eig.fid = c.id""")
+def statistics_text(spark, sf_dir):
+    """Facilities with NC, RAD, OVER and SLO of their statistics."""
+    c, a = _assigned(spark, sf_dir)
+    a = a.select("id", "fid")
+    rows = c.drop("nc").join(rounded(stats.cluster_stats(c, a, **PARAMS), "slo").withColumnRenamed("fid", "id"), "id").join(stats.overlap(c, a, REACH).withColumnRenamed("fid", "id"), "id")
+    keep = F.expr("filter(split(value, '  '), (x, i) -> i < 10 OR i IN (14, 15))")
+    whole = sinks.statistics_lines(rows)
+    return whole.select("ord", F.array_join(keep, "  ").alias("value"))
+
+
+@query(f"""{_ASSIGNED}, xyz AS (SELECT p.*, concat(chr(10), '10', chr(10), printf('%.3f', x), chr(10), '20', chr(10), printf('%.3f', y), chr(10), '30', chr(10), printf('%.3f', z)) AS spot FROM cloud p)
+SELECT 'facilities' AS layer, concat('0', chr(10), 'POINT', chr(10), '8', chr(10), 'facilities', chr(10), '62', chr(10), '4', spot) AS value FROM xyz JOIN assigned USING (id) WHERE id = fid
+UNION ALL SELECT 'ids', concat('0', chr(10), 'TEXT', chr(10), '8', chr(10), 'ids', chr(10), '62', chr(10), '2', spot, chr(10), '40', chr(10), '0.010', chr(10), '1', chr(10), id) FROM xyz JOIN assigned USING (id)
+UNION ALL SELECT 'lines', concat('0', chr(10), 'LINE', chr(10), '8', chr(10), 'lines', chr(10), '62', chr(10), '6', c.spot, replace(replace(replace(f.spot, chr(10) || '10' || chr(10), chr(10) || '11' || chr(10)), chr(10) || '20' || chr(10), chr(10) || '21' || chr(10)), chr(10) || '30' || chr(10), chr(10) || '31' || chr(10)))
+  FROM assigned s JOIN xyz c ON c.id = s.id JOIN xyz f ON f.id = s.fid WHERE s.id <> s.fid""")
+def dxf_text(spark, sf_dir):
+    """Group codes of points, texts and lines."""
+    c, a = _assigned(spark, sf_dir)
+    drawn = dxf.cluster_entities(c, a.select("id", "fid"), stats.bounding_boxes(c, a))
+    return dxf.entity_text(drawn.filter("layer IN ('facilities', 'ids', 'lines')"))
+
+
 @query(f"{_ASSIGNED} SELECT fid AS ord, concat(fid, ':', chr(10), coalesce(string_agg(cast(id as varchar), ' ' ORDER BY id) FILTER (id <> fid), ''), chr(10)) AS value FROM assigned GROUP BY fid")
 def facility_lists(spark, sf_dir):
     return sinks.id_lines(stats.facility_lists(_assigned(spark, sf_dir)[1]))
@@ -361,8 +564,8 @@ def dxf_polyline(spark, sf_dir):
 
 
 
-_RDIST = f""", rd AS (SELECT ra, rb, aid, min({M.l2()}) AS d FROM (SELECT p.region AS ra, q.region AS rb, p.id AS aid, {_PAIR} FROM cloud p JOIN cloud q ON p.region <> q.region) GROUP BY ra, rb, aid),
-h AS (SELECT ra, rb, max(d) AS h, min(d) AS gap FROM rd GROUP BY ra, rb)"""
+_RDIST = """, rd AS (SELECT p.region AS ra, q.region AS rb, p.id AS aid, min(sqrt((p.x - q.x)^2 + (p.y - q.y)^2 + (p.z - q.z)^2)) AS d
+  FROM cloud p JOIN cloud q ON p.region <> q.region GROUP BY ALL), h AS (SELECT ra, rb, max(d) AS h, min(d) AS gap FROM rd GROUP BY ra, rb)"""
 
 
 @query(f"{_RDIST} SELECT least(ra, rb) AS ra, greatest(ra, rb) AS rb, {r6('max(h)')} AS h FROM h GROUP BY 1, 2")
@@ -375,6 +578,42 @@ def min_region_dist(spark, sf_dir):
     return rounded(stats.region_distances(cloud(spark, sf_dir)).select("ra", "rb", "gap"), "gap")
 
 
+@query(f"SELECT p.id, (p.region + 1) % 10 AS region, {r6('min(sqrt((p.x - q.x)^2 + (p.y - q.y)^2 + (p.z - q.z)^2))')} AS d FROM cloud p JOIN cloud q ON q.region = (p.region + 1) % 10 GROUP BY 1, 2")
+def point_region_dist(spark, sf_dir):
+    """Each point and the region after its own."""
+    c = cloud(spark, sf_dir)
+    return rounded(stats.point_region_distances(c.withColumn("region", (F.col("region") + 1) % 10), c), "d")
+
+
+# features of a region or point, made of the plane's columns: curvature, tangent, normal
+_FEATURES = {"curv": "height", "tx": "x", "ty": "y", "tz": "z", "nx": "na", "ny": "nb", "nz": "nc"}
+_TWO = ", ".join(f"p.{c} AS one_{n}, q.{c} AS two_{n}" for n, c in _FEATURES.items())
+_TWO = f", both_ AS (SELECT p.id, {_TWO} FROM cloud p JOIN cloud q ON p.id + 1 = q.id)"
+_LENGTH = lambda v: f"sqrt({v}x^2 + {v}y^2 + {v}z^2)"
+_ANGLE = lambda v: f"acos(least(1, abs(one_{v}x*two_{v}x + one_{v}y*two_{v}y + one_{v}z*two_{v}z) / ({_LENGTH('one_' + v)} * {_LENGTH('two_' + v)})))"
+_BENT = "abs(one_curv - two_curv)"
+
+
+def _feature_pairs(spark, sf_dir) -> DataFrame:
+    c = cloud(spark, sf_dir)
+    a = c.select("id", *[F.col(x).alias(f"a{n}") for n, x in _FEATURES.items()])
+    return a.join(c.select((F.col("id") - 1).alias("id"), *[F.col(x).alias(f"o{n}") for n, x in _FEATURES.items()]), "id")
+
+
+@query(f"{_TWO} SELECT id, {r6(_BENT)} AS dcurv, {r6(_ANGLE('t'))} AS abt, {r6(_ANGLE('n'))} AS abn FROM both_")
+def region_similarity(spark, sf_dir):
+    rows = _feature_pairs(spark, sf_dir)
+    return rounded(rows.select("id", *[F.expr(e).alias(n) for n, e in regions.similarity().items()]), "dcurv", "abt", "abn")
+
+
+@query(f"{_TWO} SELECT id, {_ANGLE('t')} < 0.8 AS one, {_ANGLE('t')} < 0.8 AND {_BENT} < 0.05 AS two, {_BENT} < 0.05 AND {_ANGLE('n')} < 0.9 AS edge FROM both_")
+def region_predicates(spark, sf_dir):
+    """Both rules for points and regions, here with the difference of curvatures as the distance, and that of older revisions."""
+    rows = _feature_pairs(spark, sf_dir).withColumn("gap", F.expr("abs(acurv - ocurv)"))
+    rules = {"one": regions.same_region(0.8), "two": regions.same_region(0.8, 0.05), "edge": regions.same_edge(0.05, 0.9)}
+    return rows.select("id", *[F.expr(e).alias(n) for n, e in rules.items()])
+
+
 @query(f"SELECT region, {', '.join(f'{r6(f'avg({c})')} AS {c}' for c in ('height', 'na', 'nb', 'nc'))} FROM cloud GROUP BY region")
 def region_feature_means(spark, sf_dir):
     out = cloud(spark, sf_dir).groupBy("region").agg(*[F.avg(c).alias(c) for c in ("height", "na", "nb", "nc")])
@@ -411,40 +650,99 @@ def facility_fold_radius(spark, sf_dir):
     return facility.cluster(_tiled(spark, sf_dir), facility.Params(norm="l2", lam=0.2, bin=0.2, candidate_mode="radius"))
 
 
+@query()
+def facility_fold_flat(spark, sf_dir):
+    """As the first revision: all facilities within three times lambda."""
+    return facility.cluster(_tiled(spark, sf_dir), facility.revision("v0", norm="abn", lam=0.1, bin=0.1))
+
+
+@query()
+def facility_fold_wide(spark, sf_dir):
+    """As the second revision: those of 27 cells within three times lambda."""
+    return facility.cluster(_tiled(spark, sf_dir), facility.revision("v1", norm="abn", lam=0.1, bin=0.3))
+
+
+@query()
+def facility_fold_own_metric(spark, sf_dir):
+    return facility.cluster(_tiled(spark, sf_dir), facility.Params(metric=_largest_difference, lam=0.2, bin=0.2))
+
+
+def _largest_difference(a: dict, b: dict, p: facility.Params):
+    return np.maximum(np.maximum(np.abs(a["x"] - b["x"]), np.abs(a["y"] - b["y"])), np.abs(a["z"] - b["z"]))
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    c = _tiled(spark, sf_dir).select("id", "x", "y", "z", "tile_id")
+    return c.join(regions.features(planes.planes(c, knn(c, K, by="tile_id"))), "id")
+
+
 def _edges(spark, sf_dir) -> DataFrame:
-    c = cloud(spark, sf_dir).select("id", "x", "y", "z")
-    return regions.edge_points(c, planes.planes(c, knn(c, K)), EDGE).withColumn("tile_id", F.lit("all"))
+    return materialize(_features(spark, sf_dir).filter(F.col("curv") > EDGE), "edges")
 
 
 @query()
 def region_grow(spark, sf_dir):
+    return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, min_points=3))
+
+
+@query()
+def region_grow_all(spark, sf_dir):
+    """The scan goes on after a merge."""
     return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, min_points=3, stop_at_merge=False))
 
 
+@query()
+def region_grow_fixed(spark, sf_dir):
+    """As older revisions: points are compared with the point before them."""
+    rows = materialize(_features(spark, sf_dir).withColumn("edge", F.col("curv") > EDGE), "features")
+    return regions.grow_regions(rows, regions.Rule(angle=0.9, curvature=0.05, min_points=3), "fixed")
+
+
+@query()
+def region_grow_own_rule(spark, sf_dir):
+    """A function as the rule: normals within a limit."""
+    rule = regions.Rule(min_points=3, stop_at_merge=False, fits=lambda a, b: abs(float(a[4:7] @ b[4:7])) > 0.7)
+    return regions.grow_regions(_edges(spark, sf_dir), rule)
+
+
 @query()
 def region_grow_dynamic(spark, sf_dir):
-    return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, distance=0.2, min_points=3), dynamic=True)
+    return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, distance=0.2, min_points=3), "dynamic")
+
+
+_NONE_OFF = "SELECT cast(5000 as bigint) AS n, cast(0 as bigint) AS off, true AS mixed"
+
+
+def _off(points: DataFrame, off: str, share: str, least: float, most: float) -> DataFrame:
+    """Points, those off the surface, and whether the share of a part lies within bounds far wider than chance."""
+    part = F.count_if(F.expr(share)) / F.count(F.lit(1))
+    return points.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(off)).alias("off"), part.between(least, most).alias("mixed"))
 
 
-@query("SELECT cast(5000 as bigint) AS n, cast(0 as bigint) AS off")
+@query(_NONE_OFF)
 def generate_cone(spark, sf_dir):
-    """How many points lie off the surface."""
-    off = F.expr("abs(sqrt(x*x+y*y) - 0.5*(-z)/1.25) > 1e-9 AND abs(z + 1.25) > 1e-9")
-    return generate.cone(spark, 1.25, 0.5, 5000).agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
+    """Points off the side and off the disk below; the disk has 0.2709 of the area."""
+    off = "(abs(sqrt(x*x+y*y) - 0.5*(-z)/1.25) > 1e-9 AND abs(z + 1.25) > 1e-9) OR z > 0 OR z < -1.25 OR sqrt(x*x+y*y) > 0.5 + 1e-9"
+    return _off(generate.cone(spark, 1.25, 0.5, 5000), off, "abs(z + 1.25) < 1e-9", 0.23, 0.31)
 
 
-@query("SELECT cast(5000 as bigint) AS n, cast(0 as bigint) AS off")
+@query(_NONE_OFF)
 def generate_cylinder(spark, sf_dir):
-    off = F.expr("abs(sqrt(x*x+y*y) - 0.5) > 1e-9 AND abs(z + 1.25) > 1e-9")
-    return generate.cylinder(spark, 1.25, 0.5, 5000).agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
+    """The base has 0.1429 of the points, as by the original."""
+    off = "(abs(sqrt(x*x+y*y) - 0.5) > 1e-9 AND abs(z + 1.25) > 1e-9) OR z > 0 OR z < -1.25 OR sqrt(x*x+y*y) > 0.5 + 1e-9"
+    return _off(generate.cylinder(spark, 1.25, 0.5, 5000), off, "abs(z + 1.25) < 1e-9", 0.11, 0.18)
 
 
-@query("SELECT cast(5000 as bigint) AS n, cast(0 as bigint) AS off")
+@query(_NONE_OFF)
 def generate_cube(spark, sf_dir):
-    off = F.expr("NOT (x IN (0D, 2D) OR y IN (0D, 2D) OR z IN (0D, 2D)) OR least(x, y, z) < 0 OR greatest(x, y, z) > 2")
-    return generate.cube(spark, 2.0, 5000).agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
+    off = "NOT (x IN (0D, 2D) OR y IN (0D, 2D) OR z IN (0D, 2D, -2D)) OR least(x, y, abs(z)) < 0 OR greatest(x, y, abs(z)) > 2"
+    return _off(generate.cube(spark, 2.0, 5000), off, "x IN (0D, 2D)", 0.28, 0.39)
 
 
-@query("SELECT cast(500 as bigint) AS n, cast(0 as bigint) AS off")
+@query("SELECT cid, cast(100 as bigint) AS n, true AS small FROM (SELECT unnest(range(5)) AS cid)")
 def generate_clusters(spark, sf_dir):
-    return generate.clusters(spark, 10, 10, 0.5, 5, 100, compat=False).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("z") != 0).alias("off"))
+    """Points of each cluster, and whether they fill a flat square of the given size."""
+    rows = generate.clusters(spark, 10, 10, 0.5, 5, 100, compat=False)
+    side = [F.max(c) - F.min(c) for c in "xy"]
+    small = (side[0] <= 0.5) & (side[1] <= 0.5) & (side[0] > 0.3) & (side[1] > 0.3) & (F.max(F.abs("z")) == 0)
+    return rows.groupBy(F.floor(F.col("id") / 100).alias("cid")).agg(F.count(F.lit(1)).alias("n"), small.alias("small"))

@@ -13,9 +13,12 @@ def _number(c: str, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.col(c).cast("double"))
 
 
+def _point() -> Column:
+    return F.concat_ws("  ", *[F.col(c).cast("string") if c in ("id", "r", "g", "b") else _number(c, 8) for c in POINT])
+
+
 def point_lines(points: DataFrame) -> DataFrame:
-    parts = [F.col(c).cast("string") if c in ("id", "r", "g", "b") else _number(c, 8) for c in POINT]
-    return points.select(F.col("id").alias("ord"), F.concat_ws("  ", *parts).alias("value"))
+    return points.select(F.col("id").alias("ord"), _point().alias("value"))
 
 
 def facility_lines(facilities: DataFrame) -> DataFrame:
@@ -47,3 +50,13 @@ def write(lines: DataFrame, path: str, parts: int | None = None) -> None:
     """Text files that hold the lines in order from one to the next; ``parts=1`` for a single file."""
     ordered = lines.repartitionByRange(parts, "ord") if parts else lines.repartitionByRange("ord")
     ordered.sortWithinPartitions("ord").select("value").write.mode("errorifexists").text(path)
+
+
+def write_tiles(points: DataFrame, path: str, name: str) -> None:
+    """Tiles (column tile_id) as text of points, a folder below ``path/tiles`` each, and ``path/<name>.list``, a folder whose text
+    names one tile a line. What exists is kept."""
+    tiles = f"{path}/tiles"
+    ordered = points.select("tile_id", "id", _point().alias("value")).repartition("tile_id").sortWithinPartitions("tile_id", "id")
+    ordered.select("tile_id", "value").write.mode("errorifexists").partitionBy("tile_id").text(tiles)
+    names = points.select("tile_id").distinct().select(F.col("tile_id").alias("ord"), F.concat(F.lit(f"{tiles}/tile_id="), "tile_id").alias("value"))
+    write(names, f"{path}/{name}.list", 1)

@@ -6,7 +6,7 @@ import pytest
 from cloudspark.functions import metrics
 from cloudspark.operators import facility, regions, tiling
 from cloudspark.operators.knn import knn
-from cloudspark.sources import points as source
+from cloudspark.sources import points as source, sinks
 
 
 def cloud(n=60, seed=1):
@@ -76,6 +76,11 @@ def test_tiles_are_even(spark):
     assert {r["count"] for r in tiling.kd_tiles(df, tiling.levels_for(128, 16)).groupBy("tile").count().collect()} == {16}
 
 
+def nearest(xyz, k):
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    return [sorted(range(len(xyz)), key=lambda j: (row[j], j))[:k] for row in d]
+
+
 def test_regions_follow_lines():
     t = np.linspace(0, 1, 40)
     xyz = np.concatenate([np.column_stack([t, t * 0, t * 0]), np.column_stack([t * 0, t, t * 0 + 5])])
@@ -83,7 +88,87 @@ def test_regions_follow_lines():
     f[:40, 1] = f[40:, 2] = 1
     rule = regions.Rule(k=4, angle=0.3, distance=0.2)
     for by in (regions.grow, regions.grow_dynamic):
-        assert sorted(sorted(r) for r in by(xyz, f, rule)) == [list(range(40)), list(range(40, 80))]
+        assert sorted(sorted(r) for r in by(xyz, f, nearest(xyz, 4), rule)) == [list(range(40)), list(range(40, 80))]
+
+
+def test_knn_of_crowded_places_groups_and_queries_outside(spark):
+    rng = random.Random(8)
+    spots = [(0.0, 0.0, 0.0)] * 60 + [(1e-9 * rng.random(), 0.0, 1e-9) for _ in range(40)] + [(rng.random() * 100, rng.random(), rng.gauss(0, 1e3)) for _ in range(60)]
+    points = [(i, *s, i % 3) for i, s in enumerate(spots)]
+    asked = [(1000 + i, *s, i % 4) for i, s in enumerate([(0.0, 0.0, 0.0), (-500.0, 3.0, 9e4), (50.0, 0.5, 0.0), (1e-9, 0.0, 1e-9)] * 4)]
+    names = "id long, x double, y double, z double, tile long"
+    p, q = spark.createDataFrame([*points, (999, None, 1.0, 1.0, 0)], names), spark.createDataFrame(asked, names)
+
+    def brute(queries, by):
+        out = {}
+        for i, *at, g in queries:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(at, spot)), j) for j, *spot, h in points if not by or g == h)
+            out[i] = [j for _, j in near[:7]]
+        return {i: x for i, x in out.items() if x}
+
+    for by in (None, "tile"):
+        for queries, table in ((points, None), (asked, q)):
+            got = {}
+            for r in knn(p, 7, table, by).collect():
+                got.setdefault(r.qid, {})[r["rank"]] = r.nid
+            assert {i: [x[k] for k in sorted(x)] for i, x in got.items()} == brute(queries, by)
+
+
+def test_medians_from_histograms(spark):
+    rng = np.random.default_rng(4)
+    values = {1: rng.random(1001), 2: rng.normal(size=1000), 3: np.repeat([1.0, 2.0], 500), 4: np.array([7.0]), 5: np.concatenate([np.zeros(600), rng.random(400) * 1e-12])}
+    table = spark.createDataFrame([(t, float(v)) for t, x in values.items() for v in x], "tile long, x double")
+    for rows in (1 << 20, 10):
+        assert {r.tile: r.cut for r in tiling.medians(table, "x", exact_rows=rows).collect()} == {t: float(np.median(x)) for t, x in values.items()}
+
+
+def test_plan_of_tiles_grows_with_the_levels(spark):
+    df = spark.createDataFrame([(i, random.random(), random.random(), random.random()) for i in range(64)], "id long, x double, y double, z double")
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    df.write.mode("overwrite").parquet(f"{path}/few")
+    scans = [tiling.kd_tiles(spark.read.parquet(f"{path}/few"), n)._jdf.queryExecution().optimizedPlan().toString().count("Relation") for n in (2, 4, 6)]
+    assert scans == [3, 5, 7]
+
+
+def test_numbered_lines_of_many_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(2_000)))
+    (tmp_path / "b.txt").write_text("one\r\ntwo\n\nfour")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = source.read_lines(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/b.txt"])
+        assert rows.rdd.getNumPartitions() > 5
+        got = {(r.path.rsplit("/", 1)[-1], r.pos): r.value for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.txt", i): f"line {i} {'x' * (i % 50)}" for i in range(2_000)} | {("b.txt", i): x for i, x in enumerate(["one", "two", "", "four"])}
+
+
+def test_tile_lists(spark, tmp_path):
+    """Seven columns; ids that are unique over the tiles; lists that are written and read again."""
+    for t in range(3):
+        (tmp_path / f"cloud_{t}_1_1").write_text("".join(f"{t}.{i} {i} 0 0.5 1 2 3\n" for i in range(10)) + "bad row\n")
+    (tmp_path / "cloud.list").write_text("cloud_2_1_1\ncloud_0_1_1\n\ncloud_1_1_1\n")
+    got = source.read_tiles(spark, f"{tmp_path}/cloud.list", non_uniform=True).collect()
+    assert {(r.tile_id, r.id, r.x, r.fc, r.r) for r in got} == {(f"cloud_{t}_1_1", 11 * k + i, float(f"{t}.{i}"), 0.5, 1) for k, t in enumerate((2, 0, 1)) for i in range(10)}
+    sinks.write_tiles(spark.createDataFrame(got), f"{tmp_path}/out", "again")
+    again = source.read_tiles(spark, f"{tmp_path}/out/again.list", non_uniform=True).collect()
+    assert {(r.tile_id, r.id, r.x, r.y, r.fc) for r in again} == {(r.tile_id, r.id, r.x, r.y, r.fc) for r in got}
+
+
+def test_rows_with_bad_tokens_are_kept_aside(spark):
+    df = spark.createDataFrame(list(enumerate(["1 2 3", "1 x 3", "1 2", "1 2 3 z"])), "pos long, value string")
+    assert [r.pos for r in source.bad_rows(df).collect()] == [1, 3] and [r.id for r in source.parse_points(df).collect()] == [0]
+    with pytest.raises(Exception, match="(?i)cast"):
+        source.parse_points(df, strict=True).collect()
+
+
+def test_clusters_over_blocks_of_lines(spark):
+    text = ["# note", "5 6", "1: x", "2 3", "", "4", "bad: y", "5", "9:", *map(str, range(20, 40))]
+    df = spark.createDataFrame(list(enumerate(text)), "pos long, value string")
+    whole = sorted(map(tuple, source.parse_clusters(df).collect()))
+    assert whole == sorted(map(tuple, source.parse_clusters(df, block_lines=2).collect()))
+    assert (1, 3, 4) in whole and (9, 20, 39) in whole and all(c != 0 for c, _, _ in whole)
 
 
 def test_registry_is_complete():
