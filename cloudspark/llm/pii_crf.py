@@ -10,7 +10,8 @@ Training is piecewise on silver labels from the base rules, over about SAMPLE di
 potentials by multinomial logistic regression on token shapes, edge potentials from pair counts.
 
 Defined results: a null text counts as empty; offsets count code points; rules run in time linear in the text; an
-empty corpus trains a field that labels nothing; rows with equal texts get equal results; other columns pass through.
+empty corpus trains a field that labels nothing; rows with equal texts get equal results; other columns, whatever
+their names, pass through.
 """
 
 from __future__ import annotations
@@ -349,21 +350,21 @@ SPANS = T.ArrayType(
 
 
 def find(docs: DataFrame, field: Field, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``__spans``: start, kind, end and whether a base rule found it; by start, then kind as in KINDS."""
+    """(doc, spans): the row as a struct; start, kind, end and whether a base rule found it; by start, then kind as in KINDS."""
     shipped = docs.sparkSession.sparkContext.broadcast(field)
-    at = docs.columns.index(text_col)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    names = [c for c in docs.columns if keep_text or c != text_col]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches):
         for batch in batches:
             out = []
-            for base, more in label(shipped.value, [x.as_py() or "" for x in batch.column(at)]):
+            for base, more in label(shipped.value, [x.as_py() or "" for x in batch.column(1)]):
                 both = sorted([*((*s, True) for s in base), *((*s, False) for s in more)])
                 out.append([{"start": s, "kind": KINDS[k], "end": e, "base": b} for s, k, e, b in both])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, kind)], names=[*(batch.schema.names[i] for i in kept), "__spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc", "spans"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("__spans", SPANS)]))
+    schema = T.StructType([T.StructField("doc", T.StructType([docs.schema[c] for c in names])), T.StructField("spans", SPANS)])
+    return docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -371,12 +372,12 @@ def digest(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = find(docs, fit(docs), keep_text=False)
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    base = F.filter("__spans", lambda x: x["base"])
-    count = lambda k: F.size(F.filter("__spans", lambda x: x["base"] & (x["kind"] == k))).cast("long")
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long")
     return rows.select(
-        "doc_id",
+        "doc.doc_id",
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("__spans")).alias("spans"),
-        F.size(F.filter("__spans", lambda x: ~x["base"])).cast("long").alias("n_added"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"),
     )

@@ -7,7 +7,7 @@ entering character only. Strings on the allow-list (placeholders, UUIDs, sequenc
 span are suppressed.
 
 Defined results: a null text counts as empty; offsets count code points; a candidate of any length is folded in
-time linear in its length; other columns are not read.
+time linear in its length; rows with equal texts get equal results; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -139,33 +139,35 @@ def is_random(s: Column) -> Column:
     return F.when(whole, F.lit(False)).otherwise(found)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__spans``: all spans as an array of (start, kind, end), by start, then kind as in KINDS."""
-    text = whole_text(text_col)
+def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(doc, spans): the row as a struct; all spans as an array of (start, kind, end), by start, then kind as in KINDS."""
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), whole_text(text_col).alias("text"))
+    text = F.col("text")
     base = []
     for kind, (pattern, group, least, literal) in RULES.items():
         own = spans(text, kind, pattern, group, least)
         base.append(F.when(F.contains(text, F.lit(literal)), own).otherwise(F.array().cast(SPAN)) if literal else own)
-    found = docs.withColumn("__base", F.concat(*base)).withColumn("__more", spans(text, "entropy", CANDIDATE))
+    found = rows.withColumn("base", F.concat(*base)).withColumn("more", spans(text, "entropy", CANDIDATE))
     more = F.filter(
-        "__more",
-        lambda x: F.when(F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])), F.lit(False)).otherwise(is_random(x["found"])),
+        "more",
+        lambda x: F.when(F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])), F.lit(False)).otherwise(is_random(x["found"])),
     )
     rank = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
-    ordered = F.array_sort(F.transform(F.concat("__base", more), lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return found.withColumn("__spans", F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).drop("__base", "__more")
+    ordered = F.array_sort(F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return found.select("doc", F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
-    found = scan(docs.select("doc_id", "text")).select("doc_id", "__spans")
+    found = scan(docs.select("doc_id", "text"), keep_text=False)
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    count = lambda k: F.size(F.filter("__spans", lambda x: x["kind"] == k)).cast("long")
-    base = F.filter("__spans", lambda x: x["kind"] != "entropy")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] != "entropy")
     return found.select(
-        "doc_id",
+        "doc.doc_id",
         *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("__spans")).alias("spans"),
+        joined(F.col("spans")).alias("spans"),
         count("entropy").alias("n_entropy"),
     )

@@ -13,7 +13,7 @@ A shard returns a spanning forest of its links, not all pairs.
 ``similar_groups`` links texts by the Jaccard similarity of their five-word shingles. Texts of similarity 0.8 differ in
 some 10 bits of a fingerprint of their distinct shingles, so in shards of texts that share a least shingle hash it first
 searches a wide radius, then holds what that has not joined against each other at any distance. A link depends on the similarity itself, taken from the texts' least SKETCH shingle hashes: exact for texts of up to so many
-shingles together, with a standard error below 0.026 beyond. Only texts that share a shard have their sketches moved.
+shingles together, with a standard error below 0.013 beyond. Only texts that share a shard have their sketches moved.
 A shard of more than SPLIT_ROWS texts (they share a frequent passage) is split by size: sets of similarity s differ in
 size by a factor of 1/s at most, so each text goes to two neighbouring bands of that width and no link is lost.
 
@@ -44,7 +44,7 @@ SEED = 42
 #: Similarity of near copies by five-word shingles; bits that such texts may differ in; least hashes that make shards.
 SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, KEYS = 0.8, 5, 18, 6
 #: Shingle hashes of a text that its similarity is taken from.
-SKETCH = 256
+SKETCH = 1024
 #: Texts of a shard beyond which it is split by size.
 SPLIT_ROWS = 256
 #: Number of equal blocks asked for, by the number of distinct fingerprints up to which it serves.

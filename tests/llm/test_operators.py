@@ -343,9 +343,10 @@ def test_sentencepiece(docs):
     data = sp_codec.read_model()
     other = sentencepiece.SentencePieceProcessor(model_proto=data)
     T = texts_of(docs)
-    rows = sp_codec.decode(sp_codec.encode(docs.filter("doc_id <> 5"))).collect()
+    rows = sp_codec.decode(sp_codec.encode(docs)).collect()
+    assert len(rows) == docs.count() and sp_codec.digest(docs.limit(0)).count() == 0
     for r in rows:
-        assert list(r["__ids"]) == other.encode(T[r.doc_id]) and r["__text"] == T[r.doc_id]
+        assert list(r.doc["ids"]) == other.encode(T[r.doc.doc.doc_id]) and r.decoded == T[r.doc.doc.doc_id]
     assert all(r.round_trip and r.parity for r in sp_codec.digest(docs).collect())
     assert all(sp_codec.parity(data, ["", " ", "a  b ", "<s> x", "\x00\n日本 🙂", "▁", "▁▁a"]))
 
@@ -388,7 +389,7 @@ def test_unigram_model_with_byte_fallback(spark, tmp_path):
     assert [codec.decode(np.array(x, "<i4").tobytes()) for x in got] == texts
     (tmp_path / "unigram.model").write_bytes(data)
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert all(r["__code"].parity and r["__code"].round_trip for r in sp_codec.check(table, path=str(tmp_path / "unigram.model")).collect())
+    assert all(r.parity and r.round_trip for r in sp_codec.check(table, path=str(tmp_path / "unigram.model")).collect())
 
 
 def test_memory_of_segments_is_bounded(monkeypatch):
@@ -414,6 +415,10 @@ def test_pii_rules_and_field(spark):
         assert sorted(want) == pii_crf.base_spans(t)
     rows = [(i, f"call +1 (743) 555-38{i:02d} today") for i in range(60)] + [(100, "+1 (743) 555-3899 is (743) 555-3899"), (101, None), (102, "")]
     got = {r.doc_id: r for r in pii_crf.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    clash = spark.createDataFrame([(1, "see 10.0.0.1", "a", "b")], "doc_id long, text string, spans string, doc string")
+    for rows in (pii_crf.find(clash, pii_crf.fit(clash)), secret_scan.scan(clash)):
+        assert rows.select("doc.*").columns == clash.columns and rows.count() == 1
+    assert pii_crf.digest(clash.limit(0)).count() == 0
     assert got[100].n_phone == 1 and got[100].n_added == 1 and got[101].spans == "" and got[5].n_added == 0
 
 
