@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], None]]:
+    """Tables that are materialized within are deleted at the end, but for those handed to the function that is given."""
+    tables: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(tables)
+    try:
+        yield kept.append
+    finally:
+        _scratch.remove(tables)
+        discard(*[t for t in tables if not any(t is k for k in kept)])
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -44,6 +61,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for tables in _scratch:
+        tables.append(out)
     return out
 
 

@@ -14,10 +14,14 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     Each round hooks every root to the smallest root next to it and then halves the paths, so that the number of
     rounds grows with the logarithm of the longest chain. All steps are equi-joins and minima; minima are combined
     before the shuffle. Links whose ends have met are left out of the next round, so the tables shrink.
+
+    Defined results: no links give no rows; repeated links and links of a node with itself change nothing; a link with a
+    null end is none. Other columns of ``links`` are not read.
     """
-    ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+    links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    ends = links.union(links.select("b", "a")).toDF("node", "other")
     labels = materialize(ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
-    links = materialize(links.select("a", "b").filter("a <> b").distinct(), "links")
+    links = materialize(links.filter("a <> b").distinct(), "links")
     for _ in range(max_rounds):
         # contract: links between roots
         by_a = labels.withColumnsRenamed({"node": "a", "root": "ra"})
