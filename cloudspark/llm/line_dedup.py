@@ -1,12 +1,14 @@
 """Cross-site line deduplication with DataFrame operations only.
 
-A line is boilerplate if it stands on at least ``min_sites`` distinct sites, however short or long it is. Of equal texts
-only the least site counts, so copies of one text on many sites keep their lines. A HyperLogLog sketch of sites for each
-line hash is merged by aggregation; lines whose estimate is near the threshold get an exact distinct count. Only
-lines with ``min_sites`` occurrences at least can reach the threshold, so no other line gets a sketch.
+A line is a candidate if it stands on at least ``min_sites`` distinct sites, however short or long it is. Of equal texts
+only the least site counts. A HyperLogLog sketch of sites for each line hash is merged by aggregation; lines whose estimate is
+near the threshold get an exact distinct count. Only lines with ``min_sites`` occurrences at least can reach the threshold, so
+no other line gets a sketch.
 
-All copies of a boilerplate line are removed, from every document. With ``near_copies`` a line must also stand in as many
-groups of near copies (``independent``), so that what many sites have because they copied one text with changes stays.
+A candidate is boilerplate if it also stands in ``min_sites`` texts that have their own content. Texts most of whose lines, and
+most of whose characters, are candidates may be copies of one text with changes; of those that share the least hash of their
+candidate lines only one counts. So what many sites have because they copied one text stays, and all copies of a boilerplate line
+are removed, from every document.
 
 A text is read once for its line hashes, which all counts work on, and once to be cut.
 
@@ -20,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudspark.llm import simhash
-from cloudspark.llm.common import is_small, lookup, materialize
+from cloudspark.llm.common import is_small, lookup, materialize, scratch
 
 MIN_SITES = 8
 #: Estimates within this share of the threshold are counted exactly.
@@ -40,16 +41,21 @@ def _text_key(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(key, site, hashes): of each row its text's key, its site and a hash of each line, null for an empty one."""
+    """(key, site, hashes, sizes, whole): of each row its text's key, its site, a hash and the characters of each line, and how
+    many lines and characters there are; the hash of an empty line is null, and it does not count."""
 
     def of(x: Column) -> Column:
-        return F.when(x != "", F.xxhash64(x))
+        return F.when(x != "", F.substring(F.md5(x.cast("binary")), 1, 16))
 
     trimmed = F.transform(_lines(docs[text_col]), lambda x: F.btrim(x, F.lit(BLANK)))
-    return docs.select(_text_key(docs[text_col]).alias("key"), docs[site_col].cast("string").alias("site"), F.transform(trimmed, of).alias("hashes"))
+    rows = docs.select(_text_key(docs[text_col]).alias("key"), docs[site_col].cast("string").alias("site"), trimmed.alias("lines"))
+    rows = rows.select("key", "site", F.transform("lines", of).alias("hashes"), F.transform("lines", F.length).alias("sizes"))
+    n = F.size(F.filter("hashes", lambda x: x.isNotNull()))
+    chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.withColumn("whole", F.struct(n.alias("lines"), chars.alias("chars")))
 
 
-def boilerplate(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def candidates(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line, n): hashes of the lines on at least ``min_sites`` distinct sites, and how often they occur there at least.
     hashed: from ``line_hashes``, materialized."""
     sited = hashed.filter("site IS NOT NULL AND hashes IS NOT NULL")
@@ -66,18 +72,17 @@ def boilerplate(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     open_lines = F.broadcast(open_lines) if is_small(open_lines) else open_lines
     exact = pairs.join(open_lines, F.col("line") == F.col("of"), "left_semi").groupBy("line").agg(F.max("n").alias("n"), F.count_distinct("site").alias("sites"))
     sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR))
-    return materialize(sure.select("line", "n").unionByName(exact.filter(f"sites >= {min_sites}").select("line", "n")), "boilerplate")
+    return materialize(sure.select("line", "n").unionByName(exact.filter(f"sites >= {min_sites}").select("line", "n")), "candidates")
 
 
-def independent(docs: DataFrame, hashed: DataFrame, bad: DataFrame, text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """The rows of ``bad`` whose lines stand in at least ``min_sites`` texts of which no two are near copies of each other."""
-    lines = hashed.filter("hashes IS NOT NULL").select(F.col("key.a").alias("doc_id"), F.explode(F.array_distinct("hashes")).alias("line"))
-    holders = materialize(lookup(lines, bad, "line", "n").filter("n IS NOT NULL").distinct(), "holders")
-    texts = docs.select(F.xxhash64(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
-    own = materialize(texts.join(holders.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    groups = simhash.similar_groups(own).select("doc_id", "component_id")
-    found = holders.join(groups, "doc_id").groupBy("line").agg(F.count_distinct("component_id").alias("groups"), F.max("n").alias("n"))
-    return materialize(found.filter(f"groups >= {min_sites}").select("line", "n"), "independent")
+def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(line, n): the candidates in at least ``min_sites`` texts with content of their own, or groups of others.
+    found: the places (key, pos, line, n, size) of candidates in texts, which have so many lines and characters (whole)."""
+    per_text = found.groupBy("key").agg(F.collect_set(F.struct("line", "n")).alias("lines"), F.count(F.lit(1)).alias("many"), F.sum("size").alias("much"), F.min("line").alias("least"), F.max("whole").alias("whole"))
+    copied = (F.col("many") * 2 > F.col("whole.lines")) & (F.col("much") * 2 > F.col("whole.chars"))
+    group = F.when(copied, F.col("least")).otherwise(F.concat_ws(":", "key.a", "key.b", "key.n"))
+    pairs = per_text.select(F.explode("lines").alias("x"), group.alias("group")).groupBy("x.line", "group").agg(F.max("x.n").alias("n"))
+    return materialize(pairs.groupBy("line").agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("n")).filter(f"groups >= {min_sites}").select("line", "n"), "boilerplate")
 
 
 def _without(text: Column, at: Column) -> Column:
@@ -95,19 +100,27 @@ def _without(text: Column, at: Column) -> Column:
     return F.array_join(F.transform(whole, stretches)[0], "\n")
 
 
-def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, near_copies: bool = False) -> DataFrame:
+def remove(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(doc, text, removed): the row as a struct, its text without boilerplate lines, and how many lines went."""
-    hashed = materialize(line_hashes(docs, text_col, site_col), "lines")
-    bad = boilerplate(hashed, min_sites)
-    if near_copies:
-        bad = independent(docs, hashed, bad, text_col, min_sites)
-    places = hashed.filter("hashes IS NOT NULL").select("key", F.posexplode("hashes").alias("pos", "line"))
-    hits = lookup(places, bad, "line", "n").filter("n IS NOT NULL")
-    marked = hits.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.count(F.lit(1)).alias("n"))
+    with scratch() as keep:
+        hashed = materialize(line_hashes(docs, text_col, site_col), "lines")
+        own = hashed.filter("hashes IS NOT NULL")
+        # the lists are left behind before rows are made of them, or each row would carry them
+        zipped = own.select("key", "whole", F.arrays_zip("hashes", "sizes").alias("lines"))
+        places = zipped.select("key", "whole", F.posexplode("lines").alias("pos", "x"))
+        places = places.select("key", "whole", "pos", F.col("x.hashes").alias("line"), F.col("x.sizes").alias("size")).filter("line IS NOT NULL")
+        met = lookup(places, candidates(hashed, min_sites), "line", "n").filter("n IS NOT NULL")
+        # a place of a text once, however many rows have the text
+        met = met.groupBy("key", "pos").agg(F.max("line").alias("line"), F.max("n").alias("n"), F.max("size").alias("size"), F.max("whole").alias("whole"), F.count(F.lit(1)).alias("rows"))
+        met = materialize(met, "places")
+        hit = lookup(met.drop("n"), boilerplate(met, min_sites), "line", "n").filter("n IS NOT NULL")
+        marked = hit.groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("at"), F.max("rows").alias("rows"))
+        marked = materialize(marked, "marked")
+        keep(marked)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text_col].alias("text"), _text_key(docs[text_col]).alias("key"))
     cut = F.when(F.col("at").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("at")))
     removed = F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long")
-    return lookup(rows, materialize(marked, "marked"), "key", "n").select("doc", cut.alias("text"), removed.alias("removed"))
+    return lookup(rows, marked, "key", "rows").select("doc", cut.alias("text"), removed.alias("removed"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -121,12 +134,21 @@ SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, text, row_number() OVER () AS r, string_split(text, chr(10)) AS ls FROM documents
 ), keyed AS (
-  SELECT r, source, text, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
-  FROM (SELECT r, source, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM lines)
+  SELECT r, text, pos, line FROM (
+    SELECT r, text, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+    FROM (SELECT r, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM lines)) WHERE line <> ''
 ), home AS (
   SELECT text, min(source) AS source FROM documents WHERE source IS NOT NULL GROUP BY text
+), candidate AS (
+  SELECT line FROM keyed JOIN home USING (text) GROUP BY line HAVING count(DISTINCT home.source) >= {MIN_SITES}
+), once AS (
+  SELECT text, line, line IN (SELECT line FROM candidate) AS often FROM keyed WHERE r IN (SELECT min(r) FROM lines GROUP BY text)
+), grouped AS (
+  SELECT text, CASE WHEN 2 * count(*) FILTER (often) > count(*) AND 2 * sum(length(line)) FILTER (often) > sum(length(line))
+                    THEN 'lines ' || min(left(md5(line), 16)) FILTER (often) ELSE 'text ' || md5(text) END AS own
+  FROM once GROUP BY text
 ), bad AS (
-  SELECT line FROM keyed JOIN home USING (text) WHERE line <> '' GROUP BY line HAVING count(DISTINCT home.source) >= {MIN_SITES}
+  SELECT line FROM once JOIN grouped USING (text) WHERE often GROUP BY line HAVING count(DISTINCT own) >= {MIN_SITES}
 ), hit AS (
   SELECT r, list(pos) AS gone FROM keyed WHERE line IN (SELECT line FROM bad) GROUP BY r
 ), marked AS (

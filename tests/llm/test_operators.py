@@ -184,18 +184,30 @@ def line_copies(rows, sites):
         if text is not None and site is not None:
             home[text] = min(home.get(text, site), site)
     strip = lambda x: x.strip(" \t\r\v\f")
+    lines = {t: [x for x in map(strip, t.split("\n")) if x] for _, t, _ in rows if t is not None}
     seen = collections.defaultdict(set)
     for text, site in home.items():
-        for x in text.split("\n"):
-            seen[strip(x)].add(site)
-    bad = {x for x, own in seen.items() if x and len(own) >= sites}
+        for x in lines[text]:
+            seen[x].add(site)
+    often = {x for x, own in seen.items() if len(own) >= sites}
+    groups = collections.defaultdict(set)
+    for text, own in lines.items():
+        held = [x for x in own if x in often]
+        copied = 2 * len(held) > len(own) and 2 * sum(map(len, held)) > sum(map(len, own))
+        for x in held:
+            groups[x].add(min(hashlib.md5(y.encode()).hexdigest() for y in held) if copied else "text " + text)
+    bad = {x for x, own in groups.items() if len(own) >= sites}
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if strip(x) not in bad) for i, t, _ in rows}
 
 
 def test_lines(spark):
-    """Lines on fewer sites, as many, and far more; short ones; repeats in a text; copies of one text on many sites."""
+    """Lines on fewer sites, as many, and far more; short ones; repeats in a text; copies and near copies of one text on many
+    sites; texts that have little else than such lines, with and without others that have them."""
     line = "all rights reserved by us"
-    rows = [(i, f"text number {i} is here\n{line}\r\nLes.\n \n{'many' if i < 40 else 'few'}\nLes.\nend {i}", f"s{i % 23}") for i in range(60)]
+    rows = [(i, f"text number {i} is here and has a good deal to say\n{line}\r\nLes.\n \n{'many' if i < 40 else 'few'}\nLes.\nend {i}", f"s{i % 23}") for i in range(60)]
+    rows += [(600 + i, f"{i}\n{line}\nonly in short texts of this kind", f"s{i}") for i in range(12)]
+    whole = [f"line {k} of a text that many copy" for k in range(9)]
+    rows += [(700 + i, "\n".join([*whole[: i % 9], f"changed {i}", *whole[i % 9 + 1 :]]), f"s{i % 11}") for i in range(40)]
     rows += [(100 + i, f"own {i}\nexactly eight\n\t", f"s{i}") for i in range(8)] + [(200 + i, f"own again {i}\nonly seven", f"s{i}") for i in range(7)]
     rows += [(300 + i, "one whole text\non many sites", f"s{i}") for i in range(20)] + [(400, line, "s1"), (401, None, None), (402, "", "s2"), (403, line, None), (404, "x\n" * 20_000 + line, "s3")]
     rows += [(500 + i, "few\nno site", None) for i in range(20)]
