@@ -21,6 +21,7 @@ labels; other columns, whatever their names, pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudspark.llm.common import BROADCAST_ROWS, is_small, lookup, materialize, resident
+from cloudspark.llm.common import BROADCAST_ROWS, is_small, lookup, materialize, resident, scratch
 
 ORDER = 4
 #: Grams that are broadcast, and bits of the table of all others.
@@ -47,6 +48,8 @@ BINS = 1000
 BEFORE, END = 0x110000, 0x110001
 #: Distinct grams that a task counts before it passes partial counts on.
 FLUSH = 1 << 20
+#: Characters that are worked on at once.
+PART = 1 << 19
 #: Of the 64-bit keys of grams.
 SEED, MULTIPLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -79,6 +82,25 @@ def key_of(grams: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of several texts one after the other, and the place of each text's last start."""
+    own = [symbols(x) for x in texts]
+    ends = np.cumsum([len(x) for x in own])
+    return np.concatenate(own), np.concatenate([[0], ends[:-1]]).astype(np.int64) + ORDER - 1
+
+
+def parts(texts: list[str | None], most: int = PART) -> Iterator[slice]:
+    """Slices of some ``most`` characters or one text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "") + ORDER
+        if size >= most:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def gram_counts(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     """(c1..c4, n) of all grams of the highest order."""
 
@@ -92,10 +114,12 @@ def gram_counts(trusted: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:-1]), pa.array(cols[-1], pa.int64())], names=[*C, "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                codes = symbols(text.as_py())
-                own, first, n = np.unique(keys(codes)[-1][1:], return_index=True, return_counts=True)
-                grams = np.lib.stride_tricks.sliding_window_view(codes[1:], ORDER)[first].tolist()
+            texts = batch.column(0).to_pylist()
+            for s in parts(texts):
+                codes, _ = joined(texts[s])
+                real = codes[ORDER - 1 :] != BEFORE
+                own, first, n = np.unique(keys(codes)[-1][real], return_index=True, return_counts=True)
+                grams = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[np.flatnonzero(real)[first]].tolist()
                 for key, gram, count in zip(own.tolist(), grams, n.tolist(), strict=True):
                     if key in held:
                         held[key][-1] += count
@@ -253,28 +277,34 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     def run(batches):
         table, words = resident(name, build)
         for batch in batches:
-            n, logs, rows = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows), []
-            for i, text in enumerate(batch.column(1)):
-                own = keys(symbols(text.as_py()))
-                n[i] = len(own[0]) - 1
-                total, at, unknown = 0.0, slice(None), []
+            texts = batch.column(1).to_pylist()
+            n, logs, rows = np.zeros(len(texts), np.int64), np.zeros(len(texts)), []
+            for s in parts(texts):
+                size = s.stop - s.start
+                codes, last = joined(texts[s])
+                owner = np.repeat(np.arange(size), np.diff(np.append(last, len(codes) + ORDER - 1)))
+                at = np.flatnonzero((codes != BEFORE) | np.isin(np.arange(len(codes)), last)) - (ORDER - 1)
+                n[s] = np.bincount(owner[at], minlength=size) - 1
+                unknown, of = [], []
+                own = keys(codes)
                 for k in reversed(range(ORDER)):  # a gram that is not hot: its own weight is asked for, its suffix looked up
                     key = own[k][at]
                     value, found = table.find(key)
-                    total += value.sum()
-                    unknown.append(key[~found])
-                    at = np.flatnonzero(~found) if k == ORDER - 1 else at[~found]
+                    logs[s] += np.bincount(owner[at], value, size)
+                    at, key = at[~found], key[~found]
+                    if len(words) and len(key):
+                        cell = key.view(np.int64) % cold_bits
+                        asked = (words[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+                        unknown.append(key[asked])
+                        of.append(owner[at[asked]])
                     if not len(at):
                         break
-                logs[i] = total
-                rest = np.concatenate(unknown)
-                if len(words) and len(rest):
-                    at = rest.view(np.int64) % cold_bits
-                    rest = rest[(words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
-                    one, many = np.unique(rest, return_counts=True)
-                    rows.append([{"key": a, "n": b} for a, b in zip(one.view(np.int64).tolist(), many.tolist(), strict=True)])
-                else:
-                    rows.append([])
+                listed: list[list] = [[] for _ in range(size)]
+                if unknown:
+                    one, many = np.unique(np.rec.fromarrays([np.concatenate(of), np.concatenate(unknown).view(np.int64)]), return_counts=True)
+                    for (text, key), count in zip(one.tolist(), many.tolist(), strict=True):
+                        listed[text].append({"key": key, "n": count})
+                rows += listed
             logs += n * unseen
             kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(logs), pa.array(rows, kind)], names=["doc", "chars", "ln_p", "cold"])
