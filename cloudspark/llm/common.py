@@ -58,7 +58,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage, and what has been written outlives any executor.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     for tables in _scratch:

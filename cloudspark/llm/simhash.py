@@ -13,7 +13,7 @@ A shard returns a spanning forest of its links, not all pairs.
 ``similar_groups`` links texts by the Jaccard similarity of their five-word shingles. Texts of similarity 0.8 differ in
 some 10 bits of a fingerprint of their distinct shingles, so in shards of texts that share a least shingle hash it first
 searches a wide radius, then holds what that has not joined against each other at any distance. A link depends on the similarity itself, taken from the texts' least SKETCH shingle hashes: exact for texts of up to so many
-shingles together, with a standard error below 0.013 beyond. Only texts that share a shard have their sketches moved.
+shingles together, with a standard error below 0.018 beyond. Only texts that share a shard have their sketches moved.
 A shard of more than SPLIT_ROWS texts (they share a frequent passage) is split by size: sets of similarity s differ in
 size by a factor of 1/s at most, so each text goes to two neighbouring bands of that width and no link is lost.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudspark.llm.common import is_small, lookup, materialize
+from cloudspark.llm.common import is_small, lookup, materialize, scratch
 from cloudspark.llm.components import components
 
 RADIUS = 3
@@ -44,7 +44,7 @@ SEED = 42
 #: Similarity of near copies by five-word shingles; bits that such texts may differ in; least hashes that make shards.
 SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, KEYS = 0.8, 5, 18, 6
 #: Shingle hashes of a text that its similarity is taken from.
-SKETCH = 1024
+SKETCH = 512
 #: Texts of a shard beyond which it is split by size.
 SPLIT_ROWS = 256
 #: Number of equal blocks asked for, by the number of distinct fingerprints up to which it serves.
@@ -395,15 +395,19 @@ def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, keys: int = KEYS, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """As ``groups``, by the similarity of shingles: texts share a shard with probability 1 - (1 - s)**keys."""
-    rows = materialize(sketches(docs, id_col, text_col, shingle, keys), "sketches")
-    distinct = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-    spread = materialize(rows.select("key", F.posexplode("least").alias("family", "block")).distinct(), "shards")
-    several = spread.groupBy("family", "block").count().filter("count > 1")
-    placed = materialize(spread.join(several, ["family", "block"]), "placed")
-    own = rows.select("key", "fp", "size", "sketch").dropDuplicates(["key"]).join(placed.select("key").distinct(), "key", "left_semi")
-    sharded = size_bands(placed.join(materialize(own, "own"), "key"), similarity, split_rows)
-    found = materialize(similar_links(sharded, radius, similarity), "near")
-    return _grouped(rows.select("doc_id", "key", "fp"), distinct, found, "key")
+    with scratch() as keep:
+        rows = materialize(sketches(docs, id_col, text_col, shingle, keys), "sketches")
+        distinct = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+        spread = materialize(rows.select("key", F.posexplode("least").alias("family", "block")).distinct(), "shards")
+        several = spread.groupBy("family", "block").count().filter("count > 1")
+        placed = materialize(spread.join(several, ["family", "block"]), "placed")
+        own = rows.select("key", "fp", "size", "sketch").dropDuplicates(["key"]).join(placed.select("key").distinct(), "key", "left_semi")
+        sharded = size_bands(placed.join(materialize(own, "own"), "key"), similarity, split_rows)
+        found = materialize(similar_links(sharded, radius, similarity), "near")
+        narrow = materialize(rows.select("doc_id", "key", "fp"), "rows")
+        for x in (distinct, found, narrow):
+            keep(x)
+    return _grouped(narrow, distinct, found, "key")
 
 
 def digest(docs: DataFrame) -> DataFrame:
