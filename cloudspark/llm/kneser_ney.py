@@ -21,7 +21,7 @@ labels; other columns, whatever their names, pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,6 +152,13 @@ class Model:
 
 
 def fit(trusted: DataFrame, text_col: str = "text") -> Model:
+    with scratch() as keep:
+        model = _fit(trusted, text_col)
+        keep(model.weights)
+    return model
+
+
+def _fit(trusted: DataFrame, text_col: str) -> Model:
     counts = {ORDER: materialize(gram_counts(trusted, text_col).withColumn("occ", F.col("n")), "grams")}
     for k in range(ORDER - 1, 0, -1):
         longer = counts[k + 1]
@@ -255,6 +262,11 @@ class Table:
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, hot: int = HOT, cold_bits: int = COLD_BITS) -> DataFrame:
     """(doc, chars, ln_p, entropy): the row as a struct, its symbols (the end included), ln of its probability, and nats a
     symbol drawn to the mean."""
+    with scratch() as keep:
+        return _score(docs, model, text_col, keep_text, hot, cold_bits, keep)
+
+
+def _score(docs: DataFrame, model: Model, text_col: str, keep_text: bool, hot: int, cold_bits: int, keep: Callable[[DataFrame], None]) -> DataFrame:
     spark = docs.sparkSession
     table = materialize(keyed(model.weights), "keyed")
     top = table.orderBy(F.desc("occ"), "key").limit(hot).select("key", "v", "occ").toPandas()
@@ -283,7 +295,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
                 size = s.stop - s.start
                 codes, last = joined(texts[s])
                 owner = np.repeat(np.arange(size), np.diff(np.append(last, len(codes) + ORDER - 1)))
-                at = np.flatnonzero((codes != BEFORE) | np.isin(np.arange(len(codes)), last)) - (ORDER - 1)
+                read = codes != BEFORE
+                read[last] = True
+                at = np.flatnonzero(read) - (ORDER - 1)
                 n[s] = np.bincount(owner[at], minlength=size) - 1
                 unknown, of = [], []
                 own = keys(codes)
@@ -314,6 +328,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     schema = T.StructType([T.StructField("doc", doc), T.StructField("chars", T.LongType()), T.StructField("ln_p", T.DoubleType()), T.StructField("cold", grams)])
     local = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
     local = materialize(local.withColumn("row", F.monotonically_increasing_id()), "scored")
+    keep(local)
     entropy = (F.lit(PRIOR_CHARS * model.mean) - F.col("ln_p")) / (F.col("chars") + PRIOR_CHARS)
     sure = local.filter("size(cold) = 0").drop("cold", "row")
     asked = local.filter("size(cold) > 0").select("row", F.explode("cold").alias("x")).select("row", "x.*")
@@ -321,6 +336,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     found = materialize(needed.join(cold, "key"), "cold")
     added = lookup(asked, found, "key", "weight").filter("w IS NOT NULL").groupBy("row").agg(F.sum(F.col("n") * F.col("w")).alias("more"))
     added = materialize(added, "added")
+    keep(added)
     open_rows = local.filter("size(cold) > 0").drop("cold")
     added = F.broadcast(added) if is_small(added) else added
     rest = open_rows.join(added, "row", "left").withColumn("ln_p", F.col("ln_p") + F.coalesce("more", F.lit(0.0))).drop("row", "more")
