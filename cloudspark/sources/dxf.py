@@ -67,3 +67,13 @@ def write(entities: DataFrame, path: str, layers: tuple[str, ...] = LAYERS) -> N
         for row in entity_text(entities).toLocalIterator():
             f.write(row.value + "\n")
         f.write("0\nENDSEC\n0\nEOF\n")
+
+
+def drawing_lines(entities: DataFrame, layers: tuple[str, ...] = LAYERS) -> DataFrame:
+    """(ord, value) of a drawing for ``sinks.write``: its text files, one after the other, are the drawing, and no task or driver
+    holds it whole."""
+    order = lambda part, own: F.struct(F.lit(part).alias("part"), own.alias("own"))
+    body = entity_text(entities).select(order(1, F.xxhash64("value")).alias("ord"), "value")
+    first, last = header() + tables(layers) + "0\nSECTION\n2\nENTITIES", "0\nENDSEC\n0\nEOF"
+    ends = [entities.sparkSession.range(1).select(order(part, F.lit(0).cast("long")).alias("ord"), F.lit(text).alias("value")) for part, text in ((0, first), (2, last))]
+    return reduce(DataFrame.unionByName, ends, body)

@@ -33,6 +33,23 @@ def test_cluster_and_export(spark, tmp_path):
     assert [int(x.split("\t")[0]) for x in lines(tmp_path / "joined")] == [0, 1, 2, 3, 20, 21]
 
 
+def test_drawing_in_parts_equals_the_one_of_one_file(spark, tmp_path):
+    from cloudspark.operators import stats
+    from cloudspark.sources import dxf, sinks
+
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, rng.random(6))) for i in range(50)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double, na double, nb double, nc double")
+    own = spark.createDataFrame([(i, i - i % 10) for i in range(50)], "id long, fid long")
+    entities = dxf.cluster_entities(points, own, stats.bounding_boxes(points, own))
+    dxf.write(entities, f"{tmp_path}/whole.dxf")
+    sinks.write(dxf.drawing_lines(entities), f"{tmp_path}/parts", 4)
+    whole, parts = (tmp_path / "whole.dxf").read_text().splitlines(), lines(tmp_path / "parts")
+    assert sorted(whole) == sorted(parts) and len(glob.glob(f"{tmp_path}/parts/part-*")) == 4
+    head = (dxf.header() + dxf.tables()).splitlines()
+    assert parts[: len(head)] == head and parts[-2:] == ["0", "EOF"]
+
+
 def test_unknown_setting(spark):
     with pytest.raises(SystemExit):
         main(["cluster", "a", "b", "+nothing=1"], spark)
