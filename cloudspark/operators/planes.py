@@ -35,10 +35,16 @@ def neighbourhoods(points: DataFrame, neighbours: DataFrame) -> DataFrame:
 PLANE = "qid long, na double, nb double, nc double, nw double, l1 double, l2 double, l3 double, t1 double, t2 double, t3 double, height double"
 
 
+def _turned(v: np.ndarray) -> np.ndarray:
+    big = np.where(np.abs(v) > 1e-12, v, 0)
+    lead = np.where(big[:, 2] != 0, big[:, 2], np.where(big[:, 1] != 0, big[:, 1], big[:, 0]))
+    return v * np.where(lead < 0, -1, 1)[:, None]
+
+
 def fit_planes(xyz: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Planes of groups of points that lie one after the other: normal, offset, eigenvalues, tangent and height as columns.
 
-    The normal's last non-zero part is positive. The height is the least extent along the three principal axes.
+    The last non-zero part of normals and tangents is positive. The height is the least extent along the three principal axes.
     """
     n = np.diff(np.append(starts, len(xyz)))
     group = np.repeat(np.arange(len(n)), n)
@@ -46,10 +52,7 @@ def fit_planes(xyz: np.ndarray, starts: np.ndarray) -> np.ndarray:
     off = xyz - mean[group]
     cov = np.add.reduceat(off[:, :, None] * off[:, None, :], starts) / np.maximum(n - 1, 1)[:, None, None]
     values, axes = np.linalg.eigh(cov)
-    normal, tangent = axes[:, :, 0], axes[:, :, 2]
-    big = np.where(np.abs(normal) > 1e-12, normal, 0)
-    lead = np.where(big[:, 2] != 0, big[:, 2], np.where(big[:, 1] != 0, big[:, 1], big[:, 0]))
-    normal = normal * np.where(lead < 0, -1, 1)[:, None]
+    normal, tangent = _turned(axes[:, :, 0]), _turned(axes[:, :, 2])
     along = np.einsum("ij,ijk->ik", off, axes[group])
     height = (np.maximum.reduceat(along, starts) - np.minimum.reduceat(along, starts)).min(1)
     return np.column_stack([normal, -(normal * mean).sum(1), np.maximum(values[:, ::-1], 0), tangent, height])

@@ -710,25 +710,69 @@ def _edges(spark, sf_dir) -> DataFrame:
     return materialize(_features(spark, sf_dir).filter(F.col("curv") > EDGE), "edges")
 
 
-@query()
+_NEAR_IN_TILE = f""", knn AS (SELECT tile, qid, nid, rank FROM (SELECT q.tile, q.id AS qid, p.id AS nid, row_number() OVER (PARTITION BY q.id ORDER BY (q.x-p.x)^2 + (q.y-p.y)^2 + (q.z-p.z)^2, p.id) AS rank
+  FROM t2 q JOIN t2 p ON p.tile = q.tile) WHERE rank <= {K}), own AS (SELECT qid, {_MOMENTS} FROM knn JOIN cloud ON nid = id GROUP BY qid)"""
+_UNIT = lambda v: ", ".join(f"{v}.{c} / sqrt({v}.s) * CASE WHEN {v}.z <> 0 THEN sign({v}.z) WHEN {v}.y <> 0 THEN sign({v}.y) ELSE sign({v}.x) END AS {v}{c}" for c in "xyz")
+
+
+def _grow_sql(vector: str, fits: str, k: int, least: int, merge: str | None, only_edges: bool = True) -> str:
+    """Growth in steps: a seed, a point that is reached, or the end of a region. ``fits`` compares {{a}} with {{b}}, structs of the
+    vector's mean or the vector (x, y, z) and of curvatures (c). merge: largest distance of regions that merge, and whether to
+    stop then; None for the rule that compares a point with the one before it."""
+    chosen = f"WHERE curv > {EDGE}" if only_edges else ""
+    mean = ", ".join(f"'{c}': (m.{c} * len(region) + V[spot].{c}) / (len(region) + 1)" for c in "xyzc")
+    apart = "greatest(list_max([list_min([D[a][b] FOR b IN r.p]) FOR a IN region]), list_max([list_min([D[a][b] FOR a IN region]) FOR b IN r.p]))"
+    distance, stop = merge.split() if merge else ("-1", "false")
+    like = f"({fits.format(a='m', b='r.m')} AND {apart} < {distance})" if merge else "false"
+    met = "list_reverse([r FOR r IN regions IF r.near])"
+    middle = ", ".join(f"'{c}': list_reduce(list_concat([m.{c}], [r.m.{c} FOR r IN {met}]), lambda u, v: (u + v) / 2)" for c in "xyzc")
+    now = f"{{{mean}}}" if merge else "V[spot]"
+    return f"""{CLOUD_SQL}{_TILES}{_NEAR_IN_TILE}{_eigen("own", "qid")}, two AS (SELECT qid, l3/(l1 + l2 + l3) AS curv, {_axis("l3", "n")}, {_axis("l1", "t")} FROM eig),
+feature AS (SELECT t2.tile, t2.id, t2.x, t2.y, t2.z, curv, {_UNIT("n")}, {_UNIT("t")} FROM two JOIN t2 ON t2.id = qid),
+edge AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id) AS i FROM feature {chosen}),
+pair AS (SELECT p.tile, p.i AS pi, q.i AS qi, sqrt((p.x-q.x)^2 + (p.y-q.y)^2 + (p.z-q.z)^2) AS d, row_number() OVER (PARTITION BY p.tile, p.i ORDER BY (p.x-q.x)^2 + (p.y-q.y)^2 + (p.z-q.z)^2, q.id) AS rank FROM edge p JOIN edge q ON p.tile = q.tile),
+row_ AS (SELECT tile, pi, list(qi ORDER BY rank) FILTER (rank <= {k}) AS near, list(d ORDER BY qi) AS far FROM pair GROUP BY tile, pi),
+matrix AS (SELECT row_.tile, list(near ORDER BY pi) AS N, list(far ORDER BY pi) AS D, list({{'x': {vector}x, 'y': {vector}y, 'z': {vector}z, 'c': curv}} ORDER BY pi) AS V, list(curv > {EDGE} ORDER BY pi) AS E, count(*) AS total
+  FROM row_ JOIN edge ON edge.tile = row_.tile AND edge.i = pi GROUP BY row_.tile),
+grown AS (SELECT tile, [false FOR u IN range(total)] AS seen, []::BIGINT[] AS queue, []::BIGINT[] AS region, V[1] AS m,
+    []::STRUCT(p BIGINT[], m STRUCT(x DOUBLE, y DOUBLE, z DOUBLE, c DOUBLE))[] AS regions, false AS stop FROM matrix
+  UNION ALL SELECT tile, seen_, CASE
+      WHEN mode = 'walk' THEN [j FOR j IN list_concat(list_slice(queue, 2, len(queue)), [j FOR j IN N[spot] IF E[j] AND {fits.format(a='now', b='V[j]')}]) IF NOT seen_[j]]
+      WHEN mode = 'seed' AND spot IS NOT NULL THEN [spot] ELSE [] END,
+    CASE WHEN mode = 'walk' THEN list_append(region, spot) ELSE [] END, now,
+    CASE WHEN mode = 'close' AND len(region) > {least} THEN list_append([{{'p': r.p, 'm': r.m}} FOR r IN regions IF NOT r.near], {{'p': list_concat(region, flatten([r.p FOR r IN {met}])), 'm': {{{middle}}}}})
+      ELSE [{{'p': r.p, 'm': r.m}} FOR r IN regions] END,
+    (mode = 'seed' AND spot IS NULL) OR (mode = 'close' AND len(region) > {least} AND {stop} AND len({met}) > 0)
+  FROM (SELECT * REPLACE ([{{'p': r.p, 'm': r.m, 'near': mode = 'close' AND {like}}} FOR r IN regions] AS regions), CASE WHEN mode = 'walk' THEN {now} ELSE m END AS now,
+      CASE WHEN mode = 'walk' THEN [s OR u = spot FOR s, u IN seen] ELSE seen END AS seen_
+    FROM (SELECT g.*, N, D, V, E, CASE WHEN len(queue) > 0 THEN 'walk' WHEN len(region) > 0 THEN 'close' ELSE 'seed' END AS mode,
+        CASE WHEN len(queue) > 0 THEN queue[1] ELSE nullif(list_position(seen, false), 0) END AS spot FROM grown g JOIN matrix USING (tile) WHERE NOT stop)))
+SELECT cast(tile as varchar) AS tile_id, cast(r - 1 as bigint) AS region_id, edge.id, cast(o - 1 as bigint) AS ord
+FROM (SELECT tile, r, unnest(p) AS i, generate_subscripts(p, 1) AS o FROM (SELECT tile, unnest(regions).p AS p, generate_subscripts(regions, 1) AS r FROM grown WHERE stop)) JOIN edge USING (tile, i)"""
+
+
+_TURN = "acos(least(1, abs({a}.x*{b}.x + {a}.y*{b}.y + {a}.z*{b}.z) / (sqrt({a}.x^2 + {a}.y^2 + {a}.z^2) * sqrt({b}.x^2 + {b}.y^2 + {b}.z^2))))"
+
+
+@query(_grow_sql("t", _TURN + " < 0.8", 10, 3, "0.1 true"))
 def region_grow(spark, sf_dir):
     return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, min_points=3))
 
 
-@query()
+@query(_grow_sql("t", _TURN + " < 0.8", 10, 3, "0.1 false"))
 def region_grow_all(spark, sf_dir):
     """The scan goes on after a merge."""
     return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, min_points=3, stop_at_merge=False))
 
 
-@query()
+@query(_grow_sql("n", _TURN + " < 0.9 AND abs({a}.c - {b}.c) < 0.05", 10, 3, None, False))
 def region_grow_fixed(spark, sf_dir):
     """As older revisions: points are compared with the point before them."""
     rows = materialize(_features(spark, sf_dir).withColumn("edge", F.col("curv") > EDGE), "features")
     return regions.grow_regions(rows, regions.Rule(angle=0.9, curvature=0.05, min_points=3), "fixed")
 
 
-@query()
+@query(_grow_sql("n", "abs({a}.x*{b}.x + {a}.y*{b}.y + {a}.z*{b}.z) > 0.7", 10, 3, "0.1 false"))
 def region_grow_own_rule(spark, sf_dir):
     """A function as the rule: normals within a limit."""
     rule = regions.Rule(min_points=3, stop_at_merge=False, fits=lambda a, b: abs(float(a[4:7] @ b[4:7])) > 0.7)
