@@ -715,11 +715,23 @@ _NEAR_IN_TILE = f""", knn AS (SELECT tile, qid, nid, rank FROM (SELECT q.tile, q
 _UNIT = lambda v: ", ".join(f"{v}.{c} / sqrt({v}.s) * CASE WHEN {v}.z <> 0 THEN sign({v}.z) WHEN {v}.y <> 0 THEN sign({v}.y) ELSE sign({v}.x) END AS {v}{c}" for c in "xyz")
 
 
+def _grow_matrix(vector: str, k: int, only_edges: bool) -> str:
+    """CTE ``matrix``: for each tile neighbours N, distances D, vectors V and whether a point is an edge point, E."""
+    chosen = f"WHERE curv > {EDGE}" if only_edges else ""
+    return f"""{CLOUD_SQL}{_TILES}{_NEAR_IN_TILE}{_eigen("own", "qid")}, two AS (SELECT qid, l3/(l1 + l2 + l3) AS curv, {_axis("l3", "n")}, {_axis("l1", "t")} FROM eig),
+feature AS (SELECT t2.tile, t2.id, t2.x, t2.y, t2.z, curv, {_UNIT("n")}, {_UNIT("t")} FROM two JOIN t2 ON t2.id = qid),
+edge AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id) AS i FROM feature {chosen}),
+pair AS (SELECT p.tile, p.i AS pi, q.i AS qi, sqrt((p.x-q.x)^2 + (p.y-q.y)^2 + (p.z-q.z)^2) AS d, row_number() OVER (PARTITION BY p.tile, p.i ORDER BY (p.x-q.x)^2 + (p.y-q.y)^2 + (p.z-q.z)^2, q.id) AS rank FROM edge p JOIN edge q ON p.tile = q.tile),
+row_ AS (SELECT tile, pi, list(qi ORDER BY rank) FILTER (rank <= {k}) AS near, list(d ORDER BY qi) AS far FROM pair GROUP BY tile, pi),
+matrix AS (SELECT row_.tile, list(near ORDER BY pi) AS N, list(far ORDER BY pi) AS D, list({{'x': {vector}x, 'y': {vector}y, 'z': {vector}z, 'c': curv}} ORDER BY pi) AS V, list(curv > {EDGE} ORDER BY pi) AS E, count(*) AS total
+  FROM row_ JOIN edge ON edge.tile = row_.tile AND edge.i = pi GROUP BY row_.tile),
+"""
+
+
 def _grow_sql(vector: str, fits: str, k: int, least: int, merge: str | None, only_edges: bool = True) -> str:
     """Growth in steps: a seed, a point that is reached, or the end of a region. ``fits`` compares {{a}} with {{b}}, structs of the
     vector's mean or the vector (x, y, z) and of curvatures (c). merge: largest distance of regions that merge, and whether to
     stop then; None for the rule that compares a point with the one before it."""
-    chosen = f"WHERE curv > {EDGE}" if only_edges else ""
     mean = ", ".join(f"'{c}': (m.{c} * len(region) + V[spot].{c}) / (len(region) + 1)" for c in "xyzc")
     apart = "greatest(list_max([list_min([D[a][b] FOR b IN r.p]) FOR a IN region]), list_max([list_min([D[a][b] FOR a IN region]) FOR b IN r.p]))"
     distance, stop = merge.split() if merge else ("-1", "false")
@@ -727,14 +739,7 @@ def _grow_sql(vector: str, fits: str, k: int, least: int, merge: str | None, onl
     met = "list_reverse([r FOR r IN regions IF r.near])"
     middle = ", ".join(f"'{c}': list_reduce(list_concat([m.{c}], [r.m.{c} FOR r IN {met}]), lambda u, v: (u + v) / 2)" for c in "xyzc")
     now = f"{{{mean}}}" if merge else "V[spot]"
-    return f"""{CLOUD_SQL}{_TILES}{_NEAR_IN_TILE}{_eigen("own", "qid")}, two AS (SELECT qid, l3/(l1 + l2 + l3) AS curv, {_axis("l3", "n")}, {_axis("l1", "t")} FROM eig),
-feature AS (SELECT t2.tile, t2.id, t2.x, t2.y, t2.z, curv, {_UNIT("n")}, {_UNIT("t")} FROM two JOIN t2 ON t2.id = qid),
-edge AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id) AS i FROM feature {chosen}),
-pair AS (SELECT p.tile, p.i AS pi, q.i AS qi, sqrt((p.x-q.x)^2 + (p.y-q.y)^2 + (p.z-q.z)^2) AS d, row_number() OVER (PARTITION BY p.tile, p.i ORDER BY (p.x-q.x)^2 + (p.y-q.y)^2 + (p.z-q.z)^2, q.id) AS rank FROM edge p JOIN edge q ON p.tile = q.tile),
-row_ AS (SELECT tile, pi, list(qi ORDER BY rank) FILTER (rank <= {k}) AS near, list(d ORDER BY qi) AS far FROM pair GROUP BY tile, pi),
-matrix AS (SELECT row_.tile, list(near ORDER BY pi) AS N, list(far ORDER BY pi) AS D, list({{'x': {vector}x, 'y': {vector}y, 'z': {vector}z, 'c': curv}} ORDER BY pi) AS V, list(curv > {EDGE} ORDER BY pi) AS E, count(*) AS total
-  FROM row_ JOIN edge ON edge.tile = row_.tile AND edge.i = pi GROUP BY row_.tile),
-grown AS (SELECT tile, [false FOR u IN range(total)] AS seen, []::BIGINT[] AS queue, []::BIGINT[] AS region, V[1] AS m,
+    return f"""{_grow_matrix(vector, k, only_edges)}grown AS (SELECT tile, [false FOR u IN range(total)] AS seen, []::BIGINT[] AS queue, []::BIGINT[] AS region, V[1] AS m,
     []::STRUCT(p BIGINT[], m STRUCT(x DOUBLE, y DOUBLE, z DOUBLE, c DOUBLE))[] AS regions, false AS stop FROM matrix
   UNION ALL SELECT tile, seen_, CASE
       WHEN mode = 'walk' THEN [j FOR j IN list_concat(list_slice(queue, 2, len(queue)), [j FOR j IN N[spot] IF E[j] AND {fits.format(a='now', b='V[j]')}]) IF NOT seen_[j]]
@@ -751,6 +756,37 @@ SELECT cast(tile as varchar) AS tile_id, cast(r - 1 as bigint) AS region_id, edg
 FROM (SELECT tile, r, unnest(p) AS i, generate_subscripts(p, 1) AS o FROM (SELECT tile, unnest(regions).p AS p, generate_subscripts(regions, 1) AS r FROM grown WHERE stop)) JOIN edge USING (tile, i)"""
 
 
+def _grow_dynamic_sql(fits: str, k: int, least: int, reach: float) -> str:
+    """Growth on contact in steps: a seed, a point whose neighbours are looked at, one neighbour, or the end of a region. ``owner``
+    is the number of a point's region, -1 for the one that grows, 0 for none."""
+    mean = ", ".join(f"'{c}': (m.{c} * len(region) + V[j].{c}) / (len(region) + 1)" for c in "xyzc")
+    half = ", ".join(f"'{c}': (regions[owner[j]].m.{c} + m.{c}) / 2" for c in "xyzc")
+    gap = "coalesce(list_min([D[j][u] FOR u IN {}]), 1e300)"
+    return f"""{_grow_matrix("t", k, True)}
+grown AS (SELECT tile, [false FOR u IN range(total)] AS seen, [cast(0 as bigint) FOR u IN range(total)] AS owner, cast(0 as bigint) AS seed, []::BIGINT[] AS queue, cast(0 as bigint) AS spot, cast(0 as bigint) AS k,
+    []::BIGINT[] AS region, V[1] AS m, []::STRUCT(p BIGINT[], m STRUCT(x DOUBLE, y DOUBLE, z DOUBLE, c DOUBLE))[] AS regions, false AS active, false AS stop FROM matrix
+  UNION ALL SELECT tile,
+    CASE WHEN mode = 'add' THEN [x OR u = j FOR x, u IN seen] WHEN mode = 'close' AND len(region) <= {least} THEN [x AND owner[u] <> -1 FOR x, u IN seen] ELSE seen END,
+    CASE WHEN mode = 'add' THEN [CASE WHEN u = j THEN -1 ELSE x END FOR x, u IN owner] WHEN mode = 'merge' THEN [CASE WHEN x = -1 THEN owner[j] ELSE x END FOR x IN owner]
+      WHEN mode = 'close' THEN [CASE WHEN x <> -1 THEN x WHEN len(region) > {least} THEN len(regions) + 1 ELSE 0 END FOR x IN owner]
+      WHEN mode = 'seed' THEN [CASE WHEN u = j THEN -1 ELSE x END FOR x, u IN owner] ELSE owner END,
+    CASE WHEN mode = 'seed' THEN coalesce(j, seed) ELSE seed END,
+    CASE WHEN mode = 'seed' THEN [j] WHEN mode = 'add' THEN list_append(queue, j) WHEN mode = 'pop' THEN list_slice(queue, 2, len(queue)) WHEN mode = 'merge' THEN [] ELSE queue END,
+    CASE WHEN mode = 'pop' THEN queue[1] WHEN mode IN ('seed', 'merge', 'close') THEN 0 ELSE spot END,
+    CASE WHEN mode = 'pop' THEN 1 WHEN mode IN ('add', 'skip') THEN k + 1 ELSE 0 END,
+    CASE WHEN mode = 'seed' THEN [j] WHEN mode = 'add' THEN list_append(region, j) WHEN mode IN ('merge', 'close') THEN [] ELSE region END,
+    CASE WHEN mode = 'seed' THEN V[j] WHEN mode = 'add' THEN {{{mean}}} ELSE m END,
+    CASE WHEN mode = 'close' AND len(region) > {least} THEN list_append(regions, {{'p': region, 'm': m}})
+      WHEN mode = 'merge' THEN [CASE WHEN i = owner[j] THEN {{'p': list_concat(r.p, region), 'm': {{{half}}}}} ELSE r END FOR r, i IN regions] ELSE regions END,
+    mode IN ('add', 'skip', 'pop') OR (mode = 'seed' AND j IS NOT NULL), mode = 'seed' AND j IS NULL
+  FROM (SELECT *, CASE WHEN NOT active THEN 'seed' WHEN j IS NULL THEN CASE WHEN len(queue) > 0 THEN 'pop' ELSE 'close' END
+      WHEN NOT ({fits.format(a="m", b="V[j]")} AND {gap.format("region")} < {reach}) THEN 'skip' WHEN owner[j] = 0 THEN 'add'
+      WHEN owner[j] > 0 AND {fits.format(a="regions[owner[j]].m", b="V[j]")} AND {gap.format("regions[owner[j]].p")} < {reach} THEN 'merge' ELSE 'skip' END AS mode
+    FROM (SELECT g.*, N, D, V, E, CASE WHEN active THEN CASE WHEN spot > 0 THEN N[spot][g.k] END ELSE list_min([u FOR x, u IN seen IF NOT x AND u > seed]) END AS j FROM grown g JOIN matrix USING (tile) WHERE NOT stop)))
+SELECT cast(tile as varchar) AS tile_id, cast(r - 1 as bigint) AS region_id, edge.id, cast(o - 1 as bigint) AS ord
+FROM (SELECT tile, r, unnest(p) AS i, generate_subscripts(p, 1) AS o FROM (SELECT tile, unnest(regions).p AS p, generate_subscripts(regions, 1) AS r FROM grown WHERE stop)) JOIN edge USING (tile, i)"""
+
+
 _TURN = "acos(least(1, abs({a}.x*{b}.x + {a}.y*{b}.y + {a}.z*{b}.z) / (sqrt({a}.x^2 + {a}.y^2 + {a}.z^2) * sqrt({b}.x^2 + {b}.y^2 + {b}.z^2))))"
 
 
@@ -779,7 +815,7 @@ def region_grow_own_rule(spark, sf_dir):
     return regions.grow_regions(_edges(spark, sf_dir), rule)
 
 
-@query()
+@query(_grow_dynamic_sql(_TURN + " < 0.8", 10, 3, 0.2))
 def region_grow_dynamic(spark, sf_dir):
     return regions.grow_regions(_edges(spark, sf_dir), regions.Rule(angle=0.8, distance=0.2, min_points=3), "dynamic")
 
