@@ -48,7 +48,7 @@ def scratch() -> Iterator[Callable[[DataFrame], None]]:
     try:
         yield kept.append
     finally:
-        _scratch.remove(tables)
+        _scratch[:] = [t for t in _scratch if t is not tables]
         discard(*[t for t in tables if not any(t is k for k in kept)])
 
 
