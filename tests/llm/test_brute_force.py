@@ -101,6 +101,7 @@ def test_training_texts_longer_than_a_stretch_count(spark):
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(20_000))) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
     fitted = hmm.fit(docs)
+    assert hmm.digest(docs.drop("held_out").limit(0)).count() == 0
     assert fitted.n == 60_003 and all(r.score / r.n_tokens > r.base_score / r.n_tokens - 0.05 for r in hmm.score(fitted).collect())
 
 
