@@ -3,7 +3,8 @@
 A page is a stream of tags and texts. Repeated groups of tokens are folded into one plus-group, again and again until
 none is left; texts that all pages of the host have are apart from others, so that they do not vanish in a group. Streams of one host are aligned one after the other: equal tags stay, differing texts become slots, what
 only some pages have becomes optional. The wrapper so inferred tells template text (the same on all its pages) from
-content. It is inferred from all distinct pages of a host: in blocks of some BLOCK_PAGES, whose wrappers are merged.
+content. It is inferred from all distinct pages of a host: in blocks of some BLOCK_PAGES, whose wrappers are
+merged by FAN at a time.
 
 Each page is matched against its host's wrapper. What matches a constant, not optional text of the wrapper in its place is
 template text, and a repeated group whose texts are all links is a menu. On a page without an article or main element,
@@ -40,8 +41,8 @@ from pyspark.sql import types as T
 
 from cloudspark.llm.common import lookup, materialize
 
-#: Distinct pages of a host that are aligned in one task, and the least that make a text a template's.
-BLOCK_PAGES, LEAST_PAGES = 1_000, 3
+#: Distinct pages of a host, or wrappers of its blocks, that are aligned in one task; the least pages that make a template.
+BLOCK_PAGES, FAN, LEAST_PAGES = 256, 64, 3
 #: Longest group of tokens that folding looks for.
 GROUP = 12
 #: Largest part of a main element's text that can be a template's.
@@ -420,11 +421,15 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", blo
     known = rows.join(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host")
     constant = texts.join(known, "host").filter("count = n").groupBy("host").agg(F.collect_list("text").alias("constants"))
     known = known.join(constant, "host", "left").select("host", "weight", F.coalesce("constants", F.array().cast("array<string>")).alias("constants"))
+    known = materialize(known, "hosts")
     block = F.expr(f"pmod(h, CAST(ceil(weight / {block_pages}) AS BIGINT))").alias("block")
     kind = "host string, h long, weight long, constants array<string>, pages long, shown array<string>"
-    parted = lookup(distinct, materialize(known, "hosts"), "host", "weight").select("host", "h", block, "weight", "constants", F.lit(1).cast("long").alias("pages"), "shown")
-    blocks = parted.groupBy("host", "block").applyInArrow(merged(True), kind)
-    found = blocks.withColumn("block", F.lit(0).cast("long")).groupBy("host").applyInArrow(merged(False), kind)
+    parted = lookup(distinct, known, "host", "weight").select("host", "h", block, "weight", "constants", F.lit(1).cast("long").alias("pages"), "shown")
+    found = parted.groupBy("host", "block").applyInArrow(merged(True), kind)
+    left = -(-(known.agg(F.max("weight")).first()[0] or 0) // block_pages)  # blocks of the largest host
+    while left > 1:  # a block's number stands in h
+        found = found.withColumn("block", F.floor(F.col("h") / FAN)).groupBy("host", "block").applyInArrow(merged(False), kind)
+        left = -(-left // FAN)
     return materialize(found.select("host", "pages", F.col("shown").alias("wrapper"), "weight"), "wrappers")
 
 

@@ -494,7 +494,7 @@ def test_alignment_takes_linear_time():
     assert all(x == y for x, y in ((same[i], same[::-1][k]) for i, k in wrappers.matches(same, same[::-1])))
 
 
-def test_wrappers_of_all_pages_by_place(spark):
+def test_wrappers_of_all_pages_by_place(spark, monkeypatch):
     """A text counts as a template's only if all pages of the host have it, and only in its place."""
     page = "<body><div>Head</div><h2>{0}</h2><p>{1}</p></body>"
     rows = [(i, f"http://h.example/{i}", page.format("Same" if i < 29 else "Other", "Head" if i == 7 else f"text {i}")) for i in range(30)]
@@ -502,6 +502,7 @@ def test_wrappers_of_all_pages_by_place(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrappers.digest(table).collect()}
     assert got == {**{i: f"{'Same' if i < 29 else 'Other'}\n\n{'Head' if i == 7 else f'text {i}'}" for i in range(30)}, 40: "", 41: "Same\n\ntext 0"}
+    monkeypatch.setattr(wrappers, "FAN", 3)
     whole, blocks = (wrappers.wrappers(table, block_pages=n).first() for n in (1_000, 4))
     assert whole == blocks and (whole.pages, whole.weight) == (30, 32)
 
