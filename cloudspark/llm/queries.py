@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudspark.llm import decontaminate, exact_dedup, hmm, kneser_ney, line_dedup, pii_crf, secret_scan, simhash, sp_codec, wrappers
+from cloudspark.llm import decontaminate, divergence, exact_dedup, hmm, kneser_ney, line_dedup, negatives, odd_sketch, pii_crf, secret_scan, simhash, sp_codec, wrappers
 from cloudspark.llm.common import table
 
 
@@ -48,10 +48,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_hmm, op2_sentencepiece, op3_simhash, op4_line_dedup, op5_decontamination, op6_secrets, op7_pii, op8_quality, op9_html, op10_exact_dedup)
+    own = (
+        op1_hmm, op2_sentencepiece, op3_simhash, op4_line_dedup, op5_decontamination, op6_secrets, op7_pii, op8_quality, op9_html, op10_exact_dedup,
+        op11_divergence, op12_hard_negatives, op13_odd_sketch,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_divergence": divergence.SQL, "op12_hard_negatives": negatives.SQL}
