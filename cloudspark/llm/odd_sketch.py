@@ -20,12 +20,12 @@ equal ids and different texts are documents of their own; an empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,35 +111,65 @@ def most_odd(estimate: float = LEAST_ESTIMATE) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * MINHASHES * (1 - estimate) / SKETCH_BITS)))
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("one"), F.xxhash64(text, F.lit(SEED)).alias("other"))
+
+
+def node_of(hashes: np.ndarray) -> bytes:
+    """128 bits of a set."""
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+
+
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, ``node`` (a hash of 128 bits of the set), ``size`` and, of sets that are not empty, ``bands``, ``odd`` and ``hashes``."""
+    """doc_id, ``key`` of the text, ``node`` of its set, ``size`` and, of sets that are not empty, ``bands`` and ``odd``."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                node, size, bands, odd, hashes = [], [], [], [], []
-                for text in part.column(1):
+                node, size, bands, odd = [], [], [], []
+                for text in part.column(2):
                     own = shingle_set(text.as_py(), shingle)
                     size.append(len(own))
-                    node.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
+                    node.append(node_of(own))
                     least = samples(own) if len(own) else None
                     bands.append([] if least is None else band_keys(least))
                     odd.append(None if least is None else odd_sketch(least))
-                    hashes.append(own.tobytes())
-                columns = [pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(hashes, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "node", "size", "bands", "odd", "hashes"])
+                columns = [pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "key", "node", "size", "bands", "odd"])
+
+    text = _text(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(text).alias("key"), text.alias("text"))
+    kinds = {"node": T.BinaryType(), "size": T.LongType(), "bands": T.ArrayType(T.LongType()), "odd": T.BinaryType()}
+    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, k) for n, k in kinds.items()]])
+    return rows.mapInArrow(run, schema)
+
 
-    kinds = {"node": T.BinaryType(), "size": T.LongType(), "bands": T.ArrayType(T.LongType()), "odd": T.BinaryType(), "hashes": T.BinaryType()}
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, k) for n, k in kinds.items()]])
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).mapInArrow(run, schema)
+def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(node, hashes) of the texts whose ``key`` is in ``wanted`` (key, node), a materialized table."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                hashes = pa.array([shingle_set(text.as_py(), shingle).tobytes() for text in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), hashes], names=["node", "hashes"])
+
+    text = _text(text_col)
+    rows = docs.select(_text_key(text).alias("key"), text.alias("text"))
+    met = rows.join(F.broadcast(wanted) if is_small(wanted) else wanted, "key").select("node", "text").dropDuplicates(["node"])
+    return met.mapInArrow(run, "node binary, hashes binary")
 
 
 def band_blocks(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(band, i, j, mine, node, size, odd, root): the sets of each band that holds several; those of a large one go to each
     pair of blocks that theirs is part of. Within (i, j), i < j, only pairs of different blocks are new."""
-    spread = materialize(sets.select("node", F.explode("bands").alias("band")), "bands")
+    spread = sets.select("node", F.explode("bands").alias("band"))
     counts = materialize(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
     placed = materialize(spread.join(F.broadcast(counts) if is_small(counts) else counts, "band"), "placed")
     told = materialize(sets.select("node", "size", "odd").join(placed.select("node").distinct(), "node", "left_semi"), "told")
@@ -235,12 +265,12 @@ def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int = PERCENT) -> Da
     return one.join(hashes.select(F.col("node").alias("b"), F.col("hashes").alias("others")), "b").select("a", "b", "own", "others").mapInArrow(run, "a binary, b binary")
 
 
-def set_links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(a, b): confirmed links of different sets that connect all whose candidates links connect. sets: node, size, bands, odd, hashes."""
+def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b): confirmed links of different sets, which connect all that links of candidates connect. sets: node, size, bands, odd.
+    sets_of: a function of nodes that returns their full sets (node, hashes)."""
     cells = materialize(band_blocks(sets, block), "cells")
-    nodes = materialize(cells.select("node").distinct(), "nodes")
-    hashes = materialize(sets.select("node", "hashes").join(nodes, "node", "left_semi"), "hashes")
-    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    hashes = None
+    none = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     found, tried, roots, after, upto, more = none, none, None, 0, 1, True
     while more:
         if roots is None:
@@ -250,6 +280,8 @@ def set_links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> Da
         named = materialize(named_pairs(told, after, upto), "named")
         more = not named.filter("a IS NULL").isEmpty()
         pairs = materialize(named.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "pairs")
+        if hashes is None:  # each set with a candidate has named one in the first round
+            hashes = materialize(sets_of(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "hashes")
         tried = tried.unionByName(pairs)
         links = materialize(confirmed(pairs, hashes, percent), "links")
         if not links.isEmpty():
@@ -265,11 +297,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     with scratch() as keep:
         rows = materialize(described(docs, id_col, text_col, shingle), "described")
         full = rows.filter("size > 0")
-        low = materialize(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-        sets = full.select("node", "size", "bands", "odd", "hashes").dropDuplicates(["node"])
-        links = set_links(materialize(sets, "sets"), percent, block)
+        low = materialize(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "distinct")
+        sets = materialize(full.select("node", "size", "bands", "odd").dropDuplicates(["node"]), "sets")
+
+        def sets_of(nodes):
+            return full_sets(docs, materialize(low.join(nodes, "node", "left_semi").select("key", "node"), "wanted"), text_col, shingle)
+
+        links = set_links(sets, sets_of, percent, block)
         roots = materialize(components(links), "components")
-        linked = low.join(F.broadcast(roots) if is_small(roots) else roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        linked = low.join(F.broadcast(roots) if is_small(roots) else roots, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root"))
         linked = materialize(linked, "linked")
         whole = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("nodes"))
         whole = materialize(whole, "whole")
