@@ -7,11 +7,14 @@ bitmap of 1,024 parities: samples that two sets share cancel in the exclusive or
 count p gives the similarity, 1 + 1024/(4 * 128) ln(1 - 2 p / 1024), with a standard error of 0.037 at 0.8. A
 candidate is a pair of one band whose estimate is above 0.6 and whose sizes allow 0.8.
 
-Links are confirmed on full sets, in rounds. A band's sets each name their best candidate, in the next round the seven
-after it, then 56, 448 and so on, to the end of their lists; of the pairs that are named only those are checked whose ends
-are not connected yet. So a group of copies costs about as many checks as it has sets, nothing is left out, and no pairs of
-a group are made but those that no link has joined. A large band is cut into blocks, each of which meets each other in a
-task of its own.
+candidate is a pair of one band whose estimate is above 0.6, whose sizes allow 0.8, and whose odd sketches of the full sets
+do not exclude it: their population count is never above the number of shingles that one of the two has alone.
+
+Links are confirmed on full sets. First each cell of a few bands names a forest of its candidates, best estimates first; that
+connects nearly all copies with as many checks as there are sets. Then, in all bands, of two candidates that are still
+apart the one in the smaller component names the other: its best one, in the next round the seven after it, then 56
+and so on to the end of its list; only pairs whose ends are still apart are checked. So nothing is left out, and no pairs of a group are made
+but those that no link has joined. A large band is cut into blocks, each of which meets each other in a task of its own.
 
 Defined results: a null or empty text, or one of separators only, has an empty set and is linked with nothing, not
 with its like either; equal sets are linked and searched as one; a null id never is the smallest id of a component unless all ids are null; rows with
@@ -40,6 +43,8 @@ MINHASHES, BAND_ROWS, SKETCH_BITS = 128, 4, 1024
 LEAST_ESTIMATE = 0.6
 #: Sets of a band beyond which it is cut into blocks of so many on average.
 BLOCK = 1_024
+#: Bands whose candidates are connected first.
+FIRST_BANDS = 2
 #: Candidates that a set has named after a round: one, then so many times as many each time.
 GROWTH = 8
 #: Word hashes that a worker remembers.
@@ -106,6 +111,11 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """The odd sketch of a full set."""
+    return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1 == 1).tobytes()
+
+
 def most_odd(estimate: float = LEAST_ESTIMATE) -> int:
     """The population count that an estimate of similarity stands for."""
     return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * MINHASHES * (1 - estimate) / SKETCH_BITS)))
@@ -126,7 +136,8 @@ def node_of(hashes: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, ``key`` of the text, ``node`` of its set, ``size`` and, of sets that are not empty, ``bands`` and ``odd``."""
+    """doc_id, ``key`` of the text, ``node`` of its set, ``size`` and, of sets that are not empty, ``bands`` and ``odd`` (sketches of the samples
+    and of the full set)."""
 
     def run(batches):
         for batch in batches:
@@ -139,7 +150,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                     node.append(node_of(own))
                     least = samples(own) if len(own) else None
                     bands.append([] if least is None else band_keys(least))
-                    odd.append(None if least is None else odd_sketch(least))
+                    odd.append(None if least is None else odd_sketch(least) + parities(own))
                 columns = [pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "key", "node", "size", "bands", "odd"])
 
@@ -167,84 +178,119 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", shingl
 
 
 def band_blocks(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(band, i, j, mine, node, size, odd, root): the sets of each band that holds several; those of a large one go to each
-    pair of blocks that theirs is part of. Within (i, j), i < j, only pairs of different blocks are new."""
-    spread = sets.select("node", F.explode("bands").alias("band"))
+    """(first, band, i, j, mine, node, size, odd): the sets of each band that holds several; those of a large one go to each
+    pair of blocks that theirs is part of. Within (i, j), i < j, only pairs of different blocks are new. ``first``: one of FIRST_BANDS."""
+    spread = sets.select("node", F.posexplode("bands").alias("at", "band"))
     counts = materialize(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
     placed = materialize(spread.join(F.broadcast(counts) if is_small(counts) else counts, "band"), "placed")
     told = materialize(sets.select("node", "size", "odd").join(placed.select("node").distinct(), "node", "left_semi"), "told")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    # a block by bits of the node: its hash is even already
+    # a block by bits of the node, which is a hash already
     own = F.expr(f"cast(pmod(xxhash64(node), ceil(n / {block})) as int)")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
-    out = placed.join(told, "node").withColumn("blocks", blocks).withColumn("mine", own)
-    return out.select("band", "mine", "node", "size", "odd", F.explode(cells).alias("cell")).select("band", "cell.*", "mine", "node", "size", "odd")
+    out = placed.join(told, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", own)
+    out = out.withColumn("first", F.col("at") < FIRST_BANDS)
+    return out.select("first", "band", "mine", "node", "size", "odd", F.explode(cells).alias("cell")).select("first", "band", "cell.*", "mine", "node", "size", "odd")
 
 
-def best_candidates(size: np.ndarray, odd: np.ndarray, mine: np.ndarray, root: np.ndarray, across: bool, after: int, upto: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one cell that one of the two names: its candidates from place ``after`` to ``upto``, best estimates first.
+def _bits(odd: np.ndarray, part: slice, half: slice) -> np.ndarray:
+    return np.bitwise_count(odd[part, None, half] ^ odd[None, :, half]).sum(2, dtype=np.int32)
 
-    Pairs within one component are left out after they are placed, so that places are the same in each round. If candidates of
-    other components come after ``upto``, the last pair is (-1, -1).
-    """
-    more = False
-    most = most_odd()
+
+def candidates(size: np.ndarray, odd: np.ndarray, mine: np.ndarray, across: bool, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some sets of a cell at a time the place of the first, the population counts of their samples' sketches with those of
+    all sets, and which of these are candidates."""
+    most, words = most_odd(), SKETCH_BITS // 64
     for at in range(0, len(size), 256):
         part = slice(at, at + 256)
-        count = np.bitwise_count(odd[part, None] ^ odd[None]).sum(2, dtype=np.int64)
+        count = _bits(odd, part, slice(0, words))
         small, large = np.minimum(size[part, None], size), np.maximum(size[part, None], size)
-        fit = (count <= most) & (small * 100 >= large * PERCENT)
+        fit = (count <= most) & (small * 100 >= large * percent)
+        fit &= _bits(odd, part, slice(words, None)) * (100 + percent) <= (small + large) * (100 - percent)
         fit &= (mine[part, None] != mine) if across else (np.arange(len(size))[part, None] != np.arange(len(size)))
+        yield at, count, fit
+
+
+def forest(found: Iterator[tuple[int, np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[int, int]]:
+    """Candidates that connect all that candidates connect, those with the best estimates."""
+    none = np.iinfo(np.int16).max
+    cost = np.full((n, n), none, np.int16)
+    for at, count, fit in found:
+        cost[at : at + len(fit)] = np.where(fit, count, none)
+    least, to, free = np.full(n, none, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.where(free, least, none).argmin())
+        if not free[i] or least[i] == none:
+            i = int(free.argmax())  # the first of another tree
+        else:
+            yield int(to[i]), i
+        free[i] = False
+        nearer = free & (cost[i] < least)
+        least[nearer], to[nearer] = cost[i][nearer], i
+
+
+def best_candidates(found: Iterator[tuple[int, np.ndarray, np.ndarray]], order: np.ndarray, root: np.ndarray, after: int, upto: int) -> Iterator[tuple[int, int]]:
+    """Pairs that are still apart, as the set of the smaller ``order`` names them: its candidates from place ``after`` to ``upto``, best
+    estimates first. The order is that of the components after the forests, so that places are the same in each round.
+    If pairs that are apart come after ``upto``, the last pair is (-1, -1)."""
+    more = False
+    for at, count, fit in found:
+        fit = fit & (order[at : at + len(fit), None] < order)
         for i in np.nonzero(fit.sum(1) > after)[0]:
             other = np.nonzero(fit[i])[0]
             placed = other[np.argsort(count[i, other], kind="stable")]
-            open_ = root[placed] != root[at + i]
-            more |= bool(open_[upto:].any())
-            for j in placed[after:upto][open_[after:upto]]:
+            apart = root[placed] != root[at + i]
+            more |= bool(apart[upto:].any())
+            for j in placed[after:upto][apart[after:upto]]:
                 yield at + int(i), int(j)
     if more:
         yield -1, -1
 
 
-def named_pairs(cells: DataFrame, after: int, upto: int) -> DataFrame:
-    """(a, b), a < b: pairs that are named in this round, and a row of nulls if later rounds have more. cells: those of
-    ``band_blocks``, with ``root``."""
+def named_pairs(cells: DataFrame, percent: int, after: int, upto: int) -> DataFrame:
+    """(a, b, band, i, j): pairs a < b that are named in this round, and cells that later rounds must see, with a null pair.
+
+    cells: those of ``band_blocks``, with ``root``, the component so far, and ``root1`` and ``weight1``, the component after
+    the forests and its size. With ``upto`` 0 cells name their forests."""
+
+    def search(cell, rows):
+        _, i, j = cell
+        mine, size, weight = (np.array([r[c] for r in rows]) for c in (0, 2, 6))
+        if len(rows) < 2 or (i < j and len(set(mine.tolist())) < 2):
+            return
+        names = [r[1] for r in rows]
+        _, root = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
+        if not root.max():
+            return
+        found = candidates(size, np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1), mine, i < j, percent)
+        if upto:
+            _, first = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)
+            pairs = best_candidates(found, weight * (len(rows) + 1) + first, root, after, upto)
+        else:
+            pairs = forest(found, len(rows))
+        for x, y in pairs:
+            yield (min(names[x], names[y]), max(names[x], names[y]), None, None, None) if x >= 0 else (None, None, *cell)
+
+    def batch_of(rows):
+        columns = zip(*set(rows), strict=True) if rows else [()] * 5
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "band", "i", "j"])
 
     def run(batches):
         last, held, out = None, [], []
-
-        def search():
-            (_, i, j), rows = last, held
-            mine, size = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
-            if len(rows) > 1 and (i == j or len(set(mine.tolist())) > 1):
-                odd = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-                _, root = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
-                if root.max():
-                    for x, y in best_candidates(size, odd, mine, root, i < j, after, upto):
-                        out.append((min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])) if x >= 0 else (None, None))
-
-        def batch_of(pairs):
-            a, b = zip(*set(pairs), strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
         for batch in batches:
             for band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, i, j) != last:
-                    if held:
-                        search()
+                    out += search(last, held) if held else ()
                     last, held = (band, i, j), []
                     if len(out) > 20_000:
                         yield batch_of(out)
                         out = []
                 held.append(row)
-        if held:
-            search()
-        yield batch_of(out)
+        yield batch_of(out + list(search(last, held) if held else ()))
 
-    columns = ("band", "i", "j", "mine", "node", "size", "odd", "root")
-    return (
-        cells.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(run, "a binary, b binary").distinct()
-    )
+    columns = ("band", "i", "j", "mine", "node", "size", "odd", "root", "root1", "weight1")
+    sorted_ = cells.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    return sorted_.mapInArrow(run, "a binary, b binary, band long, i int, j int").distinct()
 
 
 def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -269,25 +315,43 @@ def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     """(a, b): confirmed links of different sets, which connect all that links of candidates connect. sets: node, size, bands, odd.
     sets_of: a function of nodes that returns their full sets (node, hashes)."""
     cells = materialize(band_blocks(sets, block), "cells")
-    hashes = None
-    none = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    found, tried, roots, after, upto, more = none, none, None, 0, 1, True
+    found = tried = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    alone = {"root": F.col("node"), "root1": F.col("node"), "weight1": F.lit(1).cast("long")}
+
+    def of(cells: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+        """``cells`` with columns of ``names``, by node."""
+        cells = cells.drop(*columns)
+        known = cells.join(F.broadcast(names) if is_small(names) else names, "node", "left")
+        return known.withColumns({c: F.coalesce(c, alone[c]) for c in columns})
+
+    def full(pairs: DataFrame) -> DataFrame:
+        return materialize(sets_of(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "hashes")
+
+    def connected(links: DataFrame) -> DataFrame:
+        return materialize(components(links), "roots")
+
+    # forests of some bands
+    pairs = materialize(named_pairs(cells.filter("first").withColumns(alone), percent, 0, 0).select("a", "b"), "pairs")
+    tried = tried.unionByName(pairs)
+    found = found.unionByName(materialize(confirmed(pairs, full(pairs), percent), "links"))
+    roots = connected(found)
+    weights = roots.groupBy("root").agg(F.count(F.lit(1)).alias("weight1"))
+    first = materialize(roots.join(weights, "root").select("node", "root", F.col("root").alias("root1"), "weight1"), "first")
+    told = materialize(of(cells.drop("first"), first, "root", "root1", "weight1"), "told")
+    # then all that is still apart
+    after, upto, more = 0, 1, True
     while more:
-        if roots is None:
-            told = cells.withColumn("root", F.col("node"))
-        else:
-            told = cells.join(F.broadcast(roots) if is_small(roots) else roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = materialize(named_pairs(told, after, upto), "named")
-        more = not named.filter("a IS NULL").isEmpty()
-        pairs = materialize(named.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "pairs")
-        if hashes is None:  # each set with a candidate has named one in the first round
-            hashes = materialize(sets_of(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "hashes")
+        named = materialize(named_pairs(told, percent, after, upto), "named")
+        open_ = materialize(named.filter("a IS NULL").select("band", "i", "j"), "open")
+        more = not open_.isEmpty()
+        pairs = materialize(named.filter("a IS NOT NULL").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        links = materialize(confirmed(pairs, hashes, percent), "links")
+        links = materialize(confirmed(pairs, full(pairs), percent), "links")
         if not links.isEmpty():
             found = found.unionByName(links)
-            if more:
-                roots = materialize(components(found), "roots")
+        if more:
+            told = told.join(F.broadcast(open_) if is_small(open_) else open_, ["band", "i", "j"], "left_semi")
+            told = materialize(told if links.isEmpty() else of(told, connected(found), "root"), "told")
         after, upto = upto, upto * GROWTH
     return found
 
