@@ -13,7 +13,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudspark.operators import facility, planes, stats, tiling
+from cloudspark.operators import facility, kdtree, planes, stats
 from cloudspark.operators.knn import knn
 from cloudspark.plans.storage import materialize
 from cloudspark.sources import dxf, points, sinks
@@ -40,16 +40,14 @@ def parse(args: list[str]) -> tuple[list[str], dict, set[str]]:
 
 
 def load(spark: SparkSession, path: str, settings: dict, non_uniform: bool) -> DataFrame:
-    """The cloud with tile_id and pos: the tiles of a list, or median tiles of at most ``ns`` points, ties aside."""
+    """The cloud with tile_id and pos: the tiles of a list, or median tiles of at most ``ns`` points."""
     if path.endswith(".list"):
         cloud = materialize(points.read_tiles(spark, path, fc=settings["fc"], non_uniform=non_uniform), "cloud")
         if (repeated := cloud.groupBy("id").count().filter("count > 1").first()) is not None:
             raise SystemExit(f"id {repeated.id} is not unique over the tiles of {path}")
         return cloud.withColumn("pos", F.col("id"))
     cloud = materialize(points.read_points(spark, path, fc=settings["fc"], non_uniform=non_uniform), "cloud")
-    levels = tiling.levels_for(cloud.count(), settings["ns"])
-    tiles = tiling.kd_tiles(cloud, levels)
-    return tiling.tile_names(tiles, "tile", levels).withColumn("pos", F.col("id")).drop("tile")
+    return kdtree.tiles(cloud, settings["ns"]).withColumn("pos", F.col("id"))
 
 
 def cluster(spark: SparkSession, path: str, out: str, settings: dict, switches: set[str]) -> None:
@@ -79,7 +77,7 @@ def cluster(spark: SparkSession, path: str, out: str, settings: dict, switches:
         table = own.join(shape, own["id"] == shape["fid"]).drop("fid").join(stats.overlap(cloud, found, reach).withColumnRenamed("fid", "id"), "id")
         sinks.write(sinks.statistics_lines(table), f"{out}/statistics")
     if "e" in switches:
-        dxf.write(dxf.cluster_entities(cloud, found, stats.bounding_boxes(cloud, found)), f"{out}/clusters.dxf")
+        sinks.write(dxf.drawing_lines(dxf.cluster_entities(cloud, found, stats.bounding_boxes(cloud, found))), f"{out}/clusters.dxf")
 
 
 def export(spark: SparkSession, args: list[str]) -> None:

@@ -84,22 +84,6 @@ def point_region_distances(queries: DataFrame, points: DataFrame) -> DataFrame:
     return near.select(F.col("qid").alias("id"), "region", F.sqrt("d2").alias("d"))
 
 
-def region_distances(points: DataFrame) -> DataFrame:
-    """(ra, rb, h, gap): for each point of ra the least distance to rb; the largest (directed Hausdorff) and the least of
-    these. A search of the nearest point for each point and region, not a comparison of all pairs of points."""
-    regions = points.select(F.col("region").alias("rb")).distinct()
-    asked = points.select("id", *"xyz", F.col("region").alias("ra")).join(F.broadcast(regions), F.col("ra") != F.col("rb"))
-    found = point_region_distances(asked.select("id", *"xyz", F.col("rb").alias("region")), points)
-    nearest = found.join(points.select("id", F.col("region").alias("ra")), "id").withColumnRenamed("region", "rb")
-    return nearest.groupBy("ra", "rb").agg(F.max("d").alias("h"), F.min("d").alias("gap"))
-
-
-def hausdorff(points: DataFrame) -> DataFrame:
-    """(ra, rb, h) with ra < rb: the larger of both directed distances."""
-    d = region_distances(points)
-    return d.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), "h").groupBy("ra", "rb").agg(F.max("h").alias("h"))
-
-
 def export_clusters(points: DataFrame, members: DataFrame, centroids: DataFrame) -> DataFrame:
     """cid, ord, id, x, y, z: each centroid's point and then its clients; ids without a point are dropped."""
     xyz = points.select("id", "x", "y", "z")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudspark.functions import metrics as M
-from cloudspark.operators import facility, generate, grid, planes, regions, stats, tiling
+from cloudspark.operators import facility, generate, grid, kdtree, planes, regions, stats, tiling
 from cloudspark.operators.knn import knn
 from cloudspark.plans.storage import materialize
 from cloudspark.sources import dxf, points as source, sinks
@@ -237,6 +237,12 @@ def knn_per_query_k(spark, sf_dir):
     return rounded(knn(c, "k", c.withColumn("k", F.col("id") % 7 + 1)).select("qid", "nid", "d2", "rank"), "d2")
 
 
+@query(f"{_KNN} {_RANKED} WHERE rank <= {K}")
+def knn_tree(spark, sf_dir):
+    """The same by a tree of boxes."""
+    return rounded(kdtree.knn(cloud(spark, sf_dir), K).select("qid", "nid", "d2", "rank"), "d2")
+
+
 @query(f"{_KNN} SELECT qid AS id, min_by(nid, rank) AS nid, {r6('sqrt(min(d2))')} AS d FROM knn WHERE rank <= 2 AND qid <> nid GROUP BY qid")
 def nearest_neighbor(spark, sf_dir):
     two = knn(cloud(spark, sf_dir), 2).filter("qid <> nid").groupBy(F.col("qid").alias("id"))
@@ -570,12 +576,12 @@ _RDIST = """, rd AS (SELECT p.region AS ra, q.region AS rb, p.id AS aid, min(sqr
 
 @query(f"{_RDIST} SELECT least(ra, rb) AS ra, greatest(ra, rb) AS rb, {r6('max(h)')} AS h FROM h GROUP BY 1, 2")
 def hausdorff(spark, sf_dir):
-    return rounded(stats.hausdorff(cloud(spark, sf_dir)), "h")
+    return rounded(kdtree.hausdorff(cloud(spark, sf_dir)), "h")
 
 
 @query(f"{_RDIST} SELECT ra, rb, {r6('gap')} AS gap FROM h")
 def min_region_dist(spark, sf_dir):
-    return rounded(stats.region_distances(cloud(spark, sf_dir)).select("ra", "rb", "gap"), "gap")
+    return rounded(kdtree.region_distances(cloud(spark, sf_dir)).select("ra", "rb", "gap"), "gap")
 
 
 @query(f"SELECT p.id, (p.region + 1) % 10 AS region, {r6('min(sqrt((p.x - q.x)^2 + (p.y - q.y)^2 + (p.z - q.z)^2))')} AS d FROM cloud p JOIN cloud q ON q.region = (p.region + 1) % 10 GROUP BY 1, 2")
@@ -633,6 +639,28 @@ def kd_tiles(spark, sf_dir):
     return tiling.kd_tiles(cloud(spark, sf_dir), 3).select("id", "tile")
 
 
+NS = 40
+_TIED = ", tied AS (SELECT id, round(x, 1) AS x, round(y, 1) AS y, round(z, 1) AS z FROM cloud)"
+_TURN = lambda *axes: "CASE " + " ".join(f"WHEN max({c}) OVER p > min({c}) OVER p THEN {c}" for c in axes) + " ELSE id END"
+_BY_COUNT = f"""{_TIED}, grown AS (SELECT '' AS path, * FROM tied
+  UNION ALL SELECT path || CASE WHEN v > cut OR (v = cut AND cut = top) THEN '1' ELSE '0' END, id, x, y, z
+  FROM (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY path) AS cut, max(v) OVER (PARTITION BY path) AS top
+    FROM (SELECT *, count(*) OVER p AS n, cast(CASE len(path) % 3 WHEN 0 THEN {_TURN(*"xyz")} WHEN 1 THEN {_TURN(*"yzx")} ELSE {_TURN(*"zxy")} END AS double) AS v
+      FROM grown WINDOW p AS (PARTITION BY path)) WHERE n > {NS})),
+counted AS (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM grown),
+inner_ AS (SELECT path, row_number() OVER (ORDER BY translate(path, '01', '10')) AS split FROM (SELECT DISTINCT path FROM counted WHERE n > {NS})),
+tile AS (SELECT path, row_number() OVER (ORDER BY translate(path, '01', '10')) - 1 AS tile_ord FROM (SELECT DISTINCT path FROM counted WHERE n <= {NS}))
+SELECT c.id, concat('tile_', coalesce(2 * split - 1 + try_cast(right(c.path, 1) AS bigint), 0), '_', len(c.path), '_', len(c.path) % 3) AS tile_id, cast(tile_ord AS bigint) AS tile_ord
+FROM counted c JOIN tile USING (path) LEFT JOIN inner_ i ON i.path = left(c.path, greatest(len(c.path) - 1, 0)) AND c.path <> '' WHERE c.n <= {NS}"""
+
+
+@query(f"{CLOUD_SQL}{_BY_COUNT}")
+def kd_tiles_by_count(spark, sf_dir):
+    """Tiles of at most NS points of a cloud with many ties, named as their files are."""
+    tied = cloud(spark, sf_dir).select("id", *[F.round(c, 1).alias(c) for c in "xyz"])
+    return kdtree.tiles(tied, NS).select("id", "tile_id", "tile_ord")
+
+
 # folds
 
 _TILES = _KD[: _KD.index(", c2 AS")]  # two levels

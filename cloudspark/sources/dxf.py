@@ -60,15 +60,6 @@ def entity_text(entities: DataFrame) -> DataFrame:
     return entities.select("layer", F.concat(F.lit("0\n"), "kind", F.lit("\n8\n"), "layer", F.lit("\n62\n"), F.col("color").cast("string"), first, rest).alias("value"))
 
 
-def write(entities: DataFrame, path: str, layers: tuple[str, ...] = LAYERS) -> None:
-    """A drawing at a local path; entities stream through the driver one partition at a time."""
-    with open(path, "w", encoding="ascii", errors="replace") as f:
-        f.write(header() + tables(layers) + "0\nSECTION\n2\nENTITIES\n")
-        for row in entity_text(entities).toLocalIterator():
-            f.write(row.value + "\n")
-        f.write("0\nENDSEC\n0\nEOF\n")
-
-
 def drawing_lines(entities: DataFrame, layers: tuple[str, ...] = LAYERS) -> DataFrame:
     """(ord, value) of a drawing for ``sinks.write``: its text files, one after the other, are the drawing, and no task or driver
     holds it whole."""

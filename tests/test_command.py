@@ -23,7 +23,8 @@ def test_cluster_and_export(spark, tmp_path):
     assert len(facilities) == len(set(owners))
     table = [x.split() for x in lines(tmp_path / "out/statistics")]
     assert all(len(r) == 16 for r in table) and sum(int(r[8]) for r in table) + len(table) == 40
-    assert (tmp_path / "out/clusters.dxf").read_text().count("\nPOINT\n") == 80
+    assert lines(tmp_path / "out/clusters.dxf").count("POINT") == 80
+    assert [x.rsplit("=", 1)[1] for x in lines(tmp_path / "out/tiles.list")] == ["tile_2_1_1", "tile_1_1_1"]
     with pytest.raises(Exception, match="(?i)exist"):
         main(["cluster", f"{tmp_path}/cloud.txt", f"{tmp_path}/out", "+norm=l2", "+knn=5"], spark)
 
@@ -33,7 +34,7 @@ def test_cluster_and_export(spark, tmp_path):
     assert [int(x.split("\t")[0]) for x in lines(tmp_path / "joined")] == [0, 1, 2, 3, 20, 21]
 
 
-def test_drawing_in_parts_equals_the_one_of_one_file(spark, tmp_path):
+def test_drawing_in_parts(spark, tmp_path):
     from cloudspark.operators import stats
     from cloudspark.sources import dxf, sinks
 
@@ -42,12 +43,15 @@ def test_drawing_in_parts_equals_the_one_of_one_file(spark, tmp_path):
     points = spark.createDataFrame(rows, "id long, x double, y double, z double, na double, nb double, nc double")
     own = spark.createDataFrame([(i, i - i % 10) for i in range(50)], "id long, fid long")
     entities = dxf.cluster_entities(points, own, stats.bounding_boxes(points, own))
-    dxf.write(entities, f"{tmp_path}/whole.dxf")
     sinks.write(dxf.drawing_lines(entities), f"{tmp_path}/parts", 4)
-    whole, parts = (tmp_path / "whole.dxf").read_text().splitlines(), lines(tmp_path / "parts")
-    assert sorted(whole) == sorted(parts) and len(glob.glob(f"{tmp_path}/parts/part-*")) == 4
-    head = (dxf.header() + dxf.tables()).splitlines()
-    assert parts[: len(head)] == head and parts[-2:] == ["0", "EOF"]
+    parts = lines(tmp_path / "parts")
+    assert len(glob.glob(f"{tmp_path}/parts/part-*")) == 4
+    head = (dxf.header() + dxf.tables() + "0\nSECTION\n2\nENTITIES\n").splitlines()
+    assert parts[: len(head)] == head and parts[-4:] == ["0", "ENDSEC", "0", "EOF"]
+    body = [x for r in dxf.entity_text(entities).collect() for x in r.value.split("\n")]
+    assert sorted(parts[len(head) : -4]) == sorted(body)
+    # 50 points and 5 facilities with clients: twice the points, a number each, normals, links and 12 edges a box
+    assert [body.count(x) for x in ("POINT", "TEXT", "LINE")] == [100, 50, 50 + 45 + 60]
 
 
 def test_unknown_setting(spark):
