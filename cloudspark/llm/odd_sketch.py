@@ -12,7 +12,7 @@ do not exclude it: their population count is never above the number of shingles
 
 Links are confirmed on full sets. First each cell of a few bands names a forest of its candidates, best estimates first; that
 connects nearly all copies with as many checks as there are sets. Then, in all bands, of two candidates that are still
-apart the one in the smaller component names the other: its best one, in the next round the seven after it, then 56
+apart the one in the smaller component names the other: its best one, in the next round the 31 after it, then 992
 and so on to the end of its list; only pairs whose ends are still apart are checked. So nothing is left out, and no pairs of a group are made
 but those that no link has joined. A large band is cut into blocks, each of which meets each other in a task of its own.
 
@@ -46,7 +46,7 @@ BLOCK = 1_024
 #: Bands whose candidates are connected first.
 FIRST_BANDS = 2
 #: Candidates that a set has named after a round: one, then so many times as many each time.
-GROWTH = 8
+GROWTH = 32
 #: Word hashes that a worker remembers.
 WORDS = 1 << 19
 
