@@ -96,19 +96,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that ``decide`` keeps."""
-    dropped = materialize(
-        decide(docs, id_col, text_col)
-        .filter("NOT kept")
-        .groupBy(F.struct("doc_id", "text_sha256").alias("__row"))
-        .agg(F.count(F.lit(1)).alias("__n")),
-        "dropped",
-    )
-    rows = docs.withColumn(
-        "__row", F.struct(F.col(id_col).alias("doc_id"), F.sha2(whole_text(text_col), 256).alias("text_sha256"))
-    )
+    same = ["doc_id", "text_sha256"]
+    dropped = materialize(decide(docs, id_col, text_col).filter("NOT kept").select(F.struct(*same).alias("same")).distinct(), "dropped")
+    # the input's columns in one of their own, so that no name clashes
+    rows = docs.select(F.struct("*").alias("doc"), F.struct(F.col(id_col).alias("doc_id"), F.sha2(whole_text(text_col), 256).alias("text_sha256")).alias("of"))
     if is_small(dropped):
         dropped = F.broadcast(dropped)
-    return rows.join(dropped, rows["__row"].eqNullSafe(dropped["__row"]), "left_anti").drop("__row")
+    return rows.join(dropped, F.col("of").eqNullSafe(F.col("same")), "left_anti").select("doc.*")
 
 
 SQL = """

@@ -421,6 +421,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row without an id can't be named as a copy and stays. Rows with the same id share their fate.
     """
     dropped = similar_groups(docs, id_col, text_col, shingle, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
-    dropped = materialize(dropped.toDF("__copy"), "copies")
+    dropped = materialize(dropped.toDF("copy"), "copies")
     dropped = F.broadcast(dropped) if is_small(dropped) else dropped
-    return docs.join(dropped, docs[id_col] == F.col("__copy"), "left_anti")
+    # the input's columns in one of their own, so that no name clashes
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("of"))
+    return rows.join(dropped, F.col("of") == F.col("copy"), "left_anti").select("doc.*")
