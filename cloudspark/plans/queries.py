@@ -666,27 +666,31 @@ def kd_tiles_by_count(spark, sf_dir):
 _TILES = _KD[: _KD.index(", c2 AS")]  # two levels
 
 
-def _fold_sql(metric: str, reach: str, cell: float | None) -> str:
+def _fold_sql(metric: str, reach: str, cell: float | None, cost: str | None = None) -> str:
     """The fold in steps of one point: ``own`` lists the facility of each point so far, and what a step needs are the matrices of
-    metric values and of facilities in reach. cell: size of the bins of which 27 are looked at."""
+    metric values and of facilities in reach. cell: size of the bins of which 27 are looked at. cost: that of a point as a
+    facility, 1 if there is none."""
+    one, instead, costs = ("C[n + 1]", "C[n + 1] - C[f] + ", f", list({cost} ORDER BY pi) AS C") if cost else ("1", "", "")
+    lists = "pi, any_value(pid) AS id, " if cost else "pi, "
+    pid, held = ("p.id AS pid, ", ", C") if cost else ("", "")
     bins = ", ".join(f"cast(floor(({c} - min({c}) OVER t) / (max({c}) OVER t - min({c}) OVER t) * greatest(1, ceil((max({c}) OVER t - min({c}) OVER t) / {cell})) * 0.99) as bigint) AS i{c}" for c in "xyz")
     cells = f", {bins}" if cell else ""
     beside = " AND ".join(f"abs(p.i{c} - q.i{c}) <= 1" for c in "xyz") if cell else "true"
     gain = "[G[n + 1][u] - G[f][u] FOR u IN range(1, n + 1) IF own[u] = f AND u <> f]"
     return f"""{CLOUD_SQL}{_TILES}, placed AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id) AS i{cells} FROM t2 WINDOW t AS (PARTITION BY tile)),
-values_ AS ({_MEASURED} (SELECT p.tile, p.i AS pi, q.i AS qi, {_BOTH}, {beside} AS beside FROM placed p JOIN placed q ON p.tile = q.tile)),
-lines_ AS (SELECT tile, pi, list({metric} ORDER BY qi) AS g, list(beside AND {reach} ORDER BY qi) AS near FROM values_ GROUP BY tile, pi),
-matrix AS (SELECT tile, list(g ORDER BY pi) AS G, list(near ORDER BY pi) AS R, count(*) AS total FROM lines_ GROUP BY tile),
+values_ AS ({_MEASURED} (SELECT p.tile, {pid}p.i AS pi, q.i AS qi, {_BOTH}, {beside} AS beside FROM placed p JOIN placed q ON p.tile = q.tile)),
+lines_ AS (SELECT tile, {lists}list({metric} ORDER BY qi) AS g, list(beside AND {reach} ORDER BY qi) AS near FROM values_ GROUP BY tile, pi),
+matrix AS (SELECT tile, list(g ORDER BY pi) AS G, list(near ORDER BY pi) AS R{costs}, count(*) AS total FROM lines_ GROUP BY tile),
 fold AS (SELECT tile, cast(1 as bigint) AS n, [cast(1 as bigint)] AS own FROM matrix
   UNION ALL SELECT tile, n + 1, CASE
-      WHEN 1 <= join_ AND 1 <= taken THEN list_append(own, n + 1)
+      WHEN {one} <= join_ AND {one} <= taken THEN list_append(own, n + 1)
       WHEN join_ <= taken THEN list_append(own, who)
       ELSE list_append([CASE WHEN len([1 FOR m IN moves IF own[u] = m.f AND (m.whole OR (u <> m.f AND G[n + 1][u] < G[m.f][u]))]) > 0 THEN n + 1 ELSE own[u] END FOR u IN range(1, n + 1)], n + 1) END
   FROM (SELECT *, coalesce(list_min([o.d FOR o IN offers IF o.d > 0]), 1e300) AS join_,
       list_min([{{'d': o.d, 'f': o.f}} FOR o IN offers IF o.d > 0]).f AS who,
-      1 + coalesce(list_sum([least(o.full_, o.part) - 1 + o.d FOR o IN offers IF o.full_ <> o.part]), 0) AS taken,
+      {one} + coalesce(list_sum([least(o.full_, o.part) - {one} + o.d FOR o IN offers IF o.full_ <> o.part]), 0) AS taken,
       [{{'f': o.f, 'whole': o.full_ < o.part}} FOR o IN offers IF o.full_ <> o.part] AS moves
-    FROM (SELECT tile, n, own, G, [{{'f': f, 'd': G[n + 1][f], 'full_': coalesce(list_sum({gain}), 0), 'part': 1 - G[n + 1][f] + coalesce(list_sum([least(x, 0) FOR x IN {gain}]), 0)}}
+    FROM (SELECT tile, n, own, G{held}, [{{'f': f, 'd': G[n + 1][f], 'full_': {instead}coalesce(list_sum({gain}), 0), 'part': {one} - G[n + 1][f] + coalesce(list_sum([least(x, 0) FOR x IN {gain}]), 0)}}
         FOR f IN range(1, n + 1) IF own[f] = f AND R[n + 1][f]] AS offers FROM fold JOIN matrix USING (tile) WHERE n < total)))
 SELECT cast(tile as varchar) AS tile_id, p.id, q.id AS fid FROM (SELECT tile, own FROM fold JOIN matrix USING (tile) WHERE n = total) JOIN placed p USING (tile) JOIN placed q USING (tile) WHERE q.i = own[p.i]"""
 
@@ -703,6 +707,15 @@ def facility_fold(spark, sf_dir):
     return facility.cluster(_tiled(spark, sf_dir), facility.Params(norm="dfp", lam=0.2, bin=0.2))
 
 
+_COST = "0.05 + 0.03 * (id % 5)"
+
+
+@query(_fold_sql("dist", "dist <= 0.2", 0.2, _COST))
+def facility_fold_costs(spark, sf_dir):
+    """Points that cost differently as facilities."""
+    return facility.cluster(_tiled(spark, sf_dir).withColumn("fc", F.expr(f"cast({_COST} as double)")), facility.Params(norm="l2", lam=0.2, bin=0.2))
+
+
 @query(_fold_sql("dist", "dist <= 0.2", None))
 def facility_fold_radius(spark, sf_dir):
     return facility.cluster(_tiled(spark, sf_dir), facility.Params(norm="l2", lam=0.2, bin=0.2, candidate_mode="radius"))

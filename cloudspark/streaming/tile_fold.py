@@ -18,24 +18,29 @@ def cluster_stream(points: DataFrame, params: Params) -> DataFrame:
     """(tile_id, id, fid) of each tile whose ``tile_size`` points have come. points: tile_id, tile_size, pos, id and x..l3."""
     import numpy as np
 
-    columns = ["pos", "id", *[c for c in COLUMNS if c in points.columns]]
+    columns = [c for c in COLUMNS if c in points.columns]
     types = dict(points.dtypes)
-    state_schema = "rows array<array<double>>"
+    # ids and positions are kept as they are: a double would round those beyond 2**53
+    state_schema = "pos array<bigint>, id array<bigint>, rows array<array<double>>"
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = [list(r) for r in state.get[0]] if state.exists else []
+        pos, ids, rows = ([*x] for x in state.get) if state.exists else ([], [], [])
+        rows = [list(r) for r in rows]
         size = None
         for pdf in frames:
             size = int(pdf["tile_size"].iloc[0])
+            pos += pdf["pos"].tolist()
+            ids += pdf["id"].tolist()
             rows += pdf[columns].astype(float).to_numpy().tolist()
-        if size is None or len(rows) < size:
-            state.update((rows,))
+        if size is None or len(ids) < size:
+            state.update((pos, ids, rows))
             return
         state.remove()
-        table = np.array(sorted(rows, key=lambda r: (r[0], r[1])))
-        data = {c: table[:, i] for i, c in enumerate(columns) if i > 1}
+        pos, ids, table = np.array(pos, np.int64), np.array(ids, np.int64), np.array(rows).reshape(len(ids), -1)
+        order = np.lexsort((ids, pos))
+        data = {c: table[order, i] for i, c in enumerate(columns)}
         data.setdefault("fc", np.full(len(table), params.fc))
-        ids = table[:, 1].astype(np.int64)
+        ids = ids[order]
         yield pd.DataFrame({"tile_id": key[0], "id": ids, "fid": ids[Fold(params, data).run()]})
 
     assert types["tile_id"] == "string"

@@ -79,7 +79,7 @@ def test_stream_of_tiles_equals_one_fold(spark, tmp_path):
 
     rng = np.random.default_rng(5)
     params = facility.Params(norm="l2", fc=0.2, lam=0.5, bin=0.5)
-    rows = [(f"t{i % 2}", 15, i, i, *map(float, rng.random(3)), 0.2) for i in range(30)]
+    rows = [(f"t{i % 2}", 15, i, i + (1 << 60), *map(float, rng.random(3)), 0.2) for i in range(30)]
     names = "tile_id string, tile_size long, pos long, id long, x double, y double, z double, fc double"
     for k in range(3):  # tiles arrive in pieces
         spark.createDataFrame(rows[k::3], names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
