@@ -547,6 +547,30 @@ def dxf_text(spark, sf_dir):
     return dxf.entity_text(drawn.filter("layer IN ('facilities', 'ids', 'lines')"))
 
 
+_SIX = ("x1", "y1", "z1", "x2", "y2", "z2")
+_AT = ", ".join(f"{r6(c)} AS {c}" for c in _SIX)
+_BOXES = ", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in "xyz")
+_CORNER = ", ".join(f"CASE {b} WHEN 0 THEN {c}0 ELSE {c}1 END AS {c}" for b, c in zip("uvw", "xyz", strict=True))
+
+
+@query(f"""{_ASSIGNED}, own AS (SELECT c.*, fid FROM cloud c JOIN assigned USING (id)),
+box AS (SELECT fid, {_BOXES} FROM own GROUP BY fid HAVING count(*) > 1),
+corner AS (SELECT fid, u.u, v.v, w.w, {_CORNER} FROM box, range(2) u(u), range(2) v(v), range(2) w(w)),
+drawn AS (SELECT 'points' AS layer, 'POINT' AS kind, 1 AS color, x AS x1, y AS y1, z AS z1, 0 AS x2, 0 AS y2, 0 AS z2, cast(NULL AS varchar) AS text FROM own
+UNION ALL SELECT 'ids', 'TEXT', 2, x, y, z, 0, 0, 0, cast(id AS varchar) FROM own
+UNION ALL SELECT 'normals', 'LINE', 3, x, y, z, x + na / 10, y + nb / 10, z + nc / 10, NULL FROM own
+UNION ALL SELECT 'facilities', 'POINT', 4, x, y, z, 0, 0, 0, NULL FROM own WHERE id = fid
+UNION ALL SELECT 'clients', 'POINT', 5, x, y, z, 0, 0, 0, NULL FROM own WHERE id <> fid
+UNION ALL SELECT 'lines', 'LINE', 6, o.x, o.y, o.z, f.x, f.y, f.z, NULL FROM own o JOIN cloud f ON f.id = o.fid WHERE o.id <> o.fid
+UNION ALL SELECT 'boxes', 'LINE', 7, p.x, p.y, p.z, q.x, q.y, q.z, NULL FROM corner p JOIN corner q ON p.fid = q.fid
+  AND q.u >= p.u AND q.v >= p.v AND q.w >= p.w AND (q.u - p.u) + (q.v - p.v) + (q.w - p.w) = 1)
+SELECT layer, kind, cast(color AS integer) AS color, {_AT}, text FROM drawn""")
+def dxf_layers(spark, sf_dir):
+    """All entities of all seven layers."""
+    c, a = _assigned(spark, sf_dir)
+    return rounded(dxf.cluster_entities(c, a.select("id", "fid"), stats.bounding_boxes(c, a)), *_SIX)
+
+
 @query(f"{_ASSIGNED} SELECT fid AS ord, concat(fid, ':', chr(10), coalesce(string_agg(cast(id as varchar), ' ' ORDER BY id) FILTER (id <> fid), ''), chr(10)) AS value FROM assigned GROUP BY fid")
 def facility_lists(spark, sf_dir):
     return sinks.id_lines(stats.facility_lists(_assigned(spark, sf_dir)[1]))
@@ -661,6 +685,13 @@ def kd_tiles_by_count(spark, sf_dir):
     return kdtree.tiles(tied, NS).select("id", "tile_id", "tile_ord")
 
 
+@query(f"{CLOUD_SQL}{_BY_COUNT.replace('SELECT c.id,', 'SELECT DISTINCT')}".replace("AS tile_id", "AS value").replace("concat('tile_'", "concat('out/tiles/tile_id=tile_'").replace("AS tile_ord\nFROM counted", "AS ord\nFROM counted"))
+def tile_list(spark, sf_dir):
+    """The list of the tiles."""
+    tied = cloud(spark, sf_dir).select("id", *[F.round(c, 1).alias(c) for c in "xyz"])
+    return sinks.tile_list_lines(kdtree.tiles(tied, NS), "out/tiles")
+
+
 # folds
 
 _TILES = _KD[: _KD.index(", c2 AS")]  # two levels

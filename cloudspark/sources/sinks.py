@@ -52,11 +52,15 @@ def write(lines: DataFrame, path: str, parts: int | None = None) -> None:
     ordered.sortWithinPartitions("ord").select("value").write.mode("errorifexists").text(path)
 
 
+def tile_list_lines(points: DataFrame, folder: str) -> DataFrame:
+    """One line for each tile: its folder below ``folder``, in the order of ``tile_ord``."""
+    return points.select("tile_id", "tile_ord").distinct().select(F.col("tile_ord").alias("ord"), F.concat(F.lit(f"{folder}/tile_id="), "tile_id").alias("value"))
+
+
 def write_tiles(points: DataFrame, path: str, name: str) -> None:
     """Tiles (column tile_id) as text of points, a folder below ``path/tiles`` each, and ``path/<name>.list``, a folder whose text
     names one tile a line, in the order of ``tile_ord``. What exists is kept."""
     tiles = f"{path}/tiles"
     ordered = points.select("tile_id", "id", _point().alias("value")).repartition("tile_id").sortWithinPartitions("tile_id", "id")
     ordered.select("tile_id", "value").write.mode("errorifexists").partitionBy("tile_id").text(tiles)
-    names = points.select("tile_id", "tile_ord").distinct().select(F.col("tile_ord").alias("ord"), F.concat(F.lit(f"{tiles}/tile_id="), "tile_id").alias("value"))
-    write(names, f"{path}/{name}.list", 1)
+    write(tile_list_lines(points, tiles), f"{path}/{name}.list", 1)
