@@ -53,8 +53,9 @@ def write(lines: DataFrame, path: str, parts: int | None = None) -> None:
 
 
 def tile_list_lines(points: DataFrame, folder: str) -> DataFrame:
-    """One line for each tile: its folder below ``folder``, in the order of ``tile_ord``."""
-    return points.select("tile_id", "tile_ord").distinct().select(F.col("tile_ord").alias("ord"), F.concat(F.lit(f"{folder}/tile_id="), "tile_id").alias("value"))
+    """One line for each tile: its folder below ``folder``, in the order of ``tile_ord``, or of their names without it."""
+    order = "tile_ord" if "tile_ord" in points.columns else "tile_id"
+    return points.select("tile_id", F.col(order).alias("ord")).distinct().select("ord", F.concat(F.lit(f"{folder}/tile_id="), "tile_id").alias("value"))
 
 
 def write_tiles(points: DataFrame, path: str, name: str) -> None:
