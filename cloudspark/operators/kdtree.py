@@ -163,7 +163,9 @@ def search_tree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFra
     return at, nodes.filter(deep == 0), nodes.filter(deep > 0).withColumn("up", up), nodes.agg(F.max(deep)).first()[0] or 0
 
 
-def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: str | None = None, leaf: int = LEAF) -> DataFrame:
+def knn(
+    points: DataFrame, k: int | str, queries: DataFrame | None = None, by: str | None = None, leaf: int = LEAF, radius: float | None = None, eps: float = 0.0, count_leaves: bool = False
+) -> DataFrame:
     """(qid, nid, d2, rank, x, y, z of the neighbour); ties by id. ``k``: a number or a column of the queries; at least 1 is
     taken. ``by``: a column of both tables; only points with the query's value are its neighbours, and it is returned.
 
@@ -172,6 +174,11 @@ def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: s
     to k points; the k-th of these is the bound for all others. So a query reads the leaves that its neighbours' ball meets and
     few more, however points are spread.
 
+    ``radius``: only points nearer than that are neighbours. ``eps``: each distance may be up to 1 + eps times the true one of its
+    rank. Of the leaves beyond the first only those are read that begin within the bound divided by 1 + eps: a point that
+    is left out for that is farther than that, and no distance returned is beyond the bound. ``count_leaves`` adds ``leaves``, how
+    many the query has read.
+
     Fewer than k points give as many neighbours as there are. Null coordinates have no neighbours and are none.
     """
     count = F.lit(k) if isinstance(k, int) else F.col(k)
@@ -193,6 +200,7 @@ def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: s
         """Boxes that may hold neighbours: those that begin within what holds k points."""
         held = rows.withColumn("held", F.expr(f"sum(n) OVER ({per_query} ORDER BY far)"))
         bound = F.expr(f"min(CASE WHEN held >= k THEN far END) OVER ({per_query})")
+        held = held if radius is None else held.filter(F.col("near") <= radius * radius * SLACK)
         return held.withColumn("bound", bound).filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * SLACK)).drop("held", "bound")
 
     places = own.groupBy(*query).agg(F.max("k").alias("k"))
@@ -210,16 +218,23 @@ def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: s
 
     def read(boxes: DataFrame) -> DataFrame:
         pairs = boxes.drop("n").join(at, ["g", "path"])
-        return pairs.withColumn("d2", F.expr("(qx-x)*(qx-x)+(qy-y)*(qy-y)+(qz-z)*(qz-z)"))
+        pairs = pairs.withColumn("d2", F.expr("(qx-x)*(qx-x)+(qy-y)*(qy-y)+(qz-z)*(qz-z)"))
+        return pairs if radius is None else pairs.filter(F.col("d2") < radius * radius)
 
     ranked = F.expr(f"row_number() OVER ({per_query} ORDER BY d2, id)")
     columns = [*query, "k", "id", *AXES, "d2"]
     early = read(first.filter("early")).select(*columns).withColumn("rank", ranked).filter("rank <= k")
     early = materialize(early, "early")
-    bound = early.groupBy(*query).agg(F.max("d2").alias("far"))
-    later = read(first.filter("NOT early").join(bound, query).filter(F.col("near") <= F.col("far") * SLACK)).filter("d2 <= far")
+    # with fewer than k points so far nothing is out of reach
+    bound = early.groupBy(*query).agg(F.max(F.when(F.col("rank") == F.col("k"), F.col("d2"))).alias("far"))
+    left = first.filter("NOT early").join(bound, query, "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    left = left.filter(F.col("near") * (1 + eps) ** 2 <= F.col("far") * SLACK)
+    later = read(left).filter("d2 <= far")
     found = early.drop("rank").unionByName(later.select(*columns)).withColumn("rank", ranked).filter("rank <= k")
     found = materialize(found.drop("k"), "found").withColumnRenamed("id", "nid")
+    if count_leaves:
+        counts = first.filter("early").select(query).unionByName(left.select(query)).groupBy(*query).agg(F.count(F.lit(1)).alias("leaves"))
+        found, extra = found.join(counts, query), [*extra, "leaves"]
     return own.join(found, query).filter("rank <= k").select("qid", "nid", "d2", "rank", *AXES, *extra)
 
 

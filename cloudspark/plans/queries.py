@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from cloudspark.functions import metrics as M
 from cloudspark.operators import facility, generate, grid, kdtree, planes, regions, stats, tiling
 from cloudspark.operators.knn import knn
-from cloudspark.plans.storage import materialize
+from cloudspark.plans.storage import folder, materialize
 from cloudspark.sources import dxf, points as source, sinks
+from cloudspark.streaming import point_fold
 
 BIN, RADIUS, REACH, K = 0.1, 0.1, 0.3, 10
 EDGE = 0.08
@@ -243,6 +244,23 @@ def knn_tree(spark, sf_dir):
     return rounded(kdtree.knn(cloud(spark, sf_dir), K).select("qid", "nid", "d2", "rank"), "d2")
 
 
+@query(f"{_KNN} {_RANKED} WHERE rank <= {K} AND d2 < {REACH * REACH}")
+def knn_within_radius(spark, sf_dir):
+    return rounded(kdtree.knn(cloud(spark, sf_dir), K, radius=REACH).select("qid", "nid", "d2", "rank"), "d2")
+
+
+@query(f"{_KNN} SELECT qid, cast(rank as integer) AS rank, {r6('d2')} AS d2, true AS bounded, true AS no_more FROM knn WHERE rank <= {K}")
+def knn_bounded_error(spark, sf_dir):
+    """Of each rank the true distance, whether that of the search with an error of 0.5 is within 1.5 times it, and whether that search
+    reads no more leaves."""
+    c = cloud(spark, sf_dir)
+    exact = kdtree.knn(c, K, count_leaves=True).select("qid", "rank", "d2", "leaves")
+    near = kdtree.knn(c, K, eps=0.5, count_leaves=True).select("qid", "rank", F.col("d2").alias("found"), F.col("leaves").alias("read"))
+    both = exact.join(near, ["qid", "rank"])
+    bounded = F.sqrt("found") <= 1.5 * F.sqrt("d2") + 1e-12
+    return rounded(both.select("qid", "rank", "d2", bounded.alias("bounded"), (F.col("read") <= F.col("leaves")).alias("no_more")), "d2")
+
+
 @query(f"{_KNN} SELECT qid AS id, min_by(nid, rank) AS nid, {r6('sqrt(min(d2))')} AS d FROM knn WHERE rank <= 2 AND qid <> nid GROUP BY qid")
 def nearest_neighbor(spark, sf_dir):
     two = knn(cloud(spark, sf_dir), 2).filter("qid <> nid").groupBy(F.col("qid").alias("id"))
@@ -752,6 +770,15 @@ def facility_fold_radius(spark, sf_dir):
     return facility.cluster(_tiled(spark, sf_dir), facility.Params(norm="l2", lam=0.2, bin=0.2, candidate_mode="radius"))
 
 
+@query(_fold_sql("dist", "dist <= 0.2", None, _COST))
+def facility_fold_stream(spark, sf_dir):
+    """Points that come in four batches; a tile ends with its last point."""
+    rows = _tiled(spark, sf_dir).withColumns({"fc": F.expr(f"cast({_COST} as double)"), "tile_size": F.expr("count(*) OVER (PARTITION BY tile_id)")})
+    rows = materialize(rows.withColumn("part", F.expr("ntile(4) OVER (PARTITION BY tile_id ORDER BY pos, id)")), "tiled")
+    params = facility.Params(norm="l2", lam=0.2, bin=0.2, candidate_mode="radius")
+    return point_fold.cluster_in_batches([rows.filter(F.col("part") == i).drop("part") for i in range(1, 5)], params, folder(spark, "stream"))
+
+
 @query(_fold_sql(_MIX.format(_ABN, 0.1, "1"), "dist < 3 * 0.1", None))
 def facility_fold_flat(spark, sf_dir):
     """As the first revision: all facilities within three times lambda."""

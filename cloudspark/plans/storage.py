@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder named in ``spark.checkpoint.dir`` and read it back; this cuts the lineage.
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder of ``spark.checkpoint.dir``.
 
     Only a session on one machine may go without the setting; on a cluster that is an error.
     """
-    spark = df.sparkSession
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = f"file://{tempfile.mkdtemp(prefix='cloudspark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; this cuts the lineage."""
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -98,3 +98,20 @@ def test_regions(spark):
         assert np.isclose(h, d.max()) and np.isclose(gap, d.min())
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bounded_searches(spark):
+    """Neighbours within a radius, and distances within a factor of the true ones from fewer leaves."""
+    rng = np.random.default_rng(15)
+    rows = [(i, *map(float, x)) for i, x in enumerate(rng.normal(0, 1, (4000, 3)))]
+    queries = rows[:60] + [(9000, 8.0, 8.0, 8.0)]
+    points, asked = spark.createDataFrame(rows, CLOUD), spark.createDataFrame(queries, CLOUD)
+    at = {r[0]: np.array(r[1:]) for r in [*rows, queries[-1]]}
+    for radius in (0.6,):
+        got = {(r.qid, r.nid, r["rank"]) for r in kdtree.knn(points, 12, asked, radius=radius).collect()}
+        assert got == {(q, n, r) for q, n, r in brute_neighbours(rows, queries, 12) if ((at[q] - at[n]) ** 2).sum() < radius * radius}
+    exact, near = ({(r.qid, r["rank"]): r for r in kdtree.knn(points, 12, asked, eps=eps, count_leaves=True).collect()} for eps in (0.0, 1.0))
+    assert exact.keys() == near.keys() and len(exact) == 12 * 61
+    assert all(exact[x].d2 <= near[x].d2 <= 4 * exact[x].d2 + 1e-12 for x in exact)
+    read = [sum(r.leaves for r in found.values()) for found in (exact, near)]
+    assert read[1] < 0.6 * read[0]
