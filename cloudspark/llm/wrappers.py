@@ -8,12 +8,14 @@ merged by FAN at a time.
 
 Each page is matched against its host's wrapper. What matches a constant, not optional text of the wrapper in its place is
 template text, and a repeated group whose texts are all links is a menu. On a page without an article or main element,
-that holds most of the text there is to read, all template text and menus are left out. Within such an element template text
+the only one or one that holds most of the text there is to read, all template text and menus are left out. Within such an element template text
 is left out as far as it is a small part (TEMPLATE_SHARE) of the element's text: pages that are copies of each other are
 all constant, but no template.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are also left out by element and by
 the words of class, id and role, which are read as whole names: ``no-comments`` or ``with-sidebar`` say what an element is
 not. Such words never count on an element around the article or, comments apart, on one with most of the page's text.
+A name with a word of that kind among others (``ad-hoc-note``) decides nothing alone: the element is left out if most of its text
+is template text or in repeated groups of the wrapper. A form with the article or most of the text in it is no form to leave out.
 White space in a block becomes one space; blocks are joined by an empty line.
 
 Alignment runs along items that are unique on both sides, so its time grows with the length of the streams and not with
@@ -47,6 +49,8 @@ BLOCK_PAGES, FAN, LEAST_PAGES = 256, 64, 3
 GROUP = 12
 #: Largest part of a main element's text that can be a template's.
 TEMPLATE_SHARE = 0.2
+#: Largest part of a page's text that can be a template's, where names are in doubt.
+COPY_SHARE = 0.8
 #: Product of the lengths of two stretches without unique items up to which they are compared as a whole.
 SMALL = 40_000
 
@@ -75,6 +79,13 @@ MARKS = frozenset(
 #: Words that make a name say what an element has, has not or is like, not what it is.
 STATES = frozenset("no non not without with has have hide hidden disable disabled enable enabled closed open allow is show".split())
 COMMENTS = frozenset("comment comments disqus respond".split())
+#: Words that leave the meaning of a mark beside them as it is.
+PLAIN = frozenset(
+    "area article articles bar block body bottom box btn button buttons card col column container content entry form frame global group "
+    "header holder icon icons image images img inline inner item items label large left line link links list main media mini module network "
+    "outer page panel parent post posts primary rail right row secondary section site slot small space stories story sub sticky tag tags "
+    "text thread title top unit wrap wrapper zone".split()
+)
 
 
 def parts(html: str | None) -> list[tuple[str, str, str]]:
@@ -286,6 +297,17 @@ def words_of(names: str) -> frozenset[str]:
     return frozenset(out)
 
 
+@functools.lru_cache(maxsize=4096)
+def sure_words(names: str) -> frozenset[str]:
+    """Marks in names that hold nothing but marks and plain words: ``ad-box`` is an advert, ``ad-hoc-note`` may be none."""
+    out: set[str] = set()
+    for name in names.split():
+        own = [w.lower() for w in _words(name)]
+        if STATES.isdisjoint(own) and all(w in MARKS or w in PLAIN for w in own):
+            out.update(own)
+    return frozenset(out)
+
+
 def _is_main(name: str, names: str) -> bool:
     own = words_of(names) if names else frozenset()
     return (name in ("article", "main") or name not in ("html", "body") and "articlebody" in names.lower().replace("-", "").replace("_", "")) and MARKS.isdisjoint(own)
@@ -321,10 +343,14 @@ def extract(html: str | None, wrapper: list[tuple[str, bool]] = ()) -> str:
     weight = [len(" ".join(value.split())) if kind == "text" else 0 for kind, value, _ in tokens]
     inside, around = _spans(tokens, weight)
     half = sum(weight) / 2
+    fixed, repeated = template(wrapper, tokens) if wrapper else (set(), set())
+    of_host = [w if i in fixed or i in repeated else 0 for i, w in enumerate(weight)]
+    # pages that are copies of each other say nothing about what is a template
+    of_host = _spans(tokens, of_host)[0] if sum(of_host) <= COPY_SHARE * sum(weight) else {}
 
     def is_left_out(i: int, name: str, names: str, in_main: bool) -> bool:
         if name in LEFT_OUT:
-            return not (name == "header" and in_main)
+            return not (name == "header" and in_main or name == "form" and not in_main and (i in around or inside.get(i, 0) > half))
         if not names or name in ("html", "body", "main"):
             return False
         own = words_of(names)
@@ -332,10 +358,14 @@ def extract(html: str | None, wrapper: list[tuple[str, bool]] = ()) -> str:
             return False
         if in_main:
             own = own - {"header", "masthead"}
+        # a doubtful name counts where the wrapper has most of the element's text as template text or in its repeated groups
+        if MARKS.isdisjoint(own & sure_words(names)) and 2 * of_host.get(i, 0) <= inside.get(i, 0):
+            return False
         return not MARKS.isdisjoint(own) and (inside.get(i, 0) <= half or not COMMENTS.isdisjoint(own))
 
     keep: list[tuple[int, bool, bool]] = []  # texts and ends of blocks: token, whether in a main element, in a link
     main: list[str] = []  # open elements from the main one on
+    mains: list[str] = []  # main elements that are in no other
     out_of, depth, in_comments, links = "", 0, False, 0  # the element left out, open elements of its name, whether it holds comments
     for i, (kind, name, names) in enumerate(tokens):
         if kind == "text":
@@ -362,15 +392,16 @@ def extract(html: str | None, wrapper: list[tuple[str, bool]] = ()) -> str:
             if is_left_out(i, name, names, bool(main)):
                 out_of, depth, in_comments = name, 1, not COMMENTS.isdisjoint(words_of(names))
             elif main or _is_main(name, names):
+                if not main:
+                    mains.append(name)
                 main.append(name)
         elif name in main:  # closes what was left open inside
             while main.pop() != name:
                 pass
-    fixed, repeated = template(wrapper, tokens) if wrapper else (set(), set())
     texts = [(i, m, a) for i, m, a in keep if tokens[i][0] == "text"]
     own = sum(weight[i] for i, m, _ in texts if m)
     beside = sum(weight[i] for i, m, a in texts if not m and not a and i not in fixed)
-    has_main = own > 0 and own >= beside
+    has_main = own > 0 and (own >= beside or mains in (["article"], ["main"]))
     if has_main and sum(weight[i] for i, m, _ in texts if m and i in fixed) > TEMPLATE_SHARE * own:
         fixed = set()
     menus = set() if has_main else {i for i, _, a in texts if a and i in repeated}
