@@ -8,6 +8,8 @@ within partitions first, and one join with the cuts; every fourth level the poin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,12 @@ def _chosen(nodes: DataFrame, rule: str) -> DataFrame:
     """``nodes`` with ``axis``: x, y, z, ``id`` where points differ in nothing else, or null if a node can't be split.
 
     ``median`` takes the axes in turn and skips those without extent; ``middle`` gives the widest one, which is halved
-    with all that are at least half as wide.
+    with all that are at least half as wide; ``middle, ids`` goes on with ids where points lie on one place.
     """
     span = {c: F.coalesce(F.col(f"{c}max") - F.col(f"{c}min"), F.lit(0.0)) for c in AXES}
-    if rule == "middle":
-        axis = F.when(F.greatest(*span.values()) <= 0, None)
+    if rule != "median":
+        one_place = F.when(F.col("idmax") > F.col("idmin"), "id") if rule == "middle, ids" else F.lit(None)
+        axis = F.when(F.greatest(*span.values()) <= 0, one_place)
         for c in AXES:
             axis = axis.when(span[c] == F.greatest(*span.values()), c)
         return nodes.withColumn("axis", axis)
@@ -72,6 +75,7 @@ def grow(points: DataFrame, most: int, rule: str = "median") -> tuple[DataFrame,
     ``median``: a node is cut at the median of its axis; what lies on the cut goes below, unless the cut is the largest value
     there is, when it goes above. So both sides have points, and no leaf has more than ``most``, ties included: points on one place
     are split by their ids. A null coordinate lies below. ``middle``: a node's wide axes are halved at once; points on one place stay together.
+    ``middle, ids``: those are split by halving the range of their ids, which are longs.
     """
     names = points.columns
     at = materialize(points.withColumn("path", F.lit("")), "paths")
@@ -99,8 +103,12 @@ def grow(points: DataFrame, most: int, rule: str = "median") -> tuple[DataFrame,
             # what lies on the middle goes below, and so does the largest value if the middle is rounded up to it
             halves = [F.when((F.col(f"{c}max") - F.col(f"{c}min")) * 2 >= widest, F.col(f"{c}min") + (F.col(f"{c}max") - F.col(f"{c}min")) / 2) for c in AXES]
             halves = [F.when(half < F.col(f"{c}max"), half).otherwise(F.when(half.isNotNull(), F.col(f"{c}min"))).alias(c) for c, half in zip(AXES, halves, strict=True)]
-            cuts = split.select("g", "path", F.struct(*halves).alias("at"))
             digit = sum((F.when(F.col(f"row.{c}") > F.col(f"at.{c}"), 1 << i).otherwise(0) for i, c in enumerate(AXES)), F.lit(0))
+            if rule == "middle, ids":  # halves before the sum, which could pass a long
+                half = F.expr("CASE WHEN axis = 'id' THEN greatest(idmin, least(idmax - 1, idmin div 2 + idmax div 2)) END")
+                halves = [*halves, half.alias("id")]
+                digit += F.when(F.col("row.id") > F.col("at.id"), 1).otherwise(0)
+            cuts = split.select("g", "path", F.struct(*halves).alias("at"))
         placed = at.select(F.struct(*names).alias("row"), "g", "path").join(_lookup(cuts, n), ["g", "path"], "left")
         at = placed.select("row.*", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", digit.cast("string"))).alias("path"))
         depth += 1
@@ -151,13 +159,15 @@ def _farthest(p: str, box: str) -> Column:
 
 #: What a bound loses to rounding.
 SLACK = 1 + 1e-12
+#: What a search knows of a node's points: their box and their least and largest id.
+BOUNDS = (*_box(""), "idmin", "idmax")
 
 
 def search_tree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Points with the ``path`` of their leaf; the tops (g, path, leaf, n, extents) of the groups; all other nodes, with ``up``, the node
     they are part of; and the depth of the deepest."""
     at, nodes = grow(points, leaf, "middle")
-    at, nodes = materialize(at, "leaves"), materialize(nodes.select("g", "path", "leaf", "n", *_box("")), "nodes")
+    at, nodes = materialize(at, "leaves"), materialize(nodes.select("g", "path", "leaf", "n", *BOUNDS), "nodes")
     deep = F.length("path")
     up = F.expr("left(path, length(path) - 1)")
     return at, nodes.filter(deep == 0), nodes.filter(deep > 0).withColumn("up", up), nodes.agg(F.max(deep)).first()[0] or 0
@@ -193,49 +203,67 @@ def knn(
     # of points on one place only the first k ids can be neighbours; queries on one place are asked once
     given = given.withColumn("r", F.expr("row_number() OVER (PARTITION BY g, x, y, z ORDER BY id)")).filter(F.col("r") <= most).drop("r")
     at, tops, steps, depth = search_tree(given, max(leaf, most))
-    query = ["g", "qx", "qy", "qz"]
-    per_query = f"PARTITION BY {', '.join(query)}"
+    found, counts = search(own, tops, steps, depth, lambda boxes: boxes.join(at, ["g", "path"]), radius, eps)
+    if count_leaves:
+        found, extra = found.join(counts, QUERY), [*extra, "leaves"]
+    return own.join(found, QUERY).filter("rank <= k").select("qid", "nid", "d2", "rank", *AXES, *extra)
+
+
+QUERY = ["g", "qx", "qy", "qz"]
+
+
+def search(own: DataFrame, tops: DataFrame, steps: DataFrame, depth: int, read_leaves: Callable[[DataFrame], DataFrame], radius: float | None = None, eps: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(g, qx, qy, qz, nid, x, y, z, d2, rank) for the places of ``own`` (g, qx, qy, qz, k), and (g, qx, qy, qz, leaves read).
+
+    ``tops``, ``steps``, ``depth``: as by ``search_tree``; a group may have several trees, whose paths differ. ``read_leaves`` adds id, x, y
+    and z of a leaf's points to boxes with ``path``. Where boxes are single places at one distance, those of
+    larger ids than k points have are left, too.
+    """
+    per_query = f"PARTITION BY {', '.join(QUERY)}"
+    most = own.agg(F.max("k")).first()[0] or 1
 
     def bounded(rows: DataFrame) -> DataFrame:
         """Boxes that may hold neighbours: those that begin within what holds k points."""
-        held = rows.withColumn("held", F.expr(f"sum(n) OVER ({per_query} ORDER BY far)"))
-        bound = F.expr(f"min(CASE WHEN held >= k THEN far END) OVER ({per_query})")
+        rows = rows.withColumn("last", F.expr("CASE WHEN near = far THEN idmax ELSE 9223372036854775807 END"))
+        held = rows.withColumn("held", F.expr(f"sum(n) OVER ({per_query} ORDER BY far, last)"))
         held = held if radius is None else held.filter(F.col("near") <= radius * radius * SLACK)
-        return held.withColumn("bound", bound).filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * SLACK)).drop("held", "bound")
+        held = held.withColumn("bound", F.expr(f"min(CASE WHEN held >= k THEN struct(far, last) END) OVER ({per_query})"))
+        open_ = F.expr(f"bound IS NULL OR near <= bound.far * {SLACK} AND NOT (near = far AND near = bound.far AND idmin > bound.last)")
+        return held.filter(open_).drop("held", "bound", "last")
 
-    places = own.groupBy(*query).agg(F.max("k").alias("k"))
-    columns = [*query, "k", "path", "n", "near", "far"]
+    places = own.groupBy(*QUERY).agg(F.max("k").alias("k"))
+    known = ["path", "n", "idmin", "idmax"]
+    columns = [*QUERY, "k", *known, "near", "far"]
     front = bounded(places.join(_lookup(tops), "g").withColumns({"near": _nearest("q", ""), "far": _farthest("q", "")}).select(columns))
-    below = _lookup(steps.select("g", F.col("up").alias("path"), F.struct("path", "n").alias("child"), *_box("")))
+    below = _lookup(steps.select("g", F.col("up").alias("path"), F.struct(*known).alias("child"), *_box("")))
     for _ in range(depth):
         # a leaf has nothing below and stays
         down = front.join(below, ["g", "path"], "left")
         stays = F.col("child").isNull()
-        new = {"path": F.col("child.path"), "n": F.col("child.n"), "near": _nearest("q", ""), "far": _farthest("q", "")}
-        front = bounded(down.select(*query, "k", *[F.when(stays, F.col(c)).otherwise(v).alias(c) for c, v in new.items()]))
-    front = materialize(front.select(*query, "k", "path", "n", "near"), "boxes")
+        new = {**{c: F.col(f"child.{c}") for c in known}, "near": _nearest("q", ""), "far": _farthest("q", "")}
+        front = bounded(down.select(*QUERY, "k", *[F.when(stays, F.col(c)).otherwise(v).alias(c) for c, v in new.items()]))
+    front = materialize(front.select(*QUERY, "k", "path", "n", "near"), "boxes")
     first = front.withColumn("before", F.expr(f"sum(n) OVER ({per_query} ORDER BY near, path) - n")).withColumn("early", F.col("before") < F.col("k"))
+    columns = [*QUERY, "k", "id", *AXES, "d2"]
+
+    def read(boxes: DataFrame, within: str = "true") -> DataFrame:
+        pairs = read_leaves(boxes.drop("n")).withColumn("d2", F.expr("(qx-x)*(qx-x)+(qy-y)*(qy-y)+(qz-z)*(qz-z)")).filter(within)
+        return (pairs if radius is None else pairs.filter(F.col("d2") < radius * radius)).select(columns)
 
-    def read(boxes: DataFrame) -> DataFrame:
-        pairs = boxes.drop("n").join(at, ["g", "path"])
-        pairs = pairs.withColumn("d2", F.expr("(qx-x)*(qx-x)+(qy-y)*(qy-y)+(qz-z)*(qz-z)"))
-        return pairs if radius is None else pairs.filter(F.col("d2") < radius * radius)
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """The limit that is the same for all queries is applied before rows are moved."""
+        ranked = pairs.withColumn("rank", F.expr(f"row_number() OVER ({per_query} ORDER BY d2, id)"))
+        return ranked.filter(F.col("rank") <= most).filter("rank <= k")
 
-    ranked = F.expr(f"row_number() OVER ({per_query} ORDER BY d2, id)")
-    columns = [*query, "k", "id", *AXES, "d2"]
-    early = read(first.filter("early")).select(*columns).withColumn("rank", ranked).filter("rank <= k")
-    early = materialize(early, "early")
+    early = materialize(nearest(read(first.filter("early"))), "early")
     # with fewer than k points so far nothing is out of reach
-    bound = early.groupBy(*query).agg(F.max(F.when(F.col("rank") == F.col("k"), F.col("d2"))).alias("far"))
-    left = first.filter("NOT early").join(bound, query, "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    bound = early.groupBy(*QUERY).agg(F.max(F.when(F.col("rank") == F.col("k"), F.col("d2"))).alias("far"))
+    left = first.filter("NOT early").join(bound, QUERY, "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
     left = left.filter(F.col("near") * (1 + eps) ** 2 <= F.col("far") * SLACK)
-    later = read(left).filter("d2 <= far")
-    found = early.drop("rank").unionByName(later.select(*columns)).withColumn("rank", ranked).filter("rank <= k")
-    found = materialize(found.drop("k"), "found").withColumnRenamed("id", "nid")
-    if count_leaves:
-        counts = first.filter("early").select(query).unionByName(left.select(query)).groupBy(*query).agg(F.count(F.lit(1)).alias("leaves"))
-        found, extra = found.join(counts, query), [*extra, "leaves"]
-    return own.join(found, query).filter("rank <= k").select("qid", "nid", "d2", "rank", *AXES, *extra)
+    later = read(left, "d2 <= far")
+    found = nearest(early.drop("rank").unionByName(later))
+    counts = first.filter("early").select(QUERY).unionByName(left.select(QUERY)).groupBy(*QUERY).agg(F.count(F.lit(1)).alias("leaves"))
+    return materialize(found.drop("k"), "found").withColumnRenamed("id", "nid"), counts
 
 
 def region_distances(points: DataFrame, leaf: int = LEAF) -> DataFrame:
