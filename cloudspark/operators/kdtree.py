@@ -14,19 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudspark.operators.tiling import medians
-from cloudspark.plans.storage import materialize
+from cloudspark.plans.storage import lookup, materialize
 
 AXES = ("x", "y", "z")
 #: Points of a leaf of a search tree; levels after which paths are written.
 LEAF, WRITE = 32, 4
-#: Rows up to which a table of nodes is broadcast; 80 bytes a row at most.
-BROADCAST_NODES = 200_000
-
-
-def _lookup(nodes: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written table of nodes, marked for broadcast if it is small. ``rows``: how many it has at most, if that is known."""
-    rows = nodes.limit(BROADCAST_NODES + 1).count() if rows is None else rows
-    return F.broadcast(nodes) if rows <= BROADCAST_NODES else nodes
 
 
 def _extents(points: DataFrame) -> DataFrame:
@@ -92,7 +84,7 @@ def grow(points: DataFrame, most: int, rule: str = "median") -> tuple[DataFrame,
             return at, nodes
         if rule == "median":
             cuts = split.select("g", "path", "axis", _ends("axis", "max").alias("high"))
-            values = level.join(_lookup(cuts, n), ["g", "path"]).select(F.struct("g", "path").alias("node"), _value("axis").alias("v"))
+            values = level.join(lookup(cuts, n), ["g", "path"]).select(F.struct("g", "path").alias("node"), _value("axis").alias("v"))
             middle = medians(values, "v", "node").select("node.*", "cut")
             cuts = materialize(cuts.join(middle, ["g", "path"]).select("g", "path", F.struct("axis", "cut", (F.col("cut") >= F.col("high")).alias("at_end")).alias("at")), "cuts")
             v = _value("at.axis", "row.")
@@ -109,7 +101,7 @@ def grow(points: DataFrame, most: int, rule: str = "median") -> tuple[DataFrame,
                 halves = [*halves, half.alias("id")]
                 digit += F.when(F.col("row.id") > F.col("at.id"), 1).otherwise(0)
             cuts = split.select("g", "path", F.struct(*halves).alias("at"))
-        placed = at.select(F.struct(*names).alias("row"), "g", "path").join(_lookup(cuts, n), ["g", "path"], "left")
+        placed = at.select(F.struct(*names).alias("row"), "g", "path").join(lookup(cuts, n), ["g", "path"], "left")
         at = placed.select("row.*", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", digit.cast("string"))).alias("path"))
         depth += 1
         if depth % WRITE == 0:
@@ -134,7 +126,7 @@ def tiles(points: DataFrame, most: int, prefix: str = "tile") -> DataFrame:
     number = F.coalesce(F.col("split") * 2 - 1 + F.col("half"), F.lit(0)).cast("long")
     depth = F.length("path")
     named = numbered.select("path", F.format_string(f"{prefix}_%d_%d_%d", number, depth, depth % 3).alias("tile_id"), "tile_ord")
-    return at.join(_lookup(materialize(named, "tiles")), "path").select("point.*", "tile_id", "tile_ord")
+    return at.join(lookup(materialize(named, "tiles")), "path").select("point.*", "tile_id", "tile_ord")
 
 
 def _box(p: str) -> list[str]:
@@ -234,8 +226,8 @@ def search(own: DataFrame, tops: DataFrame, steps: DataFrame, depth: int, read_l
     places = own.groupBy(*QUERY).agg(F.max("k").alias("k"))
     known = ["path", "n", "idmin", "idmax"]
     columns = [*QUERY, "k", *known, "near", "far"]
-    front = bounded(places.join(_lookup(tops), "g").withColumns({"near": _nearest("q", ""), "far": _farthest("q", "")}).select(columns))
-    below = _lookup(steps.select("g", F.col("up").alias("path"), F.struct(*known).alias("child"), *_box("")))
+    front = bounded(places.join(lookup(tops), "g").withColumns({"near": _nearest("q", ""), "far": _farthest("q", "")}).select(columns))
+    below = lookup(steps.select("g", F.col("up").alias("path"), F.struct(*known).alias("child"), *_box("")))
     for _ in range(depth):
         # a leaf has nothing below and stays
         down = front.join(below, ["g", "path"], "left")
@@ -295,7 +287,7 @@ def region_distances(points: DataFrame, leaf: int = LEAF) -> DataFrame:
     def lower(rows: DataFrame, p: str) -> DataFrame:
         """Pairs with what lies below their box ``p``; a leaf has nothing below and stays."""
         child = steps.select(F.col("g").alias(f"{p}_g"), F.col("up").alias(f"{p}_path"), F.struct("path", *_box("")).alias("child"))
-        down = rows.join(_lookup(child), [f"{p}_g", f"{p}_path"], "left")
+        down = rows.join(lookup(child), [f"{p}_g", f"{p}_path"], "left")
         return down.withColumns({f"{p}_{c}": F.coalesce(F.col(f"child.{c}"), F.col(f"{p}_{c}")) for c in ("path", *_box(""))}).drop("child")
 
     pairs = bounded(pairs.withColumn("h_open", F.lit(True)))

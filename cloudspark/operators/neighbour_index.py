@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudspark.operators import kdtree
-from cloudspark.plans.storage import materialize
+from cloudspark.plans.storage import lookup, materialize
 
 AXES = kdtree.AXES
 #: A tree: its number, table of points and their place, folder of nodes, depth, buckets, points when it was built and now, and whether some were removed.
@@ -61,7 +61,7 @@ class NeighbourIndex:
 
     def remove(self, ids: DataFrame) -> NeighbourIndex:
         """The index without the points of ``ids`` (id); ids that are not there change nothing."""
-        gone = kdtree._lookup(materialize(ids.select(F.col("id").cast("long").alias("id")).dropna().distinct(), "gone"))
+        gone = lookup(materialize(ids.select(F.col("id").cast("long").alias("id")).dropna().distinct(), "gone"))
         trees = []
         for tree in self.trees:
             lost = materialize(self._points(tree, "path").join(gone, "id", "left_semi").select("path", "id"), "lost")
@@ -106,7 +106,7 @@ class NeighbourIndex:
         for tree in self.trees:
             own = boxes.filter(F.startswith("path", F.lit(_root(tree["number"]))))
             if tree["removed"]:  # a leaf's removed ids are at most the points it was built with
-                own = own.join(kdtree._lookup(self._nodes(tree).filter("size(gone) > 0").select("path", "gone")), "path", "left")
+                own = own.join(lookup(self._nodes(tree).filter("size(gone) > 0").select("path", "gone")), "path", "left")
                 pairs = own.join(self._table(tree), "path").filter("gone IS NULL OR NOT array_contains(gone, id)").drop("gone")
             else:
                 pairs = own.join(self._table(tree), "path")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cloudspark.functions import metrics as M
 from cloudspark.operators import facility, generate, grid, kdtree, planes, regions, stats, tiling
 from cloudspark.operators.knn import knn
+from cloudspark.operators.neighbour_index import NeighbourIndex
 from cloudspark.plans.storage import folder, materialize
 from cloudspark.sources import dxf, points as source, sinks
 from cloudspark.streaming import point_fold
@@ -249,6 +250,17 @@ def knn_within_radius(spark, sf_dir):
     return rounded(kdtree.knn(cloud(spark, sf_dir), K, radius=REACH).select("qid", "nid", "d2", "rank"), "d2")
 
 
+@query(f"{_KNN.replace('FROM cloud q, cloud p', 'FROM cloud q, cloud p WHERE p.id % 5 <> 0')} {_RANKED} WHERE rank <= {K}")
+def knn_saved_index(spark, sf_dir):
+    """All points' neighbours by a saved index that took the cloud in three batches and gave a fifth of it back."""
+    c = cloud(spark, sf_dir)
+    index = NeighbourIndex.create(spark, folder(spark, "index"))
+    for third in range(3):
+        index = index.insert(c.filter(F.col("id") % 3 == third))
+    index = index.remove(c.filter("id % 5 = 0"))
+    return rounded(NeighbourIndex.open(spark, index.path).knn(c, K).select("qid", "nid", "d2", "rank"), "d2")
+
+
 @query(f"{_KNN} SELECT qid, cast(rank as integer) AS rank, {r6('d2')} AS d2, true AS bounded, true AS no_more FROM knn WHERE rank <= {K}")
 def knn_bounded_error(spark, sf_dir):
     """Of each rank the true distance, whether that of the search with an error of 0.5 is within 1.5 times it, and whether that search
@@ -710,6 +722,20 @@ def tile_list(spark, sf_dir):
     return sinks.tile_list_lines(kdtree.tiles(tied, NS), "out/tiles")
 
 
+_E8 = ", ".join(f"(round(w.{c}, 8) + 0.0) AS {c}" for c in "xyz")
+_SAVED = _BY_COUNT.replace("SELECT c.id,", f"SELECT c.id, {_E8}, w.fc, w.r, w.g, w.b,").replace(", cast(tile_ord AS bigint) AS tile_ord", "").replace("WHERE c.n <=", "JOIN cloud w ON w.id = c.id WHERE c.n <=")
+
+
+@query(f"{CLOUD_SQL}{_SAVED}")
+def tiles_saved(spark, sf_dir):
+    """Tiles that were written as text and are read by their list."""
+    c = cloud(spark, sf_dir).select("id", "x", "y", "z", "fc", "r", "g", "b")
+    at = folder(spark, "saved")
+    tied = c.select("id", *[F.round(n, 1).alias(n) for n in "xyz"])
+    sinks.write_tiles(c.join(kdtree.tiles(tied, NS).select("id", "tile_id", "tile_ord"), "id"), at, "cloud")
+    return source.read_tiles(spark, f"{at}/cloud.list", with_ids=True).withColumns({n: F.col(n) + F.lit(0.0) for n in "xyz"})
+
+
 # folds
 
 _TILES = _KD[: _KD.index(", c2 AS")]  # two levels

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of short rows (80 bytes, or a path) is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -27,3 +31,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it is small. ``rows``: how many it has at most, if that is known."""
+    rows = table.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudspark.plans.storage import lookup, materialize
+
 #: Columns by row width, without and with ids in the file.
 WIDTHS = {
     3: (("x", "y", "z"),) * 2,
@@ -91,7 +93,7 @@ def read_tiles(spark: SparkSession, list_path: str, **options) -> DataFrame:
     order = spark.createDataFrame([(x.rstrip("/").rsplit("/", 1)[-1].removeprefix("tile_id="), i) for i, x in enumerate(paths)], "tile_id string, ord long").dropDuplicates(["tile_id"])
     sizes = lines.groupBy("path", "tile_id").agg(F.count(F.lit(1)).alias("n")).join(order, "tile_id", "left")
     starts = sizes.withColumn("before", F.expr("sum(n) OVER (ORDER BY ord, tile_id, path) - n")).select("path", "before")
-    numbered = lines.join(F.broadcast(starts), "path").select((F.col("pos") + F.col("before")).alias("pos"), "value", "tile_id")
+    numbered = lines.join(lookup(materialize(starts, "starts")), "path").select((F.col("pos") + F.col("before")).alias("pos"), "value", "tile_id")
     return parse_points(numbered, **options)
 
 
@@ -111,7 +113,7 @@ def parse_clusters(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     last = rows.groupBy("block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("pos"))).alias("head"))
     carried = last.select("block", F.expr("last(head, true) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("carried"))
     found = F.coalesce(F.expr("last(head, true) OVER (PARTITION BY block ORDER BY pos)"), F.col("carried"))
-    members = rows.join(F.broadcast(carried), "block").withColumn("cid", found).filter(F.col("head").isNull() & F.col("cid").isNotNull())
+    members = rows.join(lookup(materialize(carried, "heads")), "block").withColumn("cid", found).filter(F.col("head").isNull() & F.col("cid").isNotNull())
     tokens = members.select("cid", "pos", F.posexplode(F.split("value", "\\s+")).alias("at", "token"))
     return tokens.select("cid", F.expr("row_number() OVER (PARTITION BY cid ORDER BY pos, at)").cast("long").alias("ord"), F.expr("try_cast(token as bigint)").alias("id")).dropna()
 
