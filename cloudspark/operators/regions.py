@@ -106,6 +106,30 @@ class _Region:
         self.points = self.points + other.points
 
 
+class _PlacedRegion(_Region):
+    """A region that finds its points near a place by cells as wide as the distance asked for."""
+
+    AROUND = tuple(np.ndindex(3, 3, 3))
+
+    def __init__(self, cells: np.ndarray) -> None:
+        super().__init__()
+        self.cells, self.held = cells, {}
+
+    def add(self, i: int, f: np.ndarray) -> None:
+        super().add(i, f)
+        self.held.setdefault(tuple(self.cells[i]), []).append(i)
+
+    def take(self, other: _PlacedRegion) -> None:
+        super().take(other)
+        for cell, points in other.held.items():
+            self.held.setdefault(cell, []).extend(points)
+
+    def around(self, j: int) -> list[int]:
+        """All points of the region that are nearer to j than a cell is wide, and others."""
+        x, y, z = self.cells[j] - 1
+        return [i for a, b, c in self.AROUND for i in self.held.get((x + a, y + b, z + c), ())]
+
+
 def grow(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule) -> list[list[int]]:
     """Breadth-first regions of like tangents; a finished region merges with like regions close to it. near: for each point
     the places of its neighbours, nearest first."""
@@ -136,16 +160,21 @@ def grow(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule) -> list[list[in
 def grow_dynamic(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule) -> list[list[int]]:
     """Regions take near points of like tangents; on contact with another region they go over to it."""
     seen = np.zeros(len(xyz), bool)
-    regions: list[_Region] = []
+    # a little wider than the distance, against rounding
+    cells = np.floor(xyz / (rule.distance * (1 + 1e-9) if rule.distance > 0 else 1.0))
+    regions: list[_PlacedRegion] = []
     owner: dict[int, int] = {}
 
-    def fits(r: _Region, j: int) -> bool:
-        return bool(r.points) and _like(rule, r.mean, f[j]) and _gap(xyz[[j]], xyz[r.points])[0] < rule.distance
+    def fits(r: _PlacedRegion, j: int) -> bool:
+        if not r.points or not _like(rule, r.mean, f[j]):
+            return False
+        there = r.around(j)
+        return bool(there) and _gap(xyz[[j]], xyz[there])[0] < rule.distance
 
     for i in range(len(xyz)):
         if seen[i]:
             continue
-        region, queue, own = _Region(), deque([i]), len(regions)
+        region, queue, own = _PlacedRegion(cells), deque([i]), len(regions)
         region.add(i, f[i])
         owner[i] = own
         while queue:
@@ -160,7 +189,7 @@ def grow_dynamic(xyz: np.ndarray, f: np.ndarray, near: list, rule: Rule) -> list
                     other = owner[j]
                     regions[other].take(region)
                     owner.update(dict.fromkeys(region.points, other))
-                    region, own = _Region(), other
+                    region, own = _PlacedRegion(cells), other
         if len(region.points) > rule.min_points:
             regions.append(region)
         else:

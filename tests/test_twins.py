@@ -187,3 +187,23 @@ def test_neighbours_of_a_tile_stay_in_it(spark):
     rows = [(i, float(i % 2) * 1e-3, float(i), 0.0, f"t{i % 2}") for i in range(20)]
     found = knn(spark.createDataFrame(rows, "id long, x double, y double, z double, tile_id string"), 3, by="tile_id").collect()
     assert len(found) == 60 and all(r.qid % 2 == r.nid % 2 and r.tile_id == f"t{r.qid % 2}" for r in found)
+
+
+def test_dynamic_growth_looks_near_places_only():
+    """Growth by cells equals growth by distances to all points of a region, also where coordinates lie on cell borders."""
+    rng = np.random.default_rng(31)
+    for step in (None, 0.1):
+        xyz = rng.random((260, 3)) * [1, 1, 0.1]
+        xyz = xyz if step is None else np.round(xyz / step) * step + rng.choice([0, 1e-3], (260, 1))
+        f = rng.normal(0, 0.02, (260, 7)) + [0, 1, 0, 0, 0, 0, 1]
+        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+        near = [list(np.lexsort((np.arange(260), row))[:12]) for row in d]
+        for reach in (0.05, 0.1, 0.25, np.inf, 0.0):
+            rule = regions.Rule(distance=reach)
+            got, placed = regions.grow_dynamic(xyz, f, near, rule), regions._PlacedRegion.around
+            try:
+                regions._PlacedRegion.around = lambda r, j: r.points
+                assert got == regions.grow_dynamic(xyz, f, near, rule)
+            finally:
+                regions._PlacedRegion.around = placed
+            assert reach < 0.1 or len(got) > 0
