@@ -497,11 +497,13 @@ _SUMS = f", sums AS (SELECT fid, count(*) AS nc, max(dist) AS rad, avg({_hybrid(
 _SHARES = "CASE WHEN {n} THEN 0 WHEN l1 < 0.01 * (l1 + l2 + l3) THEN 0 WHEN l2 < 0.01 * (l1 + l2 + l3) THEN 1 WHEN l3 < 0.01 * (l1 + l2 + l3) THEN 2 ELSE 3 END"
 
 
-@query(f"""{_ASSIGNED}{_SUMS}
-SELECT s.id AS fid, coalesce(nc, 0) AS nc, {r6('coalesce(rad, 0.0)')} AS rad, {r6('coalesce(abn, 0.0)')} AS abn, {r6('coalesce(dfp, 0.0)')} AS dfp,
+_STATS = f"""SELECT s.id AS fid, coalesce(nc, 0) AS nc, {r6('coalesce(rad, 0.0)')} AS rad, {r6('coalesce(abn, 0.0)')} AS abn, {r6('coalesce(dfp, 0.0)')} AS dfp,
   {r6('CASE WHEN coalesce(nc, 0) < 2 THEN 1.0 ELSE l2/l1 END')} AS asp, cast({_SHARES.format(n='coalesce(nc, 0) < 2')} as integer) AS dim,
   {r6('acos(c.nc_ / sqrt(c.na^2 + c.nb^2 + c.nc_^2)) * 180 / pi()')} AS slo
-FROM assigned s JOIN (SELECT id, na, nb, nc AS nc_ FROM cloud) c ON c.id = s.id LEFT JOIN eig ON eig.fid = s.id WHERE s.id = s.fid""")
+FROM assigned s JOIN (SELECT id, na, nb, nc AS nc_ FROM cloud) c ON c.id = s.id LEFT JOIN eig ON eig.fid = s.id WHERE s.id = s.fid"""
+
+
+@query(f"{_ASSIGNED}{_SUMS} {_STATS}")
 def cluster_stats(spark, sf_dir):
     return rounded(stats.cluster_stats(*_assigned(spark, sf_dir), **PARAMS), "rad", "abn", "dfp", "asp", "slo")
 
@@ -539,6 +541,7 @@ def client_facility_map(spark, sf_dir):
     return sinks.map_lines(_assigned(spark, sf_dir)[1])
 
 
+_E8 = ", ".join(f"(round(w.{c}, 8) + 0.0) AS {c}" for c in "xyz")
 _P8 = "'  ', printf('%.8f', x), '  ', printf('%.8f', y), '  ', printf('%.8f', z), '  ', '1.00000000', '  ', '0  0  0'"
 
 
@@ -565,6 +568,22 @@ def statistics_text(spark, sf_dir):
     return whole.select("ord", F.array_join(keep, "  ").alias("value"))
 
 
+_FIELDS = {"nc": "long", "rad": "double", "abn": "double", "dfp": "double", "asp": "double", "dim": "int", "over": "long", "slo": "double"}
+
+
+@query(f"""{_ASSIGNED}{_SUMS}, counted AS ({_OVER}), measures AS ({_STATS}) SELECT w.id, {_E8}, w.fc, w.r, w.g, w.b, {', '.join(f'm.{n}' if n != 'over' else 'o."over"' for n in _FIELDS)}
+FROM cloud w JOIN counted o ON o.fid = w.id JOIN measures m ON m.fid = w.id""")
+def statistics_fields(spark, sf_dir):
+    """All sixteen fields of the lines of statistics, as read back from their text."""
+    c, a = _assigned(spark, sf_dir)
+    a = a.select("id", "fid")
+    shape = rounded(stats.cluster_stats(c, a, **PARAMS), "rad", "abn", "dfp", "asp", "slo").withColumnRenamed("fid", "id")
+    lines = sinks.statistics_lines(c.drop("nc").join(shape, "id").join(stats.overlap(c, a, REACH).withColumnRenamed("fid", "id"), "id"))
+    kinds = {"id": "long", "x": "double", "y": "double", "z": "double", "fc": "double", "r": "short", "g": "short", "b": "short", **_FIELDS}
+    fields = F.split("value", "  ")
+    return lines.select(*[(fields[i].cast(t) + F.lit(0.0) if t == "double" else fields[i].cast(t)).alias(n) for i, (n, t) in enumerate(kinds.items())])
+
+
 @query(f"""{_ASSIGNED}, xyz AS (SELECT p.*, concat(chr(10), '10', chr(10), printf('%.3f', x), chr(10), '20', chr(10), printf('%.3f', y), chr(10), '30', chr(10), printf('%.3f', z)) AS spot FROM cloud p)
 SELECT 'facilities' AS layer, concat('0', chr(10), 'POINT', chr(10), '8', chr(10), 'facilities', chr(10), '62', chr(10), '4', spot) AS value FROM xyz JOIN assigned USING (id) WHERE id = fid
 UNION ALL SELECT 'ids', concat('0', chr(10), 'TEXT', chr(10), '8', chr(10), 'ids', chr(10), '62', chr(10), '2', spot, chr(10), '40', chr(10), '0.010', chr(10), '1', chr(10), id) FROM xyz JOIN assigned USING (id)
@@ -722,7 +741,6 @@ def tile_list(spark, sf_dir):
     return sinks.tile_list_lines(kdtree.tiles(tied, NS), "out/tiles")
 
 
-_E8 = ", ".join(f"(round(w.{c}, 8) + 0.0) AS {c}" for c in "xyz")
 _SAVED = _BY_COUNT.replace("SELECT c.id,", f"SELECT c.id, {_E8}, w.fc, w.r, w.g, w.b,").replace(", cast(tile_ord AS bigint) AS tile_ord", "").replace("WHERE c.n <=", "JOIN cloud w ON w.id = c.id WHERE c.n <=")
 
 
