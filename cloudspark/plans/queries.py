@@ -747,11 +747,24 @@ _SAVED = _BY_COUNT.replace("SELECT c.id,", f"SELECT c.id, {_E8}, w.fc, w.r, w.g,
 @query(f"{CLOUD_SQL}{_SAVED}")
 def tiles_saved(spark, sf_dir):
     """Tiles that were written as text and are read by their list."""
+    return source.read_tiles(spark, _saved_tiles(spark, sf_dir), with_ids=True).withColumns({n: F.col(n) + F.lit(0.0) for n in "xyz"})
+
+
+@query(f"{CLOUD_SQL}{_SAVED} AND tile_ord < 2")
+def tiles_of_a_list(spark, sf_dir):
+    """The first two tiles of a list; no other file is read."""
+    at = _saved_tiles(spark, sf_dir)
+    names = [x.rsplit("=", 1)[1] for x in source.read_tile_list(spark, at)[:2]]
+    return source.read_tiles(spark, at, only=names, own_ids=True).withColumns({n: F.col(n) + F.lit(0.0) for n in "xyz"})
+
+
+def _saved_tiles(spark, sf_dir) -> str:
+    """The list of the cloud's tiles, which are written as text."""
     c = cloud(spark, sf_dir).select("id", "x", "y", "z", "fc", "r", "g", "b")
     at = folder(spark, "saved")
     tied = c.select("id", *[F.round(n, 1).alias(n) for n in "xyz"])
     sinks.write_tiles(c.join(kdtree.tiles(tied, NS).select("id", "tile_id", "tile_ord"), "id"), at, "cloud")
-    return source.read_tiles(spark, f"{at}/cloud.list", with_ids=True).withColumns({n: F.col(n) + F.lit(0.0) for n in "xyz"})
+    return f"{at}/cloud.list"
 
 
 # folds

@@ -78,25 +78,44 @@ def read_tile_list(spark: SparkSession, list_path: str) -> list[str]:
     return [x if x.startswith("/") or ":" in x else f"{base}/{x}" for x in names]
 
 
-def read_tiles(spark: SparkSession, list_path: str, **options) -> DataFrame:
-    """All tiles of a tile list, with tile_id (the name of the tile's file or folder).
+def _tile_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1].removeprefix("tile_id=")
+
+
+def read_tiles(spark: SparkSession, list_path: str, only: list[str] | None = None, own_ids: bool = False, **options) -> DataFrame:
+    """All tiles of a tile list, or those named in ``only``, with tile_id (the name of the tile's file or folder).
 
     Rows without an id of their own get one that is unique over the tiles: they are numbered on from tile to tile in the
-    order of the list. Ids that rows have are taken as they are and must be unique.
+    order of the list. Ids that rows have are taken as they are and must be unique. ``own_ids``: all rows have one (8 columns, or
+    ``with_ids``), so no line is counted, and no file of another tile than those in ``only`` is opened; rows that have none are left out.
+    A name that is not in the list is an error.
     """
     paths = read_tile_list(spark, list_path)
-    lines = read_lines(spark, paths)
-    parts = F.split("path", "/")
-    # a tile that was written by Spark is a folder of part files
-    name = F.when(F.startswith(F.element_at(parts, -1), F.lit("part-")), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
-    lines = lines.withColumn("tile_id", F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "^tile_id=", ""))
-    order = spark.createDataFrame([(x.rstrip("/").rsplit("/", 1)[-1].removeprefix("tile_id="), i) for i, x in enumerate(paths)], "tile_id string, ord long").dropDuplicates(["tile_id"])
+    if only is not None and (unknown := set(only) - {_tile_name(x) for x in paths}):
+        raise ValueError(f"not in {list_path}: {', '.join(sorted(unknown))}")
+    wanted = paths if only is None else [x for x in paths if _tile_name(x) in set(only)]
+    if not wanted:
+        raise ValueError("name at least one tile")
+    if own_ids:
+        lines = spark.read.text(wanted).select(F.col("_metadata.file_path").alias("path"), F.lit(None).cast("long").alias("pos"), "value")
+        return parse_points(_with_tile(lines).drop("path"), **options).filter("id IS NOT NULL")
+    lines = _with_tile(read_lines(spark, paths))
+    order = spark.createDataFrame([(_tile_name(x), i) for i, x in enumerate(paths)], "tile_id string, ord long").dropDuplicates(["tile_id"])
     sizes = lines.groupBy("path", "tile_id").agg(F.count(F.lit(1)).alias("n")).join(order, "tile_id", "left")
-    starts = sizes.withColumn("before", F.expr("sum(n) OVER (ORDER BY ord, tile_id, path) - n")).select("path", "before")
-    numbered = lines.join(lookup(materialize(starts, "starts")), "path").select((F.col("pos") + F.col("before")).alias("pos"), "value", "tile_id")
+    starts = materialize(sizes.withColumn("before", F.expr("sum(n) OVER (ORDER BY ord, tile_id, path) - n")).select("path", "before"), "starts")
+    if only is not None:
+        lines = _with_tile(read_lines(spark, wanted))
+    numbered = lines.join(lookup(starts), "path").select((F.col("pos") + F.col("before")).alias("pos"), "value", "tile_id")
     return parse_points(numbered, **options)
 
 
+def _with_tile(lines: DataFrame) -> DataFrame:
+    """``lines`` (path and others) with tile_id; a tile that was written by Spark is a folder of part files."""
+    parts = F.split("path", "/")
+    name = F.when(F.startswith(F.element_at(parts, -1), F.lit("part-")), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+    return lines.withColumn("tile_id", F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "^tile_id=", ""))
+
+
 #: Lines of a cluster file that are searched for a cluster's head together.
 BLOCK_LINES = 1 << 16
 

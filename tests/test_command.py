@@ -89,3 +89,23 @@ def test_stream_of_tiles_equals_one_fold(spark, tmp_path):
     got = {(r.tile_id, r.id, r.fid) for r in spark.table("tiles").collect()}
     want = {(r.tile_id, r.id, r.fid) for r in facility.cluster(spark.createDataFrame(rows, names), params).collect()}
     assert got == want and len(got) == 30
+
+
+def test_tiles_by_name(spark, tmp_path):
+    """Named tiles alone are opened if rows have ids, and numbered like all tiles if they have none."""
+    from cloudspark.sources import points
+
+    texts = {"a": "1 2 3\n4 5 6\n", "b": "7 8 9\nx y z\n", "c": "10 11 12\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "all.list").write_text("c\na\nb\n")
+    rows = lambda frame: {(r.id, r.x, r.tile_id) for r in frame.collect()}
+    whole = {(0, 10.0, "c"), (1, 1.0, "a"), (2, 4.0, "a"), (3, 7.0, "b")}
+    assert rows(points.read_tiles(spark, f"{tmp_path}/all.list")) == whole
+    assert rows(points.read_tiles(spark, f"{tmp_path}/all.list", only=["b", "c"])) == {r for r in whole if r[2] != "a"}
+    (tmp_path / "b").write_text("70 7 8 9 1 0 0 0\n1 2 3\n")
+    found = points.read_tiles(spark, f"{tmp_path}/all.list", only=["b"], own_ids=True)
+    assert rows(found) == {(70, 7.0, "b")} and [x.rsplit("/", 1)[1] for x in found.inputFiles()] == ["b"]
+    for wrong in (["d"], []):
+        with pytest.raises(ValueError):
+            points.read_tiles(spark, f"{tmp_path}/all.list", only=wrong)
