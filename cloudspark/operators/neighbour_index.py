@@ -2,7 +2,7 @@
 
 It is a few static trees of boxes (``kdtree``). A batch of new points is a tree of its own, joined with the last trees as long as those
 are no larger, so there are at most about log2(n) trees and a point is built into as many. A removal lowers the counts of the nodes above a
-point and notes its id at its leaf; a tree with half of its points removed is built again. All trees are searched at once: a query's
+point and notes its id at its leaf; trees with half of their points removed are built again, as one. All trees are searched at once: a query's
 bound comes from the boxes of all of them.
 
 The points of a tree are a table bucketed by leaf, so that a search moves the boxes that queries want and never the points.
@@ -62,7 +62,7 @@ class NeighbourIndex:
     def remove(self, ids: DataFrame) -> NeighbourIndex:
         """The index without the points of ``ids`` (id); ids that are not there change nothing."""
         gone = lookup(materialize(ids.select(F.col("id").cast("long").alias("id")).dropna().distinct(), "gone"))
-        trees = []
+        trees, left = [], None
         for tree in self.trees:
             lost = materialize(self._points(tree, "path").join(gone, "id", "left_semi").select("path", "id"), "lost")
             n = lost.count()
@@ -74,7 +74,10 @@ class NeighbourIndex:
                 self._less(tree, lost).write.parquet(nodes)
                 trees.append({**tree, "nodes": nodes, "live": live, "removed": True})
             elif live:
-                trees.append(self._build(self._points(tree, "path").join(lost, ["path", "id"], "left_anti").drop("path")))
+                own = self._points(tree, "path").join(lost, ["path", "id"], "left_anti").drop("path")
+                left = own if left is None else left.unionByName(own)
+        if left is not None:  # one tree, as each has a number of its own
+            trees.append(self._build(left))
         return self._commit(trees) if trees != self.trees else self
 
     def points(self) -> DataFrame:
@@ -162,7 +165,7 @@ class NeighbourIndex:
         return nodes.select("path", "up", n.alias("n"), *kdtree.BOUNDS, gone.alias("gone"))
 
     def _commit(self, trees: list[dict]) -> NeighbourIndex:
-        version = self.version + 1
+        version, trees = self.version + 1, sorted(trees, key=lambda t: -t["live"])
         names = [x.split(":")[0] for x in TREE.split(", ")]
         row = self.spark.createDataFrame([([tuple(t[c] for c in names) for t in trees],)], f"trees array<struct<{TREE}>>")
         row.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/version={version}")

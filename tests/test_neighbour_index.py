@@ -48,11 +48,23 @@ def test_insertions_and_removals(spark, tmp_path):
 
     most = spark.createDataFrame([(i,) for i in sorted(live)[: len(live) - 5]], "id long")
     few = again.remove(most)
-    assert sum(t["built"] for t in few.trees) <= 2 * 5 and {r.id for r in few.points().collect()} == set(sorted(live)[-5:])
+    assert len(again.trees) > 1 and [t["built"] for t in few.trees] == [5] and {r.id for r in few.points().collect()} == set(sorted(live)[-5:])
     none = few.remove(few.points().select("id"))
     assert not none.trees and not found(none, asked, 3)
 
 
+def test_trees_that_are_built_again_together(spark, tmp_path):
+    rng = np.random.default_rng(23)
+    rows = [(i, *map(float, x)) for i, x in enumerate(rng.random((160, 3)))]
+    index = NeighbourIndex.create(spark, f"file://{tmp_path}/index")
+    for batch in (rows[:100], rows[100:]):
+        index = index.insert(spark.createDataFrame(batch, CLOUD))
+    assert len(index.trees) == 2
+    left = [r for r in rows if r[0] % 3 == 0]
+    index = index.remove(spark.createDataFrame([(r[0],) for r in rows if r[0] % 3], "id long"))
+    assert len(index.trees) == 1 and found(index, spark.createDataFrame(rows[:20], CLOUD), 40) == brute_neighbours(left, rows[:20], 40)
+
+
 def test_points_stay_where_they_are(spark, tmp_path):
     rng = np.random.default_rng(22)
     rows = [(i, *map(float, x)) for i, x in enumerate(rng.random((500, 3)))]
