@@ -182,13 +182,13 @@ def grid_adjacent27(spark, sf_dir):
     return rows.join(grid.spread(counts, ("ix", "iy", "iz")), ["ix", "iy", "iz"]).groupBy("id").agg(F.sum("m").alias("n"))
 
 
-_BY_COUNT = {"x": 7, "y": 4, "z": 3}
-_AT = ", ".join(f"cast(floor({0.99 * n} * (p.{c} - {c}min) / ({c}max - {c}min)) as bigint) AS i{c}" for c, n in _BY_COUNT.items())
+_AXIS_BINS = {"x": 7, "y": 4, "z": 3}
+_AT = ", ".join(f"cast(floor({0.99 * n} * (p.{c} - {c}min) / ({c}max - {c}min)) as bigint) AS i{c}" for c, n in _AXIS_BINS.items())
 
 
 @query(f"{_BOX} SELECT id, ix, iy, iz, ix + 7 * iy + 28 * iz AS cell FROM (SELECT p.id, {_AT} FROM cloud p, box)")
 def grid_by_count(spark, sf_dir):
-    return grid.with_index_by_count(cloud(spark, sf_dir), *_BY_COUNT.values()).select("id", "ix", "iy", "iz", "cell")
+    return grid.with_index_by_count(cloud(spark, sf_dir), *_AXIS_BINS.values()).select("id", "ix", "iy", "iz", "cell")
 
 
 _MOVED = ", ".join(f"CASE WHEN p.{c} + 0.25 > {c}max THEN -1 ELSE cast(floor((p.{c} + 0.25 - {c}min) / ({c}max - {c}min) * n{c} * 0.99) as bigint) END AS i{c}" for c in "xyz")

@@ -176,3 +176,16 @@ def test_registry_is_complete():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 60
+
+
+def test_grid_by_count_has_its_own_number_of_bins(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.random(11)], i % 10) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = np.array([r[1][:3] for r in rows], np.float32).astype(float)
+    low, high = at.min(0), at.max(0)
+    want = np.floor((at - low) / (high - low) * (0.99 * np.array([7, 4, 3]))).astype(int).tolist()
+    got = {r.id: r for r in e.queries()["grid_by_count"](spark, str(tmp_path)).collect()}
+    assert len(got) == 300 and all([got[i].ix, got[i].iy, got[i].iz] == want[i] and got[i].cell == want[i][0] + 7 * want[i][1] + 28 * want[i][2] for i in range(300))
