@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -101,21 +101,70 @@ def _kernel(name: str, a: dict, b: dict, d, dx, dy, dz):
     return 0.5 * (of(a) + of(b)) if name == "pla" else np.abs(of(a) - of(b))
 
 
-@dataclass
+class _Numbers:
+    """Numbers that come one at a time, as an array."""
+
+    def __init__(self, values=(), kind=float) -> None:
+        self.held = np.array(values, kind)
+        self.n = len(self.held)
+
+    def append(self, value) -> None:
+        if self.n == len(self.held):
+            self.held = np.concatenate([self.held, np.empty(max(4, self.n), self.held.dtype)])
+        self.held[self.n] = value
+        self.n += 1
+
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class _Facility:
-    at: int
-    clients: list[int] = field(default_factory=list)
-    far: list[float] = field(default_factory=list)  # distance of each client
+    def __init__(self, at: int, clients=(), far=()) -> None:
+        self.at = at
+        self.keep(clients, far)
+
+    def keep(self, clients, far) -> None:
+        self.clients, self.far = _Numbers(clients, np.int64), _Numbers(far)  # far: distance of each client
+
+
+#: Columns that a metric reads; all of them if it is not named here.
+READS = {n: tuple("xyz") for n in ("l1", "l2", "l22", "ell", "geo")} | {n: (*"xyz", "na", "nb", "nc") for n in ("abn", "dis")}
+#: What a bound loses to rounding.
+SLACK = 1e-9
 
 
 class Fold:
-    """State of one tile: facilities by grid cell."""
+    """State of one tile: facilities by number, and the numbers of those in each grid cell, in the order in which they opened.
+
+    A point is compared with all facilities in reach at once. Under a metric that keeps the triangle inequality, clients nearer to
+    their facility than half of the point's distance from it stay, and are not looked at: at ``far`` from a facility that is
+    ``low`` away, a client is at least ``low - far`` away. For other metrics all clients of these facilities are compared.
+    """
 
     def __init__(self, p: Params, points: dict[str, np.ndarray]) -> None:
-        self.p, self.points, self.cells, self.cost = p, points, {}, 0.0
+        self._begin(p, points)
         self.low = [float(points[c].min()) for c in "xyz"]
         self.span = [float(points[c].max()) - low for c, low in zip("xyz", self.low, strict=True)]
         self.n = [max(1, math.ceil(s / p.bin)) for s in self.span]
+        self.bounded = self._bounded()
+
+    def _begin(self, p: Params, points: dict[str, np.ndarray]) -> None:
+        self.p, self.points, self.cells, self.cost = p, points, {}, 0.0
+        self.facilities: list[_Facility] = []
+        # of each facility by number: its point, how many clients it has, their largest distance and the sum of their distances
+        self.at, self.count, self.most, self.total = _Numbers(kind=np.int64), _Numbers(kind=np.int64), _Numbers(), _Numbers()
+        self.reads = tuple(points) if p.metric else READS.get(p.norm, tuple(points))
+        self.bounded = False
+
+    def _bounded(self) -> bool:
+        """Whether distances are bounded by the triangle inequality. Angles between planes are if no plane is missing and no two
+        points, which would be 0 apart whatever their planes, lie on one place."""
+        p = self.p
+        if p.metric or p.norm != "abn":
+            return not p.metric and p.norm in ("l1", "l2", "ell")
+        size = sum(np.asarray(self.points[c], float) ** 2 for c in ("na", "nb", "nc"))
+        places = np.stack([self.points[c] for c in "xyz"], axis=1)
+        return 0 <= p.mju <= 1 and (p.power >= 0 or not p.constant_penalty) and bool((size > 0).all()) and len(np.unique(places, axis=0)) == len(places)
 
     def cell(self, i: int) -> tuple[int, int, int]:
         at = [float(self.points[c][i]) - low for c, low in zip("xyz", self.low, strict=True)]
@@ -126,69 +175,116 @@ class Fold:
         return tuple(int(0.99 * n * a / s) if s else 0 for a, s, n in zip(at, self.span, self.n, strict=True))
 
     def _row(self, i) -> dict:
-        return {c: v[i] for c, v in self.points.items()}
+        return {c: self.points[c][i] for c in self.reads}
 
     def metric(self, i, j) -> np.ndarray:
         return distances(self.p, self._row(i), self._row(j))
 
-    def open(self, i: int) -> _Facility:
-        f = _Facility(i)
-        self.cells.setdefault(self.cell(i), []).append(f)
-        return f
+    def open(self, i: int, clients=(), far=()) -> None:
+        self._put(self.cell(i), i, clients, far)
+
+    def _put(self, cell: tuple[int, int, int], i: int, clients, far) -> None:
+        self.cells.setdefault(cell, _Numbers(kind=np.int64)).append(len(self.facilities))
+        self.facilities.append(_Facility(i, clients, far))
+        self.at.append(i)
+        for of in (self.count, self.most, self.total):
+            of.append(0)
+        self._measure(len(self.facilities) - 1)
 
-    def near(self, i: int) -> list[_Facility]:
+    def _measure(self, f: int) -> None:
+        far = self.facilities[f].far.values()
+        self.count.held[f], self.most.held[f], self.total.held[f] = len(far), far.max(initial=0.0), far.sum()
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the facilities in reach, and how far they are."""
         x, y, z = self.cell(i)
-        found = [f for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for f in self.cells.get((a, b, c), ())]
-        if not found:
-            return []
-        at = np.array([f.at for f in found])
+        found = [f.values() for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) if (f := self.cells.get((a, b, c))) is not None]
+        numbers = np.concatenate(found) if found else np.empty(0, np.int64)
+        at = self.at.held[numbers]
         d = np.sqrt(sum((self.points[c][at] - self.points[c][i]) ** 2 for c in "xyz"))
         end = self.p.lam * self.p.reach
-        return [f for f, x in zip(found, d, strict=True) if x < end or (x == end and not self.p.open_end)]
+        reached = d < end if self.p.open_end else d <= end
+        return numbers[reached], d[reached]
+
+    def _least(self, to: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Of metric values at distances ``d`` the part that keeps the triangle inequality, rounded down."""
+        p = self.p
+        if p.norm == "abn":
+            beyond = p.power if p.constant_penalty else np.maximum(d - p.lam, 0) ** p.power
+            to = np.where(d < p.lam, to, to - p.mju * beyond)
+        return to - SLACK * (1 + to)
 
     def add(self, i: int) -> None:
         """Open a facility, join the nearest one, or open one that takes clients over; whichever costs least."""
-        fc = self.points["fc"]
-        near = self.near(i)
-        own = float(fc[i])
-        nearest, least, again, moves = None, math.inf, own, []
-        to_near = self.metric(i, np.array([f.at for f in near])) if near else ()
-        for f, d in zip(near, map(float, to_near), strict=True):
-            if 0 < d < least:
-                nearest, least = f, d
-            gains = self.metric(i, np.array(f.clients)) - np.array(f.far) if f.clients else np.empty(0)
-            whole, part = own - float(fc[f.at]), own - d  # all clients and f itself move; closer clients move
-            for g in gains:
-                whole += g
-                if g < 0:
-                    part += g
-            if whole < part:
-                again += whole - own + d
-                moves.append((f, None))
-            elif part < whole:
-                again += part - own + d
-                moves.append((f, gains < 0))
+        own = float(self.points["fc"][i])
+        near, d = self.near(i)
+        to = np.asarray(self.metric(i, self.at.held[near]), float) if len(near) else np.empty(0)
+        apart = np.where(to > 0, to, np.inf)
+        first = int(apart.argmin()) if len(near) else -1
+        least = float(apart[first]) if len(near) else math.inf
+        whole, part, movers, of = self._offers(i, own, near, to, d)
+        terms = np.where(whole < part, whole - own + to, np.where(part < whole, part - own + to, 0.0))
+        again = float(np.add.accumulate(np.concatenate([[own], terms]))[-1])
         best = min(own, least, again)
         self.cost += best
         if best == least and best != own:
-            nearest.clients.append(i)
-            nearest.far.append(least)
+            f = int(near[first])
+            self.facilities[f].clients.append(i)
+            self.facilities[f].far.append(least)
+            self.count.held[f] += 1
+            self.most.held[f] = max(self.most.held[f], least)
+            self.total.held[f] += least
             return
-        new = self.open(i)
         if best == own:
+            self.open(i)
             return
-        for f, closer in moves:
-            if closer is None:
-                moved = [*f.clients, f.at]
-                cell = self.cells[self.cell(f.at)]
-                cell[:] = [x for x in cell if x is not f]
+        moved = []
+        for k in np.flatnonzero((whole < part) | ((part < whole) & np.isin(np.arange(len(near)), of))).tolist():
+            f = int(near[k])
+            facility = self.facilities[f]
+            clients, far = facility.clients.values(), facility.far.values()
+            if whole[k] < part[k]:
+                moved.append([*clients, facility.at])
+                cell = self.cell(facility.at)
+                left = self.cells[cell].values()
+                self.cells[cell] = _Numbers(left[left != f], np.int64)
+                facility.keep((), ())
             else:
-                moved = [c for c, k in zip(f.clients, closer, strict=True) if k]
-                stay = [(c, d) for c, d, k in zip(f.clients, f.far, closer, strict=True) if not k]
-                f.clients, f.far = [c for c, _ in stay], [d for _, d in stay]
-            if moved:
-                new.clients += moved
-                new.far += self.metric(i, np.array(moved)).tolist()
+                go = np.isin(clients, movers[of == k])
+                moved.append(clients[go])
+                facility.keep(clients[~go], far[~go])
+            self._measure(f)
+        clients = np.concatenate(moved).astype(np.int64) if moved else np.empty(0, np.int64)
+        self.open(i, clients, self.metric(i, clients) if len(clients) else ())
+
+    def _offers(self, i: int, own: float, near: np.ndarray, to: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each facility the costs if it and all its clients move to ``i``, and if only closer clients do; these clients, and whose they are."""
+        fc = np.asarray(self.points["fc"], float)[self.at.held[near]]
+        whole, part = own - fc, own - to
+        count = self.count.held[near]
+        if self.bounded:
+            low = self._least(to, d)
+            goes = count * low - 2 * self.total.held[near] * (1 + SLACK) < fc - to + SLACK
+            look = np.flatnonzero((count > 0) & (goes | (low < 2 * self.most.held[near])))
+        else:
+            look = np.flatnonzero(count)
+        if self.bounded:
+            whole[~goes] = np.inf
+        if not len(look):
+            return whole, part, look, look
+        held = [self.facilities[f] for f in near[look].tolist()]
+        clients, far = np.concatenate([f.clients.values() for f in held]), np.concatenate([f.far.values() for f in held])
+        of = np.repeat(np.arange(len(look)), count[look])
+        if self.bounded:
+            seen = goes[look][of] | (far * 2 > low[look][of])
+            clients, far, of = clients[seen], far[seen], of[seen]
+        gains = self.metric(i, clients) - far if len(clients) else np.empty(0)
+        # summed one after the other
+        order = np.concatenate([np.arange(len(look)), of])
+        whole[look] = np.bincount(order, np.concatenate([whole[look], gains]), len(look))
+        closer = gains < 0
+        part[look] = np.bincount(order, np.concatenate([part[look], np.where(closer, gains, 0.0)]), len(look))
+        return whole, part, clients[closer], look[of[closer]]
 
     def run(self) -> np.ndarray:
         """For each point the place of its facility."""
@@ -200,8 +296,8 @@ class Fold:
             self.add(i)
         out = np.arange(n)
         for cell in self.cells.values():
-            for f in cell:
-                out[f.clients] = f.at
+            for f in cell.values().tolist():
+                out[self.facilities[f].clients.values()] = self.facilities[f].at
         return out
 
 

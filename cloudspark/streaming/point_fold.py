@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from cloudspark.operators.facility import COLUMNS, Fold, Params, _Facility
+from cloudspark.operators.facility import COLUMNS, Fold, Params
 
 #: The state store that keeps a map; sessions that fold points must have it.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,24 +30,21 @@ class StateFold(Fold):
     def __init__(self, p: Params, ids: np.ndarray, points: dict[str, np.ndarray], state) -> None:
         if p.candidate_mode not in ("radius", "flat"):
             raise ValueError("a stream has no extent, so cells must be as wide as the reach")
-        self.p, self.cells, self.cost, self.state, self.low = p, {}, 0.0, state, [0.0, 0.0, 0.0]
-        self.points, self.ids, self.new = points, ids, len(ids)
+        self._begin(p, points)
+        self.state, self.low, self.ids, self.new = state, [0.0, 0.0, 0.0], ids, len(ids)
         own = {self.cell(i) for i in range(self.new)}
         around = {(x + a, y + b, z + c) for x, y, z in own for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)}
         self.before = {cell: held for cell in sorted(around) if (held := state.getValue(cell))}
         self._load()
+        self.bounded = self._bounded()
 
     def _load(self) -> None:
         at = self.new
         for cell, (ids, of, far, _) in self.before.items():
-            found: list[_Facility] = []
-            for i, (number, d) in enumerate(zip(of, far, strict=True)):
-                if number == len(found):
-                    found.append(_Facility(at + i))
-                else:
-                    found[number].clients.append(at + i)
-                    found[number].far.append(float(d))
-            self.cells[cell] = found
+            of, far, places = np.array(of), np.array(far, float), np.arange(at, at + len(ids))
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                self._put(cell, at + start, places[start + 1 : end], far[start + 1 : end])
             at += len(ids)
         if self.before:
             rows = np.concatenate([np.array(held[3], float) for held in self.before.values()]).reshape(-1, len(self.points))
@@ -62,15 +59,16 @@ class StateFold(Fold):
     def save(self) -> None:
         """Write the cells that have changed."""
         table = np.stack(list(self.points.values()), axis=1)
-        for cell, found in self.cells.items():
-            at = [i for f in found for i in (f.at, *f.clients)]
-            of = [n for n, f in enumerate(found) for _ in range(1 + len(f.clients))]
+        for cell, numbers in self.cells.items():
+            found = [self.facilities[f] for f in numbers.values().tolist()]
+            at = [i for f in found for i in (f.at, *f.clients.values().tolist())]
+            of = [n for n, f in enumerate(found) for _ in range(1 + f.clients.n)]
             ids = self.ids[at].tolist()
             before = self.before.get(cell)
             if before and list(before[0]) == ids and list(before[1]) == of:
                 continue
             if ids:
-                self.state.updateValue(cell, (ids, of, [float(d) for f in found for d in (0.0, *f.far)], table[at].ravel().tolist()))
+                self.state.updateValue(cell, (ids, of, [d for f in found for d in (0.0, *f.far.values().tolist())], table[at].ravel().tolist()))
             elif before:
                 self.state.removeKey(cell)
 

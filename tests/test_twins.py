@@ -207,3 +207,35 @@ def test_dynamic_growth_looks_near_places_only():
             finally:
                 regions._PlacedRegion.around = placed
             assert reach < 0.1 or len(got) > 0
+
+
+def test_fold_looks_at_few_clients(monkeypatch):
+    """Four times the points on the same room: values of the metric grow with the facilities in reach, not with their clients."""
+    values = {}
+    measure = facility.distances
+
+    def counted(p, a, b):
+        out = measure(p, a, b)
+        values[n] = values.get(n, 0) + out.size
+        return out
+
+    monkeypatch.setattr(facility, "distances", counted)
+    for n in (1000, 4000):
+        rng = np.random.default_rng(8)
+        data = {c: rng.normal(0, 0.125, n) for c in "xyz"} | {"fc": np.full(n, 1.0)}
+        own = facility.Fold(facility.Params(norm="l2", lam=0.5, bin=0.5), data).run()
+        assert (own[own] == own).all()
+    assert values[4000] < 9 * values[1000]
+
+
+def test_fold_with_points_on_one_place_and_missing_planes():
+    """Where the triangle inequality fails no client is passed over."""
+    rng = np.random.default_rng(9)
+    data = {c: rng.integers(0, 3, 90) / 4 for c in "xyz"} | {c: rng.normal(0, 1, 90) for c in ("na", "nb", "nc")} | {"fc": np.full(90, 0.5)}
+    data["na"][:4] = data["nb"][:4] = data["nc"][:4] = 0.0
+    fold = facility.Fold(facility.Params(norm="abn", lam=0.6, bin=0.6), data)
+    assert not fold.bounded
+    own = fold.run()
+    clients = np.flatnonzero(own != np.arange(90))
+    rows = [{c: v[i] for c, v in data.items()} for i in (own[clients], clients)]
+    assert abs(0.5 * (own == np.arange(90)).sum() + facility.distances(fold.p, *rows).sum() - fold.cost) < 1e-9
