@@ -34,12 +34,15 @@ def _down(c: Column, level: Column) -> Column:
     return F.call_function("shiftright", c, level)
 
 
-def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: str | None = None, rooted: bool = False) -> DataFrame:
     """(qid, nid, d2, rank, x, y, z of the neighbour); ties by id. ``k``: a number or a column of the queries; at least 1 is
     taken. ``by``: a column of both tables; only points with the query's value are its neighbours, and it is returned.
 
+    ``rooted``: neighbours whose distances, the roots of d2, are equal count as ties, also if d2 differs in its last bit.
+
     Fewer than k points give as many neighbours as there are. Null coordinates have no neighbours and are none.
     """
+    length = "sqrt(d2)" if rooted else "d2"
     count = F.lit(k) if isinstance(k, int) else F.col(k)
     group = F.col(by).cast("string") if by else F.lit("")
     asked = points if queries is None else queries
@@ -83,8 +86,8 @@ def knn(points: DataFrame, k: int | str, queries: DataFrame | None = None, by: s
         pairs = wanted.withColumn("part", F.explode(parts)).drop("n").join(there, ["g", "level", "cell", "part"])
         pairs = pairs.withColumn("d2", F.expr("(qx-x)*(qx-x)+(qy-y)*(qy-y)+(qz-z)*(qz-z)"))
         if bounded:
-            pairs = pairs.filter("d2 <= far")
-        first = "row_number() OVER (PARTITION BY g, qx, qy, qz ORDER BY d2, id)"
+            pairs = pairs.filter(f"{length} <= {length.replace('d2', 'far')}")
+        first = f"row_number() OVER (PARTITION BY g, qx, qy, qz ORDER BY {length}, id)"
         return pairs.select("g", "qx", "qy", "qz", "k", "id", *AXES, "d2", F.expr(first).alias("rank")).filter("rank <= k")
 
     places = own.groupBy("g", "qx", "qy", "qz").agg(F.max("k").alias("k"))

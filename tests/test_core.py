@@ -189,3 +189,36 @@ def test_grid_by_count_has_its_own_number_of_bins(spark, tmp_path):
     want = np.floor((at - low) / (high - low) * (0.99 * np.array([7, 4, 3]))).astype(int).tolist()
     got = {r.id: r for r in e.queries()["grid_by_count"](spark, str(tmp_path)).collect()}
     assert len(got) == 300 and all([got[i].ix, got[i].iy, got[i].iz] == want[i] and got[i].cell == want[i][0] + 7 * want[i][1] + 28 * want[i][2] for i in range(300))
+
+
+def test_facilities_in_reach_are_not_all_joined(spark, monkeypatch):
+    """Nearest facilities and overlaps, held to all pairs; the pairs within the reach, which grow with the square of a cloud, are not made."""
+    from cloudspark.operators import stats
+
+    def refuse(*_):
+        raise AssertionError("all pairs in reach")
+
+    monkeypatch.setattr(stats, "radius_join", refuse, raising=False)
+    rng = np.random.default_rng(6)
+    # a lattice, with ties, a dense cloud, copies and points out of reach
+    xyz = np.concatenate([rng.integers(0, 4, (60, 3)) / 3, rng.normal(0.5, 0.02, (60, 3)), [[9.0, 9.0, 9.0], [-9.0, 0.0, 0.0], [-9.0, 0.1, 0.0]], np.full((8, 3), 0.25)])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    far = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    for reach in (0.05, 0.7, 30.0):
+        want = {}
+        for i in range(len(xyz)):
+            d, f = min((far[i, f], f) for f in range(0, len(xyz), 5))
+            if d <= reach:
+                want[i] = (f, d)
+        found = stats.nearest_facility(points, points.filter("id % 5 = 0"), reach).collect()
+        assert {r.id: (r.fid, pytest.approx(r.d, abs=1e-12)) for r in found} == want
+        assigned = spark.createDataFrame([(i, f) for i, (f, _) in want.items()], "id long, fid long")
+        rad = {}
+        for i, (f, d) in want.items():
+            if i != f:
+                rad[f] = max(rad.get(f, 0.0), d)
+        clients = [(i, f) for i, (f, _) in want.items() if i != f]
+        count = lambda f, r: sum(g != f and far[i, f] < r and far[i, f] <= reach for i, g in clients)  # noqa: B023, E731
+        over = {f: count(f, rad.get(f, 0.0)) for f, (g, _) in want.items() if f == g}
+        assert {r.fid: r.over for r in stats.overlap(points, assigned, reach).collect()} == over
+        assert {r.fid: r.over for r in stats.overlap_all(points, assigned).collect()} == over
