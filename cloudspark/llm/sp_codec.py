@@ -206,6 +206,10 @@ class Codec:
         wrong = self.wrong
         return [(b"".join(ids), not (wrong and not wrong.isdisjoint(x))) for x, ids in zip(split, found, strict=True)]
 
+    def encode_whole(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """As ``encode``; each text is given to the sentencepiece library whole, whatever is remembered, and its ids compared with all."""
+        return [(x, x == np.asarray(y, "<i4").tobytes()) for (x, _), y in zip(self.encode(texts), self.reference_ids(texts), strict=True)]
+
     def _split(self, prefix: str, text: str) -> list[str]:
         """Segments, each without the prefix."""
         if not text:
@@ -281,8 +285,9 @@ def _schema(df: DataFrame, names: list[str], more: str) -> T.StructType:
     return T.StructType([T.StructField("doc", T.StructType([df.schema[c] for c in names])), *T._parse_datatype_string(more)])
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/{MODEL}") -> DataFrame:
-    """(doc, ids): the row as a struct and an array of token ids."""
+def encode(docs: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/{MODEL}", verify: bool = False) -> DataFrame:
+    """(doc, ids): the row as a struct and an array of token ids. ``verify`` adds ``parity``, whether the sentencepiece library makes the
+    same of the whole text."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches):
@@ -290,12 +295,15 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/{
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for s in _bounded(texts):  # a batch for each slice, so that few ids are held at once
-                ids = [np.frombuffer(x, "<i4") for x, _ in codec.encode(texts[s])]
+                found = (codec.encode_whole if verify else codec.encode)(texts[s])
+                ids = [np.frombuffer(x, "<i4") for x, _ in found]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, s.stop - s.start), column], names=["doc", "ids"])
+                more = {"parity": pa.array([same for _, same in found], pa.bool_())} if verify else {}
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, s.stop - s.start), column, *more.values()], names=["doc", "ids", *more])
 
-    return docs.select(_rows(docs, docs.columns), docs[text_col].alias("text")).mapInArrow(run, _schema(docs, docs.columns, "ids array<int>"))
+    schema = "ids array<int>, parity boolean" if verify else "ids array<int>"
+    return docs.select(_rows(docs, docs.columns), docs[text_col].alias("text")).mapInArrow(run, _schema(docs, docs.columns, schema))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str = f"{TOKENIZERS}/{MODEL}") -> DataFrame:
@@ -312,7 +320,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str = f"{TOKENIZERS}/{MO
 
 
 def check(docs: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/{MODEL}") -> DataFrame:
-    """(doc, n_tokens, ids_sha256 (of 32-bit little-endian ids), round_trip, parity): the row as a struct without its text."""
+    """(doc, n_tokens, ids_sha256 (of 32-bit little-endian ids), round_trip, parity): the row as a struct without its text. Parity is that of whole texts."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_model(path))
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "parity": pa.bool_()}
 
@@ -322,7 +330,7 @@ def check(docs: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/{M
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out: list[tuple] = []
             for s in _bounded(texts):
-                for text, (ids, same) in zip(texts[s], codec.encode(texts[s], verify=True), strict=True):
+                for text, (ids, same) in zip(texts[s], codec.encode_whole(texts[s]), strict=True):
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), codec.decode(ids) == normalise(codec.model, text), same))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], names=["doc", *kinds])

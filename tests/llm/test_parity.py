@@ -20,3 +20,33 @@ def test_a_warm_codec_still_compares():
     # what has been compared is not compared again, and its verdict stays
     asked.clear()
     assert [same for _, same in codec.encode(texts, verify=True)] == [False, False, True] and not asked
+
+
+def test_whole_texts_are_compared_each_time():
+    codec = sp_codec.Codec(sp_codec.read_model())
+    texts = ["one two three", "two words", "", " a  b"]
+    codec.encode(texts, verify=True)
+    asked = []
+    library = codec.reference_ids
+
+    def other(whole):
+        asked.extend(whole)
+        return [[*x, 7] if i == 1 else x for i, x in enumerate(library(whole))]
+
+    codec.reference_ids = other
+    assert [same for _, same in codec.encode_whole(texts)] == [True, False, True, True] and asked == texts
+
+
+def test_digest_and_pipeline_compare_whole_texts(spark):
+    import corpus_pipeline
+
+    class Other(sp_codec.Codec):
+        def reference_ids(self, texts):
+            return [[*x, 7] if len(t.split()) == 3 else x for t, x in zip(texts, super().reference_ids(texts), strict=True)]
+
+    other = Other(sp_codec.read_model())
+    assert [same for _, same in other.encode_whole(["a b c", "a b"])] == [False, True]
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x  y \u65e5")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in corpus_pipeline.tokens(spark, docs, "").collect()}
+    assert set(rows) == {1, 2, 3} and all(r.parity and r.n_tokens == len(r.token_ids) for r in rows.values())
+    assert all(r.parity for r in sp_codec.digest(docs).collect())
