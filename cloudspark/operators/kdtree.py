@@ -19,6 +19,8 @@ from cloudspark.plans.storage import lookup, materialize
 AXES = ("x", "y", "z")
 #: Points of a leaf of a search tree; levels after which paths are written.
 LEAF, WRITE = 32, 4
+#: Places of queries that a task takes down a tree: each becomes some fifty boxes on the way, which a size in bytes does not tell.
+QUERIES = 1 << 11
 
 
 def _extents(points: DataFrame) -> DataFrame:
@@ -212,20 +214,24 @@ def search(own: DataFrame, tops: DataFrame, steps: DataFrame, depth: int, read_l
     larger ids than k points have are left, too.
     """
     per_query = f"PARTITION BY {', '.join(QUERY)}"
-    most = own.agg(F.max("k")).first()[0] or 1
+    per_spot = f"PARTITION BY spot, {', '.join(QUERY)}"
+    asked = own.agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    most = asked.most or 1
 
     def bounded(rows: DataFrame) -> DataFrame:
         """Boxes that may hold neighbours: those that begin within what holds k points."""
         rows = rows.withColumn("last", F.expr("CASE WHEN near = far THEN idmax ELSE 9223372036854775807 END"))
-        held = rows.withColumn("held", F.expr(f"sum(n) OVER ({per_query} ORDER BY far, last)"))
+        held = rows.withColumn("held", F.expr(f"sum(n) OVER ({per_spot} ORDER BY far, last)"))
         held = held if radius is None else held.filter(F.col("near") <= radius * radius * SLACK)
-        held = held.withColumn("bound", F.expr(f"min(CASE WHEN held >= k THEN struct(far, last) END) OVER ({per_query})"))
+        held = held.withColumn("bound", F.expr(f"min(CASE WHEN held >= k THEN struct(far, last) END) OVER ({per_spot})"))
         open_ = F.expr(f"bound IS NULL OR near <= bound.far * {SLACK} AND NOT (near = far AND near = bound.far AND idmin > bound.last)")
         return held.filter(open_).drop("held", "bound", "last")
 
-    places = own.groupBy(*QUERY).agg(F.max("k").alias("k"))
+    # a number of partitions, as small rows would be put together; by a hash, which is no float and so is the same key to all windows
+    places = own.groupBy(*QUERY).agg(F.max("k").alias("k")).withColumn("spot", F.xxhash64(*QUERY))
+    places = places.repartition(-(-asked.n // QUERIES) or 1, "spot")
     known = ["path", "n", "idmin", "idmax"]
-    columns = [*QUERY, "k", *known, "near", "far"]
+    columns = [*QUERY, "spot", "k", *known, "near", "far"]
     front = bounded(places.join(lookup(tops), "g").withColumns({"near": _nearest("q", ""), "far": _farthest("q", "")}).select(columns))
     below = lookup(steps.select("g", F.col("up").alias("path"), F.struct(*known).alias("child"), *_box("")))
     for _ in range(depth):
@@ -233,7 +239,7 @@ def search(own: DataFrame, tops: DataFrame, steps: DataFrame, depth: int, read_l
         down = front.join(below, ["g", "path"], "left")
         stays = F.col("child").isNull()
         new = {**{c: F.col(f"child.{c}") for c in known}, "near": _nearest("q", ""), "far": _farthest("q", "")}
-        front = bounded(down.select(*QUERY, "k", *[F.when(stays, F.col(c)).otherwise(v).alias(c) for c, v in new.items()]))
+        front = bounded(down.select(*QUERY, "spot", "k", *[F.when(stays, F.col(c)).otherwise(v).alias(c) for c, v in new.items()]))
     front = materialize(front.select(*QUERY, "k", "path", "n", "near"), "boxes")
     first = front.withColumn("before", F.expr(f"sum(n) OVER ({per_query} ORDER BY near, path) - n")).withColumn("early", F.col("before") < F.col("k"))
     columns = [*QUERY, "k", "id", *AXES, "d2"]

@@ -115,3 +115,23 @@ def test_bounded_searches(spark):
     assert all(exact[x].d2 <= near[x].d2 <= 4 * exact[x].d2 + 1e-12 for x in exact)
     read = [sum(r.leaves for r in found.values()) for found in (exact, near)]
     assert read[1] < 0.6 * read[0]
+
+
+def test_queries_of_a_task_are_bounded(spark, monkeypatch):
+    """However small the table of queries is, the descent is cut into tasks of some QUERIES places each, with the same neighbours."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.normal(0, 1, (400, 3)))], "id long, x double, y double, z double")
+    whole = sorted(map(tuple, kdtree.knn(points, 4).select("qid", "nid", "rank").collect()))
+    monkeypatch.setattr(kdtree, "QUERIES", 50)
+    tasks, kept = [], kdtree.materialize
+
+    def written(frame, tag):
+        if tag == "boxes":
+            tasks.append(frame.select(F.spark_partition_id().alias("p")).groupBy("p").count().count())
+        return kept(frame, tag)
+
+    monkeypatch.setattr(kdtree, "materialize", written)
+    assert sorted(map(tuple, kdtree.knn(points, 4).select("qid", "nid", "rank").collect())) == whole
+    assert tasks and tasks[0] == 8
