@@ -15,6 +15,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BATCH_CHARS = 1 << 20
 #: Bytes that one of a worker's two generations of memory may take, what a segment takes besides its text and ids, and
 #: characters beyond which a segment is not remembered.
 CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 48 << 20, 220, 64
+#: Words that are encoded as one text, and marks of segments that came once since memory was last full.
+JOINED, SEEN = 32, 1 << 22
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -157,12 +160,14 @@ class Codec:
         self.model, self.tokenizer = parse(data), build(data)
         self.data, self.cache, self.older, self.held, self.wrong = data, {}, {}, 0, set()
         self.separable = self.tokenizer.pre_tokenizer is not None and self.model.escape and not self.model.suffix
-        if self.separable:  # segments are normalised before; decoding does without a normaliser
-            self.tokenizer.normalizer = None
+        if self.separable:  # segments are normalised and split before; decoding does without either
+            self.tokenizer.normalizer = self.tokenizer.pre_tokenizer = None
         self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         kinds = [k for _, _, k in self.model.pieces]
         self.table = [bytes([int(x[3:5], 16)]) if i < len(kinds) and kinds[i] == BYTE else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
+        self.begins = np.array([x.startswith(MARK) for x in names], bool)
+        self.seen = bytearray(SEEN)
         self.other = None
         #: Whether segments are remembered that were not compared.
         self.unverified = False
@@ -189,22 +194,60 @@ class Codec:
             return [(np.asarray(x, "<i4").tobytes(), ok) for x, ok in zip(own, same, strict=True)]
         prefix = MARK if self.model.dummy_prefix else ""
         split = [self._split(prefix, normalise(self.model, x)) for x in texts]
-        found = [self._known(x) for x in split]
-        missing = list({x for segments, ids in zip(split, found, strict=True) if None in ids for x, y in zip(segments, ids, strict=True) if y is None})
+        ids = self._ids(prefix, dict.fromkeys(chain.from_iterable(split), b""), verify)
+        wrong = self.wrong
+        return [(b"".join(map(ids.__getitem__, x)), not (wrong and not wrong.isdisjoint(x))) for x in split]
+
+    def _ids(self, prefix: str, ids: dict[str, bytes], verify: bool) -> dict[str, bytes]:
+        """``ids`` with those of its segments filled in: remembered ones, or new ones. What only the older generation has moves to the newer one."""
+        missing = []
+        for x in ids:
+            y = self.cache.get(x)
+            if y is None:
+                y = self.older.get(x)
+                if y is None:
+                    missing.append(x)
+                    continue
+                self._remember(x, y)
+            ids[x] = y
         if missing:
-            marked = [prefix + x for x in missing]
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-            new = dict(zip(missing, [struct.pack(f"<{len(x)}i", *x) for x in own], strict=True))
+            own = self._new(prefix, missing)
             if verify:  # the library adds the mark itself; of an empty text it makes nothing
-                self.wrong |= {x for x, a, b in zip(missing, own, self.reference_ids(missing), strict=True) if a != b and x}
-            for segments, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids[:] = [new[x] if y is None else y for x, y in zip(segments, ids, strict=True)]
-            for x, y in new.items():
-                if len(x) <= CACHE_CHARS:
+                self.wrong |= {x for x, a, b in zip(missing, own, self.reference_ids(missing), strict=True) if x and a != np.asarray(b, "<i4").tobytes()}
+            for x, y in zip(missing, own, strict=True):
+                ids[x] = y
+                if len(x) <= CACHE_CHARS and self._worth(x):
                     self._remember(x, y)
-        wrong = self.wrong
-        return [(b"".join(ids), not (wrong and not wrong.isdisjoint(x))) for x, ids in zip(split, found, strict=True)]
+        return ids
+
+    def _new(self, prefix: str, segments: list[str]) -> list[bytes]:
+        """Ids of each segment. Words of a BPE model are encoded JOINED at a time: each begins where a piece begins with a mark, and no
+        merge crosses a word's end. Segments that have marks of their own, and all if some mark begins no piece, are encoded singly."""
+        words = [x for x in segments if x and MARK not in x] if prefix and self.model.kind == BPE else []
+        ids = self._packed([prefix + MARK.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])[0]
+        at = (4 * np.flatnonzero(self.begins[ids])).tolist()
+        if len(at) != len(words):
+            words = at = []
+        packed = ids.tobytes()
+        known = {x: packed[i:j] for x, i, j in zip(words, at, [*at[1:], len(packed)], strict=False)}
+        single = [x for x in segments if x not in known]
+        ids, ends = self._packed([prefix + x for x in single])
+        packed = ids.tobytes()
+        known.update((x, packed[4 * i : 4 * j]) for x, i, j in zip(single, [0, *ends], ends, strict=False))
+        return [known[x] for x in segments]
+
+    def _packed(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts, one after the other, and where those of each end."""
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.fromiter(chain.from_iterable(own), "<i4"), list(accumulate(map(len, own)))
+
+    def _worth(self, segment: str) -> bool:
+        """Whether to remember a new segment: once memory has been full, only those that come again."""
+        if not self.older:
+            return True
+        at = hash(segment) & (SEEN - 1)
+        again, self.seen[at] = self.seen[at], 1
+        return bool(again)
 
     def encode_whole(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """As ``encode``; each text is given to the sentencepiece library whole, whatever is remembered, and its ids compared with all."""
@@ -220,21 +263,10 @@ class Codec:
                 return words
         return [x.removeprefix(prefix) for x in self.segments(prefix + text.replace(" ", MARK))]
 
-    def _known(self, segments: list[str]) -> list[bytes | None]:
-        """Remembered ids; what only the older generation has moves to the newer one."""
-        ids = list(map(self.cache.get, segments))
-        if None in ids and self.older:
-            older = self.older
-            for i, x in enumerate(ids):
-                if x is None and (y := older.get(segments[i])) is not None:
-                    ids[i] = y
-                    self._remember(segments[i], y)
-        return ids
-
     def _remember(self, segment: str, ids: bytes) -> None:
         size = 2 * len(segment) + len(ids) + ENTRY_BYTES
         if self.held + size > CACHE_BYTES:
-            self.older, self.cache, self.held = self.cache, {}, 0
+            self.older, self.cache, self.held, self.seen = self.cache, {}, 0, bytearray(SEEN)
         self.cache[segment] = ids
         self.held += size
 

@@ -50,3 +50,39 @@ def test_digest_and_pipeline_compare_whole_texts(spark):
     rows = {r.doc_id: r for r in corpus_pipeline.tokens(spark, docs, "").collect()}
     assert set(rows) == {1, 2, 3} and all(r.parity and r.n_tokens == len(r.token_ids) for r in rows.values())
     assert all(r.parity for r in sp_codec.digest(docs).collect())
+
+
+def test_new_words_are_encoded_together():
+    codec = sp_codec.Codec(sp_codec.read_model())
+    library, asked = codec.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **settings):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **settings)
+
+    codec.tokenizer = Counted()
+    odd = ["", " ", "  a   b ", "日本 \U0001f642\n\nx", "▁", "a▁▁b ▁", "<s> </s>", "\x00 ́ é", " ".join("zq" * i for i in range(80))]
+    texts = [" ".join(f"wo{i}rd{i * j}" for i in range(40)) for j in range(20)] + odd
+    got = codec.encode(texts)
+    assert len(asked) < len({x for t in texts[:20] for x in t.split()}) / 8
+    assert [sp_codec.np.frombuffer(x, "<i4").tolist() for x, _ in got] == codec.reference_ids(texts)
+    # a model in which marks begin no piece: one by one
+    alone = sp_codec.Codec(sp_codec.read_model())
+    alone.begins[:] = False
+    assert alone.encode(texts, verify=True) == got
+
+
+def test_what_comes_once_does_not_push_out_what_comes_again(monkeypatch):
+    monkeypatch.setattr(sp_codec, "CACHE_BYTES", 20_000)
+    codec = sp_codec.Codec(sp_codec.read_model())
+    once = [" ".join(f"w{i * 50 + j}" for j in range(50)) for i in range(40)]
+    often = "some words that come again and again"
+    codec.encode(once[:8])
+    assert codec.older
+    codec.encode([often])
+    first = codec.encode([often])
+    for text in once[8:]:
+        codec.encode([text])
+    assert all(x in codec.cache or x in codec.older for x in often.split())
+    assert codec.encode([often]) == first and len(codec.cache) + len(codec.older) < 200
